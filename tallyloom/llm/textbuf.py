@@ -60,13 +60,13 @@ def column(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
     return data, offs
 
 
-def chunks(batch: pa.RecordBatch, name: str, limit: int = CHUNK_BYTES) -> Iterator[Chunk]:
-    """The batch's texts in order, at most ``limit`` bytes at a time or one longer text."""
+def chunks(batch: pa.RecordBatch, name: str, limit: int = CHUNK_BYTES, rows: int = 4096) -> Iterator[Chunk]:
+    """The batch's texts in order, at most ``limit`` bytes and ``rows`` texts at a time, or one longer text."""
     data, offs = column(batch, name)
     i, n = 0, len(offs) - 1
     while i < n:
         j = int(np.searchsorted(offs, offs[i] + limit, "right")) - 1
-        j = min(max(j, i + 1), n)
+        j = min(max(j, i + 1), n, i + rows)
         yield Chunk(i, data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
         i = j
 
