@@ -96,3 +96,36 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
     return pack_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substrings import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
+ORACLE["op4_suffix_array_dedup"] = r"""
+WITH d AS MATERIALIZED (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents
+), n AS (SELECT doc_id, x, CAST(length(x) // 2 AS BIGINT) AS n_bytes FROM d),
+w AS (
+  SELECT doc_id, p, md5_number(substring(x, 2 * p + 1, 200)) AS s FROM (SELECT doc_id, x, unnest(range(0, n_bytes - 99)) AS p FROM n WHERE n_bytes >= 100)
+), f AS (
+  SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY s ORDER BY doc_id, p) AS k FROM w) WHERE k > 1
+), g AS (
+  SELECT doc_id, p, sum(CASE WHEN p - prev <= 100 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY p) AS span
+  FROM (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS prev FROM f)
+), r AS (
+  SELECT doc_id, span, min(p) AS a, max(p) + 100 AS b FROM g GROUP BY doc_id, span
+), k AS (
+  SELECT doc_id, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS u, a AS v FROM r
+  UNION ALL SELECT doc_id, max(b), NULL FROM r GROUP BY doc_id
+), t AS (
+  SELECT k.doc_id, string_agg(substring(x, 2 * u + 1, 2 * (coalesce(v, n_bytes) - u)), '' ORDER BY u) AS x FROM k JOIN n USING (doc_id) GROUP BY k.doc_id
+), c AS (
+  SELECT doc_id, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans FROM r GROUP BY doc_id
+)
+SELECT n.doc_id, n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(t.x, n.x))) AS kept_sha256
+FROM n LEFT JOIN c USING (doc_id) LEFT JOIN t ON t.doc_id = n.doc_id
+"""
