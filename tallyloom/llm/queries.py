@@ -148,3 +148,102 @@ WITH v AS (
 ), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
 """
+
+
+#: The op5 query's tree: domain (the source's number modulo 4), language, source; and its weights.
+DOMAIN_WEIGHTS = {"d0": 4, "d1": 3, "d2": 2, "d3": 1}
+LANGUAGE_WEIGHTS = {"en": 5, "de": 2, "fr": 2, "es": 1}
+
+
+@query
+def op5_mixing_to_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .mixing import mix
+
+    number = F.coalesce(F.regexp_extract("source", r"([0-9]+)$", 1).try_cast("long"), F.lit(0))
+    levels = {"domain": F.concat(F.lit("d"), (number % 4).cast("string")), "lang": F.col("lang"), "source": F.col("source")}
+    out = mix(table(spark, sf_dir, "documents"), levels, [DOMAIN_WEIGHTS, LANGUAGE_WEIGHTS, {}], budget_percent=60, epochs=2, keep=["doc_id"])
+    return out.select("row.doc_id", "domain", "lang", "source", "n_tokens", "epoch")
+
+
+def _share_sql(nodes: str, parent: str, name: str, out: str) -> str:
+    """The same division of budgets as SQL: nodes with budget, weight and cap."""
+    by = f"{parent + ', ' if parent else ''}"
+    over = f"PARTITION BY {parent}" if parent else ""
+    order = f"({over} ORDER BY CASE WHEN weight > 0 THEN CAST(cap AS DOUBLE) / weight ELSE 'inf'::DOUBLE END, {name}"
+    return f"""
+{out}_a AS (
+  SELECT *, sum(weight) OVER {order} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS w_rest,
+         coalesce(sum(cap) OVER {order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c_before FROM {nodes}
+), {out}_b AS (SELECT *, weight > 0 AND cap * w_rest <= weight * (budget - c_before) AS filled FROM {out}_a),
+{out}_c AS (
+  SELECT *, budget - coalesce(sum(CASE WHEN filled THEN cap END) OVER ({over}), 0) AS left_, coalesce(sum(CASE WHEN NOT filled THEN weight END) OVER ({over}), 0) AS open_ FROM {out}_b
+), {out}_d AS (SELECT *, CASE WHEN filled OR open_ = 0 THEN 0 ELSE (left_ * weight) // open_ END AS part FROM {out}_c),
+{out}_e AS (
+  SELECT *, CASE WHEN open_ > 0 THEN left_ - sum(part) OVER ({over}) ELSE 0 END AS over_,
+         sum(CASE WHEN NOT filled AND weight > 0 THEN 1 ELSE 0 END) OVER {order} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS nth FROM {out}_d
+), {out} AS (
+  SELECT {by}{name}, CAST(CASE WHEN filled THEN cap ELSE part + CASE WHEN weight > 0 AND nth <= over_ THEN 1 ELSE 0 END END AS BIGINT) AS budget FROM {out}_e
+)"""
+
+
+def _weights_sql(column: str, weights: dict[str, int]) -> str:
+    return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in weights.items()) + " ELSE 1 END"
+
+
+ORACLE["op5_mixing_to_weights"] = rf"""
+WITH t AS MATERIALIZED (
+  SELECT doc_id, 'd' || CAST(coalesce(TRY_CAST(regexp_extract(source, '([0-9]+)$', 1) AS BIGINT), 0) % 4 AS VARCHAR) AS domain, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS n_tokens FROM documents
+), u AS (SELECT * FROM t WHERE n_tokens > 0),
+leaf AS (SELECT domain, lang, source, sum(n_tokens) AS tokens FROM u GROUP BY ALL),
+n1 AS (SELECT domain, sum(tokens) * 2 AS cap, (SELECT sum(tokens) * 60 // 100 FROM leaf) AS budget, {_weights_sql("domain", DOMAIN_WEIGHTS)} AS weight FROM leaf GROUP BY domain),
+{_share_sql("n1", "", "domain", "b1")},
+n2 AS (SELECT domain, lang, sum(tokens) * 2 AS cap, any_value(budget) AS budget, {_weights_sql("lang", LANGUAGE_WEIGHTS)} AS weight FROM leaf JOIN b1 USING (domain) GROUP BY domain, lang),
+{_share_sql("n2", "domain", "lang", "b2")},
+n3 AS (SELECT domain, lang, source, tokens * 2 AS cap, budget, 1 AS weight FROM leaf JOIN b2 USING (domain, lang)),
+{_share_sql("n3", "domain, lang", "source", "b3")},
+p AS (SELECT leaf.*, budget // tokens AS whole, budget % tokens AS rest FROM leaf JOIN b3 USING (domain, lang, source)),
+o AS (
+  SELECT u.*, whole, rest, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY md5('17:' || CAST(CAST(whole AS BIGINT) AS VARCHAR) || ':' || CAST(doc_id AS VARCHAR)), CAST(doc_id AS VARCHAR)) AS upto
+  FROM u JOIN p USING (domain, lang, source)
+)
+SELECT doc_id, domain, lang, source, n_tokens, CAST(unnest(range(0, CAST(whole AS BIGINT) + CASE WHEN upto <= rest THEN 1 ELSE 0 END)) AS BIGINT) AS epoch FROM o
+"""
+
+
+@query
+def op2_chat_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .chat import format_preferences, swapped_answers
+
+    out = format_preferences(swapped_answers(table(spark, sf_dir, "conversations")))
+    spans = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return out.withColumn("chosen_mask", spans("chosen_mask")).withColumn("rejected_mask", spans("rejected_mask"))
+
+
+ORACLE["op2_chat_preferences"] = r"""
+WITH c AS (
+  SELECT conv_id, list(struct_pack(turn := turn, role := role, text := text) ORDER BY turn, role, text) AS t FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), l AS (
+  SELECT conv_id, t, list_max(list_filter(range(1, len(t) + 1), lambda i: t[i].role = 'assistant')) AS n FROM c
+), a AS (SELECT conv_id, t[1:n] AS t FROM l WHERE n IS NOT NULL),
+p AS (
+  SELECT x.conv_id AS pair_id, x.t AS ch, list_concat(x.t[1:len(x.t) - 1], y.t[len(y.t):len(y.t)]) AS re
+  FROM a x JOIN a y ON x.conv_id // 2 = y.conv_id // 2 AND x.conv_id <> y.conv_id
+), k AS (
+  SELECT *, coalesce(list_min(list_filter(range(1, least(len(ch), len(re)) + 1), lambda i: ch[i].role IS DISTINCT FROM re[i].role OR ch[i].text IS DISTINCT FROM re[i].text)) - 1, least(len(ch), len(re))) AS n_common FROM p
+), r AS (
+  SELECT pair_id, n_common,
+         list_transform(ch, lambda t: '<|' || coalesce(t.role, '') || '|>' || chr(10) || coalesce(t.text, '') || '<|end|>' || chr(10)) AS cs,
+         list_transform(re, lambda t: '<|' || coalesce(t.role, '') || '|>' || chr(10) || coalesce(t.text, '') || '<|end|>' || chr(10)) AS rs, ch, re FROM k
+), m AS (
+  SELECT pair_id, n_common, coalesce(array_to_string(cs[1:n_common], ''), '') AS prompt, cs[n_common + 1:] AS cs, rs[n_common + 1:] AS rs, ch[n_common + 1:] AS ch, re[n_common + 1:] AS re FROM r
+)
+SELECT pair_id, CAST(n_common AS INTEGER) AS n_common, prompt, coalesce(array_to_string(cs, ''), '') AS chosen, coalesce(array_to_string(rs, ''), '') AS rejected,
+  coalesce(array_to_string(list_transform(list_filter(range(1, len(cs) + 1), lambda i: ch[i].role = 'assistant'), lambda i: CAST(CAST(coalesce(list_sum(list_transform(cs[1:i], lambda x: length(x))), 0) AS BIGINT) - length(coalesce(ch[i].text, '')) - 8 AS VARCHAR) || '-' || CAST(CAST(coalesce(list_sum(list_transform(cs[1:i], lambda x: length(x))), 0) AS BIGINT) AS VARCHAR)), ','), '') AS chosen_mask,
+  coalesce(array_to_string(list_transform(list_filter(range(1, len(rs) + 1), lambda i: re[i].role = 'assistant'), lambda i: CAST(CAST(coalesce(list_sum(list_transform(rs[1:i], lambda x: length(x))), 0) AS BIGINT) - length(coalesce(re[i].text, '')) - 8 AS VARCHAR) || '-' || CAST(CAST(coalesce(list_sum(list_transform(rs[1:i], lambda x: length(x))), 0) AS BIGINT) AS VARCHAR)), ','), '') AS rejected_mask
+FROM m
+"""
