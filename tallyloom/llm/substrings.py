@@ -537,16 +537,15 @@ def remove_repeats(documents: DataFrame, width: int = WIDTH, gram: int = GRAM, i
     """
     if not gram < width <= gram + 255:
         raise ValueError("gram must be less than width, and width at most gram + 255")
-    spark = documents.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     docs = documents.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
     size = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(size // BUCKET_BYTES) + 1)
+    buckets = int(size // BUCKET_BYTES) + 1  # by the input alone: more would only part each document's marks into more rows
     bucketed = lambda df: df.repartition(buckets, "bucket").groupBy("bucket")
 
     found = bucketed(docs.mapInArrow(_sketch(width, gram, buckets), _MOVED_SQL)).applyInPandas(_meet, _INFO_SQL)
     found = cut(found, "anchors")
-    dealt = docs.repartition(buckets, "doc_id", "h")
+    dealt = docs.repartition(max(buckets, int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "doc_id", "h")
     marked = lambda info, how: dealt.join(info.groupBy("doc_id", "h").agg(F.collect_list("blob").alias("blobs")), ["doc_id", "h"], how).select("doc_id", "h", "text", "blobs")
     hashed = bucketed(marked(found, "inner").mapInArrow(_hash_windows(width, buckets), _MOVED_SQL)).applyInPandas(_meet_windows, _INFO_SQL)
     hashed = cut(hashed, "windows")
