@@ -31,11 +31,13 @@ def _is_forest_of_stars(e: DataFrame) -> bool:
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
     """``node, component`` for every node that has a link; component is the smallest node reachable.
 
+    Nodes are of any type with an order, structs too.
+
     Alternates large-star and small-star until the links are stars around their smallest node.
     Self-links and links with a null end are ignored; repeated links count once. A node of very
     many links meets only a partial aggregate and a join whose large side can be split.
     """
-    a, b = F.col(src).cast("long"), F.col(dst).cast("long")
+    a, b = F.col(src), F.col(dst)
     e = cut(edges.select(F.greatest(a, b).alias("src"), F.least(a, b).alias("dst")).where("src <> dst AND src IS NOT NULL AND dst IS NOT NULL").distinct(), "links")
     for _ in range(max_rounds):
         if _is_forest_of_stars(e):

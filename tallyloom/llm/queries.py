@@ -247,3 +247,13 @@ SELECT pair_id, CAST(n_common AS INTEGER) AS n_common, prompt, coalesce(array_to
   coalesce(array_to_string(list_transform(list_filter(range(1, len(rs) + 1), lambda i: re[i].role = 'assistant'), lambda i: CAST(CAST(coalesce(list_sum(list_transform(rs[1:i], lambda x: length(x))), 0) AS BIGINT) - length(coalesce(re[i].text, '')) - 8 AS VARCHAR) || '-' || CAST(CAST(coalesce(list_sum(list_transform(rs[1:i], lambda x: length(x))), 0) AS BIGINT) AS VARCHAR)), ','), '') AS rejected_mask
 FROM m
 """
+
+
+@query
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .lines import dedup_lines
+
+    out = dedup_lines(table(spark, sf_dir, "documents"))
+    return out.select("row.doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.col("n_removed").cast("long").alias("n_removed"), F.length(F.coalesce("kept_text", F.lit(""))).cast("long").alias("n_chars_kept"), F.md5(F.coalesce("kept_text", F.lit(""))).alias("kept_md5"))

@@ -243,8 +243,16 @@ _HASHED = np.dtype([("anchor", "<u8"), ("doc", "<u4"), ("at", "<u4")])
 
 
 def _read_marks(blobs) -> np.ndarray:
-    parts = [np.frombuffer(b.as_buffer() if isinstance(b, pa.Scalar) else b, _MARK) for b in blobs]
-    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, _MARK)
+    parts = [np.frombuffer(b.as_buffer(), _MARK) for b in blobs]
+    if not parts:
+        return np.zeros(0, _MARK)
+    m = np.concatenate(parts)
+    key = m["at"].astype(np.uint64)
+    for field in ("lo", "hi", "kind"):
+        key = key << np.uint64(8) | m[field]
+    key = np.unique(key)
+    low = lambda k: (key >> np.uint64(k)) & np.uint64(255)
+    return _marks(key >> np.uint64(24), low(16), low(8), low(0))
 
 
 def _spread(marks: np.ndarray) -> np.ndarray:
