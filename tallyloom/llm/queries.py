@@ -257,3 +257,14 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = dedup_lines(table(spark, sf_dir, "documents"))
     return out.select("row.doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.col("n_removed").cast("long").alias("n_removed"), F.length(F.coalesce("kept_text", F.lit(""))).cast("long").alias("n_chars_kept"), F.md5(F.coalesce("kept_text", F.lit(""))).alias("kept_md5"))
+
+
+@query
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .language import fit_language_model, identify, in_fold
+
+    docs = table(spark, sf_dir, "documents")
+    out = identify(docs, fit_language_model(docs), columns=["doc_id"])
+    return out.select("row.doc_id", in_fold(F.col("row.doc_id")).alias("held_out"), "lang_pred", "score")
