@@ -268,3 +268,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = identify(docs, fit_language_model(docs), columns=["doc_id"])
     return out.select("row.doc_id", in_fold(F.col("row.doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html import extract_main_text
+
+    return extract_main_text(table(spark, sf_dir, "pages"))
