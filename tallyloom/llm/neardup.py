@@ -321,4 +321,4 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: float = 80, co
     out = about.select("doc_id", "n_shingles", "a", "b", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int").alias("salt")).join(many, ["a", "b", "salt"], "left")
     out = out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")).alias("node"))
     multi = out.join(labels, "node", "left")
-    return multi.select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return multi.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node")).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
