@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.session import cut
+from tallyloom.session import cut, drop
 
 
 def _large_star(e: DataFrame) -> DataFrame:
@@ -42,7 +42,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     for _ in range(max_rounds):
         if _is_forest_of_stars(e):
             break
-        e = cut(_small_star(_large_star(e)), "links")
+        old, e = e, cut(_small_star(_large_star(e)), "links")
+        drop(old)
     else:
         raise RuntimeError("components did not settle")
     roots = e.select(F.col("dst").alias("node")).distinct().withColumn("component", F.col("node"))
