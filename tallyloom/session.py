@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,9 +44,26 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it again.
 
     The result no longer depends on the plan that made it, survives lost executors, and has
-    known sizes for the planner. Files are left to the owner of the shared folder.
+    known sizes for the planner. What the plan shuffled is given back at once: Spark removes
+    shuffle files when the driver's collector finds their plan unused, which may be long after.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+_PATHS: "weakref.WeakKeyDictionary[DataFrame, str]" = weakref.WeakKeyDictionary()
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that ``cut`` has written, once nothing needs them; others are left alone."""
+    for df in tables:
+        if path := _PATHS.pop(df, None):
+            jvm = df.sparkSession.sparkContext._jvm
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
