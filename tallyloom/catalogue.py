@@ -1,10 +1,6 @@
 """Registered queries of the document engine and SQL that gives the same rows."""
 
-from __future__ import annotations
+from tallyloom.plans import documents, relational  # noqa: F401  they register themselves
+from tallyloom.plans.registry import ORACLE, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+__all__ = ["ORACLE", "QUERIES"]

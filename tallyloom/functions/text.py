@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 from . import constants as K
 
@@ -25,7 +26,7 @@ def first_match(text: Column, pattern: str, group: int = 1) -> Column:
 
 
 def all_matches(text: Column, pattern: str, group: int = 1) -> Column:
-    return F.transform(F.regexp_extract_all(text, F.lit(U + pattern), F.lit(group)), F.trim)
+    return F.transform(F.regexp_extract_all(text, F.lit(U + pattern), F.lit(group)), lambda s: F.trim(s))
 
 
 def has(text: Column, pattern: str) -> Column:
@@ -44,7 +45,7 @@ def contains_any(text: Column, words: list[str]) -> Column:
 def replace_tokens(text: Column, pattern: str, change: Callable[[Column], Column]) -> Column:
     """Replace every match of a pattern by what ``change`` makes of it, without leaving the JVM."""
     p = F.lit(U + pattern)
-    tokens = F.transform(F.regexp_extract_all(text, p, F.lit(0)), change)
+    tokens = F.transform(F.regexp_extract_all(text, p, F.lit(0)), lambda t: change(t))
     parts = F.split(text, U + pattern, -1)
     return F.array_join(F.zip_with(parts, tokens, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
 
@@ -126,7 +127,7 @@ def field_confidence(value: Column, ocr_score: Column, valid: bool = True, regex
 # --- general text ------------------------------------------------------------------------------
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def nfkc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Unicode normal form KC, which Spark lacks."""
     for s in batches:

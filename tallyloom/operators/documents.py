@@ -95,7 +95,7 @@ def keyword_scores(text: Column) -> dict[str, Column]:
     out = {}
     for t, ks in K.CLASSIFICATION_KEYWORDS.items():
         lits = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(w).alias("w")) for k, w in ks])
-        out[t] = F.aggregate(lits, F.lit(0), lambda a, x, low=low: a + F.when(low.contains(x["k"]), x["w"]).otherwise(0))
+        out[t] = F.aggregate(lits, F.lit(0), lambda a, x: a + F.when(low.contains(x["k"]), x["w"]).otherwise(0))
     return out
 
 
