@@ -282,13 +282,12 @@ def _simple(value: str, confidence: str) -> str:
     return f"SELECT id, {value} AS value, {confidence} AS confidence FROM ocr_texts"
 
 
-_T, _S = F.col("text"), F.col("ocr_score")
 _PAN_L = f"CASE WHEN id % 6 IN (0, 2) THEN {_first(r'PAN: ([A-Z0-9]{10})')} END"
 
 
 @query("ocr_texts", f"SELECT id, coalesce({_PAN_L}, {_first('(' + _PAN + ')', 'upper(text)')}) AS value, CASE WHEN {_PAN_L} IS NOT NULL THEN {_points(_PAN_L, 90)} ELSE {_points(_first('(' + _PAN + ')', 'upper(text)'), 75)} END AS confidence FROM ocr_texts")
 def extract_pan(t: Tables) -> DataFrame:
-    return _pick(t, D.pan_field(_T, _S))
+    return _pick(t, D.pan_field(F.col("text"), F.col("ocr_score")))
 
 
 _AAD = _first(r"Aadhaar No: ([0-9 ]{14})")
@@ -296,7 +295,7 @@ _AAD = _first(r"Aadhaar No: ([0-9 ]{14})")
 
 @query("ocr_texts", f", a AS (SELECT id, ocr_score, {_AAD} AS v FROM ocr_texts), b AS (SELECT id, ocr_score, CASE WHEN len(list_distinct(list_filter(string_split(v, ''), lambda c: c <> ' '))) >= 4 THEN v END AS value FROM a) SELECT id, value, {_points('value', 90)} AS confidence FROM b")
 def extract_aadhaar(t: Tables) -> DataFrame:
-    return _pick(t, D.aadhaar_field(_T, _S))
+    return _pick(t, D.aadhaar_field(F.col("text"), F.col("ocr_score")))
 
 
 _G = _first(r"GSTIN: ([0-9A-Z]{15})")
@@ -304,7 +303,7 @@ _G = _first(r"GSTIN: ([0-9A-Z]{15})")
 
 @query("ocr_texts", _simple(_G, _points(_G, 90)))
 def extract_gstin(t: Tables) -> DataFrame:
-    return _pick(t, D.gstin_field(_T, _S))
+    return _pick(t, D.gstin_field(F.col("text"), F.col("ocr_score")))
 
 
 @query("clients", "SELECT id, substr(pan_number, 1, 4) || '12345' || right(pan_number, 1) AS value, 94 AS confidence FROM clients")
@@ -318,7 +317,7 @@ _I = _first(r"IFSC: ([A-Z0-9]{11})")
 
 @query("ocr_texts", _simple(_I, _points(_I, 90)))
 def extract_ifsc(t: Tables) -> DataFrame:
-    return _pick(t, D.ifsc_field(_T, _S))
+    return _pick(t, D.ifsc_field(F.col("text"), F.col("ocr_score")))
 
 
 _Y = _first(r"Assessment Year: (\d{4}-\d{2})")
@@ -326,7 +325,7 @@ _Y = _first(r"Assessment Year: (\d{4}-\d{2})")
 
 @query("ocr_texts", _simple(_Y, _points(_Y, 90)))
 def extract_year(t: Tables) -> DataFrame:
-    return _pick(t, D.year_field(_T, _S))
+    return _pick(t, D.year_field(F.col("text"), F.col("ocr_score")))
 
 
 _N = _first(r"Name: ([A-Za-z ]+)")
@@ -335,7 +334,7 @@ _N = _first(r"Name: ([A-Za-z ]+)")
 @query("ocr_texts", f"SELECT id, CASE WHEN id % 6 = 5 THEN 'Plain Note' ELSE {_N} END AS value, CASE WHEN id % 6 = 5 THEN 40 WHEN id % 6 = 0 THEN {_points(_N, 75)} + 10 ELSE {_points(_N, 75)} END AS confidence FROM ocr_texts WHERE id % 6 IN (0, 1, 5)")
 def extract_name(t: Tables) -> DataFrame:
     o = t.ocr_texts.where("id % 6 IN (0, 1, 5)")
-    return o.select("id", D.name_field(_T, _S, D.pan_field(_T, _S)["value"]).alias("f")).select("id", "f.value", "f.confidence")
+    return o.select("id", D.name_field(F.col("text"), F.col("ocr_score"), D.pan_field(F.col("text"), F.col("ocr_score"))["value"]).alias("f")).select("id", "f.value", "f.confidence")
 
 
 @query("clients", "SELECT id, 'INV-' || CAST(id + 100 AS VARCHAR) AS value, 90 AS confidence FROM clients")
@@ -346,7 +345,7 @@ def extract_invoice_number(t: Tables) -> DataFrame:
 
 @query("ocr_texts", "SELECT id, CASE id % 6 WHEN 4 THEN '9876500000' WHEN 2 THEN right(lpad(CAST(id AS VARCHAR), 15, '8'), 10) END AS value, CASE id % 6 WHEN 4 THEN 75 WHEN 2 THEN 55 ELSE 0 END AS confidence FROM ocr_texts")
 def extract_phone(t: Tables) -> DataFrame:
-    return _pick(t, D.phone_field(_T))
+    return _pick(t, D.phone_field(F.col("text")))
 
 
 _E = _first(r"\b([a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,})\b")
@@ -354,22 +353,22 @@ _E = _first(r"\b([a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,})\b")
 
 @query("", f"SELECT doc_id, lower({_E}) AS value FROM documents")
 def extract_email(t: Tables) -> DataFrame:
-    return t.base("documents").select("doc_id", D.simple_field(_T, K.EMAIL, 90, lower=True)["value"].alias("value"))
+    return t.base("documents").select("doc_id", D.simple_field(F.col("text"), K.EMAIL, 90, lower=True)["value"].alias("value"))
 
 
 @query("ocr_texts", r"SELECT id, array_to_string(regexp_extract_all(text, '\b(\d{1,2}[/\-.]\d{1,2}[/\-.]\d{4})\b', 1), ',') AS dates FROM ocr_texts")
 def extract_dates(t: Tables) -> DataFrame:
-    return t.ocr_texts.select("id", F.array_join(D.dates_field(_T), ",").alias("dates"))
+    return t.ocr_texts.select("id", F.array_join(D.dates_field(F.col("text")), ",").alias("dates"))
 
 
 @query("ocr_texts", f"SELECT id, {_first(r'Tax Period: (March 2024)')} AS month, CASE WHEN id % 6 = 3 THEN 85 ELSE 0 END AS confidence FROM ocr_texts")
 def extract_gst_period(t: Tables) -> DataFrame:
-    return t.ocr_texts.select("id", D.gst_period_field(_T).alias("f")).select("id", "f.month", "f.confidence")
+    return t.ocr_texts.select("id", D.gst_period_field(F.col("text")).alias("f")).select("id", "f.month", "f.confidence")
 
 
 @query("ocr_texts", f"SELECT id, {_first(r'Form (ITR-[0-9])')} AS value FROM ocr_texts")
 def extract_itr_type(t: Tables) -> DataFrame:
-    return t.ocr_texts.select("id", D.itr_type(_T).alias("value"))
+    return t.ocr_texts.select("id", D.itr_type(F.col("text")).alias("value"))
 
 
 _A = _first(r"Acknowledgement No. (\d{12,15})")
@@ -377,7 +376,7 @@ _A = _first(r"Acknowledgement No. (\d{12,15})")
 
 @query("ocr_texts", _simple(_A, f"CASE WHEN {_A} IS NULL THEN 0 ELSE 85 END"))
 def extract_ack_number(t: Tables) -> DataFrame:
-    return _pick(t, D.simple_field(_T, K.ACK_LABEL, 85))
+    return _pick(t, D.simple_field(F.col("text"), K.ACK_LABEL, 85))
 
 
 @query("ocr_texts", rf"SELECT id, {_first('(' + _PAN + ')', 'upper(text)')} AS pan, {_first(r'\b([2-9]\d{3} ?\d{4} ?\d{4})\b')} AS aadhaar, {_first('(' + _GSTIN + ')', 'upper(text)')} AS gstin, {_first(r'\b([A-Z]{4}0[A-Z0-9]{6})\b', 'upper(text)')} AS ifsc, {_first(r'\b(20\d{2}-\d{2})\b')} AS assessment_year FROM ocr_texts")
