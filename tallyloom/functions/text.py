@@ -42,12 +42,19 @@ def contains_any(text: Column, words: list[str]) -> Column:
     return F.coalesce(out, F.lit(False))
 
 
+def once(x: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(x)`` with x computed once, however often f refers to it; Catalyst would put x in at every place."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def replace_tokens(text: Column, pattern: str, change: Callable[[Column], Column]) -> Column:
     """Replace every match of a pattern by what ``change`` makes of it, without leaving the JVM."""
-    p = F.lit(U + pattern)
-    tokens = F.transform(F.regexp_extract_all(text, p, F.lit(0)), lambda t: change(t))
-    parts = F.split(text, U + pattern, -1)
-    return F.array_join(F.zip_with(parts, tokens, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+
+    def put(x: Column) -> Column:
+        tokens = F.transform(F.regexp_extract_all(x, F.lit(U + pattern), F.lit(0)), lambda t: change(t))
+        return F.array_join(F.zip_with(F.split(x, U + pattern, -1), tokens, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+
+    return once(text, put)
 
 
 # --- identifiers -------------------------------------------------------------------------------
@@ -316,5 +323,5 @@ def fix_gstin(x: Column) -> Column:
 def correct(x: Column) -> Column:
     """All corrections in their order."""
     for f in (fix_ligatures, fix_broken, fix_year, fix_pan, fix_aadhaar, fix_gstin):
-        x = f(x)
+        x = once(x, f)
     return x

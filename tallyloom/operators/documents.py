@@ -261,17 +261,23 @@ def name_field(t: Column, s: Column, pan: Column) -> Column:
     value = r"\s*[:\-\|]?\s*([A-Za-z][A-Za-z\s\.\-]{2,50})"
     found = lambda text, label: F.filter(F.transform(F.regexp_extract_all(text, F.lit(label + value), F.lit(1)), tidy), good)
     labelled = F.concat(*[found(t, rf"(?i)(?<![A-Za-z])(?:{label})(?![A-Za-z])") for label in K.NAME_LABELS])
-    at = F.position(pan, F.upper(t))
-    window = F.when(pan.isNotNull() & (at > 0), F.substring(t, F.greatest(at - 300, F.lit(1)), F.least(at - 1, F.lit(300)) + F.length(pan) + 200))
-    near = F.concat(*[found(F.coalesce(window, F.lit("")), rf"(?i)(?:{label})") for label in ("name", "assessee", "applicant")])
+    def around(p: Column) -> Column:
+        at = F.position(p, F.upper(t))
+        window = F.when(p.isNotNull() & (at > 0), F.substring(t, F.greatest(at - 300, F.lit(1)), F.least(at - 1, F.lit(300)) + F.length(p) + 200))
+        return F.coalesce(window, F.lit(""))
+
+    near = T.once(T.once(pan, around), lambda w: F.concat(*[found(w, rf"(?i)(?:{label})") for label in ("name", "assessee", "applicant")]))
     top = F.filter(F.slice(T.lines_of(t), F.lit(1), F.lit(12)), lambda x: F.length(x).between(4, 60) & x.rlike(r"(?U)[^\d\W]") & ~T.contains_any(x, K.TOP_LINE_WORDS) & ~F.regexp_replace(F.lower(F.get(T.words_by_space(x), F.lit(0))), r"[.,:\-]+$", "").isin(K.TOP_LINE_STOPWORDS) & (T.count_of(x, r"\p{L}") / F.length(x) >= 0.7))
     top = F.filter(F.transform(top, T.clean_name), lambda c: good(c) & (F.size(T.words_by_space(c)) >= 2))
     first = lambda a: F.get(a, F.lit(0))
     conf = T.field_confidence(F.lit("x"), s, regex=False, label=True)
-    chosen = F.coalesce(first(near), first(labelled), first(top))
-    points = F.when(first(near).isNotNull(), conf + 10).when(first(labelled).isNotNull(), conf).when(first(top).isNotNull(), 40).otherwise(0)
-    final = T.normalize_name(chosen)
-    return F.struct(F.when(T.is_valid_name(final), final).alias("value"), F.when(T.is_valid_name(final), points).otherwise(0).cast("int").alias("confidence"))
+
+    def choose(v: Column) -> Column:
+        points = F.when(v["near"].isNotNull(), conf + 10).when(v["labelled"].isNotNull(), conf).when(v["top"].isNotNull(), 40).otherwise(0)
+        name = T.once(F.coalesce(v["near"], v["labelled"], v["top"]), T.normalize_name)
+        return T.once(name, lambda x: F.when(T.is_valid_name(x), F.struct(x.alias("value"), points.cast("int").alias("confidence"))).otherwise(F.struct(F.lit(None).cast("string").alias("value"), F.lit(0).alias("confidence"))))
+
+    return T.once(F.struct(first(near).alias("near"), first(labelled).alias("labelled"), first(top).alias("top")), choose)
 
 
 def phone_field(t: Column) -> Column:
