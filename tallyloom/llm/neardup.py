@@ -152,8 +152,11 @@ def _pair_keys(sig: np.ndarray) -> np.ndarray:
 
 
 def _matrix(col: pa.Array, coordinates: int) -> np.ndarray:
+    if not len(col):
+        return np.zeros((0, coordinates), np.uint32)
     col = col.cast(pa.large_binary())
-    return np.frombuffer(col.buffers()[2], np.uint32)[: (col.offset + len(col)) * coordinates].reshape(-1, coordinates)[col.offset :] if len(col) else np.zeros((0, coordinates), np.uint32)
+    first = np.frombuffer(col.buffers()[1], np.int64)[col.offset]  # a slice may hold the whole array's data
+    return np.frombuffer(col.buffers()[2], np.uint32, len(col) * coordinates, first).reshape(-1, coordinates)
 
 
 def rarity(reps: DataFrame, coordinates: int) -> np.ndarray:

@@ -1,10 +1,11 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from tallyloom.llm.components import connected_components
-from tallyloom.llm.neardup import near_duplicates
+from tallyloom.llm.neardup import _binary, _matrix, near_duplicates
 
 
 def sets_of(text, size):
@@ -55,6 +56,25 @@ def test_against_all_pairs(spark, seed, size, percent):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in out)
 
 
+def test_many_representatives_in_one_partition(spark):
+    rng = random.Random(7)
+    rows = []
+    for pair in range(1600):
+        words = ["p%d" % pair if rng.random() < 0.3 else "v%d" % rng.randrange(5000) for _ in range(60)]
+        rows.append((pair, " ".join(words)))
+        words[30] = "other"
+        rows.append((10_000 + pair, " ".join(words)))
+    out = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), size=3, percent=85).collect()
+    assert {r["doc_id"]: r["component_id"] for r in out} == {d: d % 10_000 for d, _ in rows}
+
+
+def test_slices_keep_their_rows():
+    rows = np.arange(3000 * 4, dtype=np.uint32).reshape(-1, 4)
+    for first in (0, 1024, 2048):
+        part = _binary(rows).slice(first, 1024)
+        assert (_matrix(part, 4) == rows[first : first + 1024]).all()
+
+
 def test_edges(spark):
     rows = [(1, None), (2, ""), (3, " \n"), (4, "one"), (5, "ONE"), (6, "one two"), (7, "one two three"), (8, "x " * 20000), (8, "x " * 20000), (None, "one"), (9, "é b c d")]
     df = spark.createDataFrame([(*r, 1, "k") for r in rows], "doc_id long, text string, n_shingles int, key string")
