@@ -27,8 +27,11 @@ from pyspark.sql import functions as F
 BLOCK_TAGS = frozenset("address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split())
 # Elements without content.
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-# Elements whose content is no text of the page.
-DROP_TAGS = frozenset("script style template svg math iframe noframes object canvas audio video textarea".split())
+# Elements whose content is no text of the page if their end tag follows; unclosed, they drop nothing.
+# The content of script, style, iframe, noframes and textarea is raw text to their end tag or the page's end.
+DROP_TAGS = frozenset("template svg math object canvas audio video".split())
+# Of these, those whose content cannot end an element outside.
+SCOPES = frozenset("template svg math object".split())
 # Elements that an open paragraph ends before.
 ENDS_P = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 # An element of the key ends the open ones of its set.
@@ -36,7 +39,7 @@ ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td",
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|template|svg|math|iframe|noframes|object|canvas|audio|video|textarea)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"|<(script|style|iframe|noframes|textarea)(?=[\s/>])[^>]*>.*?(?:</\1(?=[\s/>])[^>]*>|\Z)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>"
     r"|<[!?][^>]*(?:>|\Z)",
     re.S | re.I,
@@ -98,6 +101,7 @@ def parse(page: str) -> list[Block]:
     linked = 0
     links = 0
     path: tuple[Element, ...] | None = None
+    held: dict[int, tuple] = {}  # what there was before each open element of DROP_TAGS, by its place in the stack
 
     def flush() -> None:
         nonlocal linked, path
@@ -122,14 +126,20 @@ def parse(page: str) -> list[Block]:
         nonlocal links
         for tag, _ in stack[to:]:
             links -= tag == "a"
+        for k in [k for k in held if k >= to]:
+            del held[k]
         del stack[to:]
 
     at = 0
-    for m in _TAG.finditer(page):
+    while m := _TAG.search(page, at):
         add(page[at : m.start()])
         at = m.end()
         tag = m[3]
         if tag is None:
+            if m[1] and held and any(t in ("svg", "math") for t, _ in stack):
+                opened = page.index(">", m.start()) + 1
+                if page[opened - 2] == "/":  # closed in itself there
+                    at = opened
             continue
         tag = tag.lower()
         block = tag in BLOCK_TAGS
@@ -138,9 +148,15 @@ def parse(page: str) -> list[Block]:
         if m[2]:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
+                    before = held.get(k)
                     pop(k)
+                    if before is not None:
+                        n, text[:], linked, path = before
+                        del blocks[n:]
                     break
-                if block is False and stack[k][0] in BLOCK_TAGS:
+                if stack[k][0] in SCOPES:
+                    break
+                if block is False and tag not in DROP_TAGS and stack[k][0] in BLOCK_TAGS:
                     break  # an inline end tag never ends a block
             continue
         if tag in VOID_TAGS:
@@ -149,12 +165,14 @@ def parse(page: str) -> list[Block]:
         if over:
             stop = {"ul", "ol", "menu"} if tag == "li" else {"table"} if tag in ("tr", "td", "th") else {"dl"} if tag in ("dt", "dd") else {"select"} if tag == "option" else {"table", "button", "td", "th"}
             for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in stop:
+                if stack[k][0] in stop or stack[k][0] in DROP_TAGS:
                     break
                 if stack[k][0] in over:
                     pop(k)
                     break
         if not m[0].endswith("/>"):
+            if tag in DROP_TAGS:
+                held[len(stack)] = (len(blocks), list(text), linked, path)
             stack.append((tag, _words_of(m[4]) if m[4] else ()))
             links += tag == "a"
     add(page[at:])

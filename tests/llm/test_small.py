@@ -134,6 +134,20 @@ def test_html_edges(spark):
     assert main_text("<nav><a>home</a></nav><article><h1>T</h1><p>One.</p></article><footer>&copy; x</footer>", trained()) == "T\nOne."
 
 
+@pytest.mark.parametrize(
+    ("page", "texts"),
+    [
+        ('<p>one</p><svg-icon name="x"></svg-icon><p>two</p><video-player>three</video-player>', ["one", "two", "three"]),
+        ('<p>one <svg viewBox="0"/> two</p><p>three</p>', ["one two", "three"]),
+        ('<div><object data="x"><p>one</p></div><canvas><p>two</p><audio><p>three</p>', ["one", "two", "three"]),
+        ("<p>one <svg><style/><title>no</title></svg> two</p><p>three<video><p>no</video></p>", ["one two", "three"]),
+        ("<p>one</p><template><div>no</div></template><p>two</p><script>no</p>", ["one", "two"]),
+    ],
+)
+def test_html_text_after_dropped_elements(page, texts):
+    assert [b.text for b in parse(page)] == texts
+
+
 def test_quality(spark):
     rng = random.Random(5)
     clean = " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(200))
