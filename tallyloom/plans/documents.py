@@ -337,6 +337,12 @@ def extract_name(t: Tables) -> DataFrame:
     return o.select("id", D.name_field(F.col("text"), F.col("ocr_score"), D.pan_field(F.col("text"), F.col("ocr_score"))["value"]).alias("f")).select("id", "f.value", "f.confidence")
 
 
+@query("ocr_texts", f"SELECT id, CASE WHEN id % 6 = 5 THEN 'Plain Note' ELSE {_N} END AS value, CASE WHEN id % 6 = 5 THEN 40 WHEN id % 6 = 0 THEN {_points(_N, 75)} + 10 ELSE {_points(_N, 75)} END AS confidence FROM ocr_texts")
+def extract_name_all(t: Tables) -> DataFrame:
+    """``extract_name`` over every text: the kinds that it leaves out hold no name."""
+    return t.ocr_texts.select("id", D.name_field(F.col("text"), F.col("ocr_score"), D.pan_field(F.col("text"), F.col("ocr_score"))["value"]).alias("f")).select("id", "f.value", "f.confidence")
+
+
 @query("clients", "SELECT id, 'INV-' || CAST(id + 100 AS VARCHAR) AS value, 90 AS confidence FROM clients")
 def extract_invoice_number(t: Tables) -> DataFrame:
     text = F.concat(F.lit("Tax Invoice No: INV-"), (F.col("id") + 100).cast("string"), F.lit(" dated"))
