@@ -28,7 +28,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Take out every line that repeats an earlier one, exactly or nearly; the documents stay."""
-    out = dedup_lines(docs).select(F.when(F.col("n_removed") > 0, F.struct(*[_with_text(c) for c in docs.columns])).otherwise(F.col("row")).alias("row"))
+    out = dedup_lines(docs, short=True).select(F.when(F.col("n_removed") > 0, F.struct(*[_with_text(c) for c in docs.columns])).otherwise(F.col("row")).alias("row"))
     return out.select("row.*")
 
 

@@ -33,7 +33,7 @@ SKETCH = 16
 LOOSE = 50
 #: Times that lines of a key which still lie apart get new lines to be held against.
 ROUNDS = 3
-#: Lines of fewer characters (headings, list items, blanks) take no part.
+#: Lines of fewer characters (headings, list items, blanks) take no part, or only as equal lines.
 MIN_CHARS = 20
 
 
@@ -76,23 +76,24 @@ def _similar(a: Column, b: Column, percent: int) -> Column:
     return 100 * common >= percent * (F.size(a) + F.size(b) - common)
 
 
-def line_groups(documents: DataFrame, percent: int = 80, bands: int = BANDS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_groups(documents: DataFrame, percent: int = 80, bands: int = BANDS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", short: bool = False) -> DataFrame:
     """``doc_id, n, first_doc, first_n`` for each line (n from 0) that repeats an earlier one, and that earlier one.
 
     Lines are split at \\n and compared without surrounding spaces. Lines of fewer than ``min_chars``
-    characters take no part. Equal lines are one group; others are linked if the Jaccard similarity
+    characters take no part; with ``short`` they do where they are equal, blank ones aside. Equal lines are one group; others are linked if the Jaccard similarity
     of their sets of 9-character shingles is at least ``percent`` percent. Rows without id take no
     part. Rows that repeat an id hold the same lines: lines of one id and number stay or go together.
     """
     docs = documents.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line")).select("doc_id", "n", F.trim("line").alias("line")).where(F.length("line") >= min_chars)
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line")).select("doc_id", "n", F.trim("line").alias("line")).where((F.length("line") >= min_chars) | (F.lit(short) & F.col("line").rlike(r"\S")))
     a, b = F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b")
     told = lines.select("doc_id", "n", a, b, "line", F.split("line", " ").alias("words"))
-    told = told.select("doc_id", "n", "a", "b", shingles(F.col("line"), F.col("words")).alias("h")).select("doc_id", "n", "a", "b", sketch(F.col("h")).alias("sig"))
+    hashes = F.when(F.length("line") >= min_chars, shingles(F.col("line"), F.col("words"))).otherwise(F.array().cast("array<bigint>"))
+    told = told.select("doc_id", "n", "a", "b", hashes.alias("h")).select("doc_id", "n", "a", "b", sketch(F.col("h")).alias("sig"))
     classes = told.groupBy("a", "b").agg(F.min(F.struct("doc_id", "n")).alias("node"), F.count("*").alias("copies"), F.first("sig").alias("sig"))
     classes = cut(classes.withColumn("id", F.monotonically_increasing_id()), "classes")  # the written table fixes the ids
 
-    posted = cut(classes.select(F.explode(band_keys(F.col("sig"), bands)).alias("key"), "id", F.least(F.col("copies"), F.lit(32767)).alias("copies")), "posted")
+    posted = cut(classes.where(F.size("sig") > 0).select(F.explode(band_keys(F.col("sig"), bands)).alias("key"), "id", F.least(F.col("copies"), F.lit(32767)).alias("copies")), "posted")
 
     def ends(lines_of_keys: DataFrame, turn: int) -> DataFrame:
         """Two lines of each key: first the one with most copies and one with fewest, later any two."""
@@ -154,13 +155,13 @@ def line_groups(documents: DataFrame, percent: int = 80, bands: int = BANDS, min
     return found.where(F.struct("doc_id", "n") != F.col("first")).select("doc_id", "n", F.col("first.doc_id").alias("first_doc"), F.col("first.n").alias("first_n"))
 
 
-def dedup_lines(documents: DataFrame, percent: int = 80, bands: int = BANDS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(documents: DataFrame, percent: int = 80, bands: int = BANDS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", short: bool = False) -> DataFrame:
     """``row`` (all columns as a struct), ``kept_text``, ``n_lines`` and ``n_removed`` for each document.
 
     ``kept_text`` is the text without the lines that repeat an earlier line of the corpus; a null text
     stays null and counts 0 lines. Rows without id stay as they are. See ``line_groups``.
     """
-    dropped = cut(line_groups(documents, percent, bands, min_chars, id_col, text_col).groupBy("doc_id").agg(F.collect_set("n").alias("gone")), "dropped")
+    dropped = cut(line_groups(documents, percent, bands, min_chars, id_col, text_col, short).groupBy("doc_id").agg(F.collect_set("n").alias("gone")), "dropped")
     rows = documents.select(F.struct(*[F.col(c) for c in documents.columns]).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.split(F.col(text_col).cast("string"), "\n").alias("lines"))
     rows = rows.join(dropped, "doc_id", "left")
     left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))

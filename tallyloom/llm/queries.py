@@ -255,7 +255,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from .lines import dedup_lines
 
-    out = dedup_lines(table(spark, sf_dir, "documents"))
+    out = dedup_lines(table(spark, sf_dir, "documents"), short=True)
     return out.select("row.doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.col("n_removed").cast("long").alias("n_removed"), F.length(F.coalesce("kept_text", F.lit(""))).cast("long").alias("n_chars_kept"), F.md5(F.coalesce("kept_text", F.lit(""))).alias("kept_md5"))
 
 

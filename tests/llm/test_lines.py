@@ -73,3 +73,10 @@ def test_edges(spark):
     assert out[rows[4]]["kept_text"] == "short"
     assert out[rows[6]]["kept_text"] == "" and out[rows[6]]["n_removed"] == 1
     assert dedup_lines(df.limit(0)).collect() == []
+
+
+def test_short_lines_that_are_equal(spark):
+    rows = [(1, "short\n\nshort\nshorter \n \n\t"), (2, "Short\n shorter\nnew\n\n\t"), (3, "。" * 19 + "\n" + "。" * 19 + "\n" + "。" * 18)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r["row"]["doc_id"]: r["kept_text"] for r in dedup_lines(df, short=True).collect()}
+    assert out == {1: "short\n\nshorter \n \n\t", 2: "Short\nnew\n\n\t", 3: "。" * 19 + "\n" + "。" * 18}
