@@ -26,6 +26,8 @@ BUCKETS = 1 << 15
 DIM = 16
 #: Training texts at most, in all and of a language, and the longest of them in bytes.
 SAMPLE_ROWS, SAMPLE_LANGUAGE, SAMPLE_BYTES = 3000, 600, 20_000
+#: Training texts of each language at least, about, if it has them: of many languages there are more than SAMPLE_ROWS in all.
+SAMPLE_LEAST = 16
 #: Share of correct held-out texts that the rejection threshold may lose.
 LOSS = 0.002
 
@@ -142,15 +144,21 @@ def in_fold(id_col: Column, folds: int = 3, held_out: int = 1) -> Column:
 
 
 def fit_language_model(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
-    """Train on labelled documents outside the held-out fold: a sample bounded by the SAMPLE parameters, picked by a hash of the id."""
-    rows = documents.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~in_fold(F.col(id_col))).where(F.octet_length(text_col) <= SAMPLE_BYTES)
-    rows = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.pmod(F.xxhash64(F.col(id_col), F.lit(3)), F.lit(1_000_000)).alias("u"))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(200).collect()
+    """Train on labelled documents outside the held-out fold: a sample bounded by the SAMPLE parameters, picked by a hash of the id.
+
+    Every language takes part. Texts of more than SAMPLE_BYTES are taken, by their start, for languages that have no others.
+    """
+    rows = documents.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~in_fold(F.col(id_col)))
+    rows = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.pmod(F.xxhash64(F.col(id_col), F.lit(3)), F.lit(1_000_000)).alias("u"), (F.octet_length(text_col) <= SAMPLE_BYTES).alias("fits"))
+    counts = rows.groupBy("lang").agg(F.count_if("fits").alias("fit"), F.count("*").alias("n")).collect()
     if not counts:
         return train([], [])
-    want = min(SAMPLE_LANGUAGE, max(1, SAMPLE_ROWS // len(counts)))
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1_000_000, int(1_000_000 * want / r["count"]) + 1))])
-    picked = rows.where(F.col("u") < share[F.col("lang")]).orderBy("u", "lang", "text").limit(SAMPLE_ROWS).select("text", "lang").collect()
+    want = min(SAMPLE_LANGUAGE, max(SAMPLE_LEAST, SAMPLE_ROWS // len(counts)))
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1_000_000, int(1_000_000 * want / (r["fit"] or r["n"])) + 1))])
+    taken = F.col("fits") | F.col("lang").isin([r["lang"] for r in counts if not r["fit"]])
+    text = F.when(F.col("fits"), F.col("text")).otherwise(F.substring("text", 1, SAMPLE_BYTES // 4))
+    most = max(SAMPLE_ROWS, 2 * SAMPLE_LEAST * len(counts))
+    picked = rows.where(taken & (F.col("u") < share[F.col("lang")])).select("u", "lang", text.alias("text")).orderBy("u", "lang", "text").limit(most).select("text", "lang").collect()
     return train([r["text"] for r in picked], [r["lang"] for r in picked])
 
 

@@ -105,6 +105,13 @@ def test_language(spark):
     assert isinstance(none, LanguageModel) and {r["lang_pred"] for r in identify(odd, none).collect()} == {"und"}
 
 
+def test_every_language_is_learned(spark):
+    rows = [(i, "w%03d x%03d" % (i % 250, i % 250), "l%03d" % (i % 250)) for i in range(3000)]
+    rows += [(5000 + i, "only long texts " * 1500, "long") for i in range(12)]
+    model = fit_language_model(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert set(model.languages) == {r[2] for r in rows}
+
+
 def test_html_on_unseen_layouts():
     crf = trained()
     n = good = 0
