@@ -50,7 +50,7 @@ def shingles(line: Column, words: Column) -> Column:
 
 def sketch(hashes: Column, n: int = SKETCH) -> Column:
     """The n least hashes, each once, as 32-bit numbers in order."""
-    least = F.transform(F.slice(F.sort_array(hashes), 1, 2 * n), lambda h: F.shiftright(h, 32).cast("int"))
+    least = F.transform(F.slice(F.sort_array(F.array_distinct(hashes)), 1, 2 * n), lambda h: F.shiftright(h, 32).cast("int"))
     return F.slice(F.array_distinct(least), 1, n)
 
 
@@ -81,7 +81,7 @@ def line_groups(documents: DataFrame, percent: int = 80, bands: int = BANDS, min
 
     Lines are split at \\n and compared without surrounding spaces. Lines of fewer than ``min_chars``
     characters take no part; with ``short`` they do where they are equal, blank ones aside. Equal lines are one group; others are linked if the Jaccard similarity
-    of their sets of 9-character shingles is at least ``percent`` percent. Rows without id take no
+    of their sets of shingles (see above) is at least ``percent`` percent. Rows without id take no
     part. Rows that repeat an id hold the same lines: lines of one id and number stay or go together.
     """
     docs = documents.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

@@ -2,7 +2,9 @@ import random
 
 import pytest
 
-from tallyloom.llm.lines import AHEAD, MIN_CHARS, SHINGLE, dedup_lines, line_groups
+from pyspark.sql import functions as F
+
+from tallyloom.llm.lines import AHEAD, MIN_CHARS, SHINGLE, dedup_lines, line_groups, sketch
 
 
 def shingles_of(x):
@@ -80,3 +82,10 @@ def test_short_lines_that_are_equal(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     out = {r["row"]["doc_id"]: r["kept_text"] for r in dedup_lines(df, short=True).collect()}
     assert out == {1: "short\n\nshorter \n \n\t", 2: "Short\nnew\n\n\t", 3: "。" * 19 + "\n" + "。" * 18}
+
+
+def test_sketch_of_repeated_shingles(spark):
+    hashes = [h << 40 for h in (1, 2, 3)]
+    df = spark.createDataFrame([([hashes[0]] * 40 + hashes[1:],), (hashes,)], "h array<long>").select(sketch(F.col("h")).alias("s"))
+    one, other = [r["s"] for r in df.collect()]
+    assert one == other and len(one) == 3
