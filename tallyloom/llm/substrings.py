@@ -11,7 +11,8 @@ suffix of the corpus would move many times the corpus. So windows are first told
 2. Windows of anchors with very many contents ("hot") are told apart by hashes of the whole window.
 3. The bytes of what is left meet in buckets, where a mergesort orders the suffixes. Two suffixes are
    compared by a binary search for their common extension over prefix hashes. Neighbours whose
-   extension reaches ``width`` are compared byte by byte, so a hash collision never decides; the
+   extension reaches ``width`` are compared byte by byte, so that here a hash collision never decides
+   (in step 1 equal 64-bit hashes of anchor and content do, without a look at the bytes); the
    first of equals in corpus order stays and the others repeat.
 4. Each document joins its repeating windows and is cut.
 """
