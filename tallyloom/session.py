@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import gc
 import os
+import re
 import tempfile
 import uuid
 import weakref
@@ -28,30 +28,43 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, app: str = "tally
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is the session's ``spark.checkpoint.dir``. Only where that is unset (tests, one machine)
-    a local folder is chosen and remembered in the session.
+    It is the session's ``spark.checkpoint.dir``. Only where that is unset and Spark runs within one
+    process (tests, one machine) a local folder is chosen and remembered in the session; a cluster
+    without the setting is an error, as its executors would not see each other's files.
     """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         where = spark.conf.get("spark.tallyloom.shared.dir", None)
     if not where:
+        master = spark.conf.get("spark.master", "local")
+        if not re.match(r"local(\[|$)", master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
         where = tempfile.mkdtemp(prefix="tallyloom-")
         spark.conf.set("spark.tallyloom.shared.dir", where)
     return where.rstrip("/")
 
 
+#: Spark's setting that removes a query's shuffle files as it ends.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it again.
 
     The result no longer depends on the plan that made it, survives lost executors, and has
-    known sizes for the planner. What the plan shuffled is given back at once: Spark removes
-    shuffle files when the driver's collector finds their plan unused, which may be long after.
+    known sizes for the planner. The shuffle files of the write go as it ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEAN)
+        else:
+            spark.conf.set(_CLEAN, before)
     out = spark.read.schema(df.schema).parquet(path)
     _PATHS[out] = path
     return out
