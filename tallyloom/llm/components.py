@@ -29,7 +29,7 @@ def _is_forest_of_stars(e: DataFrame) -> bool:
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
-    """``node, component`` for every node that has a link; component is the smallest node reachable.
+    """``node, component`` for every node that has a link, as a written table; component is the smallest node reachable.
 
     Nodes are of any type with an order, structs too.
 
@@ -47,4 +47,6 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     else:
         raise RuntimeError("components did not settle")
     roots = e.select(F.col("dst").alias("node")).distinct().withColumn("component", F.col("node"))
-    return e.select(F.col("src").alias("node"), F.col("dst").alias("component")).union(roots)
+    out = cut(e.select(F.col("src").alias("node"), F.col("dst").alias("component")).union(roots), "labels")
+    drop(e)
+    return out

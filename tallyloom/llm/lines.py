@@ -1,18 +1,21 @@
 """Fuzzy line dedup by MinHash, in DataFrame operations only (operator 9).
 
 1. Lines of equal text collapse to the first in corpus order (document, line number).
-2. A line's shingles are the character strings that run from each word start to ``AHEAD`` characters
-   into the next word. Lines of long words (no spaces, say) use all strings of ``SHINGLE`` characters.
-   The signature is the ``SKETCH`` least hashes of them, a bottom-k MinHash: all minima come from one sort.
-3. Banding: each two of the ``bands`` + 1 least hashes that are neighbours or have one between make a key. Of two
-   lines at 80 percent, 0.2 percent share fewer than two of their six least hashes. The lines of a key are
-   held against two of them, the one with most copies and one of those with fewest. Pairs whose
-   signatures estimate a similarity under ``LOOSE`` percent go; the others are confirmed by the exact
-   Jaccard similarity of all their shingles. Lines of a key that are then in neither's component are held
-   against two others of all the key's lines, for ``ROUNDS`` rounds. So the work is in proportion to the
-   lines, also where a key is very common; the recall that this and the bands leave is measured against
-   all pairs in the tests.
-4. Distributed union-find; of each component the first line stays.
+2. A line's shingles are all its strings of ``SHINGLE`` characters (UTF-16 units); a shorter line is
+   one shingle. Its signature is the ``SKETCH`` least of their hashes, a bottom-k MinHash: all minima
+   come from one sort.
+3. Banding: every two neighbours of the signature make a key. Of two lines at 80 percent, about two in
+   a thousand share none of the keys. The lines under a key are a list; equal lists count once.
+4. In a list one line, its lead, is compared with all others by the exact Jaccard similarity of their
+   whole sets of shingles, and distributed union-find joins what is alike. Lists whose lines are then
+   in one component are settled. In the others further lines are leads, twice as many in each step,
+   against those that no lead of the list has met and that lie in other components. This ends when
+   every two lines of a list have met or are in one component: no pair of a list is left out.
+5. Long lists that two steps leave open (one template with a variable part, say) are first parted:
+   a line is posted under the rarest of its shingles within its list, one more than may be missing in
+   a line alike (prefix filter). Lines alike meet under one of these; template text is too frequent
+   to be chosen.
+6. Of each component the first line stays.
 """
 
 from __future__ import annotations
@@ -20,127 +23,88 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.functions.text import once
 from tallyloom.session import cut, drop
 
 from .components import connected_components
 
 SHINGLE = 9
-AHEAD = 4
-BANDS = 5
-SKETCH = 16
-#: Estimated similarity, in percent, under which a pair is not confirmed: at 80 true percent the
-#: estimate from 16 hashes falls under it once in about 700 pairs.
-LOOSE = 50
-#: Times that lines of a key which still lie apart get new lines to be held against.
-ROUNDS = 3
-#: Lines of fewer characters (headings, list items, blanks) take no part, or only as equal lines.
-MIN_CHARS = 20
-
-
-def shingles(line: Column, words: Column) -> Column:
-    """Hashes of a line's shingles, as often as they occur; ``words`` is the line split at spaces.
-
-    The next words come from a shifted copy of the array: looked up by index inside the lambda, the
-    whole array would be made anew for every word.
-    """
-    near = F.zip_with(words, F.slice(words, F.lit(2), F.size(words)), lambda w, after: F.xxhash64(w, F.substring(after, 1, AHEAD)))
-    every = F.transform(F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1)), lambda s: F.xxhash64(s))
-    return F.when(F.length(line) > 16 * F.size(words), every).otherwise(near)
+SKETCH = 9
+#: Leads of the second step of a list; the later steps have twice as many each.
+LEADS = 8
+#: Lines of a list, not yet compared after two steps, from which it is parted by rare shingles.
+LONG = 64
 
 
-def sketch(hashes: Column, n: int = SKETCH) -> Column:
-    """The n least hashes, each once, as 32-bit numbers in order."""
-    least = F.transform(F.slice(F.sort_array(F.array_distinct(hashes)), 1, 2 * n), lambda h: F.shiftright(h, 32).cast("int"))
-    return F.slice(F.array_distinct(least), 1, n)
+def shingles(line: Column, size: int = SHINGLE) -> Column:
+    """A hash for each string of ``size`` characters, as often as they occur; of the whole line where it is shorter."""
+    at = lambda b: F.sequence(F.lit(1), F.greatest(F.octet_length(b) - (2 * size - 1), F.lit(1)), F.lit(2))
+    return once(F.encode(line, "UTF-16BE"), lambda b: F.transform(at(b), lambda i: F.xxhash64(F.substring(b, i, F.lit(2 * size)))))
 
 
-def band_keys(signature: Column, bands: int) -> Column:
-    """A key for every two of the ``bands`` + 1 least hashes that are neighbours or have one between; one for a lone hash.
+def sketch(hashes: Column, n: int = SKETCH) -> Column:
+    """The n least hashes, each once, in order."""
+    few = lambda h: F.array_distinct(F.slice(h, 1, 2 * n))
+    return once(F.sort_array(hashes), lambda h: F.slice(F.when((F.size(few(h)) < n) & (F.size(h) > 2 * n), F.array_distinct(h)).otherwise(few(h)), 1, n))
 
-    The key does not tell how far apart its hashes are, so that a hash that only one line has parts no pair.
-    """
-    least = F.slice(signature, 1, bands + 1)
-    pairs = lambda apart: F.zip_with(F.slice(least, F.lit(1), F.greatest(F.size(least) - apart, F.lit(0))), F.slice(least, F.lit(1 + apart), F.size(least)), lambda x, y: F.xxhash64(x, y))
-    return F.when(F.size(signature) < 2, F.array(F.xxhash64(F.get(signature, F.lit(0))))).otherwise(F.concat(pairs(1), pairs(2)))
 
+def band_keys(signature: Column) -> Column:
+    """A key for every two neighbours of a signature, or for its lone hash."""
+    return once(signature, lambda s: F.when(F.size(s) < 2, F.transform(s, lambda h: F.xxhash64(h))).otherwise(F.zip_with(F.slice(s, F.lit(1), F.size(s) - 1), F.slice(s, F.lit(2), F.size(s)), lambda x, y: F.xxhash64(x, y))))
 
-def estimate(a: Column, b: Column, n: int = SKETCH) -> Column:
-    """Estimated similarity in percent: the share of the union's n least hashes that both sketches hold."""
-    least = F.slice(F.sort_array(F.array_union(a, b)), 1, n)
-    return F.size(F.array_intersect(least, F.array_intersect(a, b))) * 100 / F.size(least)
 
+def similar(a: Column, b: Column, percent: int) -> Column:
+    """100 * intersection >= percent * union of the shingle sets of two lines."""
+    common = lambda x, y: once(F.size(F.array_intersect(x, y)), lambda c: 100 * c >= percent * (F.size(x) + F.size(y) - c))
+    return once(F.array_distinct(shingles(a)), lambda x: once(F.array_distinct(shingles(b)), lambda y: common(x, y)))
 
-def _similar(a: Column, b: Column, percent: int) -> Column:
-    """100 * intersection >= percent * union of two arrays without repeats."""
-    common = F.size(F.array_intersect(a, b))
-    return 100 * common >= percent * (F.size(a) + F.size(b) - common)
 
+def _lists(posted: DataFrame) -> DataFrame:
+    """``key, id, turn`` of the lists of two or more lines; turn is the step in which a line is a lead of the list.
 
-def line_groups(documents: DataFrame, percent: int = 80, bands: int = BANDS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", short: bool = False) -> DataFrame:
+    The order of a list's lines is a hash of their ids. Lists of equal lines count once.
+    """
+    u = F.shiftrightunsigned(F.xxhash64("id"), 1)
+    lists = posted.groupBy("key").agg(F.count("*").alias("size"), F.min(u).alias("least"), F.sum(F.shiftright(F.xxhash64("id", F.lit(1)), 20)).alias("who")).where("size > 1")
+    lists = lists.groupBy("size", "least", "who").agg(F.min("key").alias("key"))
+    nth = 1 + F.floor(F.log2(1 + u / F.lit(2.0**63) * F.col("size") / LEADS))
+    return posted.join(lists, "key").select("key", "id", F.when(u == F.col("least"), 0).otherwise(nth).cast("int").alias("turn"))
+
+
+def _part(members: DataFrame, texts: DataFrame, percent: int, step: int) -> DataFrame:
+    """Lists of the rarest shingles of each line within its list, in place of the lists; turns count from ``step``."""
+    grams = members.select("key", "id").join(texts, "id").select("key", "id", F.array_distinct(shingles(F.col("line"))).alias("grams"))
+    each = cut(grams.select("key", "id", F.size("grams").alias("n"), F.explode("grams").alias("g")), "grams")
+    often = each.groupBy("key", "g").agg(F.count("*").alias("often")).where("often > 1")
+    rare = each.join(often, ["key", "g"], "left").groupBy("key", "id").agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct(F.coalesce("often", F.lit(1)).alias("often"), "g"))).alias("by"))
+    first = F.slice("by", F.lit(1), F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1)
+    posted = cut(rare.select("key", "id", F.explode(F.filter(first, lambda x: x["often"] > 1)).alias("x")).select(F.xxhash64("key", "x.g").alias("key"), "id"), "parted")
+    out = cut(_lists(posted).withColumn("turn", F.col("turn") + step), "members")
+    drop(each, posted)
+    return out
+
+
+def line_groups(documents: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n, first_doc, first_n`` for each line (n from 0) that repeats an earlier one, and that earlier one.
 
-    Lines are split at \\n and compared without surrounding spaces. Lines of fewer than ``min_chars``
-    characters take no part; with ``short`` they do where they are equal, blank ones aside. Equal lines are one group; others are linked if the Jaccard similarity
-    of their sets of shingles (see above) is at least ``percent`` percent. Rows without id take no
-    part. Rows that repeat an id hold the same lines: lines of one id and number stay or go together.
+    Lines are split at \\n and compared without surrounding spaces; blank ones take no part. Equal
+    lines are one group; others are linked if the Jaccard similarity of their sets of shingles (see
+    above) is at least ``percent`` percent. Rows without id take no part. Rows that repeat an id hold
+    the same lines: lines of one id and number stay or go together.
     """
     docs = documents.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line")).select("doc_id", "n", F.trim("line").alias("line")).where((F.length("line") >= min_chars) | (F.lit(short) & F.col("line").rlike(r"\S")))
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line")).select("doc_id", "n", F.trim("line").alias("line")).where(F.col("line").rlike(r"\S"))
     a, b = F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b")
-    told = lines.select("doc_id", "n", a, b, "line", F.split("line", " ").alias("words"))
-    hashes = F.when(F.length("line") >= min_chars, shingles(F.col("line"), F.col("words"))).otherwise(F.array().cast("array<bigint>"))
-    told = told.select("doc_id", "n", "a", "b", hashes.alias("h")).select("doc_id", "n", "a", "b", sketch(F.col("h")).alias("sig"))
-    classes = told.groupBy("a", "b").agg(F.min(F.struct("doc_id", "n")).alias("node"), F.count("*").alias("copies"), F.first("sig").alias("sig"))
+    told = lines.select("doc_id", "n", a, b, band_keys(sketch(shingles(F.col("line")))).alias("keys"))
+    classes = told.groupBy("a", "b").agg(F.min(F.struct("doc_id", "n")).alias("node"), F.count("*").alias("copies"), F.first("keys").alias("keys"))
     classes = cut(classes.withColumn("id", F.monotonically_increasing_id()), "classes")  # the written table fixes the ids
 
-    posted = cut(classes.where(F.size("sig") > 0).select(F.explode(band_keys(F.col("sig"), bands)).alias("key"), "id", F.least(F.col("copies"), F.lit(32767)).alias("copies")), "posted")
-
-    def ends(lines_of_keys: DataFrame, turn: int) -> DataFrame:
-        """Two lines of each key: first the one with most copies and one with fewest, later any two."""
-        mixed = F.shiftrightunsigned(F.xxhash64("key", "id", F.lit(turn)), 16)
-        order = mixed if turn else F.shiftleft(F.col("copies"), 48).bitwiseOR(mixed)
-        return lines_of_keys.withColumn("o", order).groupBy("key").agg(F.max_by("id", "o").alias("most"), F.min_by("id", "o").alias("least"), F.count("*").alias("size"))
-
-    shared = cut(ends(posted, 0).where("size > 1"), "shared")
-    many = cut(posted.join(shared.where("size > 2").select("key", "least", "most"), "key").select("key", "id", "least", "most"), "many")
-    side = lambda name, sig: classes.select(F.col("id").alias(name), F.col("sig").alias(sig))
-
-    def pairs_of(df: DataFrame) -> DataFrame:
-        """Each line of a key with the key's two."""
-        pair = lambda x, y: F.struct(F.greatest(x, y).alias("src"), F.least(x, y).alias("dst"))
-        both = df.select(F.explode(F.array(pair("id", "least"), pair("id", "most"))).alias("p")).select("p.*")
-        return both.where("src <> dst").distinct()
-
-    def confirmed(edges: DataFrame) -> DataFrame:
-        """The pairs (src, dst) whose sets of shingles are similar enough."""
-        ids = classes.join(edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct(), "id").select("id", "node.doc_id", "node.n")
-        texts = lines.join(ids, ["doc_id", "n"]).select("id", "line", F.split("line", " ").alias("words")).select("id", F.array_distinct(shingles(F.col("line"), F.col("words"))).alias("grams"))
-        texts = cut(texts.dropDuplicates(["id"]), "texts")
-        both = edges.join(texts.select(F.col("id").alias("src"), F.col("grams").alias("ga")), "src").join(texts.select(F.col("id").alias("dst"), F.col("grams").alias("gb")), "dst")
-        out = cut(both.where(_similar(F.col("ga"), F.col("gb"), percent)).select("src", "dst"), "links")
-        drop(texts)
-        return out
-
-    first_two = shared.where("size = 2").select(F.greatest("most", "least").alias("src"), F.least("most", "least").alias("dst"))
-    pairs, tried, links = first_two.union(pairs_of(many)).distinct(), None, None
-    for turn in range(ROUNDS):
-        likely = pairs if tried is None else pairs.join(tried, ["src", "dst"], "left_anti")
-        likely = cut(likely.join(side("src", "sa"), "src").join(side("dst", "sb"), "dst").where(estimate(F.col("sa"), F.col("sb")) >= LOOSE).select("src", "dst"), "likely")
-        if turn and not likely.take(1):
-            break
-        tried = likely if tried is None else tried.union(likely)
-        links = confirmed(likely) if links is None else links.union(confirmed(likely))
-        labels = cut(connected_components(links), "labels")
-        if turn + 1 < ROUNDS:
-            name = lambda c, to, labels=labels: labels.select(F.col("node").alias(c), F.col("component").alias(to))
-            own, one, two = F.coalesce("l0", "id"), F.coalesce("l1", "least"), F.coalesce("l2", "most")
-            rest = many.join(name("id", "l0"), "id", "left").join(name("least", "l1"), "least", "left").join(name("most", "l2"), "most", "left").where((own != one) & (own != two)).select("key", "id")
-            rest = cut(rest, "rest")
-            again = ends(posted.join(rest.select("key").distinct(), "key", "left_semi"), turn + 1).drop("size")
-            old, many = many, cut(rest.join(again, "key"), "many")
-            drop(old, rest)
-            pairs = pairs_of(many)
-    drop(posted, shared, many)
+    members = cut(_lists(classes.select(F.explode("keys").alias("key"), "id")), "members")
+    wanted = classes.join(members.select("id").distinct(), "id", "left_semi").groupBy("node.doc_id").agg(F.collect_list(F.struct("id", "node.n")).alias("wanted"))
+    texts = docs.join(wanted, "doc_id").select(F.split("text", "\n").alias("lines"), "wanted").select("lines", F.explode("wanted").alias("w"))
+    texts = cut(texts.select("w.id", F.trim(F.get("lines", F.col("w.n"))).alias("line")).where("line IS NOT NULL").dropDuplicates(["id"]), "texts")
+    labels, step = _settle(members, texts, percent)
+    drop(texts)
 
     # a component is told by its first line; lines of classes that repeat join it, spread over salts, as one component may hold most lines
     salts = 16
@@ -149,19 +113,55 @@ def line_groups(documents: DataFrame, percent: int = 80, bands: int = BANDS, min
     firsts = grouped.where("component IS NOT NULL").groupBy("component").agg(F.min("node").alias("first")).select("component", "first", every_salt)
     alone = grouped.where("component IS NULL AND copies > 1").select("a", "b", F.col("node").alias("first"))
     gone = alone.union(grouped.join(firsts, ["component", "salt"]).where("copies > 1 OR first <> node").select("a", "b", "first"))
-    gone = cut(gone, "gone").select("a", "b", "first", every_salt)
-    drop(classes, links, labels)
+    repeats = cut(gone, "gone")
+    drop(classes, labels)
+    gone = repeats.select("a", "b", "first", every_salt)
     found = lines.select("doc_id", "n", a, b).withColumn("salt", F.pmod(F.xxhash64("doc_id", "n"), F.lit(salts)).cast("int")).join(gone, ["a", "b", "salt"])
-    return found.where(F.struct("doc_id", "n") != F.col("first")).select("doc_id", "n", F.col("first.doc_id").alias("first_doc"), F.col("first.n").alias("first_n"))
-
-
-def dedup_lines(documents: DataFrame, percent: int = 80, bands: int = BANDS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", short: bool = False) -> DataFrame:
+    found = cut(found.where(F.struct("doc_id", "n") != F.col("first")).select("doc_id", "n", F.col("first.doc_id").alias("first_doc"), F.col("first.n").alias("first_n")), "found")
+    drop(repeats)
+    return found
+
+
+def _settle(members: DataFrame, texts: DataFrame, percent: int) -> tuple[DataFrame, int]:
+    """``node, component`` of the lines that are like others of their lists, and the steps it took; ``members`` is used up."""
+    side = lambda name, line: texts.select(F.col("id").alias(name), F.col("line").alias(line))
+    labels, step = None, 0
+    while True:
+        named = members.withColumn("label", F.col("id")) if labels is None else members.join(labels.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "turn", F.coalesce("component", "id").alias("label"))
+        lead = F.col("turn") == step
+        leads = named.where(lead).select("key", F.col("id").alias("lead"), F.col("label").alias("of"))
+        met = named.join(leads, "key").where((F.col("label") != F.col("of")) & (~lead | (F.col("id") < F.col("lead"))))
+        pairs = cut(met.select(F.greatest("id", "lead").alias("src"), F.least("id", "lead").alias("dst")).distinct(), "pairs")
+        both = pairs.join(side("src", "x"), "src").join(side("dst", "y"), "dst")
+        links = cut(both.where(similar(F.col("x"), F.col("y"), percent)).select("src", "dst"), "alike")
+        drop(pairs)
+        known = links if labels is None else links.union(labels.select(F.col("node").alias("src"), F.col("component").alias("dst")))
+        old, labels = labels, connected_components(known)
+        drop(links, *([] if old is None else [old]))
+        step += 1
+        left = members.where(F.col("turn") >= step).join(labels.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "turn", F.coalesce("component", "id").alias("label"))
+        left = cut(left, "left")
+        open_lists = left.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.count("*").alias("size")).where("l < h").select("key", "size")
+        old, members = members, cut(left.join(open_lists, "key").select("key", "id", "turn", "size"), "members")
+        drop(old, left)
+        if not members.take(1):
+            drop(members)
+            return labels, step
+        if step == 2 and (long := members.where(F.col("size") > LONG)).take(1):
+            old, parted = members, _part(long, texts, percent, step)
+            members = cut(members.where(F.col("size") <= LONG).select("key", "id", "turn").union(parted), "members")
+            drop(old, parted)
+
+
+def dedup_lines(documents: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``row`` (all columns as a struct), ``kept_text``, ``n_lines`` and ``n_removed`` for each document.
 
     ``kept_text`` is the text without the lines that repeat an earlier line of the corpus; a null text
-    stays null and counts 0 lines. Rows without id stay as they are. See ``line_groups``.
+    stays null and counts 0 lines. Rows without id stay as they are. An empty table gives no rows.
+    See ``line_groups``.
     """
-    dropped = cut(line_groups(documents, percent, bands, min_chars, id_col, text_col, short).groupBy("doc_id").agg(F.collect_set("n").alias("gone")), "dropped")
+    found = line_groups(documents, percent, id_col, text_col)
+    dropped = found.groupBy("doc_id").agg(F.collect_set("n").alias("gone"))
     rows = documents.select(F.struct(*[F.col(c) for c in documents.columns]).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.split(F.col(text_col).cast("string"), "\n").alias("lines"))
     rows = rows.join(dropped, "doc_id", "left")
     left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
