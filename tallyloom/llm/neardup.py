@@ -8,8 +8,11 @@
 4. Star round: each posting list links its members to its smallest id. Pairs with too few equal
    coordinates go, the others are confirmed on their full sets, and linked ones are merged.
 5. Skip round: lists whose members all meet in one component are skipped. In the others, only
-   members of different components are compared, in blocks, and confirmed on full sets; each
-   block gives a spanning forest, never all its pairs.
+   members of different components are compared, and confirmed on full sets; each list gives a
+   spanning forest, never all its pairs. An open list of more than ``BLOCK`` members is first parted
+   by a second pair: signatures with ``matches`` equal coordinates share two of their
+   ``coordinates - matches + 2`` rarest pairs, so its members meet again under one of the others.
+   What is then still longer is compared in pairs of blocks.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.session import cut
+from tallyloom.session import cut, drop
 
 from .components import connected_components
 from .textbuf import Chunk, PrefixHash, chunks, mix, words
@@ -175,6 +178,12 @@ def rarity(reps: DataFrame, coordinates: int) -> np.ndarray:
     return out
 
 
+def _rarest(keys: np.ndarray, sketch: np.ndarray, n: int) -> np.ndarray:
+    """The n rarest keys of each row, by an order that is the same for all rows."""
+    keep = np.lexsort((keys, sketch[(keys >> np.uint64(48)).astype(np.int64)]), axis=1)[:, :n]
+    return np.take_along_axis(keys, keep, 1)
+
+
 def postings(reps: DataFrame, sketch: np.ndarray, coordinates: int, prefix: int) -> DataFrame:
     """``key, doc_id``: each representative under its ``prefix`` rarest coordinate-value pairs."""
 
@@ -182,15 +191,35 @@ def postings(reps: DataFrame, sketch: np.ndarray, coordinates: int, prefix: int)
         for batch in batches:
             for i in range(0, batch.num_rows, 1024):
                 part = batch.slice(i, 1024)
-                keys = _pair_keys(_matrix(part.column(1), coordinates))
-                seen = sketch[(keys >> np.uint64(48)).astype(np.int64)]
-                keep = np.lexsort((keys, seen), axis=1)[:, :prefix]
-                chosen = np.take_along_axis(keys, keep, 1).view(np.int64).ravel()
+                chosen = _rarest(_pair_keys(_matrix(part.column(1), coordinates)), sketch, prefix).view(np.int64).ravel()
                 yield pa.RecordBatch.from_arrays([pa.array(chosen), pa.array(np.repeat(part.column(0).to_numpy(), prefix))], ["key", "doc_id"])
 
     return reps.select("doc_id", "sig").mapInArrow(run, "key long, doc_id long")
 
 
+def second_postings(members: DataFrame, sketch: np.ndarray, coordinates: int, prefix: int) -> DataFrame:
+    """``key, doc_id``: members (key, doc_id, sig) under their list's key with each other of their ``prefix`` + 1 rarest pairs."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 1024):
+                part = batch.slice(i, 1024)
+                own = part.column(0).to_numpy().view(np.uint64)[:, None]
+                near = _rarest(_pair_keys(_matrix(part.column(2), coordinates)), sketch, prefix + 1)
+                with np.errstate(over="ignore"):
+                    both = mix(mix(own + np.uint64(3)) ^ near)
+                row, place = np.nonzero(near != own)
+                yield pa.RecordBatch.from_arrays([pa.array(both[row, place].view(np.int64)), part.column(1).take(pa.array(row))], ["key", "doc_id"])
+
+    return members.select("key", "doc_id", "sig").mapInArrow(run, "key long, doc_id long")
+
+
+def _lists(posted: DataFrame) -> DataFrame:
+    """``key, size, dst`` of the lists of two or more members, dst the smallest id; lists of equal members once."""
+    lists = posted.groupBy("key").agg(F.count("*").alias("size"), F.min("doc_id").alias("dst"), F.sum(F.shiftright(F.xxhash64("doc_id"), 20)).alias("who")).where("size > 1")
+    return lists.groupBy("dst", "size", "who").agg(F.min("key").alias("key")).drop("who")
+
+
 def _similar(a: np.ndarray, b: np.ndarray, percent: float) -> bool:
     both = np.concatenate([a, b])
     both.sort()
@@ -223,15 +252,14 @@ def _alike(pairs: DataFrame, coordinates: int, matches: int) -> DataFrame:
     return pairs.select("src", "dst", "sa", "sb").mapInArrow(run, "src long, dst long")
 
 
-def _blocks(members: DataFrame, lists: DataFrame) -> DataFrame:
-    """Members of each list, dealt to pairs of blocks of about BLOCK members: rows gain ``x, y, side``.
+def _blocks(members: DataFrame) -> DataFrame:
+    """Members of lists of a ``size``, dealt to pairs of blocks of about BLOCK members: rows gain ``x, y``.
 
     A list of at most BLOCK members is the one pair (0, 0).
     """
-    n = F.ceil(F.col("size") / BLOCK).cast("int")
-    m = members.join(lists.select("key", n.alias("nb")), "key").withColumn("blk", F.pmod(F.xxhash64("doc_id"), F.col("nb")).cast("int"))
+    m = members.withColumn("nb", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("blk", F.pmod(F.xxhash64("doc_id"), F.col("nb")).cast("int"))
     m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    return m.select("key", F.least("blk", "other").alias("x"), F.greatest("blk", "other").alias("y"), *[c for c in m.columns if c not in ("key", "nb", "other")])
+    return m.select(F.least("blk", "other").alias("x"), F.greatest("blk", "other").alias("y"), *[c for c in m.columns if c not in ("nb", "other", "size", "blk")])
 
 
 def _flag(coordinates: int, matches: int):
@@ -289,10 +317,11 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: float = 80, co
     classes = about.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("a", "b").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.min_by("sig", "doc_id").alias("sig"))
     classes = cut(classes, "classes")
     reps = classes.select(F.col("rep").alias("doc_id"), "sig")
-    posted = cut(postings(reps, rarity(reps, coordinates), coordinates, prefix), "postings")
-    lists = posted.groupBy("key").agg(F.count("*").alias("size"), F.min("doc_id").alias("dst"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("who")).where("size > 1")
-    lists = cut(lists.groupBy("dst", "size", "who").agg(F.min("key").alias("key")).drop("who"), "lists")  # equal lists once
+    sketch = rarity(reps, coordinates)
+    posted = cut(postings(reps, sketch, coordinates, prefix), "postings")
+    lists = cut(_lists(posted), "lists")
     members = cut(posted.join(lists, "key").select("key", "size", "dst", F.col("doc_id").alias("src")), "members")
+    drop(posted, lists)
 
     stars = members.where("src <> dst").select("src", "dst").distinct()
     by_sig = stars.join(reps.select(F.col("doc_id").alias("src"), F.col("sig").alias("sa")), "src").join(reps.select(F.col("doc_id").alias("dst"), F.col("sig").alias("sb")), "dst")
@@ -300,22 +329,40 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: float = 80, co
     sets = cut(full_sets(docs.join(likely.select(F.col("src").alias("doc_id")).union(likely.select("dst")).distinct(), "doc_id", "left_semi"), size), "sets")
     pairs = likely.join(sets.select(F.col("doc_id").alias("src"), F.col("grams").alias("ga")), "src").join(sets.select(F.col("doc_id").alias("dst"), F.col("grams").alias("gb")), "dst")
     links = cut(_confirm(pairs, percent), "confirmed")
-    labels = cut(connected_components(links), "labels")
-
-    labelled = members.select("key", F.col("src").alias("doc_id")).join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("label"))
-    labelled = cut(labelled, "labelled")
-    open_lists = labelled.groupBy("key").agg(F.count("*").alias("size"), F.min("label").alias("l"), F.max("label").alias("h")).where("l < h").drop("l", "h")
-    open_lists = cut(open_lists, "open")
-    dealt = _blocks(labelled.join(reps, "doc_id"), open_lists)
-    flagged = cut(dealt.groupBy("key", "x", "y").applyInPandas(_flag(coordinates, matches), "key long, doc_id long").distinct(), "flagged")
+    drop(likely, sets)
+    labels = connected_components(links)
+
+    def labelled(posted: DataFrame) -> DataFrame:
+        """Members of lists with their components."""
+        named = posted.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+        return cut(named.select("key", "doc_id", F.coalesce("component", "doc_id").alias("label")), "labelled")
+
+    def still_open(named: DataFrame) -> DataFrame:
+        """Of labelled members, those whose list holds several components, with their signatures and the list's ``size``."""
+        lists = named.groupBy("key").agg(F.count("*").alias("size"), F.min("label").alias("l"), F.max("label").alias("h")).where("l < h")
+        return cut(named.join(lists.select("key", "size"), "key").join(reps, "doc_id"), "open")
+
+    named = labelled(members.select("key", F.col("src").alias("doc_id")))
+    waiting = still_open(named)
+    drop(members, named)
+    if (long := waiting.where(F.col("size") > BLOCK)).take(1):
+        parted = cut(second_postings(long, sketch, coordinates, prefix), "parted")
+        again = labelled(parted.join(_lists(parted).select("key"), "key"))
+        narrow = still_open(again)
+        columns = ["key", "doc_id", "label", "size", "sig"]
+        old, waiting = waiting, cut(waiting.where(F.col("size") <= BLOCK).select(*columns).union(narrow.select(*columns)), "open")
+        drop(old, parted, again, narrow)
+    flagged = cut(_blocks(waiting).groupBy("key", "x", "y").applyInPandas(_flag(coordinates, matches), "key long, doc_id long").distinct(), "flagged")
     if flagged.take(1):
         more = full_sets(docs.join(flagged.select("doc_id").distinct(), "doc_id", "left_semi"), size)
-        again = flagged.join(labelled, ["key", "doc_id"]).join(reps, "doc_id").join(more, "doc_id")
-        dealt = _blocks(again, flagged.groupBy("key").agg(F.count("*").alias("size")))
+        dealt = _blocks(waiting.drop("size").join(flagged, ["key", "doc_id"]).join(flagged.groupBy("key").agg(F.count("*").alias("size")), "key").join(more, "doc_id"))
         extra = dealt.groupBy("key", "x", "y").applyInPandas(_forest(coordinates, matches, percent), "src long, dst long")
         extra = cut(extra, "extra")
         if extra.take(1):
-            labels = cut(connected_components(links.union(extra)), "labels")
+            old, labels = labels, connected_components(links.union(extra))
+            drop(old)
+        drop(extra)
+    drop(waiting, flagged, links)
 
     # every document gets its set's representative; only sets of several documents need the join,
     # and a set of very many is spread over salts

@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pytest
 
+from tallyloom.llm import neardup
 from tallyloom.llm.components import connected_components
 from tallyloom.llm.neardup import _binary, _matrix, near_duplicates
 
@@ -56,10 +57,18 @@ def test_against_all_pairs(spark, seed, size, percent):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in out)
 
 
+@pytest.mark.parametrize("block", [2, 6])
+def test_long_open_lists_are_parted(spark, block, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    rows = corpus(5, 200)
+    out = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size=3, percent=85).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out} == brute(rows, 3, 85)
+
+
 def test_many_representatives_in_one_partition(spark):
     rng = random.Random(7)
     rows = []
-    for pair in range(1600):
+    for pair in range(2000):
         words = ["p%d" % pair if rng.random() < 0.3 else "v%d" % rng.randrange(5000) for _ in range(60)]
         rows.append((pair, " ".join(words)))
         words[30] = "other"
