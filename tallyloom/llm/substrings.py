@@ -6,13 +6,13 @@ suffix of the corpus would move many times the corpus. So windows are first told
 1. Of the k-grams of a window the one of smallest hash is its anchor. Equal windows have equal
    anchors at the same place, so only windows of an anchor that occurs again can repeat. A member is
    a run of windows with one anchor; members of equal content around it collapse to the first, and
-   the others repeat as a whole. (Anchors are hashed to buckets; a document batch sends an anchor and
+   the others repeat as a whole. Equal content is told by hashes and then verified: the members' bytes
+   meet and are compared. (Anchors are hashed to buckets; a document batch sends an anchor and
    content once, and one of very many contents only as a marker.)
 2. Windows of anchors with very many contents ("hot") are told apart by hashes of the whole window.
 3. The bytes of what is left meet in buckets, where a mergesort orders the suffixes. Two suffixes are
    compared by a binary search for their common extension over prefix hashes. Neighbours whose
-   extension reaches ``width`` are compared byte by byte, so that here a hash collision never decides
-   (in step 1 equal 64-bit hashes of anchor and content do, without a look at the bytes); the
+   extension reaches ``width`` are compared byte by byte, so that a hash collision never decides; the
    first of equals in corpus order stays and the others repeat.
 4. Each document joins its repeating windows and is cut.
 """
@@ -28,20 +28,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.session import cut
+from tallyloom.session import cut, drop
 
 from .textbuf import Chunk, PrefixHash, chunks, mix
 
 WIDTH = 100
 GRAM = 32
 #: Bytes of text that one bucket stands for.
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 4 << 20
 #: Bytes of one batch of documents; an anchor of more contents than HOT_HERE in a batch, or HOT in a bucket, is hot.
 BATCH_BYTES, HOT_HERE, HOT = 2 << 20, 8, 32
 #: Bytes of a long document worked on at once.
 LONG_BYTES = 4 << 20
 
-DUP, CAND, WINDOW = 1, 2, 3  # kinds: all windows repeat; to sort with its anchor; hot, or a window to sort by itself
+# kinds: all windows repeat; to sort with its anchor; hot, or a window to sort by itself; said to be equal by its hashes
+DUP, CAND, WINDOW, CHECK = 1, 2, 3, 4
 _MARK = np.dtype([("at", "<u4"), ("lo", "u1"), ("hi", "u1"), ("kind", "u1")])  # windows at - lo to at - hi
 _ENTRY = np.dtype([("anchor", "<u8"), ("content", "<u8"), ("doc", "<u4"), ("at", "<u4"), ("lo", "u1"), ("hi", "u1"), ("hot", "u1")])
 _NULL_ID = -(1 << 63)
@@ -76,8 +77,13 @@ def find_anchors(c: Chunk, width: int, gram: int) -> tuple[np.ndarray, ...]:
     lo, hi, m, doc = p[first], p[last], m[first], doc[first]
     with np.errstate(over="ignore"):
         anchor = mix(ph.of(m, m + gram))
-        content = mix(ph.of(lo, hi + width) + ((m - lo) * 256 + (m - hi)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    return doc, m, lo, hi, anchor, content
+    return doc, m, lo, hi, anchor, content_hash(ph, m, lo, hi, width)
+
+
+def content_hash(ph: PrefixHash, m: np.ndarray, lo: np.ndarray, hi: np.ndarray, width: int) -> np.ndarray:
+    """A hash of the bytes of members and of where the anchor stands in them."""
+    with np.errstate(over="ignore"):
+        return mix(ph.of(lo, hi + width) + ((m - lo) * 256 + (m - hi)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def _parts(c: Chunk, width: int) -> Iterator[tuple[Chunk, int]]:
@@ -188,10 +194,12 @@ def _sketch(width: int, gram: int, buckets: int):
                     # a repeated row is the same document: its members repeat nothing
                     lead_at = np.maximum.accumulate(np.where(lead, np.arange(len(e)), 0))
                     same = (rank[e["doc"]] == rank[e["doc"][lead_at]]) & (e["at"] == e["at"][lead_at])
-                    dup = ~lead & ~same
-                    direct = hot & lead
-                    rows = np.concatenate([np.flatnonzero(dup), np.flatnonzero(direct)])
-                    kind = np.concatenate([np.full(int(dup.sum()), DUP), np.full(int(direct.sum()), WINDOW)])
+                    rows = np.flatnonzero(~lead & ~same)
+                    equal = _equal_members(c.data, e, c.offs[e["doc"]] + e["at"] - base, rows, lead_at[rows], width)
+                    apart = np.concatenate([rows[~equal], lead_at[rows[~equal]]])  # a collision of hashes: all ways to meet others stay open
+                    direct = np.flatnonzero(hot & lead)
+                    kind = np.repeat([DUP, WINDOW, CAND, WINDOW], [int(equal.sum()), len(direct), len(apart), len(apart)])
+                    rows = np.concatenate([rows[equal], direct, apart, apart])
                     _tell(out, e["doc"][rows].astype(np.int64), _marks(e["at"][rows], e["lo"][rows], e["hi"][rows], kind), ids, buckets)
                     _send(out, e[lead & (~hot | ((new & 1) > 0))], ids, "anchor", buckets)
                     yield _rows(out, _MOVED)
@@ -231,15 +239,32 @@ def _meet(pdf: pd.DataFrame) -> pd.DataFrame:
         group = np.cumsum(new & 1) - 1
         contents = np.bincount(group[lead], minlength=group[-1] + 1)
         hot = (np.bincount(group, weights=e["hot"], minlength=group[-1] + 1) > 0) | (contents > HOT)
-        kind = np.where(lead, np.where(hot[group], WINDOW, np.where(contents[group] > 1, CAND, 0)), DUP)
+        kind = np.where(lead, np.where(hot[group], WINDOW, np.where(contents[group] > 1, CAND, 0)), CHECK)
         lead_at = np.maximum.accumulate(np.where(lead, np.arange(len(e)), 0))
         same = (rank[e["doc"]] == rank[e["doc"][lead_at]]) & (e["at"] == e["at"][lead_at])
         kind[~lead & same] = 0
         rows = np.flatnonzero(kind)
-        _tell(out, e["doc"][rows].astype(np.int64), _marks(e["at"][rows], e["lo"][rows], e["hi"][rows], kind[rows]), ids)
+        leads = np.unique(lead_at[kind == CHECK])
+        kind = np.concatenate([kind[rows], np.full(len(leads), CHECK)])
+        rows = np.concatenate([rows, leads])
+        _tell(out, e["doc"][rows].astype(np.int64), _marks(e["at"][rows], e["lo"][rows], e["hi"][rows], kind), ids)
     return _passed(pdf, out)
 
 
+def _equal_members(data: np.ndarray, e: np.ndarray, at: np.ndarray, x: np.ndarray, y: np.ndarray, width: int, block: int = 8192) -> np.ndarray:
+    """Which members x hold the bytes of members y, rows of ``e`` with their anchors at ``at`` in ``data``."""
+    out = (e["lo"][x] == e["lo"][y]) & (e["hi"][x] == e["hi"][y])
+    first = at - e["lo"]
+    size = e["lo"].astype(np.int64) - e["hi"] + width
+    for i in range(0, len(x), block):
+        a, b = x[i : i + block], y[i : i + block]
+        step = np.arange(int(size[a].max()))
+        last = len(data) - 1
+        same = data[np.minimum(first[a, None] + step, last)] == data[np.minimum(first[b, None] + step, last)]
+        out[i : i + block] &= (same | (step >= size[a, None])).all(1)
+    return out
+
+
 _HASHED = np.dtype([("anchor", "<u8"), ("doc", "<u4"), ("at", "<u4")])
 
 
@@ -323,6 +348,93 @@ def _meet_windows(pdf: pd.DataFrame) -> pd.DataFrame:
     return _passed(pdf, out)
 
 
+_CLAIM = np.dtype([("anchor", "<u8"), ("content", "<u8"), ("doc", "<u4"), ("at", "<u4"), ("lo", "u1"), ("hi", "u1")])
+
+
+def _ship(out: dict[str, list], c: Chunk, e: np.ndarray, at: np.ndarray, ids: np.ndarray, width: int, buckets: int) -> None:
+    """Add members with their bytes to ``out``, a row for each bucket of their anchors."""
+    to = (e["anchor"] % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(to, kind="stable")
+    for a, b in _runs(to[order]):
+        rows = order[a:b]
+        part = e[rows]
+        docs, part["doc"] = np.unique(part["doc"], return_inverse=True)
+        text = b"".join(c.data[x - l : x - h + width].tobytes() for x, l, h in zip(at[rows].tolist(), part["lo"].tolist(), part["hi"].tolist(), strict=True))
+        for k, v in (("bucket", int(to[rows[0]])), ("doc_id", 0), ("h", 0), ("docs", ids[docs].tobytes()), ("blob", len(part).to_bytes(8, "little") + part.tobytes() + text)):
+            out[k].append(v)
+
+
+def _shipped(pdf: pd.DataFrame, dtype: np.dtype) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The members that met in a bucket, the keys of their documents, and their bytes in one buffer."""
+    entries, ids, texts, n = [np.zeros(0, dtype)], [np.zeros((0, 2), np.int64)], [np.zeros(0, np.uint8)], 0
+    sent = pdf[pdf["docs"].notna()]
+    for docs, blob in zip(sent["docs"], sent["blob"], strict=True):
+        k = int.from_bytes(blob[:8], "little")
+        e = np.frombuffer(blob, dtype, k, 8).copy()
+        d = np.frombuffer(docs, "<i8").reshape(-1, 2)
+        e["doc"] += n
+        n += len(d)
+        entries.append(e)
+        ids.append(d)
+        texts.append(np.frombuffer(blob, np.uint8, offset=8 + k * dtype.itemsize))
+    return np.concatenate(entries), np.concatenate(ids), np.concatenate(texts)
+
+
+def _compared(data: np.ndarray, e: np.ndarray, at: np.ndarray, rank: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of members of one anchor and content hash: those that hold the bytes of the first, those that do not, and the firsts of these."""
+    order, new = _firsts(e["anchor"], e["content"], rank, e["at"])
+    lead_at = order[np.maximum.accumulate(np.where((new & 2) > 0, np.arange(len(order)), 0))]
+    other = (rank[order] != rank[lead_at]) | (e["at"][order] != e["at"][lead_at])
+    rows, leads = order[other], lead_at[other]
+    equal = _equal_members(data, e, at, rows, leads, width)
+    return rows[equal], rows[~equal], np.unique(leads[~equal])
+
+
+def _claims(width: int, gram: int, buckets: int):
+    """Step 1 over documents with members said to be equal: their bytes, once a batch where they are equal there."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for c, ids, marks in _marked_chunks(batch):
+                doc = np.repeat(np.arange(c.n), [len(m) for m in marks])
+                m = np.concatenate(marks)
+                if not len(m):
+                    continue
+                ph = PrefixHash(c.data, 2)
+                at = c.offs[doc] + m["at"]
+                e = np.zeros(len(m), _CLAIM)
+                e["anchor"], e["content"] = mix(ph.of(at, at + gram)), content_hash(ph, at, at - m["lo"], at - m["hi"], width)
+                e["doc"], e["at"], e["lo"], e["hi"] = doc, m["at"], m["lo"], m["hi"]
+                rows, _, _ = _compared(c.data, e, at, _ranks(ids)[doc], width)
+                out = {k: [] for k in _MOVED}
+                _tell(out, doc[rows], _marks(e["at"][rows], e["lo"][rows], e["hi"][rows], DUP), ids, buckets)
+                send = np.ones(len(e), bool)
+                send[rows] = False
+                _ship(out, c, e[send], at[send], ids, width, buckets)
+                yield _rows(out, _MOVED)
+
+    return run
+
+
+def _verify(width: int):
+    """Step 1 in a bucket: members that hold the bytes of the first repeat; where hashes collide, all ways to meet others stay open."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = {k: [] for k in ("doc_id", "h", "blob")}
+        e, ids, data = _shipped(pdf, _CLAIM)
+        if len(e):
+            size = e["lo"].astype(np.int64) - e["hi"] + width
+            at = np.cumsum(size) - size + e["lo"]
+            equal, apart, leads = _compared(data, e, at, _ranks(ids)[e["doc"]], width)
+            apart = np.concatenate([apart, leads])
+            rows = np.concatenate([equal, apart, apart])
+            kind = np.repeat([DUP, CAND, WINDOW], [len(equal), len(apart), len(apart)])
+            _tell(out, e["doc"][rows].astype(np.int64), _marks(e["at"][rows], e["lo"][rows], e["hi"][rows], kind), ids)
+        return _passed(pdf, out)
+
+    return run
+
+
 _BYTES = np.dtype([("anchor", "<u8"), ("doc", "<u4"), ("at", "<u4"), ("lo", "u1"), ("hi", "u1"), ("lone", "u1")])
 
 
@@ -359,16 +471,7 @@ def _bring_bytes(width: int, gram: int, buckets: int):
                     _tell(out, e["doc"][rows].astype(np.int64), _marks(e["at"][rows], zero, zero, DUP), ids, buckets)
                 send = np.ones(len(e), bool)
                 send[rows] = False
-                e, at = e[send], at[send]
-                to = (e["anchor"] % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(to, kind="stable")
-                for a, b in _runs(to[order]):
-                    rows = order[a:b]
-                    part = e[rows]
-                    docs, part["doc"] = np.unique(part["doc"], return_inverse=True)
-                    text = b"".join(c.data[x - l : x - h + width].tobytes() for x, l, h in zip(at[rows].tolist(), part["lo"].tolist(), part["hi"].tolist(), strict=True))
-                    for k, v in (("bucket", int(to[rows[0]])), ("doc_id", 0), ("h", 0), ("docs", ids[docs].tobytes()), ("blob", len(part).to_bytes(8, "little") + part.tobytes() + text)):
-                        out[k].append(v)
+                _ship(out, c, e[send], at[send], ids, width, buckets)
                 yield _rows(out, _MOVED)
 
     return run
@@ -461,19 +564,8 @@ def _sort_bucket(width: int):
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out = {k: [] for k in ("doc_id", "h", "blob")}
-        entries, ids, texts, n = [], [], [], 0
-        sent = pdf[pdf["docs"].notna()]
-        for docs, blob in zip(sent["docs"], sent["blob"], strict=True):
-            k = int.from_bytes(blob[:8], "little")
-            e = np.frombuffer(blob, _BYTES, k, 8).copy()
-            d = np.frombuffer(docs, "<i8").reshape(-1, 2)
-            e["doc"] += n
-            n += len(d)
-            entries.append(e)
-            ids.append(d)
-            texts.append(np.frombuffer(blob, np.uint8, offset=8 + k * _BYTES.itemsize))
-        if entries:
-            e, ids, data = np.concatenate(entries), np.concatenate(ids), np.concatenate(texts)
+        e, ids, data = _shipped(pdf, _BYTES)
+        if len(e):
             windows = e["lo"].astype(np.int64) - e["hi"] + 1
             sizes = windows + width - 1
             member = np.repeat(np.arange(len(e)), windows)
@@ -549,32 +641,38 @@ def remove_repeats(documents: DataFrame, width: int = WIDTH, gram: int = GRAM, i
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     docs = documents.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
     size = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = int(size // BUCKET_BYTES) + 1  # by the input alone: more would only part each document's marks into more rows
+    buckets = int(size // BUCKET_BYTES) + 1  # by the input alone
     bucketed = lambda df: df.repartition(buckets, "bucket").groupBy("bucket")
 
-    found = bucketed(docs.mapInArrow(_sketch(width, gram, buckets), _MOVED_SQL)).applyInPandas(_meet, _INFO_SQL)
-    found = cut(found, "anchors")
     dealt = docs.repartition(max(buckets, int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "doc_id", "h")
     marked = lambda info, how: dealt.join(info.groupBy("doc_id", "h").agg(F.collect_list("blob").alias("blobs")), ["doc_id", "h"], how).select("doc_id", "h", "text", "blobs")
-    hashed = bucketed(marked(found, "inner").mapInArrow(_hash_windows(width, buckets), _MOVED_SQL)).applyInPandas(_meet_windows, _INFO_SQL)
+    only = lambda info, *kinds: info.mapInArrow(_only(kinds), _INFO_SQL)
+
+    said = bucketed(docs.mapInArrow(_sketch(width, gram, buckets), _MOVED_SQL)).applyInPandas(_meet, _INFO_SQL)
+    said = cut(said, "anchors")
+    verified = bucketed(marked(only(said, CHECK), "inner").mapInArrow(_claims(width, gram, buckets), _MOVED_SQL)).applyInPandas(_verify(width), _INFO_SQL)
+    verified = cut(verified, "verified")
+    found = said.union(verified)
+    hashed = bucketed(marked(only(found, WINDOW), "inner").mapInArrow(_hash_windows(width, buckets), _MOVED_SQL)).applyInPandas(_meet_windows, _INFO_SQL)
     hashed = cut(hashed, "windows")
-    todo = cut(found.mapInArrow(_only(False), _INFO_SQL).union(hashed), "todo")
+    todo = only(found, CAND).union(hashed)
     sorted_ = bucketed(marked(todo, "inner").mapInArrow(_bring_bytes(width, gram, buckets), _MOVED_SQL)).applyInPandas(_sort_bucket(width), _INFO_SQL)
     sorted_ = cut(sorted_, "sorted")
-    last = found.mapInArrow(_only(True), _INFO_SQL).union(sorted_)
+    last = cut(only(found, DUP).union(sorted_), "repeats")
+    drop(said, verified, hashed, sorted_)
     rows = marked(last, "left").mapInArrow(_cut_texts(width), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return rows.withColumn("doc_id", F.when(F.col("doc_id") != _NULL_ID, F.col("doc_id")))
 
 
-def _only(dup: bool):
-    """Of the first step's marks: those that repeat as a whole, or those to be sorted with their anchors."""
+def _only(kinds: tuple[int, ...]):
+    """The marks of some kinds."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep, blobs = [], []
             for i, b in enumerate(batch.column(2)):
                 m = np.frombuffer(b.as_buffer(), _MARK)
-                m = m[m["kind"] == (DUP if dup else CAND)]
+                m = m[np.isin(m["kind"], kinds)]
                 if len(m):
                     keep.append(i)
                     blobs.append(m.tobytes())

@@ -50,6 +50,26 @@ def test_against_brute_force(spark, seed, monkeypatch):
     assert digest(remove_repeats(df)) == brute(rows)
 
 
+def test_equal_hashes_of_unequal_members(spark, monkeypatch):
+    """Every content hash is the same: bytes alone tell the members of an anchor apart."""
+    real = substrings.find_anchors
+
+    def anchors(c, width, gram):
+        *rest, content = real(c, width, gram)
+        return *rest, np.zeros_like(content)
+
+    def content(ph, m, lo, hi, width):
+        return np.zeros(len(m), np.uint64)
+
+    monkeypatch.setattr(substrings, "find_anchors", anchors)
+    monkeypatch.setattr(substrings, "content_hash", content)
+    rows = corpus(7)
+    for parts in (1, 6):
+        assert digest(remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts))) == brute(rows)
+    monkeypatch.setattr(substrings, "BUCKET_BYTES", 4000)
+    assert digest(remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(6))) == brute(rows)
+
+
 def test_long_document_in_parts(spark, monkeypatch):
     monkeypatch.setattr(substrings, "LONG_BYTES", 3000)
     monkeypatch.setattr(substrings, "BATCH_BYTES", 3000)
