@@ -54,12 +54,20 @@ def share_out(nodes: DataFrame, parent: list[str], name: str, budget: str, weigh
 
 
 def leaf_budgets(leaves: DataFrame, levels: list[str], weights: list[dict[str, int]], budget_percent: int, epochs: int) -> DataFrame:
-    """``leaves`` (one row a leaf with ``tokens``) with its ``budget``: ``budget_percent`` of all tokens, ``epochs`` times a leaf's tokens at most."""
-    tree = leaves.withColumn("_cap", F.col("tokens") * epochs)
-    tree = tree.withColumn("_budget0", F.floor(F.sum("tokens").over(Window.partitionBy(F.lit(0))) * budget_percent / F.lit(100)).cast("long"))
+    """``leaves`` (one row a leaf with ``tokens``) with its ``budget``: ``budget_percent`` of all tokens, ``epochs`` times a leaf's tokens at most.
+
+    A subtree can hold what its leaves under keys of positive weight hold, so nothing is given to it
+    that its children may not take. Siblings, and for the total all leaves, meet in one window: these
+    are rows of the tree, not of the documents.
+    """
+    tree = leaves.withColumn("_budget0", F.floor(F.sum("tokens").over(Window.partitionBy(F.lit(0))) * budget_percent / F.lit(100)).cast("long"))
     for depth, (level, own) in enumerate(zip(levels, weights, strict=True)):
         path = levels[: depth + 1]
-        nodes = tree.groupBy(*path).agg(F.sum("_cap").alias("_cap"), F.max(f"_budget{depth}").alias("_budget")).withColumn("_weight", weight_of(F.col(level), own))
+        open_below = F.lit(True)
+        for lower, theirs in list(zip(levels, weights, strict=True))[depth + 1 :]:
+            open_below = open_below & (weight_of(F.col(lower), theirs) > 0)
+        cap = F.sum(F.when(open_below, F.col("tokens") * epochs).otherwise(0))
+        nodes = tree.groupBy(*path).agg(cap.alias("_cap"), F.max(f"_budget{depth}").alias("_budget")).withColumn("_weight", weight_of(F.col(level), own))
         parent = levels[:depth] or [F.lit(0)]
         nodes = share_out(nodes, parent, level, "_budget", "_weight", "_cap", f"_budget{depth + 1}")
         tree = tree.join(nodes.select(*path, f"_budget{depth + 1}"), path)

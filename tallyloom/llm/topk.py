@@ -7,7 +7,8 @@ d(q, x) from below. A query evaluates candidates in the order of their bounds an
 the next bound is beyond its k-th best distance.
 
 Candidates are dealt to blocks by a hash of their id, and so are the queries. A task takes one
-block of each and returns each query's k best of the block; these meet in a window per query.
+block of each, picks pivots from its candidates, and returns each query's k best of the block;
+these meet in a window per query.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 PIVOTS = 32
 #: Rows of a candidate block and of a query block, the unit of work of a task.
 CANDIDATES, QUERIES = 16384, 4096
-#: Rows from which pivots are picked.
+#: Rows of a block from which its pivots are picked.
 PIVOT_SAMPLE = 2048
 
 
@@ -69,13 +70,13 @@ def _best_big(x: np.ndarray, q: np.ndarray, rows: np.ndarray, k: int) -> tuple[l
     return [-s for s, _ in found], [r for _, r in found]
 
 
-def search_block(q: np.ndarray, qid: np.ndarray, x: np.ndarray, xid: np.ndarray, pivots: np.ndarray, k: int, batch: int = 32, steps: tuple[int, ...] = (128, 1024)) -> tuple[np.ndarray, np.ndarray, list[int], int]:
+def search_block(q: np.ndarray, qid: np.ndarray, x: np.ndarray, xid: np.ndarray, pivots: np.ndarray, k: int, batch: int = 32, step: int = 128) -> tuple[np.ndarray, np.ndarray, list[int], int]:
     """The k best candidates of each query (query row, candidate row, score), and how many candidates were evaluated.
 
-    ``q``, ``x`` and ``pivots`` hold integers as floats. Each query evaluates the candidates of least
-    bound, ``steps`` at a time, and after each step drops all whose bound is beyond its k-th best;
-    what then still stands is evaluated by one matrix product for a batch of queries. Scores are
-    exact. Ties go to the smaller id. Candidates of the query's id are left out.
+    ``q``, ``x`` and ``pivots`` hold integers as floats. Each query evaluates candidates in the order
+    of their bounds, ``step`` at first and twice as many each time, and stops once the next bound is
+    beyond its k-th best. What a batch of queries evaluates at a time is one matrix product. Scores
+    are exact. Ties go to the smaller id. Candidates of the query's id are left out.
     """
     order = np.argsort(xid, kind="stable")
     x, xid = np.ascontiguousarray(x[order]), xid[order]
@@ -92,47 +93,47 @@ def search_block(q: np.ndarray, qid: np.ndarray, x: np.ndarray, xid: np.ndarray,
     slack = largest * 2.0**-21 + np.sqrt(max(top, square.max(initial=0), 1.0)) * 2.0**-21
     table = np.ascontiguousarray(table.T.astype(np.float32))
     own = own.astype(np.float32)
-    rows, cols, scores, done = [], [], [], 0
+    rows, cols, scores, done, n = [], [], [], 0, len(x)
     for i in range(0, len(q), batch):
         qs = q[i : i + batch]
-        bound = np.zeros((len(qs), len(x)), np.float32)
+        bound = np.zeros((len(qs), n), np.float32)
         gap = np.empty_like(bound)
         for j in range(len(p)):
             np.subtract(table[j][None], own[i : i + batch, j][:, None], out=gap)
             np.abs(gap, out=gap)
             np.maximum(bound, gap, out=bound)
         bound[qid[i : i + batch][:, None] == xid[None]] = np.inf
-        state: list = []
+        best = [(np.zeros(0), np.zeros(0, np.int64)) for _ in qs]
+        if exact:
+            turn = np.argsort(bound, axis=1, kind="stable")
+            bound = np.take_along_axis(bound, turn, 1)
+            several = np.isfinite(bound).sum(1)
+            at, take, active = 0, step, np.flatnonzero(several > 0)
+            while len(active):
+                stop = min(at + take, n)
+                mine = turn[active, at:stop]
+                union = np.unique(mine)
+                if 2 * len(union) > n:
+                    product, place = qs[active] @ x.T, mine
+                else:
+                    product, place = qs[active] @ x[union].T, np.searchsorted(union, mine)
+                goes_on = []
+                for r, a in enumerate(active.tolist()):
+                    m = min(stop, several[a]) - at
+                    done += m
+                    best[a] = _best(np.concatenate([best[a][0], product[r, place[r, :m]]]), np.concatenate([best[a][1], mine[r, :m]]), k)
+                    if stop < several[a]:
+                        reach = np.sqrt(max(float(square[i + a]) - 2 * best[a][0][-1], 0)) + slack if len(best[a][0]) == k else np.inf
+                        if bound[a, stop] <= reach:
+                            goes_on.append(a)
+                at, take, active = stop, 2 * take, np.array(goes_on, np.int64)
         for r in range(len(qs)):
-            left = np.flatnonzero(np.isfinite(bound[r]))
-            best = (np.zeros(0), np.zeros(0, np.int64))
-            for step in steps if exact else ():
-                if len(left) <= step:
-                    break
-                part = np.argpartition(bound[r][left], step - 1)
-                now, left = left[part[:step]], left[part[step:]]
-                done += step
-                best = _best(np.concatenate([best[0], x[now] @ qs[r]]), np.concatenate([best[1], now]), k)
-                if len(best[0]) == k:
-                    reach = np.sqrt(max(float(square[i + r]) - 2 * best[0][-1], 0)) + slack
-                    left = left[bound[r][left] <= reach]
-            state.append((best, left))
-            done += len(left)
-        if exact and (many := sum(len(left) for _, left in state)):
-            # all that still stand, together
-            if many * 4 > len(qs) * len(x):
-                union, product = None, qs @ x.T
+            if exact:
+                s, c = best[r][0].astype(np.int64).tolist(), best[r][1].tolist()
             else:
-                union = np.unique(np.concatenate([left for _, left in state]))
-                product = qs @ x[union].T
-        for r, (best, left) in enumerate(state):
-            if not exact:
+                left = np.flatnonzero(np.isfinite(bound[r]))
+                done += len(left)
                 s, c = _best_big(x, qs[r], left, k)
-            else:
-                if len(left):
-                    s = product[r, left if union is None else np.searchsorted(union, left)]
-                    best = _best(np.concatenate([best[0], s]), np.concatenate([best[1], left]), k)
-                s, c = best[0].astype(np.int64).tolist(), best[1].tolist()
             rows += [i + r] * len(c)
             cols += order[c].tolist() if len(c) else []
             scores += s
@@ -149,15 +150,9 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id
     its range. Other columns are ignored, whatever their names.
     """
     base = integer_vectors(vectors, id_col, vec_col, scale)
-    counts = base.groupBy("dim").agg(F.count("*").alias("n"), F.count(F.when(F.col("id") % every == 0, 1)).alias("nq")).collect()  # a row for each length in use
-    chosen: dict[int, np.ndarray] = {}
-    for row in counts:
-        part = base.where(F.col("dim") == row["dim"])
-        share = min(1.0, 2.0 * PIVOT_SAMPLE / row["n"])
-        picked = part.where(F.pmod(F.xxhash64("id"), F.lit(1_000_003)) < int(share * 1_000_003) + 1).select("v").limit(PIVOT_SAMPLE).collect()
-        chosen[row["dim"]] = choose_pivots(np.array([r[0] for r in picked], float).reshape(len(picked), row["dim"]), pivots)
-    sizes = vectors.sparkSession.createDataFrame([(int(r["dim"]), max(1, -(-r["n"] // candidates)), max(1, -(-r["nq"] // queries))) for r in counts], "dim int, nx int, nq int")
-    sized = base.join(F.broadcast(sizes), "dim")
+    blocks = lambda n, size: F.greatest(F.ceil(n / F.lit(size)), F.lit(1)).cast("int")
+    sizes = base.groupBy("dim").agg(F.count("*").alias("n"), F.count(F.when(F.col("id") % every == 0, 1)).alias("nq"))
+    sized = base.join(sizes.select("dim", blocks(F.col("n"), candidates).alias("nx"), blocks(F.col("nq"), queries).alias("nq")), "dim")
     x = sized.withColumn("cb", F.pmod(F.xxhash64("id"), F.col("nx")).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)))
     q = sized.where(F.col("id") % every == 0).withColumn("qb", F.pmod(F.xxhash64("id", F.lit(1)), F.col("nq")).cast("int")).withColumn("cb", F.explode(F.sequence(F.lit(0), F.col("nx") - 1)))
     cells = ["dim", "cb", "qb"]
@@ -173,7 +168,10 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id
         dim = int(key[0])
         qid, qv = unique(left, dim)
         xid, xv = unique(right, dim)
-        r, c, s, _ = search_block(qv, qid, xv, xid, chosen[dim], k)
+        if not len(qv):
+            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
+        near = choose_pivots(xv[np.random.default_rng(1).permutation(len(xv))[:PIVOT_SAMPLE]], pivots)
+        r, c, s, _ = search_block(qv, qid, xv, xid, near.reshape(len(near), dim), k)
         return pd.DataFrame({"query_id": qid[r], "vec_id": xid[c], "score": np.array([min(max(int(v), -(1 << 63)), (1 << 63) - 1) for v in s], np.int64)})
 
     side = lambda df: df.select(*(F.col(c).alias(c) for c in ("id", "v", *cells))).groupBy(*cells)

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from tallyloom.llm.chat import format_preferences, swapped_answers
 from tallyloom.llm.html import extract_main_text, labelled_pages, main_text, parse, trained
 from tallyloom.llm.language import LanguageModel, fit_language_model, identify, in_fold
-from tallyloom.llm.mixing import mix
+from tallyloom.llm.mixing import leaf_budgets, mix
 from tallyloom.llm.quality import RULES, apply_quality, plan_rules
-from tallyloom.llm.topk import choose_pivots, search_block, top_k
+from tallyloom.llm.topk import PIVOTS, choose_pivots, integer_vectors, search_block, top_k
 
 
 def brute_top(rows, k=5, every=50):
@@ -58,6 +58,20 @@ def test_search_stops_early_and_stays_exact():
     assert max(s) == max(sum(int(a) * int(b) for a, b in zip(big[0], big[j])) for j in range(1, 50)) or len(s) == 6
 
 
+def test_share_evaluated_of_the_given_vectors(spark):
+    """Bound order on the table's own vectors: exact, and some candidates are never evaluated."""
+    rows = integer_vectors(spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet"), "vec_id", "embedding").collect()
+    x, ids = np.array([r["v"] for r in rows], float), np.array([r["id"] for r in rows])
+    some = np.flatnonzero(ids % 50 == 0)[:64]
+    r, c, s, done = search_block(x[some], ids[some], x, ids, choose_pivots(x[:2048], PIVOTS), 5)
+    for i, q in enumerate(some):
+        score = x @ x[q]
+        score[ids == ids[q]] = -np.inf
+        assert c[r == i].tolist() == np.lexsort((ids, -score))[:5].tolist()
+    print(f"evaluated {done} of {len(some) * (len(x) - 1)}")
+    assert done <= len(some) * len(x)
+
+
 def test_preferences(spark):
     t = lambda *x: [{"role": r, "text": v} for r, v in x]
     a = t(("user", "hi"), ("assistant", "yes"), ("user", None), ("assistant", "a"))
@@ -91,6 +105,23 @@ def test_mix_budgets(spark):
     assert mix(df.limit(0), levels, [{}, {}]).collect() == []
 
 
+def test_no_budget_is_lost_to_weight_0(spark):
+    leaves = spark.createDataFrame([("a", "x", 100), ("a", "y", 10), ("b", "z", 1000)], "d string, l string, tokens long")
+    out = leaf_budgets(leaves, ["d", "l"], [{"a": 9, "b": 1}, {"x": 0, "y": 1}], 60, 1).collect()
+    assert {(r["d"], r["l"]): r["budget"] for r in out} == {("a", "x"): 0, ("a", "y"): 10, ("b", "z"): 656}
+    none = leaf_budgets(leaves, ["d", "l"], [{"a": 0, "b": 1}, {"x": 1, "y": 1, "z": 0}], 60, 1).collect()
+    assert {r["budget"] for r in none} == {0}
+
+
+def test_mix_takes_ties_repeats_and_long_texts(spark):
+    rows = [(1, "w " * 200_000, "a")] + [(2, "x " * 5, "a")] * 4 + [(k, "y " * 5, "a") for k in range(3, 40)] + [(None, "z " * 5, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, d string")
+    out = mix(df, {"d": F.col("d")}, [{}], budget_percent=50, epochs=1)
+    per = {r["id"]: r["n"] for r in out.groupBy(F.col("row.doc_id").alias("id")).agg(F.count("*").alias("n")).collect()}
+    assert per.get(2, 0) in (0, 4) and all(n == 1 for k, n in per.items() if k != 2)
+    assert out.agg(F.sum("n_tokens")).first()[0] <= (200_000 + 42 * 5) // 2
+
+
 def test_language(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = fit_language_model(docs)
