@@ -4,8 +4,9 @@
 2. A line's shingles are all its strings of ``SHINGLE`` characters (UTF-16 units); a shorter line is
    one shingle. Its signature is the ``SKETCH`` least of their hashes, a bottom-k MinHash: all minima
    come from one sort.
-3. Banding: every two neighbours of the signature make a key. Of two lines at 80 percent, about two in
-   a thousand share none of the keys. The lines under a key are a list; equal lists count once.
+3. Banding: every three neighbours of the signature make a key. Of two lines at 80 percent, three or
+   four in a thousand share none of the keys; of two at 85 percent, one. The lines under a key are a
+   list; equal lists count once.
 4. In a list one line, its lead, is compared with all others by the exact Jaccard similarity of their
    whole sets of shingles, and distributed union-find joins what is alike. Lists whose lines are then
    in one component are settled. In the others further lines are leads, twice as many in each step,
@@ -29,7 +30,7 @@ from tallyloom.session import cut, drop
 from .components import connected_components
 
 SHINGLE = 9
-SKETCH = 9
+SKETCH = 14
 #: Leads of the second step of a list; the later steps have twice as many each.
 LEADS = 8
 #: Lines of a list, not yet compared after two steps, from which it is parted by rare shingles.
@@ -49,8 +50,14 @@ def sketch(hashes: Column, n: int = SKETCH) -> Column:
 
 
 def band_keys(signature: Column) -> Column:
-    """A key for every two neighbours of a signature, or for its lone hash."""
-    return once(signature, lambda s: F.when(F.size(s) < 2, F.transform(s, lambda h: F.xxhash64(h))).otherwise(F.zip_with(F.slice(s, F.lit(1), F.size(s) - 1), F.slice(s, F.lit(2), F.size(s)), lambda x, y: F.xxhash64(x, y))))
+    """A key for every three neighbours of a signature, for every two as well where it is short, and for all of less than three.
+
+    Where one set has a shingle more than another of four, no three neighbours need be left in common, but two are.
+    """
+    rest = lambda s, k: F.slice(s, F.lit(1 + k), F.greatest(F.size(s) - 2, F.lit(0)))
+    two = lambda s: F.zip_with(F.slice(s, F.lit(1), F.size(s) - 1), F.slice(s, F.lit(2), F.size(s)), lambda x, y: F.xxhash64(x, y))
+    three = lambda s: F.zip_with(F.zip_with(rest(s, 0), rest(s, 1), lambda x, y: F.xxhash64(x, y)), rest(s, 2), lambda xy, z: F.xxhash64(xy, z))
+    return once(signature, lambda s: F.when(F.size(s) < 3, F.array(F.xxhash64(F.get(s, F.lit(0)), F.get(s, F.lit(1))))).when(F.size(s) <= 5, F.concat(two(s), three(s))).otherwise(three(s)))
 
 
 def similar(a: Column, b: Column, percent: int) -> Column:

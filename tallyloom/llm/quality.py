@@ -1,8 +1,10 @@
 """Quality rules as a short-circuit cascade (operator 10).
 
 Each rule is a pure function of a whole text. A sample tells what each rule costs and how much it
-rejects; rules then run in order of rejection per cost, each only on the texts that all earlier
-rules have kept. The order changes the work, never the verdict.
+rejects of what the rules before it leave; rules then run in order of rejection per cost, each only
+on the texts that all earlier rules have kept. The order changes the work, never the verdict. The
+base counts are results of their own and made for every text; rules that only compare them cost
+next to nothing and come first by their cost.
 """
 
 from __future__ import annotations
@@ -53,9 +55,16 @@ class Texts:
     base: dict[str, np.ndarray]
 
     def pick(self, rows: np.ndarray) -> Texts:
+        """Some of the texts, in ascending order; their words are not looked for again."""
         if len(rows) == self.chunk.n:
             return self
-        return measured(self.chunk.pick(rows), {k: v[rows] for k, v in self.base.items()})
+        c = self.chunk.pick(rows)
+        place = np.full(self.chunk.n, -1)
+        place[rows] = np.arange(len(rows))
+        kept = place[self.owner] >= 0
+        owner = place[self.owner[kept]]
+        shift = (c.offs[:-1] - self.chunk.offs[rows])[owner]
+        return Texts(c, self.starts[kept] + shift, self.ends[kept] + shift, owner, self.n_words[rows], self.word_chars[rows], {k: v[rows] for k, v in self.base.items()})
 
 
 def _per_doc(owner: np.ndarray, n: int) -> np.ndarray:
@@ -121,21 +130,21 @@ def duplicate_lines(c: Chunk, word_starts: np.ndarray) -> np.ndarray:
     return _per_doc(owner, c.n) - _per_doc(owner[first], c.n)
 
 
-def measured(c: Chunk, base: dict[str, np.ndarray] | None = None) -> Texts:
+def measured(c: Chunk) -> Texts:
+    """The words and base counts of a chunk's texts."""
     starts, ends, owner = words(c)
     n_words = _per_doc(owner, c.n)
-    if base is None:
-        head = np.zeros(len(c.data) + 1, np.int64)
-        np.cumsum(_HEAD[c.data], out=head[1:])
-        chars = np.bincount(owner, weights=head[ends] - head[starts], minlength=c.n).astype(np.int64)
-        base = {
-            "n_words": n_words,
-            "word_chars": chars,
-            "n_symbols": c.sums(_SYMBOL[c.data]),
-            "n_dup_lines": duplicate_lines(c, starts),
-            "n_repeat_words": repeat_words(c, starts, ends, owner),
-        }
-        base["base_failed"] = (n_words < MIN_WORDS) | (100 * base["n_repeat_words"] > MAX_REPEAT_PERCENT * n_words)
+    head = np.zeros(len(c.data) + 1, np.int64)
+    np.cumsum(_HEAD[c.data], out=head[1:])
+    chars = np.bincount(owner, weights=head[ends] - head[starts], minlength=c.n).astype(np.int64)
+    base = {
+        "n_words": n_words,
+        "word_chars": chars,
+        "n_symbols": c.sums(_SYMBOL[c.data]),
+        "n_dup_lines": duplicate_lines(c, starts),
+        "n_repeat_words": repeat_words(c, starts, ends, owner),
+    }
+    base["base_failed"] = (n_words < MIN_WORDS) | (100 * base["n_repeat_words"] > MAX_REPEAT_PERCENT * n_words)
     return Texts(c, starts, ends, owner, n_words, base["word_chars"], base)
 
 
@@ -218,21 +227,28 @@ def cascade(t: Texts, order: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def plan_rules(texts: list[str], rules: dict[str, Callable] | None = None) -> list[dict]:
-    """Cost (seconds a text) and rejection of each rule on sampled texts, best rejection per cost first."""
+    """Rules in their order, with cost (seconds a text) and what each rejects of all sampled texts and of those left to it.
+
+    The next rule is the one that rejects most, for its cost, of the texts that the rules before it leave.
+    """
     rules = rules or RULES
     batch = pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.string())})
     parts = [measured(c) for c in chunks(batch, "text")]
     parts = [t.pick(rows) for t in parts if len(rows := np.flatnonzero(~t.base["base_failed"]))]
-    found = []
+    n = sum(t.chunk.n for t in parts)
+    cost, bad = {}, {}
     for name, f in rules.items():
-        n = bad = 0
         began = time.perf_counter()
-        for t in parts:
-            bad += int(f(t).sum())
-            n += t.chunk.n
-        cost = max(time.perf_counter() - began, 1e-9) / max(n, 1)
-        found.append({"rule": name, "cost_s": cost, "rejects": bad / max(n, 1), "gain": (bad + 0.5) / (n + 1) / cost})
-    return sorted(found, key=lambda r: (-r["gain"], r["rule"]))
+        bad[name] = np.concatenate([np.zeros(0, bool), *(f(t) for t in parts)])
+        cost[name] = max(time.perf_counter() - began, 1e-9) / max(n, 1)
+    left, found, waiting = np.ones(n, bool), [], set(rules)
+    gain = lambda name: ((bad[name] & left).sum() + 0.5) / (n + 1) / cost[name]
+    while waiting:
+        name = min(waiting, key=lambda name: (-gain(name), name))
+        found.append({"rule": name, "cost_s": cost[name], "rejects": bad[name].sum() / max(n, 1), "rejects_of_rest": (bad[name] & left).sum() / max(left.sum(), 1), "gain": gain(name)})
+        left &= ~bad[name]
+        waiting.remove(name)
+    return found
 
 
 #: Sampled texts that set the order of the rules; only the order depends on them.

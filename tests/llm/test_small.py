@@ -2,8 +2,12 @@
 
 import random
 import re
+import time
+import unicodedata
+import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,7 +15,8 @@ from tallyloom.llm.chat import format_preferences, swapped_answers
 from tallyloom.llm.html import extract_main_text, labelled_pages, main_text, parse, trained
 from tallyloom.llm.language import LanguageModel, fit_language_model, identify, in_fold
 from tallyloom.llm.mixing import leaf_budgets, mix
-from tallyloom.llm.quality import RULES, apply_quality, plan_rules
+from tallyloom.llm.quality import RULES, apply_quality, measured, plan_rules
+from tallyloom.llm.textbuf import chunks
 from tallyloom.llm.topk import PIVOTS, choose_pivots, integer_vectors, search_block, top_k
 
 
@@ -136,6 +141,28 @@ def test_language(spark):
     assert isinstance(none, LanguageModel) and {r["lang_pred"] for r in identify(odd, none).collect()} == {"und"}
 
 
+def test_language_query_against_brute_force(spark, sf):
+    """The fold, what is und, the labels and the range of scores, over the whole table."""
+    from tallyloom.llm.queries import QUERIES
+
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = QUERIES["op7_language_id"](spark, sf).collect()
+    assert sorted(r["doc_id"] for r in rows) == sorted(texts)
+    for r in rows:
+        letters = any(unicodedata.category(x).startswith("L") for x in texts[r["doc_id"]] or "")
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1)
+        assert (r["lang_pred"] == "und") == (not letters) and 0 <= r["score"] <= 1 and (letters or r["score"] == 0)
+    assert {r["lang_pred"] for r in rows} <= {"en", "de", "fr", "es", "und"}
+
+
+def test_language_of_repeated_rows_and_empty_tables(spark):
+    docs = spark.createDataFrame([(k, t, g) for k, (t, g) in enumerate([("the cat and the dog", "en"), ("der hund und die katze", "de")] * 30)], "doc_id long, text string, lang string")
+    model = fit_language_model(docs)
+    twice = spark.createDataFrame([(1, "die katze und der hund")] * 3, "doc_id long, text string")
+    assert [r["lang_pred"] for r in identify(twice, model).collect()] == ["de"] * 3
+    assert identify(twice.limit(0), model).collect() == []
+
+
 def test_every_language_is_learned(spark):
     rows = [(i, "w%03d x%03d" % (i % 250, i % 250), "l%03d" % (i % 250)) for i in range(3000)]
     rows += [(5000 + i, "only long texts " * 1500, "long") for i in range(12)]
@@ -203,6 +230,31 @@ def test_quality(spark):
     assert sorted(p["rule"] for p in plan) == sorted(RULES) and plan[0]["gain"] >= plan[-1]["gain"]
 
 
+def test_rules_are_ordered_by_what_is_left():
+    cheap = lambda t: t.n_words > 60
+    costly = lambda t: [time.sleep(0.02), t.n_words > 60][1]
+    other = lambda t: [time.sleep(0.01), t.n_words == 55][1]
+    texts = [" ".join(f"w{k}" for k in range(n)) for n in (55, 70, 80, 90)]
+    plan = plan_rules(texts, {"costly": costly, "other": other, "cheap": cheap})
+    assert [p["rule"] for p in plan] == ["cheap", "other", "costly"]  # alone, the costly rule rejects more for its cost
+    assert [p["rejects_of_rest"] for p in plan] == [0.75, 1.0, 0.0]
+
+
+def test_picked_texts_keep_their_words():
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(["a bc", "", "é  d\ne", "one two three", " x"])})
+    c = next(chunks(batch, "text"))
+    rows = np.array([0, 2, 4])
+    picked, again = measured(c).pick(rows), measured(c.pick(rows))
+    for f in ("starts", "ends", "owner", "n_words", "word_chars"):
+        assert getattr(picked, f).tolist() == getattr(again, f).tolist()
+
+
+def test_quality_of_repeated_rows(spark):
+    rows = [(1, "a b c " * 30, 1)] * 3 + [(2, " ".join("x" + chr(97 + k % 26) * (k % 5 + 1) for k in range(60)), 1)] * 2
+    out = apply_quality(spark.createDataFrame(rows, "doc_id long, text string, n_words int")).collect()
+    assert sorted((r["doc_id"], r["kept"]) for r in out) == [(1, False)] * 3 + [(2, True)] * 2
+
+
 @pytest.mark.parametrize("name", ["op2_chat_preferences", "op10_quality_rules", "op1_exact_top_k"])
 def test_queries_run(spark, sf, name):
     from tallyloom.llm.queries import QUERIES
