@@ -15,6 +15,19 @@ CLASSIFICATION_KEYWORDS = {
     "Balance Sheet": [("balance sheet", 30), ("assets", 14), ("liabilities", 14), ("equity and liabilities", 20), ("current assets", 16), ("non-current assets", 16), ("current liabilities", 16), ("non-current liabilities", 16), ("fixed assets", 14), ("share capital", 12), ("reserves and surplus", 12), ("profit and loss", 12), ("as at", 6)],
 }
 
+# Points of each type for what its text holds: what, how many at least (of counted things), points.
+STRUCTURE_POINTS = {
+    "PAN Card": [("pan", 1, 10), ("aadhaar", 1, 5)],
+    "Aadhaar Card": [("aadhaar", 1, 20), ("pan and aadhaar", 1, 5)],
+    "ITR Acknowledgement": [("pan", 1, 10), ("year", 1, 20), ("itr", 1, 25), ("pairs", 5, 8)],
+    "GST Certificate": [("gstin", 1, 30), ("pan", 1, 5)],
+    "Bank Statement": [("rows", 5, 15), ("pairs", 3, 5)],
+    "Salary Slip": [("pan", 1, 5), ("rows", 3, 8)],
+    "Form 16": [("tan", 1, 20), ("pan", 1, 10), ("year", 1, 10)],
+    "Invoice": [("gstin", 1, 10)],
+    "Balance Sheet": [("rows", 3, 8), ("balance sheet", 1, 20)],
+}
+
 # Keywords of the OCR text score.
 OCR_SCORE_KEYWORDS = "india government income tax name father birth pan aadhaar gst gstin account number permanent acknowledgement itr assessment year salary invoice certificate return filing refund payable debit credit balance branch ifsc cheque bank department employee form total".split()
 

@@ -33,15 +33,19 @@ def has(text: Column, pattern: str) -> Column:
     return F.coalesce(text.rlike(U + pattern), F.lit(False))
 
 
-def contains_any(text: Column, words: list[str]) -> Column:
-    """Whether the lower-cased text contains any of the words as plain substrings."""
-    low = F.lower(text)
+def low_contains_any(low: Column, words: list[str]) -> Column:
+    """Whether a lower-cased text contains any of the words as plain substrings."""
     out = F.lit(False)
     for w in words:
         out = out | low.contains(w)
     return F.coalesce(out, F.lit(False))
 
 
+def contains_any(text: Column, words: list[str]) -> Column:
+    """Whether the text, once lower-cased, contains any of the words as plain substrings."""
+    return once(F.lower(text), lambda low: low_contains_any(low, words))
+
+
 def once(x: Column, f: Callable[[Column], Column]) -> Column:
     """``f(x)`` with x computed once, however often f refers to it; Catalyst would put x in at every place."""
     return F.get(F.transform(F.array(x), f), F.lit(0))
@@ -219,13 +223,15 @@ def is_likely_name(x: Column) -> Column:
 
 def is_valid_name(x: Column) -> Column:
     """No label, address part or fragment: see the lists it refers to."""
-    t = F.trim(x)
-    tokens = words_by_space(F.lower(t))
-    first = F.regexp_replace(F.get(tokens, F.lit(0)), r"[.,:\-]+$", "")
-    good = ~F.arrays_overlap(tokens, F.array(*map(F.lit, K.NAME_BAD_TOKENS))) & ~F.lower(t).isin(K.NAME_BLOCKLIST) & (F.length(t) >= 4)
-    good = good & (count_of(t, "0-9") / F.length(t) <= 0.4) & ~first.isin(K.NAME_FIRST_STOPWORDS)
-    good = good & F.exists(tokens, lambda w: F.length(F.regexp_replace(w, r"[^\p{L}]", "")) >= 2) & (count_of(t, r"\p{L}") >= 3)
-    return F.coalesce(good, F.lit(False))
+
+    def good(v: Column) -> Column:
+        t, tokens = v["t"], v["tokens"]
+        first = F.regexp_replace(F.get(tokens, F.lit(0)), r"[.,:\-]+$", "")
+        fine = (F.length(t) >= 4) & ~F.lower(t).isin(K.NAME_BLOCKLIST) & ~F.arrays_overlap(tokens, F.array(*map(F.lit, K.NAME_BAD_TOKENS)))
+        fine = fine & (count_of(t, "0-9") / F.length(t) <= 0.4) & ~first.isin(K.NAME_FIRST_STOPWORDS)
+        return fine & F.exists(tokens, lambda w: F.length(F.regexp_replace(w, r"[^\p{L}]", "")) >= 2) & (count_of(t, r"\p{L}") >= 3)
+
+    return F.coalesce(once(F.struct(F.trim(x).alias("t"), words_by_space(F.lower(F.trim(x))).alias("tokens")), good), F.lit(False))
 
 
 def clean_name(x: Column) -> Column:

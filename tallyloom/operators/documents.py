@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions import constants as K
@@ -11,36 +13,88 @@ from tallyloom.functions import text as T
 TYPES = list(K.CLASSIFICATION_KEYWORDS)
 
 
-# --- scoring -----------------------------------------------------------------------------------
+# --- what is found in a text -------------------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class Seen:
+    """A text, lower-cased and upper-cased, and what the patterns shared by scores, types and fields find in it."""
+
+    t: Column
+    low: Column
+    up: Column
+    found: dict[str, Column]
+
+    def has(self, name: str) -> Column:
+        return self.found[name].isNotNull()
+
+    def any(self, words: list[str]) -> Column:
+        return T.low_contains_any(self.low, words)
+
+    @property
+    def year(self) -> Column:
+        return self.has("ay") | (F.size(self.found["years"]) > 0)
+
+    @property
+    def aadhaar(self) -> Column:
+        return self.found["grouped_digits"] | self.found["plain_digits"]
+
+
+def _look(t: Column, low: Column, up: Column) -> Seen:
+    values = {"pan": T.first_match(up, K.PAN), "gstin": T.first_match(up, K.GSTIN), "tan": T.first_match(up, K.TAN), "ifsc": T.first_match(up, K.IFSC), "ay": T.first_match(t, K.AY_LABEL), "itr": T.first_match(t, K.ITR_TYPE)}
+    more = {"years": T.all_matches(t, K.AY_ALONE), "grouped_digits": T.has(t, K.AADHAAR_FORMATTED), "plain_digits": T.has(t, K.AADHAAR_PLAIN)}
+    counts = {"pairs": F.regexp_count(t, F.lit(T.U + K.KEY_VALUE)), "rows": F.regexp_count(t, F.lit(T.U + K.TABLE_ROW))}
+    return Seen(t, low, up, values | more | counts)
+
+
+def seen(text: Column | Seen) -> Seen:
+    """What is found in a text, as expressions over it; what is seen already stays as it is."""
+    if isinstance(text, Seen):
+        return text
+    t = F.coalesce(text, F.lit(""))
+    return _look(t, F.lower(t), F.upper(t))
+
+
+def look_once(docs: DataFrame, text: str = "text") -> tuple[DataFrame, Seen]:
+    """``docs`` with helper columns (names start with ``_seen``), so that each pattern runs once a row, and what refers to them."""
+    d = docs.withColumn("_seen_t", F.coalesce(F.col(text), F.lit("")))
+    d = d.withColumns({"_seen_low": F.lower("_seen_t"), "_seen_up": F.upper("_seen_t")})
+    x = _look(*map(F.col, ("_seen_t", "_seen_low", "_seen_up")))
+    d = d.withColumns({f"_seen_{k}": v for k, v in x.found.items()})
+    return d, Seen(x.t, x.low, x.up, {k: F.col(f"_seen_{k}") for k in x.found})
 
 
-def year_found(text: Column) -> Column:
-    return T.has(text, K.AY_LABEL) | T.has(text, K.AY_ALONE)
+def forget(docs: DataFrame) -> DataFrame:
+    return docs.drop(*[c for c in docs.columns if c.startswith("_seen_")])
 
 
-def ocr_score(text: Column) -> Column:
+# --- scoring -----------------------------------------------------------------------------------
+
+
+def ocr_score(text: Column | Seen) -> Column:
     """Points for keywords, identifiers, words and structure, less for garbage; 0 for fewer than 10 characters."""
-    n = F.length(text)
-    trimmed = F.length(F.regexp_replace(text, r"^\s+|\s+$", ""))
-    low, up = F.lower(text), F.upper(text)
-    hits = F.size(F.filter(F.array(*map(F.lit, K.OCR_SCORE_KEYWORDS)), lambda k: low.contains(k)))
-    own = F.lit(0.0) + hits * K.SCORE["keyword"]
-    own = own + F.when(T.has(up, K.PAN), K.SCORE["pan"]).otherwise(0)
-    own = own + F.when(T.has(text, K.AADHAAR_FORMATTED) & T.contains_any(text, K.AADHAAR_WORDS[:3]), K.SCORE["aadhaar"]).otherwise(0)
-    own = own + F.when(T.has(up, K.GSTIN), K.SCORE["gstin"]).otherwise(0)
-    own = own + F.when(year_found(text), K.SCORE["year"]).otherwise(0)
-    own = own + F.size(T.words_by_space(text)) * F.lit(K.SCORE["word"])
-    own = own + T.count_of(text, r"\p{L}\p{N}") / n * 100 * F.lit(K.SCORE["alnum"])
-    own = own + F.regexp_count(text, F.lit(T.U + K.KEY_VALUE)) * K.SCORE["pair"]
-    special = F.length(F.regexp_replace(text, r"(?U)[\p{L}\p{N}\s.,:;\-/()\[\]'\"]", ""))
+    x = seen(text)
+    n = F.length(x.t)
+    trimmed = F.length(F.regexp_replace(x.t, r"^\s+|\s+$", ""))
+    own = F.lit(0.0)
+    for k in K.OCR_SCORE_KEYWORDS:
+        own = own + F.when(x.low.contains(k), float(K.SCORE["keyword"])).otherwise(0.0)
+    own = own + F.when(x.has("pan"), K.SCORE["pan"]).otherwise(0)
+    own = own + F.when(x.found["grouped_digits"] & x.any(K.AADHAAR_WORDS[:3]), K.SCORE["aadhaar"]).otherwise(0)
+    own = own + F.when(x.has("gstin"), K.SCORE["gstin"]).otherwise(0)
+    own = own + F.when(x.year, K.SCORE["year"]).otherwise(0)
+    own = own + F.size(T.words_by_space(x.t)) * F.lit(K.SCORE["word"])
+    own = own + T.count_of(x.t, r"\p{L}\p{N}") / n * 100 * F.lit(K.SCORE["alnum"])
+    own = own + x.found["pairs"] * K.SCORE["pair"]
+    special = F.length(F.regexp_replace(x.t, r"(?U)[\p{L}\p{N}\s.,:;\-/()\[\]'\"]", ""))
     own = own - F.when(special / n > 0.3, K.SCORE["garbage"]).otherwise(0) - F.when(trimmed < 50, K.SCORE["short"]).otherwise(0)
     return F.when(F.coalesce(trimmed, F.lit(0)) < 10, 0.0).otherwise(F.greatest(own, F.lit(0.0)))
 
 
-def short_circuit(text: Column, score: Column) -> Column:
+def short_circuit(text: Column | Seen, score: Column) -> Column:
     """Whether a pass is good enough to end all others."""
-    up, low = F.upper(text), F.lower(text)
-    ids = T.has(up, K.PAN) | (T.has(text, K.ITR_TYPE) & year_found(text)) | T.has(up, K.GSTIN) | (T.contains_any(low, K.AADHAAR_WORDS[:3]) & T.has(text, K.AADHAAR_FORMATTED))
+    x = seen(text)
+    ids = x.has("pan") | (x.has("itr") & x.year) | x.has("gstin") | (x.any(K.AADHAAR_WORDS[:3]) & x.found["grouped_digits"])
     return F.coalesce((score >= K.SHORT_CIRCUIT) & ids, F.lit(False))
 
 
@@ -84,42 +138,27 @@ def quality_flags(metrics: DataFrame) -> DataFrame:
 # --- classification ----------------------------------------------------------------------------
 
 
-def keyword_table(spark: SparkSession) -> DataFrame:
-    """The keywords as rows: document_type, type_idx, keyword, weight."""
-    return spark.createDataFrame([(t, i, k, w) for i, (t, ks) in enumerate(K.CLASSIFICATION_KEYWORDS.items()) for k, w in ks], "document_type string, type_idx int, keyword string, weight int")
-
-
-def keyword_scores(text: Column) -> dict[str, Column]:
+def keyword_scores(text: Column | Seen) -> dict[str, Column]:
     """Each type's points: the weights of its keywords that the lower-cased text contains."""
-    low = F.lower(text)
+    low = seen(text).low
     out = {}
     for t, ks in K.CLASSIFICATION_KEYWORDS.items():
-        lits = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(w).alias("w")) for k, w in ks])
-        out[t] = F.aggregate(lits, F.lit(0), lambda a, x: a + F.when(low.contains(x["k"]), x["w"]).otherwise(0))
+        total = F.lit(0)
+        for k, w in ks:
+            total = total + F.when(low.contains(k), w).otherwise(0)
+        out[t] = total
     return out
 
 
-def structural_bonus(text: Column) -> dict[str, Column]:
+def structural_bonus(text: Column | Seen) -> dict[str, Column]:
     """Each type's points for identifiers and structure found in the text."""
-    up = F.upper(text)
-    pan, gstin, tan = T.has(up, K.PAN), T.has(up, K.GSTIN), T.has(up, K.TAN)
-    aadhaar, year, itr = T.has(text, K.AADHAAR_FORMATTED) | T.has(text, K.AADHAAR_PLAIN), year_found(text), T.has(text, K.ITR_TYPE)
-    pairs, rows = F.regexp_count(text, F.lit(T.U + K.KEY_VALUE)), F.regexp_count(text, F.lit(T.U + K.TABLE_ROW))
-    rules = {
-        "PAN Card": [(pan, 10), (aadhaar, 5)],
-        "Aadhaar Card": [(aadhaar, 20), (pan & aadhaar, 5)],
-        "ITR Acknowledgement": [(pan, 10), (year, 20), (itr, 25), (pairs >= 5, 8)],
-        "GST Certificate": [(gstin, 30), (pan, 5)],
-        "Bank Statement": [(rows >= 5, 15), (pairs >= 3, 5)],
-        "Salary Slip": [(pan, 5), (rows >= 3, 8)],
-        "Form 16": [(tan, 20), (pan, 10), (year, 10)],
-        "Invoice": [(gstin, 10)],
-        "Balance Sheet": [(rows >= 3, 8), (T.contains_any(text, ["balance sheet"]), 20)],
-    }
+    x = seen(text)
+    holds = {"pan": x.has("pan"), "aadhaar": x.aadhaar, "pan and aadhaar": x.has("pan") & x.aadhaar, "gstin": x.has("gstin"), "tan": x.has("tan"), "year": x.year, "itr": x.has("itr")}
     out = {}
     for t in TYPES:
         total = F.lit(0)
-        for when, points in rules.get(t, []):
+        for what, least, points in K.STRUCTURE_POINTS.get(t, []):
+            when = holds[what] if what in holds else x.found[what] >= least if what in x.found else x.low.contains(what)
             total = total + F.when(when, points).otherwise(0)
         out[t] = total
     return out
@@ -131,38 +170,42 @@ def classify(docs: DataFrame, text: str = "text", score: str = "ocr_score") -> D
     A text of fewer than 20 characters, or a best type of fewer than 15 points, is Other; the first of
     equal types wins; confidence is at most 60 where the OCR score is under 20.
     """
-    t = F.coalesce(F.col(text), F.lit(""))
-    k, b = keyword_scores(t), structural_bonus(t)
-    d = docs.withColumn("_points", F.array(*[(k[x] + b[x]).cast("int") for x in TYPES]))
-    ranked = F.array(*[F.struct(F.get("_points", F.lit(i)).alias("p"), F.lit(-i).alias("i"), F.lit(x).alias("t")) for i, x in enumerate(TYPES)])
-    d = d.withColumn("_best", F.array_max(ranked)).withColumn("_total", F.aggregate("_points", F.lit(0), lambda a, x: a + x))
-    short = F.length(F.regexp_replace(t, r"^\s+|\s+$", "")) < 20
-    weak = F.col("_best.p") < 15
-    ratio = F.least(F.lit(98), (F.col("_best.p") / F.greatest(F.col("_total"), F.lit(1)) * 100 * 1.5).cast("int"))
+    d, x = look_once(docs, text)
+    return forget(_classify(d, x, score))
+
+
+def _classify(docs: DataFrame, x: Seen, score: str) -> DataFrame:
+    k, b = keyword_scores(x), structural_bonus(x)
+    d = docs.withColumn("_points", F.array(*[(k[t] + b[t]).cast("int") for t in TYPES]))
+    d = d.withColumns({"_best": F.array_max("_points"), "_total": F.aggregate("_points", F.lit(0), lambda a, p: a + p)})
+    first = F.element_at(F.array(*map(F.lit, TYPES)), F.array_position("_points", F.col("_best")).cast("int"))
+    short = F.length(F.regexp_replace(x.t, r"^\s+|\s+$", "")) < 20
+    weak = F.col("_best") < 15
+    ratio = F.least(F.lit(98), (F.col("_best") / F.greatest(F.col("_total"), F.lit(1)) * 100 * 1.5).cast("int"))
     confidence = F.when(F.coalesce(F.col(score), F.lit(0.0)) < 20, F.least(ratio, F.lit(60))).otherwise(ratio)
     return d.select(
         *docs.columns,
         F.when(short, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<int>"))).otherwise(F.map_from_arrays(F.array(*map(F.lit, TYPES)), F.col("_points"))).alias("scores"),
-        F.when(short | weak, "Other").otherwise(F.col("_best.t")).alias("document_type"),
-        F.when(short, 0).when(weak, F.greatest(F.lit(5), F.col("_best.p"))).otherwise(confidence).cast("int").alias("document_confidence"),
+        F.when(short | weak, "Other").otherwise(first).alias("document_type"),
+        F.when(short, 0).when(weak, F.greatest(F.lit(5), F.col("_best"))).otherwise(confidence).cast("int").alias("document_confidence"),
     )
 
 
-def refine(docs: DataFrame, text: str = "text") -> DataFrame:
+def refine(docs: DataFrame, text: str | Seen = "text") -> DataFrame:
     """``classify``'s output, with values ``aadhaar``, ``gstin`` and ``pan``, after the ordered rules that identifiers allow."""
-    t, kind, conf = F.coalesce(F.col(text), F.lit("")), F.col("document_type"), F.col("document_confidence")
-    low = F.lower(t)
-    aad = F.col("aadhaar").isNotNull() & ~kind.isin("Aadhaar Card", "PAN Card", "Form 16", "Salary Slip", "ITR Acknowledgement") & T.contains_any(low, ["aadhaar", "uidai"])
+    x = text if isinstance(text, Seen) else seen(F.col(text))
+    kind, conf = F.col("document_type"), F.col("document_confidence")
+    aad = F.col("aadhaar").isNotNull() & ~kind.isin("Aadhaar Card", "PAN Card", "Form 16", "Salary Slip", "ITR Acknowledgement") & x.any(["aadhaar", "uidai"])
     own = F.coalesce(F.try_element_at("scores", kind), F.lit(0))
     other = F.coalesce(F.try_element_at("scores", F.lit("Aadhaar Card")), F.lit(0))
     keep = (conf >= 75) | (own >= other * 3)
     gst = F.col("gstin").isNotNull() & (kind == "Other")
-    itr = (kind == "Other") & F.col("pan").isNotNull() & year_found(t) & T.has(t, K.ITR_TYPE)
-    form = T.has(F.upper(t), K.TAN) & low.contains("form") & t.contains("16") & (kind != "Form 16")
-    cert, inv = T.contains_any(low, ["certificate", "registration"]), low.contains("invoice")
+    itr = (kind == "Other") & F.col("pan").isNotNull() & x.year & x.has("itr")
+    form = x.has("tan") & x.low.contains("form") & x.t.contains("16") & (kind != "Form 16")
+    cert, inv = x.any(["certificate", "registration"]), x.low.contains("invoice")
     new = F.when(aad & keep, kind).when(aad, "Aadhaar Card").when(gst & cert, "GST Certificate").when(gst & inv, "Invoice").when(itr, "ITR Acknowledgement").when(form, "Form 16").otherwise(kind)
     c = F.when(aad & keep, conf).when(aad, F.greatest(conf, F.lit(70))).when(gst & (cert | inv), 65).when(itr, 72).when(form, F.greatest(conf, F.lit(70))).otherwise(conf)
-    return docs.select(*[x for x in docs.columns if x not in ("document_type", "document_confidence")], new.alias("document_type"), c.cast("int").alias("document_confidence"))
+    return docs.select(*[c for c in docs.columns if c not in ("document_type", "document_confidence")], new.alias("document_type"), c.cast("int").alias("document_confidence"))
 
 
 def status(document_type: Column, client: Column, ambiguous: Column, confidence: Column, score: Column) -> Column:
@@ -193,41 +236,51 @@ def _only(value: Column, ok: Column) -> Column:
     return F.when(ok, value)
 
 
-def pan_field(t: Column, s: Column) -> Column:
+def pan_field(text: Column | Seen, s: Column) -> Column:
+    x = seen(text)
+    t = x.t
     label = F.upper(F.regexp_replace(T.first_match(t, K.PAN_LABEL), r"(?U)\W", ""))
     label = _only(label, T.valid_pan(label))
-    strict = T.first_match(F.upper(t), K.PAN)
+    strict = x.found["pan"]
     return _field((label, T.field_confidence(label, s, label=True)), (strict, T.field_confidence(strict, s)))
 
 
-def gstin_field(t: Column, s: Column) -> Column:
+def gstin_field(text: Column | Seen, s: Column) -> Column:
+    x = seen(text)
+    t = x.t
     label = F.upper(F.regexp_replace(T.first_match(t, K.GSTIN_LABEL), r"(?U)\s", ""))
     label = _only(label, T.valid_gstin(label) & T.valid_pan(F.substring(label, 3, 10)))
-    strict = T.first_match(F.upper(t), K.GSTIN)
+    strict = x.found["gstin"]
     return _field((label, T.field_confidence(label, s, label=True)), (strict, T.field_confidence(strict, s)))
 
 
-def tan_field(t: Column, s: Column) -> Column:
+def tan_field(text: Column | Seen, s: Column) -> Column:
+    x = seen(text)
+    t = x.t
     label = F.upper(T.first_match(t, K.TAN_LABEL))
     label = _only(label, F.coalesce(label.rlike("^[A-Z]{4}[0-9]{5}[A-Z]$"), F.lit(False)))
-    strict = _only(T.first_match(F.upper(t), K.TAN), T.contains_any(t, ["tan", "deductor", "form 16"]))
+    strict = _only(x.found["tan"], x.any(["tan", "deductor", "form 16"]))
     return _field((label, T.field_confidence(label, s, label=True)), (strict, T.field_confidence(strict, s)))
 
 
-def ifsc_field(t: Column, s: Column) -> Column:
+def ifsc_field(text: Column | Seen, s: Column) -> Column:
+    x = seen(text)
+    t = x.t
     label = F.upper(T.first_match(t, K.IFSC_LABEL))
     label = _only(label, T.valid_ifsc(label))
-    strict = _only(T.first_match(F.upper(t), K.IFSC), T.contains_any(t, ["ifsc", "bank", "branch", "account"]))
+    strict = _only(x.found["ifsc"], x.any(["ifsc", "bank", "branch", "account"]))
     return _field((label, T.field_confidence(label, s, label=True)), (strict, T.field_confidence(strict, s)))
 
 
-def year_field(t: Column, s: Column) -> Column:
-    ay = T.first_match(t, K.AY_LABEL)
+def year_field(text: Column | Seen, s: Column) -> Column:
+    x = seen(text)
+    t = x.t
+    ay = x.found["ay"]
     ay = _only(ay, T.valid_year(ay))
     fy = T.first_match(t, K.FY_LABEL)
     fy = _only(fy, T.valid_year(fy))
-    alone = F.get(F.filter(T.all_matches(t, K.AY_ALONE), T.valid_year), F.lit(0))
-    alone = _only(alone, T.contains_any(t, ["assessment", "financial year", "income tax", "itr", "ay"]))
+    alone = F.get(F.filter(x.found["years"], T.valid_year), F.lit(0))
+    alone = _only(alone, x.any(["assessment", "financial year", "income tax", "itr", "ay"]))
     return _field((ay, T.field_confidence(ay, s, label=True)), (fy, T.field_confidence(fy, s, label=True)), (alone, T.field_confidence(alone, s)))
 
 
@@ -240,44 +293,51 @@ def _windows(t: Column, pattern: str, radius: int) -> Column:
     return F.zip_with(values, F.slice(starts, F.lit(1), F.size(values)), lambda v, at: F.struct(v.alias("value"), F.substring(t, F.greatest(at - radius, F.lit(0)) + 1, F.least(at, F.lit(radius)) + F.length(v) + radius).alias("near")))
 
 
-def aadhaar_field(t: Column, s: Column) -> Column:
+def aadhaar_field(text: Column | Seen, s: Column) -> Column:
+    x = seen(text)
+    t = x.t
     label = F.regexp_replace(T.first_match(t, K.AADHAAR_LABEL), r"(?U)\D", "")
     label = T.format_aadhaar(_only(label, T.plausible_aadhaar(label)))
     tail = T.first_match(t, K.AADHAAR_MASKED)
     masked = F.when(tail.isNotNull(), F.concat(F.lit("XXXX XXXX "), tail))
-    strong = T.contains_any(t, K.AADHAAR_WORDS)
+    strong = x.any(K.AADHAAR_WORDS)
     bare = lambda v: F.regexp_replace(v, r"(?U)\D", "")
     grouped = F.filter(_windows(t, K.AADHAAR_FORMATTED, 120), lambda m: T.plausible_aadhaar(bare(m["value"])) & ~T.has(m["near"], K.NOT_AADHAAR))
-    grouped = T.format_aadhaar(_only(F.get(grouped, F.lit(0))["value"], strong))
+    grouped = T.format_aadhaar(F.when(strong & x.found["grouped_digits"], F.get(grouped, F.lit(0))["value"]))
     plain = F.filter(_windows(t, K.AADHAAR_PLAIN, 80), lambda m: T.plausible_aadhaar(m["value"]) & T.contains_any(m["near"], K.AADHAAR_WORDS) & ~T.has(m["near"], K.NOT_AADHAAR))
-    plain = T.format_aadhaar(_only(F.get(plain, F.lit(0))["value"], strong))
+    plain = T.format_aadhaar(F.when(strong & x.found["plain_digits"], F.get(plain, F.lit(0))["value"]))
     return _field((label, T.field_confidence(label, s, label=True)), (masked, F.lit(60)), (grouped, T.field_confidence(grouped, s)), (plain, T.field_confidence(plain, s, corrected=True)))
 
 
-def name_field(t: Column, s: Column, pan: Column) -> Column:
-    """The first valid name near the PAN, else the first after a label, else the first fitting top line."""
+def name_field(text: Column | Seen, s: Column, pan: Column) -> Column:
+    """The first valid name near the PAN, else the first after a label, else the first fitting top line.
+
+    A later place is only looked at where the earlier ones have none, and a label's pattern only runs on texts that hold the label.
+    """
+    x = seen(text)
+    t = x.t
     good = lambda c: (c != "") & T.is_likely_name(c) & T.is_valid_name(c)
     tidy = lambda v: T.clean_name(F.trim(F.get(F.split(F.trim(v), "\n"), F.lit(0))))
+    first = lambda a: F.get(F.filter(a, good), F.lit(0))
     value = r"\s*[:\-\|]?\s*([A-Za-z][A-Za-z\s\.\-]{2,50})"
-    found = lambda text, label: F.filter(F.transform(F.regexp_extract_all(text, F.lit(label + value), F.lit(1)), tidy), good)
-    labelled = F.concat(*[found(t, rf"(?i)(?<![A-Za-z])(?:{label})(?![A-Za-z])") for label in K.NAME_LABELS])
+    found = lambda text, label: first(F.transform(F.regexp_extract_all(text, F.lit(label + value), F.lit(1)), tidy))
+    labelled = F.coalesce(*[F.when(x.low.contains(label), found(t, rf"(?i)(?<![A-Za-z])(?:{label})(?![A-Za-z])")) for label in K.NAME_LABELS])
+
     def around(p: Column) -> Column:
-        at = F.position(p, F.upper(t))
+        at = F.position(p, x.up)
         window = F.when(p.isNotNull() & (at > 0), F.substring(t, F.greatest(at - 300, F.lit(1)), F.least(at - 1, F.lit(300)) + F.length(p) + 200))
         return F.coalesce(window, F.lit(""))
 
-    near = T.once(T.once(pan, around), lambda w: F.concat(*[found(w, rf"(?i)(?:{label})") for label in ("name", "assessee", "applicant")]))
-    top = F.filter(F.slice(T.lines_of(t), F.lit(1), F.lit(12)), lambda x: F.length(x).between(4, 60) & x.rlike(r"(?U)[^\d\W]") & ~T.contains_any(x, K.TOP_LINE_WORDS) & ~F.regexp_replace(F.lower(F.get(T.words_by_space(x), F.lit(0))), r"[.,:\-]+$", "").isin(K.TOP_LINE_STOPWORDS) & (T.count_of(x, r"\p{L}") / F.length(x) >= 0.7))
-    top = F.filter(F.transform(top, T.clean_name), lambda c: good(c) & (F.size(T.words_by_space(c)) >= 2))
-    first = lambda a: F.get(a, F.lit(0))
+    near = T.once(T.once(pan, around), lambda w: F.coalesce(*[found(w, rf"(?i)(?:{label})") for label in ("name", "assessee", "applicant")]))
+    line = lambda v: F.length(v).between(4, 60) & v.rlike(r"(?U)[^\d\W]") & ~T.contains_any(v, K.TOP_LINE_WORDS) & ~F.regexp_replace(F.lower(F.get(T.words_by_space(v), F.lit(0))), r"[.,:\-]+$", "").isin(K.TOP_LINE_STOPWORDS) & (T.count_of(v, r"\p{L}") / F.length(v) >= 0.7)
+    top = F.transform(F.filter(F.slice(T.lines_of(t), F.lit(1), F.lit(12)), line), T.clean_name)
+    top = first(F.filter(top, lambda c: F.size(T.words_by_space(c)) >= 2))
     conf = T.field_confidence(F.lit("x"), s, regex=False, label=True)
-
-    def choose(v: Column) -> Column:
-        points = F.when(v["near"].isNotNull(), conf + 10).when(v["labelled"].isNotNull(), conf).when(v["top"].isNotNull(), 40).otherwise(0)
-        name = T.once(F.coalesce(v["near"], v["labelled"], v["top"]), T.normalize_name)
-        return T.once(name, lambda x: F.when(T.is_valid_name(x), F.struct(x.alias("value"), points.cast("int").alias("confidence"))).otherwise(F.struct(F.lit(None).cast("string").alias("value"), F.lit(0).alias("confidence"))))
-
-    return T.once(F.struct(first(near).alias("near"), first(labelled).alias("labelled"), first(top).alias("top")), choose)
+    place = lambda v, points: T.once(v, lambda n: F.when(n.isNotNull(), F.struct(n.alias("name"), points.cast("int").alias("points"))))
+    best = F.coalesce(place(near, conf + 10), place(labelled, conf), place(top, F.lit(40)))
+    none = F.struct(F.lit(None).cast("string").alias("value"), F.lit(0).alias("confidence"))
+    given = lambda v: T.once(T.normalize_name(v["name"]), lambda n: F.when(T.is_valid_name(n), F.struct(n.alias("value"), v["points"].alias("confidence"))).otherwise(none))
+    return F.coalesce(T.once(best, given), none)
 
 
 def phone_field(t: Column) -> Column:
@@ -296,29 +356,35 @@ def dates_field(t: Column) -> Column:
     return F.array_distinct(F.concat(T.all_matches(t, K.DATE_MONTH), T.all_matches(t, K.DATE_NUMERIC)))
 
 
-def gst_period_field(t: Column) -> Column:
-    gst = T.contains_any(t, ["gst", "gstin", "gstr", "goods and services"])
+def gst_period_field(text: Column | Seen) -> Column:
+    x = seen(text)
+    t, gst = x.t, x.any(["gst", "gstin", "gstr", "goods and services"])
     month, filed = _only(T.first_match(t, K.GST_PERIOD), gst), _only(T.first_match(t, K.GST_FILED), gst)
     return F.struct(month.alias("month"), filed.alias("filing_date"), F.when(month.isNotNull() | filed.isNotNull(), 85).otherwise(0).cast("int").alias("confidence"))
 
 
-def itr_type(t: Column) -> Column:
-    return F.replace(F.replace(F.upper(T.first_match(t, K.ITR_TYPE)), F.lit(" "), F.lit("-")), F.lit("--"), F.lit("-"))
+def itr_type(text: Column | Seen) -> Column:
+    return F.replace(F.replace(F.upper(seen(text).found["itr"]), F.lit(" "), F.lit("-")), F.lit("--"), F.lit("-"))
 
 
 def extract_fields(docs: DataFrame, text: str = "text", score: str = "ocr_score") -> DataFrame:
     """``docs`` with one column a field: struct(value, confidence), and ``dates``."""
-    t, s = F.coalesce(F.col(text), F.lit("")), F.col(score)
-    d = docs.withColumns({"pan": pan_field(t, s), "aadhaar": aadhaar_field(t, s), "gstin": gstin_field(t, s), "tan": tan_field(t, s), "ifsc": ifsc_field(t, s), "year": year_field(t, s)})
+    d, x = look_once(docs, text)
+    return forget(_extract(d, x, score))
+
+
+def _extract(docs: DataFrame, x: Seen, score: str) -> DataFrame:
+    t, s = x.t, F.col(score)
+    d = docs.withColumns({"pan": pan_field(x, s), "aadhaar": aadhaar_field(x, s), "gstin": gstin_field(x, s), "tan": tan_field(x, s), "ifsc": ifsc_field(x, s), "year": year_field(x, s)})
     return d.withColumns(
         {
-            "name": name_field(t, s, F.col("pan.value")),
+            "name": name_field(x, s, F.col("pan.value")),
             "invoice_number": _field((T.first_match(t, K.INVOICE_LABEL), T.field_confidence(F.lit("x"), s, label=True))),
             "phone": phone_field(t),
             "email": simple_field(t, K.EMAIL, 90, lower=True),
             "dates": dates_field(t),
-            "gst_period": gst_period_field(t),
-            "itr_type": _field((itr_type(t), F.lit(85))),
+            "gst_period": gst_period_field(x),
+            "itr_type": _field((itr_type(x), F.lit(85))),
             "acknowledgement_number": simple_field(t, K.ACK_LABEL, 85),
         }
     )
@@ -326,13 +392,14 @@ def extract_fields(docs: DataFrame, text: str = "text", score: str = "ocr_score"
 
 def process(docs: DataFrame, text: str = "text", score: str = "ocr_score") -> DataFrame:
     """Classify, extract, refine and summarise: the whole pipeline from corrected text to one result row."""
-    d = extract_fields(classify(docs, text, score), text, score)
+    d, x = look_once(docs, text)
+    d = _extract(_classify(d, x, score), x, score)
     ids = {k: F.col(f"{k}.value") for k in ("aadhaar", "gstin", "pan")}
     kept = [c for c in d.columns if c not in ids]
-    flat = refine(d.select(*kept, *[F.col(k).alias(f"_{k}") for k in ids], *[v.alias(k) for k, v in ids.items()]), text)
+    flat = refine(d.select(*kept, *[F.col(k).alias(f"_{k}") for k in ids], *[v.alias(k) for k, v in ids.items()]), x)
     out = flat.select(*[c for c in flat.columns if c not in ids and c not in {f"_{k}" for k in ids}], *[F.col(f"_{k}").alias(k) for k in ids])
     parts = {"Name": F.col("name.value"), "PAN": F.col("pan.value"), "Aadhaar": F.col("aadhaar.value"), "GSTIN": F.col("gstin.value"), "Assessment_Year": F.col("year.value"), "ITR_Type": F.col("itr_type.value")}
-    return out.withColumn("summary", T.summary_line(F.col("document_type"), F.col("document_confidence"), **parts))
+    return forget(out.withColumn("summary", T.summary_line(F.col("document_type"), F.col("document_confidence"), **parts)))
 
 
 def legacy_ids(docs: DataFrame, text: str = "text") -> DataFrame:
