@@ -5,14 +5,14 @@
 3. A representative is posted under its rarest ``coordinates - matches + 1`` coordinate-value
    pairs. Two signatures with ``matches`` equal coordinates share one of these pairs (prefix
    filter); the order only has to be global, so rarity may be estimated by a fixed-size sketch.
-4. Star round: each posting list links its members to its smallest id. Pairs with too few equal
-   coordinates go, the others are confirmed on their full sets, and linked ones are merged.
+4. Star rounds: each posting list is compared with one of its members, first the smallest id. Pairs
+   with too few equal coordinates go, the others are confirmed on their full sets, and linked ones
+   are merged. Lists of more than ``LONG`` members whose members are then not all in one component
+   have further members as centres, as long as that links anything.
 5. Skip round: lists whose members all meet in one component are skipped. In the others, only
-   members of different components are compared, and confirmed on full sets; each list gives a
-   spanning forest, never all its pairs. An open list of more than ``BLOCK`` members is first parted
-   by a second pair: signatures with ``matches`` equal coordinates share two of their
-   ``coordinates - matches + 2`` rarest pairs, so its members meet again under one of the others.
-   What is then still longer is compared in pairs of blocks.
+   members of different components are compared by their coordinates, those of many lists in one
+   task; a list of more than ``BLOCK`` members is compared in pairs of blocks. The pairs found, each
+   once however many lists it is in, are confirmed on full sets.
 """
 
 from __future__ import annotations
@@ -33,11 +33,16 @@ from .textbuf import Chunk, PrefixHash, chunks, mix, words
 
 COORDINATES = 96
 #: Counters of the rarity sketch, whatever the input's size.
-SKETCH = 1 << 16
+SKETCH = 1 << 18
 #: Members of a posting list that one task compares with as many others.
 BLOCK = 1024
+#: Members from which an open list has further centres, and how many at most.
+LONG, CENTRES = 64, 8
+#: Rows of open lists that one task compares.
+BUCKET_ROWS = 20_000
 
 _KEEP = np.uint64(52)
+_CELL = np.uint64(64 - 18)
 
 
 def match_threshold(percent: float, coordinates: int = COORDINATES) -> int:
@@ -168,19 +173,19 @@ def rarity(reps: DataFrame, coordinates: int) -> np.ndarray:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SKETCH, np.int64)
         for batch in batches:
-            total += np.bincount((_pair_keys(_matrix(batch.column(0), coordinates)) >> np.uint64(48)).astype(np.int64).ravel(), minlength=SKETCH)
+            total += np.bincount((_pair_keys(_matrix(batch.column(0), coordinates)) >> _CELL).astype(np.int64).ravel(), minlength=SKETCH)
         cells = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(total[cells])], ["cell", "n"])
 
-    out = np.zeros(SKETCH, np.int64)
+    out = np.zeros(SKETCH, np.int32)
     for cell, n in reps.select("sig").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n")).collect():
-        out[cell] = n
+        out[cell] = min(n, 2**31 - 1)
     return out
 
 
 def _rarest(keys: np.ndarray, sketch: np.ndarray, n: int) -> np.ndarray:
     """The n rarest keys of each row, by an order that is the same for all rows."""
-    keep = np.lexsort((keys, sketch[(keys >> np.uint64(48)).astype(np.int64)]), axis=1)[:, :n]
+    keep = np.lexsort((keys, sketch[(keys >> _CELL).astype(np.int64)]), axis=1)[:, :n]
     return np.take_along_axis(keys, keep, 1)
 
 
@@ -197,23 +202,6 @@ def postings(reps: DataFrame, sketch: np.ndarray, coordinates: int, prefix: int)
     return reps.select("doc_id", "sig").mapInArrow(run, "key long, doc_id long")
 
 
-def second_postings(members: DataFrame, sketch: np.ndarray, coordinates: int, prefix: int) -> DataFrame:
-    """``key, doc_id``: members (key, doc_id, sig) under their list's key with each other of their ``prefix`` + 1 rarest pairs."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, 1024):
-                part = batch.slice(i, 1024)
-                own = part.column(0).to_numpy().view(np.uint64)[:, None]
-                near = _rarest(_pair_keys(_matrix(part.column(2), coordinates)), sketch, prefix + 1)
-                with np.errstate(over="ignore"):
-                    both = mix(mix(own + np.uint64(3)) ^ near)
-                row, place = np.nonzero(near != own)
-                yield pa.RecordBatch.from_arrays([pa.array(both[row, place].view(np.int64)), part.column(1).take(pa.array(row))], ["key", "doc_id"])
-
-    return members.select("key", "doc_id", "sig").mapInArrow(run, "key long, doc_id long")
-
-
 def _lists(posted: DataFrame) -> DataFrame:
     """``key, size, dst`` of the lists of two or more members, dst the smallest id; lists of equal members once."""
     lists = posted.groupBy("key").agg(F.count("*").alias("size"), F.min("doc_id").alias("dst"), F.sum(F.shiftright(F.xxhash64("doc_id"), 20)).alias("who")).where("size > 1")
@@ -252,51 +240,59 @@ def _alike(pairs: DataFrame, coordinates: int, matches: int) -> DataFrame:
     return pairs.select("src", "dst", "sa", "sb").mapInArrow(run, "src long, dst long")
 
 
-def _blocks(members: DataFrame) -> DataFrame:
-    """Members of lists of a ``size``, dealt to pairs of blocks of about BLOCK members: rows gain ``x, y``.
+def _low_bytes(sig: DataFrame, coordinates: int) -> DataFrame:
+    """``doc_id, low``: the low byte of each coordinate. Equal coordinates have equal bytes, so no pair is lost by them."""
 
-    A list of at most BLOCK members is the one pair (0, 0).
-    """
-    m = members.withColumn("nb", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("blk", F.pmod(F.xxhash64("doc_id"), F.col("nb")).cast("int"))
-    m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    return m.select(F.least("blk", "other").alias("x"), F.greatest("blk", "other").alias("y"), *[c for c in m.columns if c not in ("nb", "other", "size", "blk")])
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), _binary((_matrix(batch.column(1), coordinates) & 255).astype(np.uint8))], ["doc_id", "low"])
 
+    return sig.mapInArrow(run, "doc_id long, low binary")
 
-def _flag(coordinates: int, matches: int):
-    """Of the members of a pair of blocks: those like a member of another component."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("doc_id")
-        sig = np.frombuffer(b"".join(pdf["sig"]), np.uint32).reshape(-1, coordinates)
-        label = pdf["label"].to_numpy()
-        hit = np.zeros(len(pdf), bool)
-        for i in range(len(pdf)):
-            rest = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
-            near = rest[(sig[rest] == sig[i]).sum(1) >= matches] if len(rest) else rest
-            if len(near):
-                hit[i] = True
-                hit[near] = True
-        return pdf.loc[hit, ["key", "doc_id"]]
+def _in_buckets(members: DataFrame) -> DataFrame:
+    """Members of lists of a ``size`` (key, doc_id, ...), dealt to pairs of blocks x, y of about BLOCK members, and these to buckets of lists.
 
-    return run
+    A list of at most BLOCK members is the one pair (0, 0).
+    """
+    m = members.withColumn("nb", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("blk", F.pmod(F.xxhash64("doc_id"), F.col("nb")).cast("int"))
+    m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).withColumns({"x": F.least("blk", "other"), "y": F.greatest("blk", "other")})
+    buckets = members.count() // BUCKET_ROWS + 1
+    return m.withColumn("bucket", F.pmod(F.xxhash64("key", "x", "y"), F.lit(buckets))).drop("nb", "blk", "other", "size")
 
 
-def _forest(coordinates: int, matches: int, percent: float):
-    """Links between components that a pair of blocks confirms on full sets: at most one less than its members."""
+def _near_pairs(coordinates: int, matches: int):
+    """Of the lists of a bucket: pairs of members of different components with at least ``matches`` equal coordinates."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("doc_id").reset_index(drop=True)
-        sig = np.frombuffer(b"".join(pdf["sig"]), np.uint32).reshape(-1, coordinates)
-        sets = [np.frombuffer(x, np.uint64) for x in pdf["grams"]]
-        label, ids = pdf["label"].to_numpy().copy(), pdf["doc_id"].to_numpy()
-        links = []
-        for i in range(len(ids)):
-            rest = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
-            for j in rest[(sig[rest] == sig[i]).sum(1) >= matches] if len(rest) else rest:
-                if label[j] != label[i] and _similar(sets[i], sets[j], percent):
-                    links.append((ids[i], ids[j]))
-                    label[label == label[j]] = label[i]
-        return pd.DataFrame(links, columns=["src", "dst"], dtype="int64")
+        pdf = pdf.sort_values(["key", "x", "y", "doc_id"], ignore_index=True)
+        sig = np.frombuffer(b"".join(pdf["low"]), np.uint8).reshape(-1, coordinates)
+        key, ids, label = pdf[["key", "x", "y"]].to_numpy(), pdf["doc_id"].to_numpy(), pdf["label"].to_numpy()
+        first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(1)])) if len(key) else np.zeros(0, np.int64)
+        size = np.diff(np.append(first, len(key)))
+        found = []
+
+        def keep(i: np.ndarray, j: np.ndarray) -> None:
+            apart = np.flatnonzero(label[i] != label[j])
+            for k in range(0, len(apart), 50_000):
+                u, v = i[apart[k : k + 50_000]], j[apart[k : k + 50_000]]
+                near = (sig[u] == sig[v]).sum(1) >= matches
+                found.append(np.stack([ids[v[near]], ids[u[near]]], 1))
+
+        for m in np.unique(size):
+            at = first[size == m]
+            if m <= 64:
+                i, j = np.triu_indices(m, 1)
+                step = max(1, 200_000 // max(len(i), 1))
+                for k in range(0, len(at), step):
+                    keep((at[k : k + step, None] + i).ravel(), (at[k : k + step, None] + j).ravel())
+            else:
+                for a in at:
+                    for i in range(a, a + m - 1):
+                        j = np.arange(i + 1, a + m)
+                        keep(np.full(len(j), i), j)
+        pairs = np.unique(np.concatenate([np.zeros((0, 2), np.int64), *found]), axis=0)
+        return pd.DataFrame(pairs, columns=["src", "dst"])
 
     return run
 
@@ -323,46 +319,60 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: float = 80, co
     members = cut(posted.join(lists, "key").select("key", "size", "dst", F.col("doc_id").alias("src")), "members")
     drop(posted, lists)
 
-    stars = members.where("src <> dst").select("src", "dst").distinct()
-    by_sig = stars.join(reps.select(F.col("doc_id").alias("src"), F.col("sig").alias("sa")), "src").join(reps.select(F.col("doc_id").alias("dst"), F.col("sig").alias("sb")), "dst")
-    likely = cut(_alike(by_sig, coordinates, matches), "likely")
-    sets = cut(full_sets(docs.join(likely.select(F.col("src").alias("doc_id")).union(likely.select("dst")).distinct(), "doc_id", "left_semi"), size), "sets")
-    pairs = likely.join(sets.select(F.col("doc_id").alias("src"), F.col("grams").alias("ga")), "src").join(sets.select(F.col("doc_id").alias("dst"), F.col("grams").alias("gb")), "dst")
-    links = cut(_confirm(pairs, percent), "confirmed")
-    drop(likely, sets)
-    labels = connected_components(links)
-
-    def labelled(posted: DataFrame) -> DataFrame:
-        """Members of lists with their components."""
-        named = posted.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-        return cut(named.select("key", "doc_id", F.coalesce("component", "doc_id").alias("label")), "labelled")
-
-    def still_open(named: DataFrame) -> DataFrame:
-        """Of labelled members, those whose list holds several components, with their signatures and the list's ``size``."""
+    side = lambda name, value, table, column: table.select(F.col("doc_id").alias(name), F.col(column).alias(value))
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        return cut(_alike(pairs.join(side("src", "sa", reps, "sig"), "src").join(side("dst", "sb", reps, "sig"), "dst"), coordinates, matches), "likely")
+
+    def confirmed(likely: DataFrame) -> DataFrame:
+        """The links among pairs; ``likely`` is used up."""
+        wanted = likely.select(F.col("src").alias("doc_id")).union(likely.select("dst")).distinct()
+        sets = cut(full_sets(docs.join(wanted, "doc_id", "left_semi"), size), "sets")
+        pairs = likely.join(side("src", "ga", sets, "grams"), "src").join(side("dst", "gb", sets, "grams"), "dst")
+        out = cut(_confirm(pairs, percent), "confirmed")
+        drop(likely, sets)
+        return out
+
+    def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+        """Labels after more links; both are used up."""
+        out = connected_components(links.union(labels.select(F.col("node").alias("src"), F.col("component").alias("dst"))))
+        drop(links, labels)
+        return out
+
+    def still_open(posted: DataFrame) -> DataFrame:
+        """``key, doc_id, label, size`` of the lists that hold several components."""
+        named = posted.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("label"))
+        named = cut(named, "labelled")
         lists = named.groupBy("key").agg(F.count("*").alias("size"), F.min("label").alias("l"), F.max("label").alias("h")).where("l < h")
-        return cut(named.join(lists.select("key", "size"), "key").join(reps, "doc_id"), "open")
-
-    named = labelled(members.select("key", F.col("src").alias("doc_id")))
-    waiting = still_open(named)
-    drop(members, named)
-    if (long := waiting.where(F.col("size") > BLOCK)).take(1):
-        parted = cut(second_postings(long, sketch, coordinates, prefix), "parted")
-        again = labelled(parted.join(_lists(parted).select("key"), "key"))
-        narrow = still_open(again)
-        columns = ["key", "doc_id", "label", "size", "sig"]
-        old, waiting = waiting, cut(waiting.where(F.col("size") <= BLOCK).select(*columns).union(narrow.select(*columns)), "open")
-        drop(old, parted, again, narrow)
-    flagged = cut(_blocks(waiting).groupBy("key", "x", "y").applyInPandas(_flag(coordinates, matches), "key long, doc_id long").distinct(), "flagged")
-    if flagged.take(1):
-        more = full_sets(docs.join(flagged.select("doc_id").distinct(), "doc_id", "left_semi"), size)
-        dealt = _blocks(waiting.drop("size").join(flagged, ["key", "doc_id"]).join(flagged.groupBy("key").agg(F.count("*").alias("size")), "key").join(more, "doc_id"))
-        extra = dealt.groupBy("key", "x", "y").applyInPandas(_forest(coordinates, matches, percent), "src long, dst long")
-        extra = cut(extra, "extra")
-        if extra.take(1):
-            old, labels = labels, connected_components(links.union(extra))
-            drop(old)
-        drop(extra)
-    drop(waiting, flagged, links)
+        out = cut(named.join(lists.select("key", "size"), "key"), "open")
+        drop(named)
+        return out
+
+    first = confirmed(alike(members.where("src <> dst").select("src", "dst").distinct()))
+    labels = connected_components(first)
+    drop(first)
+    waiting = still_open(members.select("key", F.col("src").alias("doc_id")))
+    drop(members)
+    for turn in range(CENTRES):
+        long = waiting.where(F.col("size") > LONG)
+        centres = long.groupBy("key").agg(F.min_by(F.struct("doc_id", "label"), F.xxhash64("doc_id", F.lit(turn))).alias("c"))
+        pairs = long.join(centres, "key").where(F.col("label") != F.col("c.label"))
+        likely = alike(pairs.select(F.greatest("doc_id", "c.doc_id").alias("src"), F.least("doc_id", "c.doc_id").alias("dst")).distinct())
+        if not likely.take(1):
+            drop(likely)
+            break
+        links = confirmed(likely)
+        if not links.take(1):
+            drop(links)
+            break
+        labels = merged(labels, links)
+        old, waiting = waiting, still_open(waiting.select("key", "doc_id"))
+        drop(old)
+    near = _in_buckets(waiting.join(_low_bytes(reps, coordinates), "doc_id")).groupBy("bucket").applyInPandas(_near_pairs(coordinates, matches), "src long, dst long")
+    near = cut(near.distinct(), "likely")
+    drop(waiting)
+    if near.take(1):
+        labels = merged(labels, confirmed(near))
 
     # every document gets its set's representative; only sets of several documents need the join,
     # and a set of very many is spread over salts

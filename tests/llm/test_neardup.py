@@ -58,8 +58,12 @@ def test_against_all_pairs(spark, seed, size, percent):
 
 
 @pytest.mark.parametrize("block", [2, 6])
-def test_long_open_lists_are_parted(spark, block, monkeypatch):
+def test_long_open_lists(spark, block, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK", block)
+    monkeypatch.setattr(neardup, "LONG", block)
+    monkeypatch.setattr(neardup, "BUCKET_ROWS", 50)
+    if block == 2:
+        monkeypatch.setattr(neardup, "CENTRES", 0)
     rows = corpus(5, 200)
     out = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size=3, percent=85).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out} == brute(rows, 3, 85)
