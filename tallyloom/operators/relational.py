@@ -5,7 +5,7 @@ Tables are never changed in place: a change takes a table and gives the table th
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions import constants as K
@@ -146,30 +146,32 @@ def type_terms() -> list[tuple[str, str]]:
     return [(t, x) for t, ks in K.MESSAGE_KEYWORDS.items() for x in [t.lower(), *ks, *more.get(t, [])]]
 
 
-def clients_by_phone(messages: DataFrame, clients: DataFrame, strict: bool = False) -> DataFrame:
+def clients_by_phone(messages: DataFrame, clients: DataFrame, blank: bool = False) -> DataFrame:
     """Messages with the active clients whose mobile ends with the phone's last ten digits.
 
-    An empty phone matches every client that has a mobile, unless ``strict``. Ten-digit phones meet
-    mobiles of digits by their last four digits first, so that the suffix test sees few pairs.
+    A mobile is keyed by each of its suffixes of up to ten characters, so that a phone of any length
+    meets its clients by an equi-join; each phone is looked up once, however many messages it sends.
+    A phone without digits names nobody. (As an empty suffix it would be every client's; ``blank``
+    asks for that, at the cost of a row for each such message and client.)
     """
     m = messages.withColumn("_p", T.normalize_phone(F.col("phone")))
     c = clients.where("is_active AND mobile IS NOT NULL").select(F.col("id").alias("client_id"), "firm_id", "client_name", F.replace(F.col("mobile"), F.lit(" "), F.lit("")).alias("_m"))
-    full = m.where(F.length("_p") >= 4).withColumn("_k", F.right("_p", F.lit(4))).join(c.withColumn("_k", F.right("_m", F.lit(4))), "_k").drop("_k").where(F.endswith("_m", "_p"))
-    if strict:
-        return full.drop("_p", "_m")
-    short = m.where(F.length("_p") < 4).join(c, F.endswith("_m", "_p"))  # suffixes too short to key
-    return full.unionByName(short).drop("_p", "_m")
+    keyed = c.withColumn("_p", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.length("_m"), F.lit(10))), lambda n: F.right(F.col("_m"), n)))).where(F.length("_m") > 0)
+    phones = m.select("_p").where("_p <> ''").distinct()
+    found = m.join(phones.join(keyed, "_p").drop("_m"), "_p")
+    if blank:
+        found = found.unionByName(m.where("_p = ''").crossJoin(c.drop("_m")))
+    return found.drop("_p")
 
 
 def retrieve(messages: DataFrame, clients: DataFrame, documents: DataFrame) -> DataFrame:
     """For each message the documents it asks for: message_id, document_id; of ITR with a year only that year's."""
-    spark = messages.sparkSession
-    terms = spark.createDataFrame(type_terms(), "type string, term string")
     who = clients_by_phone(messages, clients).select(F.col("id").alias("message_id"), "client_id", F.col("firm_id"), "body")
     wanted = who.select("message_id", "client_id", "firm_id", T.normalize_year(F.col("body")).alias("year"), requested_types(F.col("body")).alias("types"))
     asked = wanted.select("message_id", "client_id", "firm_id", F.when(F.array_contains("types", "ITR"), F.col("year")).alias("year"), F.explode("types").alias("type"))
-    kinds = documents.select("document_type").distinct().join(F.broadcast(terms), F.lower("document_type").contains(F.col("term"))).select("document_type", "type").distinct()
-    d = documents.select(F.col("id").alias("document_id"), "client_id", "firm_id", "document_type", "assessment_year").join(F.broadcast(kinds), "document_type")
+    low = F.lower("document_type")
+    kinds = F.array_distinct(F.filter(F.array(*[F.when(low.contains(term), kind) for kind, term in type_terms()]), lambda k: k.isNotNull()))
+    d = documents.select(F.col("id").alias("document_id"), "client_id", "firm_id", "assessment_year", F.explode(kinds).alias("type"))
     hit = asked.join(d, ["client_id", "firm_id", "type"]).where(F.col("year").isNull() | (T.normalize_year(F.col("assessment_year")) == F.col("year")))
     return hit.select("message_id", "document_id").distinct()
 
@@ -218,7 +220,7 @@ def toggle_firm(firms: DataFrame, users: DataFrame, firm_id: int) -> tuple[DataF
     """The firms with one toggled, and the users with those of the firm set to its new state."""
     after = toggle(firms, [firm_id])
     state = after.where(F.col("id") == firm_id).select(F.col("id").alias("firm_id"), F.col("is_active").alias("_state"))
-    return after, users.join(F.broadcast(state), "firm_id", "left").withColumn("is_active", F.coalesce("_state", "is_active")).drop("_state").select(*users.columns)
+    return after, users.join(state, "firm_id", "left").withColumn("is_active", F.coalesce("_state", "is_active")).drop("_state").select(*users.columns)
 
 
 def delete(table: DataFrame, gone: DataFrame, key: str = "id") -> DataFrame:
@@ -264,12 +266,3 @@ def add_column(table: DataFrame, column: str, default: Column) -> DataFrame:
 def violations(table: DataFrame, keys: list[str]) -> DataFrame:
     """Keys that occur more than once."""
     return table.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
-
-
-def ordered(df: DataFrame, by: list[Column], limit: int | None = None) -> DataFrame:
-    out = df.orderBy(*by)
-    return out.limit(limit) if limit else out
-
-
-def number_rows(df: DataFrame, partition: list[str], by: list[Column]) -> DataFrame:
-    return df.withColumn("n", F.row_number().over(Window.partitionBy(*partition).orderBy(*by)))

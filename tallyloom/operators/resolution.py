@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions import constants as K
 from tallyloom.functions import text as T
 
-#: Rows of a firm's clients that the substring rule on names may hold against one document.
+#: Characters of a name that make a key of the substring rule.
+GRAM = 5
 _FIELDS = [("pan", 95), ("gstin", 90), ("tan", 88), ("aadhaar", 82)]
 
 
@@ -17,8 +18,8 @@ def match_in_firm(docs: DataFrame, clients: DataFrame) -> DataFrame:
 
     Rules in order: PAN 1.0; PAN inside the GSTIN 0.98; Aadhaar 0.95, and where several clients share it
     0.92 for the personal primary one of identity documents, else ambiguous 0.50; name (either contains
-    the other) 0.75, or ambiguous 0.40. Each rule is an equi-join but the last, which only meets documents
-    that no other rule took, within the firm.
+    the other) 0.75, or ambiguous 0.40. Each rule is an equi-join; the last only meets documents that no
+    other rule took.
     """
     c = clients.where("is_active").select(F.col("firm_id").alias("_firm"), F.col("id").alias("client_id"), F.upper("pan_number").alias("_pan"), F.regexp_replace("aadhaar_number", r"[\s-]", "").alias("_aad"), F.lower(F.trim("client_name")).alias("_name"), ((F.col("client_type") == "personal") & F.col("is_primary_personal")).alias("_prime"))
     d = docs.select("id", F.col("firm_id").alias("_firm"), F.lower(F.coalesce("document_type", F.lit(""))).alias("_type"), T.normalize_pan(F.col("pan")).alias("_pan"), T.pan_from_gstin(F.col("gstin")).alias("_gst"), T.digits(F.col("aadhaar")).alias("_aad"), F.lower(F.trim("name")).alias("_name"))
@@ -36,12 +37,35 @@ def match_in_firm(docs: DataFrame, clients: DataFrame) -> DataFrame:
     taken = one.union(two).union(three)
     rest = d.where(F.coalesce(F.col("_name"), F.lit("")) != "").join(taken.select("id"), "id", "left_anti")
     x, y = rest.select("id", "_firm", F.col("_name").alias("_own")), c.select("_firm", "client_id", "_name").where(F.coalesce(F.col("_name"), F.lit("")) != "")
-    n = x.join(y, "_firm").where(F.col("_own").contains(F.col("_name")) | F.col("_name").contains(F.col("_own"))).groupBy("id").agg(F.count("*").alias("n"), F.min("client_id").alias("c"))
+    n = _either_contains(x, y).groupBy("id").agg(F.count("*").alias("n"), F.min("client_id").alias("c"))
     four = n.select("id", *found(4, F.when(F.col("n") > 1, 0.4).otherwise(0.75), F.col("n") > 1, "Name match", F.when(F.col("n") == 1, F.col("c"))))
     best = taken.union(four).groupBy("id").agg(F.min_by(F.struct("client_id", "confidence", "ambiguous", "reason"), "rule").alias("m"))
     return docs.select("id").join(best, "id", "left").select("id", "m.client_id", F.coalesce("m.confidence", F.lit(0.0)).alias("confidence"), F.coalesce("m.ambiguous", F.lit(False)).alias("ambiguous"), F.col("m.reason").alias("reason"))
 
 
+def _either_contains(x: DataFrame, y: DataFrame) -> DataFrame:
+    """Pairs of a firm (id, client_id) whose names ``_own`` and ``_name`` contain one another, by an inverted index.
+
+    A name that another contains has all its substrings in it. So the shorter side posts one key, its
+    substring of ``GRAM`` characters of least hash (all of a shorter name), and the longer side all its
+    substrings of up to as many; what meets is confirmed.
+    """
+
+    def parts(name: Column, n: int) -> Column:
+        return F.when(F.length(name) >= n, F.transform(F.sequence(F.lit(1), F.length(name) - (n - 1)), lambda i: F.substring(name, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+    def one(name: Column) -> Column:
+        least = F.array_min(F.transform(parts(name, GRAM), lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g"))))["g"]
+        return F.when(F.length(name) < GRAM, name).otherwise(least)
+
+    every = lambda name: F.array_distinct(F.flatten(F.array(*[parts(name, n) for n in range(1, GRAM + 1)])))
+    a, b = x.withColumn("_k", one(F.col("_own"))), y.withColumn("_k", F.explode(every(F.col("_name"))))
+    inside = a.join(b, ["_firm", "_k"]).where(F.col("_name").contains(F.col("_own"))).select("id", "client_id")
+    a, b = x.withColumn("_k", F.explode(every(F.col("_own")))), y.withColumn("_k", one(F.col("_name")))
+    around = a.join(b, ["_firm", "_k"]).where(F.col("_own").contains(F.col("_name"))).select("id", "client_id")
+    return inside.union(around).distinct()
+
+
 def match_in_registry(docs: DataFrame, registry: DataFrame) -> DataFrame:
     """For each document (id, pan, gstin, tan, aadhaar, aadhaar_confidence) the first registry row (registry_idx) that any identifier hits.
 
@@ -122,7 +146,3 @@ def batch_summary(results: DataFrame) -> DataFrame:
 def split_by_cache(files: DataFrame, cache: DataFrame, key: str = "sha") -> tuple[DataFrame, DataFrame]:
     """Files whose result is cached (with it), and the others."""
     return files.join(cache, key), files.join(cache.select(key), key, "left_anti")
-
-
-def latest_rank(df: DataFrame, partition: list[str], order: list[Column]) -> DataFrame:
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy(*partition).orderBy(*order)))

@@ -62,7 +62,7 @@ def field_confidence(t: Tables) -> DataFrame:
 )
 def folder_path(t: Tables) -> DataFrame:
     f, c = t.firms.select(F.col("id").alias("firm_id"), "firm_name"), t.clients.select(F.col("id").alias("client_id"), "client_name", "pan_number")
-    d = t.app_documents.join(F.broadcast(f), "firm_id").join(c, "client_id", "left")
+    d = t.app_documents.join(f, "firm_id").join(c, "client_id", "left")
     return d.select("id", T.folder_path(F.col("firm_name"), F.col("client_name"), F.col("pan_number"), F.col("document_type"), F.col("assessment_year")).alias("path"))
 
 

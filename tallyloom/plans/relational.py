@@ -22,7 +22,7 @@ def _norm(x: str) -> str:
 def documents_by_client_type(t: Tables) -> DataFrame:
     d = t.app_documents.groupBy("client_id").agg(F.count("*").alias("n"), F.count_if(F.col("status") == "pending_review").alias("p"))
     c = t.clients.select(F.col("id").alias("client_id"), "firm_id", "client_type").join(d, "client_id").groupBy("firm_id", "client_type").agg(F.sum("n").alias("n_documents"), F.sum("p").alias("n_pending"))
-    return c.join(F.broadcast(t.firms.select(F.col("id").alias("firm_id"), "firm_name")), "firm_id").select(F.col("firm_id").alias("id"), "firm_name", "client_type", "n_documents", "n_pending")
+    return c.join(t.firms.select(F.col("id").alias("firm_id"), "firm_name"), "firm_id").select(F.col("firm_id").alias("id"), "firm_name", "client_type", "n_documents", "n_pending")
 
 
 _SEARCH = """SELECT d.id, filename, document_type, client_name, pan_number, status, uploaded_at FROM app_documents d LEFT JOIN clients c ON c.id = d.client_id {texts}
@@ -198,7 +198,7 @@ def permission_at_least(t: Tables) -> DataFrame:
 def accessible_documents(t: Tables) -> DataFrame:
     shared = t.document_access.where("shared_with_id = 9").select(F.col("document_id").alias("id"), F.lit(True).alias("s")).distinct()
     firm = t.users.where("id = 9").select("firm_id", F.lit(True).alias("m"))
-    d = t.app_documents.join(shared, "id", "left").join(F.broadcast(firm), "firm_id", "left")
+    d = t.app_documents.join(shared, "id", "left").join(firm, "firm_id", "left")
     return d.where((F.col("id") % 100 == 9) | ((F.col("id") % 5 == 0) & F.col("m").isNotNull()) | F.col("s").isNotNull()).select("id")
 
 

@@ -55,7 +55,7 @@ VIEWS: dict[str, str] = {
  WHEN 4 THEN 'Statement of Account' || chr(10) || 'Account Number: ' || lpad(CAST(o.o_orderkey AS STRING), 12, '3') || chr(10) || 'IFSC: HDFC0' || lpad(CAST(o.o_custkey % 1000000 AS STRING), 6, '0') || chr(10) || 'Opening Balance 100.00 Closing Balance 250.00 debit credit' || chr(10) || 'Email: user' || CAST(o.o_custkey AS STRING) || '@example.com Mobile: 9876500000'
  ELSE 'plain note ' || CAST(o.o_orderkey % 50 AS STRING) || ' with nothing to find' END AS text
  FROM {{orders}} o JOIN {{customer}} c ON c.c_custkey = o.o_custkey""",
-    "document_access": """SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS id, l_orderkey AS document_id, l_suppkey AS shared_by_id, l_partkey % 100 AS shared_with_id,
+    "document_access": """SELECT (l_orderkey * 8 + l_linenumber) * 1000003 + (l_partkey * 31 + l_suppkey * 17 + CAST(round(l_extendedprice * 100) AS BIGINT)) % 1000003 AS id, l_orderkey AS document_id, l_suppkey AS shared_by_id, l_partkey % 100 AS shared_with_id,
  CASE l_linenumber % 3 WHEN 0 THEN 'viewer' WHEN 1 THEN 'contributor' ELSE 'editor' END AS permission, CASE WHEN l_returnflag = 'N' THEN NULL ELSE l_shipdate END AS expires_at, l_shipdate AS created_at FROM {lineitem}""",
     "audit_logs": """SELECT event_id AS id, user_id % 25 AS firm_id, CASE WHEN event_type = 'error' THEN NULL ELSE user_id END AS entity_id,
  CASE event_type WHEN 'view' THEN 'whatsapp_retrieval' WHEN 'click' THEN 'whatsapp_retrieval' ELSE 'document' END AS entity_type,
