@@ -122,3 +122,9 @@ MIN_ROUTING_CONFIDENCE, MIN_ROUTING_OCR = 60, 20.0
 # Ranks of permissions and roles.
 PERMISSION_RANK = {"viewer": 1, "contributor": 2, "editor": 3, "owner": 4}
 UPLOAD_EXTENSIONS = ["pdf", "jpg", "jpeg", "png"]
+
+# Extensions read as images, what stands between pages, and the words and points of the rotation score.
+IMAGE_EXTENSIONS = ["jpg", "jpeg", "png", "bmp", "tiff", "tif", "webp"]
+PAGE_BREAK = "\n\n--- PAGE BREAK ---\n\n"
+ROTATION_WORDS = ["india", "government", "income", "tax", "name", "father", "birth", "male", "account", "number", "permanent", "card"]
+ROTATION_POINTS = {"word": 10, "alnum": 0.01}

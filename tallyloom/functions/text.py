@@ -331,3 +331,23 @@ def correct(x: Column) -> Column:
     for f in (fix_ligatures, fix_broken, fix_year, fix_pan, fix_aadhaar, fix_gstin):
         x = once(x, f)
     return x
+
+
+def join_spaced_pan(x: Column) -> Column:
+    """The older clean-up: a PAN written in three groups becomes one word."""
+    return F.regexp_replace(x, r"(?U)([A-Z]{5})\s([0-9]{4})\s([A-Z])", "$1$2$3")
+
+
+def declared_ids(x: Column) -> dict[str, Column]:
+    """Company number, labelled account number and ISO date: patterns of their own, beside the fields."""
+    return {"cin": first_match(F.upper(x), K.CIN), "account": F.regexp_replace(first_match(x, K.ACCOUNT_LABEL), r"(?U)\s", ""), "iso_date": first_match(x, K.DATE_ISO)}
+
+
+def file_icon(filename: Column) -> Column:
+    """pdf, img or gen, by the extension."""
+    ext = F.lower(F.regexp_extract(F.coalesce(filename, F.lit("")), r"\.([^.]*)$", 1))
+    return F.when(ext == "pdf", "pdf").when(ext.isin("jpg", "jpeg", "png"), "img").otherwise("gen")
+
+
+def shown_date(x: Column) -> Column:
+    return F.substring(x.cast("string"), 1, 10)

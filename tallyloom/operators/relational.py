@@ -266,3 +266,25 @@ def add_column(table: DataFrame, column: str, default: Column) -> DataFrame:
 def violations(table: DataFrame, keys: list[str]) -> DataFrame:
     """Keys that occur more than once."""
     return table.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
+
+
+def add_members(members: DataFrame, users: DataFrame, added: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members and users after existing users are added to an organization (organization_id, user_id, role).
+
+    Who is a member already is left alone; the others become members and staff of the organization.
+    """
+    known = users.select(F.col("id").alias("user_id"))
+    new = added.join(known, "user_id", "left_semi").join(members, ["organization_id", "user_id"], "left_anti").dropDuplicates(["organization_id", "user_id"])
+    mine = new.groupBy(F.col("user_id").alias("id")).agg(F.max("organization_id").alias("organization_id")).withColumn("role", F.lit("staff"))
+    return insert(members, new), update(users, mine, "id", ["organization_id", "role"])
+
+
+def role_gates(users: DataFrame, role_ranks: dict[str, int], org_ranks: dict[str, int], role: str = "role", org_role: str = "org_role", organization: str = "organization_id") -> DataFrame:
+    """``id`` and whether each user passes the gates: super admin, professional, organization and its manager."""
+    return users.select(
+        "id",
+        F.coalesce(F.col(role) == "super_admin", F.lit(False)).alias("super_admin"),
+        (rank_of(F.col(role), role_ranks) >= role_ranks["professional"]).alias("professional"),
+        F.col(organization).isNotNull().alias("organization"),
+        (rank_of(F.col(org_role), org_ranks) >= org_ranks["manager"]).alias("org_manager"),
+    )

@@ -88,9 +88,13 @@ def text_quality_parts(t: Tables) -> DataFrame:
     return t.base("documents").select("doc_id", (n >= 5).alias("long_enough"), F.round(F.when(n < 5, 0.0).otherwise(T.count_of(F.col("text"), r"\p{L}\p{N}") / n), 6).alias("alnum"))
 
 
-@query("", "")
+_PRINTABLE = r"(length(regexp_replace(text, '[\p{C}\p{Z}]', '', 'g')) + length(regexp_replace(text, '[^ \n\t]', '', 'g')))"
+_QUALITY = rf"CASE WHEN length(text) < 5 THEN 0 ELSE 0.4 * {_PRINTABLE} / length(text) + 0.3 * length(regexp_replace(text, '[^\p{{L}}\p{{N}}]', '', 'g')) / length(text) + 0.3 * least(1, len(regexp_extract_all(text, '\S+')) / 50) END"
+
+
+@query("", f"SELECT doc_id, round(coalesce({_QUALITY}, 0), 6) AS score, coalesce(length(trim(text, ' ')) >= 40 AND {_QUALITY} >= 0.3, false) AS useful FROM documents")
 def text_quality(t: Tables) -> DataFrame:
-    return t.base("documents").select("doc_id", T.text_quality(F.col("text")).alias("score"), T.is_useful(F.col("text")).alias("useful"))
+    return t.base("documents").select("doc_id", F.round(T.text_quality(F.col("text")), 6).alias("score"), T.is_useful(F.col("text")).alias("useful"))
 
 
 @query("clients", "SELECT id, client_name AS name, true AS likely, true AS valid, substr(client_name, 1, 60) AS cleaned FROM clients")
@@ -391,13 +395,6 @@ def extract_legacy_ids(t: Tables) -> DataFrame:
     return D.legacy_ids(t.ocr_texts).select("id", "pan", "aadhaar", "gstin", "ifsc", "assessment_year")
 
 
-@query("", "")
-def process_documents(t: Tables) -> DataFrame:
-    """The whole pipeline from raw text to result rows; its parts have SQL of their own."""
-    corrected = t.ocr_texts.withColumn("text", T.correct(F.col("text")))
-    return D.process(corrected).select("id", "document_type", "document_confidence", F.col("pan.value").alias("pan"), F.col("gstin.value").alias("gstin"), F.col("name.value").alias("name"), "summary")
-
-
 @query("app_documents clients", "SELECT d.id, 'Document Type: ' || coalesce(document_type, 'Other') || ' (confidence: ' || CAST(CAST(confidence_score AS INTEGER) AS VARCHAR) || '%)' || coalesce(' | Name: ' || client_name, '') || coalesce(' | PAN: ' || pan_number, '') || coalesce(' | Assessment Year: ' || assessment_year, '') AS summary FROM app_documents d LEFT JOIN clients c ON c.id = d.client_id")
 def summary_line(t: Tables) -> DataFrame:
     c = t.clients.select(F.col("id").alias("client_id"), "client_name", "pan_number")

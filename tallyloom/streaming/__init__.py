@@ -1 +1 @@
-
+"""Message payloads as streams."""
