@@ -9,13 +9,15 @@
    list; equal lists count once.
 4. In a list one line, its lead, is compared with all others by the exact Jaccard similarity of their
    whole sets of shingles, and distributed union-find joins what is alike. Lists whose lines are then
-   in one component are settled. In the others further lines are leads, twice as many in each step,
+   in one component are settled. In the others further lines are leads, four times as many in each step,
    against those that no lead of the list has met and that lie in other components. This ends when
    every two lines of a list have met or are in one component: no pair of a list is left out.
-5. Long lists that two steps leave open (one template with a variable part, say) are first parted:
-   a line is posted under the rarest of its shingles within its list, one more than may be missing in
-   a line alike (prefix filter). Lines alike meet under one of these; template text is too frequent
-   to be chosen.
+5. The lines of long lists that two steps leave open (of one template with a variable part, say) are
+   parted anew, all together: a line is posted under the rarest of its shingles, one more than may be
+   missing in a line alike (prefix filter). Lines alike meet under one of these; template text is too
+   frequent to be chosen. Of these lines, pairs that cannot be alike are told by bitmaps of their
+   shingles: a bit that only one line has stands for a shingle that the other lacks. So most need no
+   comparison of texts, and none is lost.
 6. Of each component the first line stays.
 """
 
@@ -31,8 +33,10 @@ from .components import connected_components
 
 SHINGLE = 9
 SKETCH = 14
-#: Leads of the second step of a list; the later steps have twice as many each.
+#: Leads of the second step of a list; the later steps have four times as many each.
 LEADS = 8
+#: 64-bit words of a line's bitmap.
+WORDS = 32
 #: Lines of a list, not yet compared after two steps, from which it is parted by rare shingles.
 LONG = 64
 
@@ -74,21 +78,37 @@ def _lists(posted: DataFrame) -> DataFrame:
     u = F.shiftrightunsigned(F.xxhash64("id"), 1)
     lists = posted.groupBy("key").agg(F.count("*").alias("size"), F.min(u).alias("least"), F.sum(F.shiftright(F.xxhash64("id", F.lit(1)), 20)).alias("who")).where("size > 1")
     lists = lists.groupBy("size", "least", "who").agg(F.min("key").alias("key"))
-    nth = 1 + F.floor(F.log2(1 + u / F.lit(2.0**63) * F.col("size") / LEADS))
+    nth = 1 + F.floor(F.log2(1 + 3 * (u / F.lit(2.0**63)) * F.col("size") / LEADS) / 2)
     return posted.join(lists, "key").select("key", "id", F.when(u == F.col("least"), 0).otherwise(nth).cast("int").alias("turn"))
 
 
-def _part(members: DataFrame, texts: DataFrame, percent: int, step: int) -> DataFrame:
-    """Lists of the rarest shingles of each line within its list, in place of the lists; turns count from ``step``."""
-    grams = members.select("key", "id").join(texts, "id").select("key", "id", F.array_distinct(shingles(F.col("line"))).alias("grams"))
-    each = cut(grams.select("key", "id", F.size("grams").alias("n"), F.explode("grams").alias("g")), "grams")
-    often = each.groupBy("key", "g").agg(F.count("*").alias("often")).where("often > 1")
-    rare = each.join(often, ["key", "g"], "left").groupBy("key", "id").agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct(F.coalesce("often", F.lit(1)).alias("often"), "g"))).alias("by"))
-    first = F.slice("by", F.lit(1), F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1)
-    posted = cut(rare.select("key", "id", F.explode(F.filter(first, lambda x: x["often"] > 1)).alias("x")).select(F.xxhash64("key", "x.g").alias("key"), "id"), "parted")
+def _part(ids: DataFrame, texts: DataFrame, percent: int, step: int) -> tuple[DataFrame, DataFrame]:
+    """Lists of lines under the rarest of their shingles among all these lines (turns count from ``step``), and the lines' bitmaps.
+
+    A bitmap is (id, n, bits): the size of a line's set, and ``WORDS`` numbers in which each shingle sets one bit.
+    """
+    each = texts.join(ids, "id").select("id", F.array_distinct(shingles(F.col("line"))).alias("grams"))
+    each = cut(each.select("id", F.size("grams").alias("n"), F.explode("grams").alias("g")), "grams")
+    often = each.groupBy("g").agg(F.count("*").alias("often")).where("often > 1")
+    shared = each.join(often, "g").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("often", "g"))).alias("by"))
+    # the shingles that no other line has come first in the order of rarity, and are not posted
+    first = F.slice("by", F.lit(1), F.greatest(F.size("by") - F.ceil(F.col("n") * percent / 100).cast("int") + 1, F.lit(0)))
+    posted = cut(shared.select("id", F.explode(first).alias("x")).select(F.col("x.g").alias("key"), "id"), "parted")
     out = cut(_lists(posted).withColumn("turn", F.col("turn") + step), "members")
+    word, bit = F.pmod("g", F.lit(WORDS)).cast("int"), F.expr("shiftleft(1L, cast(pmod(shiftright(g, 16), 64) AS INT))")
+    words = each.groupBy("id", word.alias("w")).agg(F.max("n").alias("n"), F.bit_or(bit).alias("b")).groupBy("id").agg(F.max("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("w", "b"))).alias("words"))
+    bits = cut(words.select("id", "n", F.transform(F.sequence(F.lit(0), F.lit(WORDS - 1)), lambda w: F.coalesce(F.try_element_at("words", w), F.lit(0).cast("long"))).alias("bits")), "bits")
     drop(each, posted)
-    return out
+    return out, bits
+
+
+def _may_be_alike(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+    """The pairs but those whose bitmaps show too many shingles that only one of them has; lines without bitmap stay."""
+    side = lambda name, k: bits.select(F.col("id").alias(name), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"b{k}"))
+    own = lambda x, y: F.aggregate(F.zip_with(x, y, lambda a, b: F.bit_count(a.bitwiseAND(F.bitwise_not(b)))), F.lit(0), lambda s, k: s + k)
+    both = pairs.join(side("src", 1), "src", "left").join(side("dst", 2), "dst", "left")
+    most = F.least(F.col("n1") - own("b1", "b2"), F.col("n2") - own("b2", "b1"))
+    return both.withColumn("most", most).where(F.coalesce(100 * F.col("most") >= percent * (F.col("n1") + F.col("n2") - F.col("most")), F.lit(True))).select("src", "dst")
 
 
 def line_groups(documents: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -132,13 +152,14 @@ def line_groups(documents: DataFrame, percent: int = 80, id_col: str = "doc_id",
 def _settle(members: DataFrame, texts: DataFrame, percent: int) -> tuple[DataFrame, int]:
     """``node, component`` of the lines that are like others of their lists, and the steps it took; ``members`` is used up."""
     side = lambda name, line: texts.select(F.col("id").alias(name), F.col("line").alias(line))
-    labels, step = None, 0
+    labels, bits, step = None, None, 0
     while True:
         named = members.withColumn("label", F.col("id")) if labels is None else members.join(labels.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "turn", F.coalesce("component", "id").alias("label"))
         lead = F.col("turn") == step
         leads = named.where(lead).select("key", F.col("id").alias("lead"), F.col("label").alias("of"))
         met = named.join(leads, "key").where((F.col("label") != F.col("of")) & (~lead | (F.col("id") < F.col("lead"))))
-        pairs = cut(met.select(F.greatest("id", "lead").alias("src"), F.least("id", "lead").alias("dst")).distinct(), "pairs")
+        pairs = met.select(F.greatest("id", "lead").alias("src"), F.least("id", "lead").alias("dst")).distinct()
+        pairs = cut(pairs if bits is None else _may_be_alike(pairs, bits, percent), "pairs")
         both = pairs.join(side("src", "x"), "src").join(side("dst", "y"), "dst")
         links = cut(both.where(similar(F.col("x"), F.col("y"), percent)).select("src", "dst"), "alike")
         drop(pairs)
@@ -152,10 +173,10 @@ def _settle(members: DataFrame, texts: DataFrame, percent: int) -> tuple[DataFra
         old, members = members, cut(left.join(open_lists, "key").select("key", "id", "turn", "size"), "members")
         drop(old, left)
         if not members.take(1):
-            drop(members)
+            drop(members, *([] if bits is None else [bits]))
             return labels, step
         if step == 2 and (long := members.where(F.col("size") > LONG)).take(1):
-            old, parted = members, _part(long, texts, percent, step)
+            old, (parted, bits) = members, _part(long.select("id").distinct(), texts, percent, step)
             members = cut(members.where(F.col("size") <= LONG).select("key", "id", "turn").union(parted), "members")
             drop(old, parted)
 
