@@ -11,8 +11,10 @@
    have further members as centres, as long as that links anything.
 5. Skip round: lists whose members all meet in one component are skipped. In the others, only
    members of different components are compared by their coordinates, those of many lists in one
-   task; a list of more than ``BLOCK`` members is compared in pairs of blocks. The pairs found, each
-   once however many lists it is in, are confirmed on full sets.
+   task; a list of more than ``BLOCK`` members is compared in pairs of blocks. The shingles of open
+   documents are counted first: one that no other open document has is in no intersection, so
+   documents and pairs with too many of them are done with. The pairs found, each once however many
+   lists it is in, are confirmed on full sets.
 """
 
 from __future__ import annotations
@@ -153,6 +155,20 @@ def full_sets(documents: DataFrame, size: int) -> DataFrame:
     return documents.mapInArrow(run, "doc_id long, grams binary")
 
 
+def exploded(sets: DataFrame) -> DataFrame:
+    """``doc_id, n, g``: a row for each shingle of the sets, n the size of its set."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                part = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(1).slice(i, 256)]
+                size = np.array([len(x) for x in part])
+                ids = batch.column(0).slice(i, 256).to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, size)), pa.array(np.repeat(size, size)), pa.array(np.concatenate(part) if part else np.zeros(0, np.int64))], ["doc_id", "n", "g"])
+
+    return sets.select("doc_id", "grams").mapInArrow(run, "doc_id long, n long, g long")
+
+
 def _pair_keys(sig: np.ndarray) -> np.ndarray:
     """A 64-bit key for each coordinate-value pair."""
     with np.errstate(over="ignore"):
@@ -261,35 +277,40 @@ def _in_buckets(members: DataFrame) -> DataFrame:
     return m.withColumn("bucket", F.pmod(F.xxhash64("key", "x", "y"), F.lit(buckets))).drop("nb", "blk", "other", "size")
 
 
-def _near_pairs(coordinates: int, matches: int):
-    """Of the lists of a bucket: pairs of members of different components with at least ``matches`` equal coordinates."""
+def _near_pairs(coordinates: int, matches: int, percent: float):
+    """Of the lists of a bucket: pairs of members of different components with at least ``matches`` equal coordinates.
+
+    ``n`` is the size of a member's set and ``m`` how many of it may be in another's.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["key", "x", "y", "doc_id"], ignore_index=True)
         sig = np.frombuffer(b"".join(pdf["low"]), np.uint8).reshape(-1, coordinates)
         key, ids, label = pdf[["key", "x", "y"]].to_numpy(), pdf["doc_id"].to_numpy(), pdf["label"].to_numpy()
+        n, m = pdf["n"].to_numpy(), pdf["m"].to_numpy()
         first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(1)])) if len(key) else np.zeros(0, np.int64)
         size = np.diff(np.append(first, len(key)))
         found = []
 
         def keep(i: np.ndarray, j: np.ndarray) -> None:
-            apart = np.flatnonzero(label[i] != label[j])
+            most = np.minimum(m[i], m[j])
+            apart = np.flatnonzero((label[i] != label[j]) & (100 * most >= percent * (n[i] + n[j] - most)))
             for k in range(0, len(apart), 50_000):
                 u, v = i[apart[k : k + 50_000]], j[apart[k : k + 50_000]]
                 near = (sig[u] == sig[v]).sum(1) >= matches
                 found.append(np.stack([ids[v[near]], ids[u[near]]], 1))
 
-        for m in np.unique(size):
-            at = first[size == m]
-            if m <= 64:
-                i, j = np.triu_indices(m, 1)
+        for count in np.unique(size):
+            at = first[size == count]
+            if count <= 64:
+                i, j = np.triu_indices(count, 1)
                 step = max(1, 200_000 // max(len(i), 1))
                 for k in range(0, len(at), step):
                     keep((at[k : k + step, None] + i).ravel(), (at[k : k + step, None] + j).ravel())
             else:
                 for a in at:
-                    for i in range(a, a + m - 1):
-                        j = np.arange(i + 1, a + m)
+                    for i in range(a, a + count - 1):
+                        j = np.arange(i + 1, a + count)
                         keep(np.full(len(j), i), j)
         pairs = np.unique(np.concatenate([np.zeros((0, 2), np.int64), *found]), axis=0)
         return pd.DataFrame(pairs, columns=["src", "dst"])
@@ -368,9 +389,15 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: float = 80, co
         labels = merged(labels, links)
         old, waiting = waiting, still_open(waiting.select("key", "doc_id"))
         drop(old)
-    near = _in_buckets(waiting.join(_low_bytes(reps, coordinates), "doc_id")).groupBy("bucket").applyInPandas(_near_pairs(coordinates, matches), "src long, dst long")
+    sets = cut(full_sets(docs.join(waiting.select("doc_id").distinct(), "doc_id", "left_semi"), size), "sets")
+    each = exploded(sets)
+    elsewhere = each.groupBy("g").agg(F.count("*").alias("often")).where("often > 1").select("g")
+    bound = cut(each.join(elsewhere, "g").groupBy("doc_id", "n").agg(F.count("*").alias("m")).where(100 * F.col("m") >= percent * F.col("n")), "bounds")
+    drop(sets)
+    old, waiting = waiting, still_open(waiting.select("key", "doc_id").join(bound.select("doc_id"), "doc_id", "left_semi"))
+    near = _in_buckets(waiting.join(bound, "doc_id").join(_low_bytes(reps, coordinates), "doc_id")).groupBy("bucket").applyInPandas(_near_pairs(coordinates, matches, percent), "src long, dst long")
     near = cut(near.distinct(), "likely")
-    drop(waiting)
+    drop(old, waiting, bound)
     if near.take(1):
         labels = merged(labels, confirmed(near))
 
