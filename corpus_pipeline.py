@@ -2,6 +2,10 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns
 of ``documents``. Each is written as Parquet and read again as the next one's ``docs``.
+
+Null and empty texts have no language and go with the first stage; given to a later stage they stay
+there, but mixing chooses no text without words. Rows without id keep their lines and count as no
+one's near-duplicate. Empty tables give no rows; further columns are carried along.
 """
 
 from __future__ import annotations
@@ -41,9 +45,15 @@ def _with_text(c: str):
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five-word shingles, similarity 0.8) keep the smallest id."""
+    """Of each group of near-duplicates (five-word shingles, similarity 0.8) keep the smallest id.
+
+    Rows that repeat an id and a text stay once; rows without words or without id stay.
+    """
     found = near_duplicates(docs, size=5, percent=80)
-    return docs.join(found.where("NOT kept").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    ids = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.bool_or(~F.col("kept")).alias("_gone"), F.count("*").alias("_rows")).where("_gone OR _rows > 1")
+    rest = docs.join(ids, "doc_id", "left").where("_gone IS NULL OR NOT _gone")
+    several = F.coalesce(F.col("_rows") > 1, F.lit(False)) & F.col("text").isNotNull()
+    return rest.where(~several).select(*docs.columns).union(rest.where(several).select(*docs.columns).dropDuplicates(["doc_id", "text"]))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,7 +75,7 @@ STAGES = [
     ("packing", packing),
 ]
 
-#: SQL cannot express the language model or the tokenizer; the stages are tested one by one instead.
+#: SQL cannot express the language model or the tokenizer; tests/llm/test_pipeline.py holds each stage on its own.
 ORACLE_SQL = None
 
 
