@@ -197,10 +197,11 @@ def is_numeric_heavy(x: Column) -> Column:
 
 
 def human_size(n: Column) -> Column:
-    """Bytes with one decimal in the largest unit under 1024."""
-    out = F.format_string("%.1f TB", n / 1024.0**4)
+    """Bytes with one decimal (a half to the even digit) in the largest unit under 1024."""
+    shown = lambda power, unit: F.format_string(f"%.1f {unit}", F.bround(n / F.lit(float(1024**power)), 1))
+    out = shown(4, "TB")
     for power, unit in ((3, "GB"), (2, "MB"), (1, "KB"), (0, "B")):
-        out = F.when(n < 1024 ** (power + 1), F.format_string(f"%.1f {unit}", n / float(1024**power))).otherwise(out)
+        out = F.when(n < 1024 ** (power + 1), shown(power, unit)).otherwise(out)
     return out
 
 

@@ -76,10 +76,10 @@ def clean_text(t: Tables) -> DataFrame:
     return t.base("documents").select("doc_id", T.clean_text(F.col("text")).alias("cleaned"), T.normalize_whitespace(F.col("text")).alias("single"))
 
 
-@query("", "SELECT doc_id, CAST(octet_length(encode(text)) AS BIGINT) AS n, CASE WHEN octet_length(encode(text)) < 1024 THEN 'B' WHEN octet_length(encode(text)) < 1048576 THEN 'KB' ELSE 'MB' END AS unit FROM documents")
+@query("", "SELECT doc_id, n, CASE WHEN n < 1024 THEN format('{:.1f} B', n / 1) WHEN n < 1048576 THEN format('{:.1f} KB', n / 1024) ELSE format('{:.1f} MB', n / 1048576) END AS size FROM (SELECT doc_id, CAST(octet_length(encode(text)) * (1 + doc_id % 3 * 500) AS BIGINT) AS n FROM documents)")
 def readable_size(t: Tables) -> DataFrame:
-    n = F.octet_length("text").cast("long")
-    return t.base("documents").select("doc_id", n.alias("n"), F.element_at(F.split(T.human_size(n), " "), -1).alias("unit"))
+    n = (F.octet_length("text") * (1 + F.col("doc_id") % 3 * 500)).cast("long")
+    return t.base("documents").select("doc_id", n.alias("n"), T.human_size(n).alias("size"))
 
 
 @query("", r"SELECT doc_id, length(text) >= 5 AS long_enough, round(CASE WHEN length(text) < 5 THEN 0 ELSE length(regexp_replace(text, '[^\p{L}\p{N}]', '', 'g')) / length(text) END, 6) AS alnum FROM documents")
@@ -97,39 +97,51 @@ def text_quality(t: Tables) -> DataFrame:
     return t.base("documents").select("doc_id", F.round(T.text_quality(F.col("text")), 6).alias("score"), T.is_useful(F.col("text")).alias("useful"))
 
 
-@query("clients", "SELECT id, client_name AS name, true AS likely, true AS valid, substr(client_name, 1, 60) AS cleaned FROM clients")
+_LIST = lambda words: "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "]"
+_CANDIDATE = "CASE id % 7 WHEN 1 THEN 'PAN' WHEN 2 THEN 'Place of Business' WHEN 3 THEN '12 45 x' WHEN 4 THEN 'Of ' || client_name WHEN 5 THEN client_name || ' Signature' WHEN 6 THEN 'A B C D' ELSE client_name END"
+
+
+@query(
+    "clients",
+    rf"""SELECT id, client_name AS name, cand, length(cand) BETWEEN 2 AND 60 AND NOT list_contains({_LIST(K.NAME_BLACKLIST)}, lower(cand)) AND NOT regexp_matches(cand, '^[0-9]+$') AND length(regexp_replace(cand, '[^A-Za-z]', '', 'g')) >= 2 AS likely,
+length(cand) >= 4 AND NOT list_contains({_LIST(K.NAME_BLOCKLIST)}, lower(cand)) AND NOT list_has_any(string_split(lower(cand), ' '), {_LIST(K.NAME_BAD_TOKENS)}) AND length(regexp_replace(cand, '[^0-9]', '', 'g')) / length(cand) <= 0.4
+ AND NOT list_contains({_LIST(K.NAME_FIRST_STOPWORDS)}, string_split(lower(cand), ' ')[1]) AND len(list_filter(string_split(cand, ' '), lambda w: length(regexp_replace(w, '[^A-Za-z]', '', 'g')) >= 2)) > 0 AND length(regexp_replace(cand, '[^A-Za-z]', '', 'g')) >= 3 AS valid,
+substr(client_name, 1, 60) AS cleaned FROM (SELECT *, {_CANDIDATE} AS cand FROM clients)""",
+)
 def name_functions(t: Tables) -> DataFrame:
     messy = F.concat(F.lit("  "), F.upper("client_name"), F.lit(" 123"))
-    return t.clients.select("id", T.normalize_name(messy).alias("name"), T.is_likely_name(F.col("client_name")).alias("likely"), T.is_valid_name(F.col("client_name")).alias("valid"), T.clean_name(F.concat(F.lit("Mr. "), F.col("client_name"), F.lit(" 77"))).alias("cleaned"))
+    c = t.clients.withColumn("cand", F.expr(_CANDIDATE))
+    return c.select("id", T.normalize_name(messy).alias("name"), "cand", T.is_likely_name(F.col("cand")).alias("likely"), T.is_valid_name(F.col("cand")).alias("valid"), T.clean_name(F.concat(F.lit("Mr. "), F.col("client_name"), F.lit(" 77"))).alias("cleaned"))
 
 
 # --- corrections -------------------------------------------------------------------------------
 
 
-@query("ocr_texts clients", "SELECT id, 'PAN: ' || pan_number || ' end' AS fixed FROM clients")
+@query("ocr_texts clients", "SELECT id, 'PAN: ' || CASE WHEN id % 3 = 0 THEN substr(pan_number, 1, 4) || '2' || right(pan_number, 5) || '1' ELSE pan_number END || ' end A1B2C3D4E5 ABCDEFGHIJ' AS fixed FROM clients")
 def correct_pan(t: Tables) -> DataFrame:
-    """PANs whose digits were read as letters come back; five letters and a fourth digit stay as they are."""
+    """PANs whose digits were read as letters come back; longer words and words that don't look like a PAN stay as they are."""
     p = F.col("pan_number")
     noisy = F.concat(F.substring(p, 1, 5), F.translate(F.substring(p, 6, 3), "01", "OI"), F.substring(p, 9, 2))
-    return t.clients.select("id", T.fix_pan(F.concat(F.lit("PAN: "), noisy, F.lit(" end"))).alias("fixed"))
+    longer = F.concat(F.substring(p, 1, 4), F.lit("2"), F.right(p, F.lit(5)), F.lit("1"))
+    return t.clients.select("id", T.fix_pan(F.concat(F.lit("PAN: "), F.when(F.col("id") % 3 == 0, longer).otherwise(noisy), F.lit(" end A1B2C3D4E5 ABCDEFGHIJ"))).alias("fixed"))
 
 
-@query("app_documents", "SELECT id, 'AY ' || assessment_year AS fixed FROM app_documents WHERE assessment_year IS NOT NULL")
+@query("app_documents", "SELECT id, 'AY ' || assessment_year || ' 3OI5-16 2O15' AS fixed FROM app_documents WHERE assessment_year IS NOT NULL")
 def correct_ay(t: Tables) -> DataFrame:
-    noisy = F.concat(F.lit("AY "), F.translate("assessment_year", "01", "Ol"))
+    noisy = F.concat(F.lit("AY "), F.translate("assessment_year", "01", "Ol"), F.lit(" 3OI5-16 2O15"))
     return t.app_documents.where("assessment_year IS NOT NULL").select("id", T.fix_year(noisy).alias("fixed"))
 
 
-@query("clients", "SELECT id, 'your aadhaar ' || aadhaar_number AS fixed, aadhaar_number IS NOT NULL AS known FROM clients")
+@query("clients", "SELECT id, CASE WHEN id % 5 = 2 THEN 'your number ' || translate(aadhaar_number, '0158', 'OISB') ELSE 'your aadhaar ' || aadhaar_number END AS fixed, aadhaar_number IS NOT NULL AS known FROM clients")
 def correct_aadhaar(t: Tables) -> DataFrame:
-    noisy = F.concat(F.lit("your aadhaar "), F.translate("aadhaar_number", "0158", "OISB"))
+    noisy = F.concat(F.when(F.col("id") % 5 == 2, "your number ").otherwise("your aadhaar "), F.translate("aadhaar_number", "0158", "OISB"))
     return t.clients.select("id", T.fix_aadhaar(noisy).alias("fixed"), F.col("aadhaar_number").isNotNull().alias("known"))
 
 
-@query("clients", "SELECT id, 'GSTIN 22' || pan_number || '1Z5' AS fixed FROM clients")
+@query("clients", "SELECT id, CASE WHEN id % 5 = 2 THEN 'no 22' || substr(pan_number, 1, 5) || translate(substr(pan_number, 6, 4), '0158', 'OISB') || right(pan_number, 1) || '1Z5' ELSE 'GSTIN 22' || pan_number || '1Z5' END AS fixed FROM clients")
 def correct_gstin(t: Tables) -> DataFrame:
     p = F.col("pan_number")
-    noisy = F.concat(F.lit("GSTIN 22"), F.substring(p, 1, 5), F.translate(F.substring(p, 6, 4), "0158", "OISB"), F.substring(p, 10, 1), F.lit("1Z5"))
+    noisy = F.concat(F.when(F.col("id") % 5 == 2, "no 22").otherwise("GSTIN 22"), F.substring(p, 1, 5), F.translate(F.substring(p, 6, 4), "0158", "OISB"), F.substring(p, 10, 1), F.lit("1Z5"))
     return t.clients.select("id", T.fix_gstin(noisy).alias("fixed"))
 
 
