@@ -182,15 +182,12 @@ def parse(page: str) -> list[Block]:
 
 @lru_cache(maxsize=50_000)
 def path_features(path: tuple[Element, ...]) -> tuple[str, ...]:
-    """Features of a block's ancestors, each once."""
-    out = {"in:" + tag for tag, _ in path}
-    for tag, words in path:
-        for w in words:
-            if tag not in ("html", "body"):
-                out.add("word:" + w)
-    kinds = {_KIND_TAGS[tag] for tag, _ in path if tag in _KIND_TAGS} | {_KIND_OF[w] for tag, words in path if tag not in ("html", "body") for w in words if w in _KIND_OF}
+    """Features of a block's ancestors below html and body (which a page may leave out), each once."""
+    outer, path = path, tuple(x for x in path if x[0] not in ("html", "body"))
+    out = {"in:" + tag for tag, _ in path} | {"word:" + w for _, words in path for w in words}
+    kinds = {_KIND_TAGS[tag] for tag, _ in path if tag in _KIND_TAGS} | {_KIND_OF[w] for _, words in path for w in words if w in _KIND_OF}
     out |= {"kind:" + k for k in kinds}
-    host = "article" if "in:article" in out else "main" if "in:main" in out else "named" if any(w in _MAIN_OF for _, words in path for w in words) else "none"
+    host = "article" if "in:article" in out else "main" if "in:main" in out else "named" if any(w in _MAIN_OF for _, words in outer for w in words) else "none"
     out.add("host:" + host + ("" if kinds else ":clean"))
     near = [tag for tag, _ in path if tag in BLOCK_TAGS and tag != "br"]
     out.add("leaf:" + (near[-1] if near else ""))
@@ -198,9 +195,15 @@ def path_features(path: tuple[Element, ...]) -> tuple[str, ...]:
     return tuple(sorted(out))
 
 
+#: Characters of scripts that are written without spaces between words.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+
+
 def text_features(b: Block) -> tuple[str, ...]:
     """Features of a block's text."""
     n = b.text.count(" ") + 1
+    if not b.text.isascii():
+        n += len(_UNSPACED.findall(b.text)) // 2  # about two characters a word
     size = "words:" + ("1" if n == 1 else "2-4" if n < 5 else "5-12" if n < 13 else "13-40" if n < 41 else "41-")
     share = b.linked / max(len(b.text), 1)
     links = "links:" + ("none" if share == 0 else "some" if share < 0.5 else "most")
@@ -412,9 +415,10 @@ class _Writer:
 
     def page(self) -> str:
         rng = self.rng
-        self.out.append("<!DOCTYPE html><html><head><title>")
-        self.put(0, self.words(1, 12))
-        self.out.append("</title><style>p{margin:0}</style><script>track('</p>')</script></head><body>")
+        if rng.random() < 0.85:  # others are fragments without a head
+            self.out.append("<!DOCTYPE html><html><head><title>")
+            self.put(0, self.words(1, 12))
+            self.out.append("</title><style>p{margin:0}</style><script>track('</p>')</script></head><body>")
         before = [k for k, p in (("notice", 0.3), ("header", 0.5), ("nav", 0.7), ("ad", 0.4), ("form", 0.2), ("aside", 0.15), ("share", 0.1)) if rng.random() < p]
         rng.shuffle(before)
         for k in before:

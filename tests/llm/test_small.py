@@ -191,6 +191,31 @@ def test_html_on_given_pages(spark):
         assert out[r["page_id"]] == "\n".join(p for p in parts if p)
 
 
+ONE = "The river rose again on Tuesday and the old bridge was closed to all traffic until further notice, the town council said in a short statement."
+TWO = "Residents were asked to keep away from the banks. Two families left their homes as a precaution and stayed with relatives on the hill overnight."
+CJK = "記者会見で市長は、川の水位が下がり次第、橋の点検を始めると述べた。点検には三日ほどかかる見込みだという。"
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<html><head><title>x</title></head><body><div id='top'><ul><li><a href='/'>Home</a><li><a href='/n'>News</a></ul></div><article><h1>Bridge closed</h1><p>{ONE}<p>{TWO}<section class='comments'><h3>Comments</h3><div class='comment'><b>Ann</b><p>So sad, I walked there.</p><div class='comment reply'><p>Me too!</p></div></div></section></article><footer>Copyright 2024 Town Paper</footer></body></html>", f"Bridge closed\n{ONE}\n{TWO}"),
+        (f"<body><nav><a href=a>Start</a> <a href=b>Sport</a></nav><main><article><h1>Bridge closed</h1><p>{ONE}<p>{TWO}<aside class=ad><p>Buy two, get one free!</aside></article></main><footer><p>Imprint | Privacy</footer>", f"Bridge closed\n{ONE}\n{TWO}"),
+        (f"<body><header><a href=/>ホーム</a></header><article><h1>橋の点検</h1><p>{CJK}</p><p>{CJK}</p></article><footer>© 2024</footer></body>", f"橋の点検\n{CJK}\n{CJK}"),
+    ],
+    ids=["comments in the article", "unclosed, advert in the article", "no spaces"],
+)
+def test_html_written_by_hand(page, text):
+    """Pages that share no code with the generator of the training pages."""
+    assert main_text(page, trained()) == text
+
+
+def test_html_of_repeated_rows_and_empty_tables(spark):
+    df = spark.createDataFrame([(1, "u", f"<article><h1>Bridge closed</h1><p>{ONE}</p><p>{TWO}</p></article>")] * 3, "page_id long, url string, html string")
+    assert [r["text"] for r in extract_main_text(df).collect()] == [f"Bridge closed\n{ONE}\n{TWO}"] * 3
+    assert extract_main_text(df.limit(0)).collect() == []
+
+
 def test_html_edges(spark):
     df = spark.createDataFrame([(1, "u", None, 1), (2, None, "", 1), (None, "u", "<", 1), (3, "u", "<p>a &amp; b\n\t c<p>d &#233;</p>" * 3, 1), (4, "u", "<article><p>x" + "y " * 50_000, 1)], "page_id long, url string, html string, text int")
     rows = extract_main_text(df).collect()
