@@ -275,3 +275,88 @@ def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .html import extract_main_text
 
     return extract_main_text(table(spark, sf_dir, "pages"))
+
+
+@query
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .centroids import cluster
+
+    out = cluster(table(spark, sf_dir, "embeddings"), k=16, rounds=3, dim=64, scale=64)
+    return out.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ","), 256).alias("centroid_sha256"))
+
+
+def _round_sql(n: int) -> str:
+    """Assignment to the centroids c{n} and the centroids c{n + 1} that follow."""
+    return f"""
+d{n} AS MATERIALIZED (SELECT r, vec_id, v.e, c, CAST(list_sum(list_transform(range(1, 65), lambda i: (v.e[i] - m.e[i]) * (v.e[i] - m.e[i]))) AS BIGINT) AS distance FROM v, c{n} m),
+a{n} AS MATERIALIZED (SELECT * FROM d{n} QUALIFY row_number() OVER (PARTITION BY r ORDER BY distance, c) = 1),
+s{n} AS (SELECT c, i, sum(x) AS s, count(*) AS n FROM (SELECT c, unnest(e) AS x, unnest(range(1, 65)) AS i FROM a{n}) GROUP BY c, i),
+m{n} AS (SELECT c, list(CAST((s - ((s % n + n) % n)) // n AS BIGINT) ORDER BY i) AS e FROM s{n} GROUP BY c),
+c{n + 1} AS MATERIALIZED (SELECT o.c, coalesce(m.e, o.e) AS e FROM c{n} o LEFT JOIN m{n} m USING (c))"""
+
+
+ORACLE["op11_centroid_clustering"] = f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('1:' || CAST(vec_id AS VARCHAR)), e) - 1 AS c, e FROM v WHERE vec_id IS NOT NULL QUALIFY c < 16
+), {_round_sql(0).strip()}, {_round_sql(1).strip()}, {_round_sql(2).strip()}, {_round_sql(3).strip()}
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, distance, CAST(sum(distance) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(c3.e, ',')) AS centroid_sha256
+FROM a3 JOIN c3 USING (c)
+"""
+
+
+@query
+def op12_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .contamination import contaminated
+
+    out = contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), columns=["doc_id"])
+    return out.select("row.doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+_LOWERED_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+ORACLE["op12_benchmark_decontamination"] = f"""
+WITH i AS (SELECT CAST(item_id AS VARCHAR) AS item, {_LOWERED_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+iw AS MATERIALIZED (
+  SELECT DISTINCT item, least(len(w), 10) AS n, array_to_string(w[p:p + least(len(w), 10) - 1], ' ') AS s
+  FROM (SELECT item, w, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS p FROM i WHERE len(w) > 0)
+), d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {_LOWERED_WORDS} AS w FROM documents),
+dw AS (
+  SELECT r, n, p, array_to_string(w[p:p + n - 1], ' ') AS s FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM d, (SELECT DISTINCT n FROM iw) WHERE len(w) >= n)
+), h AS MATERIALIZED (SELECT r, n, p, item FROM dw JOIN iw USING (n, s)),
+k AS (SELECT r, count(DISTINCT q) AS n_hit FROM (SELECT r, unnest(range(p, p + n)) AS q FROM (SELECT DISTINCT r, n, p FROM h)) GROUP BY r),
+t AS (SELECT r, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS x FROM (SELECT DISTINCT r, item FROM h) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(x, sha256('')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN k USING (r) LEFT JOIN t USING (r)
+"""
+
+
+@query
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .negatives import hard_negatives
+
+    vectors = table(spark, sf_dir, "embeddings").withColumn("label", F.when(F.col("vec_id") % 7 == 0, F.pmod(F.col("label") + 1, F.lit(10))).otherwise(F.col("label")))
+    return hard_negatives(vectors, every=50, positives=5, negatives=3, low=50, high=95, scale=256)
+
+
+ORACLE["op13_hard_negatives"] = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS MATERIALIZED (
+  SELECT a.vec_id AS anchor_id, x.vec_id AS id, a.label = x.label AS same, CAST(list_dot_product(a.e, x.e) AS BIGINT) AS score FROM v a JOIN v x ON a.vec_id % 50 = 0 AND a.vec_id <> x.vec_id
+), p AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+), n AS (
+  SELECT p.anchor_id, positive_id, positive_score, s.id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.id) AS rank
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score
+)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3
+"""

@@ -123,9 +123,9 @@ def is_space(data: np.ndarray) -> np.ndarray:
     return (data == 32) | ((data >= 9) & (data <= 13))
 
 
-def words(c: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and text of every word (a longest run of bytes that are not spaces)."""
-    body = ~is_space(c.data)
+def words(c: Chunk, body: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and text of every word (a longest run of bytes that are not spaces, or of those flagged in ``body``)."""
+    body = ~is_space(c.data) if body is None else body
     edge = np.zeros(len(body) + 1, bool)
     edge[c.offs] = True  # words never cross texts
     before = np.zeros(len(body) + 1, bool)
