@@ -115,6 +115,12 @@ MESSAGE_KEYWORDS = {
     "Salary Slip": ["salary slip", "payslip", "pay slip"],
 }
 
+# Why a retrieval gives nothing, and what a document's link begins with.
+NO_CLIENT = "No access / client not found"
+NO_KEYWORDS = "No supported document keywords found"
+NO_DOCUMENT = "No document available"
+DRIVE_LINK = "https://drive.google.com/uc?export=download&id="
+
 # Folder names of document types, and the limits that send a file to review.
 DRIVE_FOLDERS = {"PAN Card": "PAN Cards", "Aadhaar Card": "Aadhaar Cards", "ITR Acknowledgement": "ITR Acknowledgements", "GST Certificate": "GST Certificates", "Bank Statement": "Bank Statements", "Salary Slip": "Salary Slips", "Invoice": "Invoices", "Form 16": "Form 16", "Cheque": "Cheques", "Passbook": "Passbooks", "Balance Sheet": "Balance Sheets", "Other": "Uncategorised"}
 MIN_ROUTING_CONFIDENCE, MIN_ROUTING_OCR = 60, 20.0

@@ -164,16 +164,50 @@ def clients_by_phone(messages: DataFrame, clients: DataFrame, blank: bool = Fals
     return found.drop("_p")
 
 
-def retrieve(messages: DataFrame, clients: DataFrame, documents: DataFrame) -> DataFrame:
-    """For each message the documents it asks for: message_id, document_id; of ITR with a year only that year's."""
-    who = clients_by_phone(messages, clients).select(F.col("id").alias("message_id"), "client_id", F.col("firm_id"), "body")
-    wanted = who.select("message_id", "client_id", "firm_id", T.normalize_year(F.col("body")).alias("year"), requested_types(F.col("body")).alias("types"))
-    asked = wanted.select("message_id", "client_id", "firm_id", F.when(F.array_contains("types", "ITR"), F.col("year")).alias("year"), F.explode("types").alias("type"))
+def retrieval(messages: DataFrame, clients: DataFrame, documents: DataFrame) -> DataFrame:
+    """For each message (id, phone, body, and firm_id or not) what its sender is shown.
+
+    ``id, client_id, client_name, firm_id, types, year, files, error, reply, action``: the sender's first
+    client is the one of smallest id (within ``firm_id`` where the messages have one that is not null);
+    the documents are those of every client of its firm with the number, of the types asked for, newest
+    first (equal times by falling id). Where ITR is asked with a year, documents of all types must be of
+    it. ``error`` is why nothing was looked for or left: no client, no type in the message, or none of the
+    year. ``reply`` and the audit row's ``action`` follow; without client there is no action.
+    """
+    firms = ["firm_id"] if "firm_id" in messages.columns else []
+    m = messages.select("id", "phone", "body", *[F.col(c).alias("_asked") for c in firms])
+    found = clients_by_phone(m.drop("body"), clients)
+    if firms:
+        found = found.where("_asked IS NULL OR firm_id = _asked")
+    who = found.groupBy("id").agg(F.min_by(F.struct("client_id", "client_name", "firm_id"), "client_id").alias("c"))
+    family = found.join(who, "id").where("firm_id = c.firm_id").select("id", "client_id", "firm_id").distinct()
+    types, year = requested_types(F.col("body")), T.normalize_year(F.col("body"))
+    wanted = m.select("id", "phone", "body", types.alias("types"), year.alias("year"))
+    asked = family.join(wanted.select("id", F.when(F.array_contains("types", "ITR"), F.col("year")).alias("year"), F.explode("types").alias("type")), "id")
     low = F.lower("document_type")
     kinds = F.array_distinct(F.filter(F.array(*[F.when(low.contains(term), kind) for kind, term in type_terms()]), lambda k: k.isNotNull()))
-    d = documents.select(F.col("id").alias("document_id"), "client_id", "firm_id", "assessment_year", F.explode(kinds).alias("type"))
+    link = F.when(F.coalesce(F.col("google_drive_file_id"), F.lit("")) != "", F.concat(F.lit(K.DRIVE_LINK), F.col("google_drive_file_id"))) if "google_drive_file_id" in documents.columns else F.lit(None).cast("string")
+    file = F.struct((-F.unix_micros(F.col("uploaded_at").cast("timestamp"))).alias("_at"), (-F.col("id")).alias("_id"), F.col("id").alias("document_id"), "filename", "document_type", link.alias("url"))
+    d = documents.select("client_id", "firm_id", "assessment_year", file.alias("file"), F.explode(kinds).alias("type"))
     hit = asked.join(d, ["client_id", "firm_id", "type"]).where(F.col("year").isNull() | (T.normalize_year(F.col("assessment_year")) == F.col("year")))
-    return hit.select("message_id", "document_id").distinct()
+    files = hit.groupBy("id").agg(F.sort_array(F.collect_set("file")).alias("files"))
+    j = wanted.join(who, "id", "left").join(files, "id", "left")
+    shown = F.transform(F.coalesce("files", F.array().cast(files.schema["files"].dataType)), lambda f: f.dropFields("_at", "_id"))
+    j = j.select("id", "phone", "body", "types", "year", F.col("c.client_id").alias("client_id"), F.col("c.client_name").alias("client_name"), F.col("c.firm_id").alias("firm_id"), shown.alias("files"))
+    empty = F.size("files") == 0
+    of_year = F.array_contains("types", "ITR") & F.col("year").isNotNull()
+    error = F.when(F.col("client_id").isNull(), K.NO_CLIENT).when(F.size("types") == 0, K.NO_KEYWORDS).when(empty & of_year, missing_reply(F.col("types"), F.col("year")))
+    j = j.withColumn("error", error)
+    reply = F.when(F.col("error").isNotNull(), F.col("error")).when(empty, missing_reply(F.col("types"), F.lit(None).cast("string"))).otherwise(document_reply(F.col("files")))
+    result = F.when(F.col("error").isNotNull(), F.col("error")).when(empty, K.NO_DOCUMENT).otherwise(F.concat(F.size("files").cast("string"), F.lit(" document(s) found")))
+    label = F.coalesce(F.nullif("client_name", F.lit("")), T.normalize_phone(F.col("phone")))
+    action = F.when(F.col("client_id").isNotNull(), audit_action(label, F.col("body"), result))
+    return j.select("id", "client_id", "client_name", "firm_id", "types", "year", "files", "error", reply.alias("reply"), action.alias("action"))
+
+
+def retrieve(messages: DataFrame, clients: DataFrame, documents: DataFrame) -> DataFrame:
+    """The pairs of ``retrieval`` alone: message_id, document_id."""
+    return retrieval(messages, clients, documents).select(F.col("id").alias("message_id"), F.explode("files.document_id").alias("document_id"))
 
 
 def audit_action(client: Column, request: Column, result: Column) -> Column:

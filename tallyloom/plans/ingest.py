@@ -183,41 +183,84 @@ def batch_cache(t: Tables) -> DataFrame:
 
 
 def _payloads(t: Tables) -> DataFrame:
-    """A payload of one or two messages for each message: texts, and documents with or without media id."""
+    """A payload as JSON for each message: texts, documents with or without media id, further and malformed messages; one in eleven is cut short."""
     m = t.messages
     media = F.struct(F.when(F.col("id") % 3 == 0, F.lit("m1")).alias("id"), F.lit("application/pdf").alias("mime_type"), F.lit("a.pdf").alias("filename"))
-    none = F.lit(None).cast("struct<id:string,mime_type:string,filename:string>")
     kind = F.when(F.col("id") % 5 == 0, "document").when(F.col("id") % 5 == 1, "sticker").otherwise("text")
-    one = F.struct(F.col("phone").alias("from"), kind.alias("type"), F.struct(F.when(kind == "text", F.col("body")).alias("body")).alias("text"), F.when(kind == "document", media).alias("document"), none.alias("image"))
-    two = F.struct(F.lit("no number").alias("from"), F.lit("text").alias("type"), F.struct(F.lit("pan").alias("body")).alias("text"), none.alias("document"), none.alias("image"))
-    messages = F.when(F.col("id") % 2 == 0, F.array(one, two)).otherwise(F.array(one))
-    return m.select("id", F.array(F.struct(F.array(F.struct(F.struct(messages.alias("messages")).alias("value"))).alias("changes"))).alias("entry"))
+    one = F.to_json(F.struct(F.col("phone").alias("from"), kind.alias("type"), F.when(kind == "text", F.struct("body")).alias("text"), F.when(kind == "document", media).alias("document")))
+    two = F.when(F.col("id") % 2 == 0, F.lit('{"from": "no number", "type": "text", "text": {"body": "pan"}}'))
+    odd = F.when(F.col("id") % 7 == 0, F.concat(F.lit('{"type": "text", "text": "pan", "from": "'), F.col("phone"), F.lit('"}')))
+    whole = F.concat(F.lit('{"entry": [{"id": "e"}, {"changes": [{"field": "x"}, {"value": {"messages": ['), F.concat_ws(", ", one, two, odd), F.lit("]}}]}]}"))
+    return m.select("id", F.when(F.col("id") % 11 == 0, F.substring(whole, 1, 60)).otherwise(whole).alias("value"))
 
 
-_SENT = f"""sent AS (SELECT id, 0 AS n, phone AS sender, CASE id % 5 WHEN 0 THEN 'document' WHEN 1 THEN 'sticker' ELSE 'text' END AS type, CASE WHEN id % 5 < 2 THEN '' ELSE body END AS body, id % 5 = 0 AND id % 3 = 0 AS has_id FROM messages
- UNION ALL SELECT id, 1, 'no number', 'text', 'pan', false FROM messages WHERE id % 2 = 0),
-who AS (SELECT s.id, s.n, arg_min(c.client_name, c.id) AS client_name, min(c.id) AS client_id FROM sent s JOIN clients c ON c.is_active AND {Q._PHONE.replace("phone", "sender")} <> '' AND replace(c.mobile, ' ', '') LIKE '%' || {Q._PHONE.replace("phone", "sender")} GROUP BY s.id, s.n),
-terms(type, term) AS (VALUES {", ".join(f"('{a}', '{b}')" for a, b in R.type_terms())}),
-ask AS (SELECT s.id, s.n, w.client_id, unnest({Q._TYPES}) AS type, CASE WHEN list_contains({Q._TYPES}, 'ITR') THEN {Q._YEAR.format(x="body")} END AS year FROM sent s JOIN who w ON w.id = s.id AND w.n = s.n WHERE s.type = 'text'),
-got AS (SELECT ask.id, ask.n, count(DISTINCT d.id) AS k FROM ask JOIN terms USING (type) JOIN app_documents d ON d.client_id = ask.client_id AND d.firm_id = (SELECT firm_id FROM clients c WHERE c.id = ask.client_id) AND contains(lower(document_type), term) WHERE year IS NULL OR {Q._YEAR.format(x="assessment_year")} = year GROUP BY ask.id, ask.n)"""
-
+_SENT = f"""sent AS (SELECT id, 0 AS n, phone AS sender, CASE id % 5 WHEN 0 THEN 'document' WHEN 1 THEN 'sticker' ELSE 'text' END AS type, CASE WHEN id % 5 < 2 THEN '' ELSE body END AS body, id % 5 = 0 AND id % 3 = 0 AS has_id, CAST(NULL AS VARCHAR) AS error FROM messages WHERE id % 11 <> 0
+ UNION ALL SELECT id, 1, 'no number', 'text', 'pan', false, NULL FROM messages WHERE id % 2 = 0 AND id % 11 <> 0
+ UNION ALL SELECT id, CASE WHEN id % 2 = 0 THEN 2 ELSE 1 END, phone, 'text', '', false, 'malformed message' FROM messages WHERE id % 7 = 0 AND id % 11 <> 0
+ UNION ALL SELECT id, 0, NULL, NULL, '', false, 'malformed payload' FROM messages WHERE id % 11 = 0)"""
 
-@query("messages", f", {_SENT.split('who AS')[0].rstrip().rstrip(',')} SELECT id, n, sender, type, body, has_id FROM sent")
+#: SQL of a retrieval: who sends, whose documents count, what is asked, found and answered.
+_RETRIEVAL = f"""hits AS (SELECT s.id, s.n, c.id AS client_id, c.firm_id, c.client_name FROM sent s JOIN family_clients c ON c.is_active AND {Q._PHONE.replace("phone", "sender")} <> '' AND replace(c.mobile, ' ', '') LIKE '%' || {Q._PHONE.replace("phone", "sender")} WHERE s.error IS NULL),
+who AS (SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY id, n ORDER BY client_id) = 1),
+terms(type, term) AS (VALUES {", ".join(f"('{a}', '{b}')" for a, b in R.type_terms())}),
+req AS (SELECT s.id, s.n, sender, body, {Q._TYPES} AS types, {Q._YEAR.format(x="body")} AS year FROM sent s WHERE s.type = 'text' AND s.error IS NULL),
+got AS (SELECT DISTINCT r.id, r.n, d.id AS document_id, filename, document_type, google_drive_file_id, uploaded_at FROM req r JOIN who w ON w.id = r.id AND w.n = r.n JOIN hits h ON h.id = r.id AND h.n = r.n AND h.firm_id = w.firm_id
+ JOIN family_documents d ON d.client_id = h.client_id AND d.firm_id = w.firm_id JOIN terms t ON list_contains(r.types, t.type) AND contains(lower(document_type), t.term) WHERE r.year IS NULL OR NOT list_contains(r.types, 'ITR') OR {Q._YEAR.format(x="assessment_year")} = r.year),
+texts AS (SELECT id, n, count(*) AS k, 'Here are your matching documents:' || chr(10) || string_agg(CAST(i AS VARCHAR) || '. ' || filename || ' (' || document_type || ')' || chr(10) || coalesce('https://drive.google.com/uc?export=download&id=' || google_drive_file_id, 'Drive link unavailable'), chr(10) ORDER BY i) AS listed
+ FROM (SELECT *, row_number() OVER (PARTITION BY id, n ORDER BY uploaded_at DESC, document_id DESC) AS i FROM got) GROUP BY id, n),
+told AS (SELECT r.*, w.client_id, client_name, firm_id, coalesce(k, 0) AS k, listed, CASE WHEN len(types) = 0 THEN 'No supported document keywords found' WHEN k IS NULL AND year IS NOT NULL AND list_contains(types, 'ITR') THEN 'No document available for ' || array_to_string(types, ', ') || ' for AY ' || year || ' right now. Please ask your CA firm to upload it in our service.' END AS why
+ FROM req r JOIN who w ON w.id = r.id AND w.n = r.n LEFT JOIN texts x ON x.id = r.id AND x.n = r.n),
+said AS (SELECT *, coalesce(why, listed, 'No document available for ' || array_to_string(types, ', ') || ' right now. Please ask your CA firm to upload it in our service.') AS answer,
+ 'WhatsApp retrieval | ' || client_name || ' | ' || CASE WHEN trim(body) = '' THEN 'blank message' ELSE body END || ' | ' || coalesce(why, CASE WHEN k > 0 THEN CAST(k AS VARCHAR) || ' document(s) found' ELSE 'No document available' END) AS action FROM told)"""
+
+
+@query("messages", f", {_SENT} SELECT id, CAST(n AS INTEGER) AS n, sender, type, body, has_id, error FROM sent")
 def webhook_messages(t: Tables) -> DataFrame:
     m = W.payload_messages(_payloads(t))
-    return m.select("id", "n", "sender", "type", "body", F.col("media.id").isNotNull().alias("has_id"))
+    return m.select("id", "n", "sender", "type", "body", F.col("media.id").isNotNull().alias("has_id"), "error")
 
 
 @query(
-    "messages clients app_documents",
-    f""", {_SENT} SELECT CAST(s.id AS VARCHAR) || ':' || CAST(s.n AS VARCHAR) AS id, s.sender, CASE WHEN type = 'sticker' THEN 'unsupported' WHEN type = 'document' AND NOT has_id THEN 'missing_media_id' WHEN w.id IS NULL THEN 'no_client' WHEN type = 'document' THEN 'received' ELSE 'searched' END AS status,
-CASE WHEN type = 'text' OR has_id THEN client_id END AS client_id, CAST(coalesce(k, 0) AS INTEGER) AS n_documents,
-CASE WHEN type = 'text' AND w.id IS NOT NULL THEN 'WhatsApp retrieval | ' || client_name || ' | ' || CASE WHEN trim(body) = '' THEN 'blank message' ELSE body END || ' | ' || CASE WHEN k > 0 THEN CAST(k AS VARCHAR) || ' document(s) found' ELSE 'No document available' END END AS action
-FROM sent s LEFT JOIN who w ON w.id = s.id AND w.n = s.n LEFT JOIN got g ON g.id = s.id AND g.n = s.n""",
+    "messages family_clients family_documents",
+    f""", {_SENT}, {_RETRIEVAL}, state AS (SELECT s.*, w.client_id, CASE WHEN error IS NOT NULL THEN 'error' WHEN type = 'sticker' THEN 'unsupported' WHEN type = 'document' AND NOT has_id THEN 'missing_media_id' WHEN w.id IS NULL THEN 'no_client' WHEN type = 'document' THEN 'received' ELSE 'searched' END AS status FROM sent s LEFT JOIN who w ON w.id = s.id AND w.n = s.n)
+SELECT CAST(s.id AS VARCHAR) || ':' || CAST(s.n AS VARCHAR) AS id, s.sender, status, CASE WHEN status IN ('searched', 'received') THEN s.client_id END AS client_id, CAST(coalesce(k, 0) AS INTEGER) AS n_documents, error, action,
+CASE status WHEN 'error' THEN CASE WHEN s.sender IS NOT NULL THEN 'Sorry, this WhatsApp document could not be processed.' END WHEN 'missing_media_id' THEN 'Could not process this file: media ID missing.' WHEN 'no_client' THEN 'No access / client not found' WHEN 'searched' THEN answer END AS reply
+FROM state s LEFT JOIN said ON said.id = s.id AND said.n = s.n""",
 )
 def webhook_answers(t: Tables) -> DataFrame:
-    a = W.answers(W.payload_messages(_payloads(t)), t.clients, t.app_documents)
-    return a.select("id", "sender", "status", "client_id", "n_documents", "action")
+    a = W.answers(W.payload_messages(_payloads(t)), t.family_clients, t.family_documents)
+    return a.select("id", "sender", "status", "client_id", "n_documents", "error", "action", "reply")
+
+
+@query(
+    "messages family_clients family_documents",
+    f""", sent AS (SELECT id, 0 AS n, phone AS sender, 'text' AS type, body, CAST(NULL AS VARCHAR) AS error FROM messages), {_RETRIEVAL.replace("WHERE s.error IS NULL),", "WHERE (c.firm_id = 7 OR s.id % 2 = 0)),", 1)}
+SELECT m.id, s.client_id, CASE WHEN s.id IS NULL THEN 'No access / client not found' ELSE why END AS error, CASE WHEN s.id IS NULL THEN 'No access / client not found' ELSE answer END AS reply, (SELECT string_agg(CAST(document_id AS VARCHAR), ',' ORDER BY uploaded_at DESC, document_id DESC) FROM got g WHERE g.id = m.id) AS document_ids
+FROM messages m LEFT JOIN said s ON s.id = m.id""",
+)
+def retrieval_within_firm(t: Tables) -> DataFrame:
+    """The lookup of a session: every other message within firm 7, the others within the firm of the sender's first client."""
+    m = t.messages.withColumn("firm_id", F.when(F.col("id") % 2 == 1, 7))
+    r = R.retrieval(m, t.family_clients, t.family_documents)
+    return r.select("id", "client_id", "error", "reply", F.nullif(F.array_join(F.col("files.document_id").cast("array<string>"), ","), F.lit("")).alias("document_ids"))
+
+
+def _forms(t: Tables) -> DataFrame:
+    """The other service's url-encoded forms: one in four has media, one in nine a NumMedia that is no number."""
+    count = F.when(F.col("id") % 9 == 4, "many").when(F.col("id") % 4 == 0, (F.col("id") % 3).cast("string")).otherwise("")
+    media = F.concat(*[F.lit(f"&MediaUrl{k}=https%3A%2F%2Fx%2F{k}&MediaContentType{k}={c}") for k, c in enumerate(("image%2Fjpeg", "video%2Fmp4", "application%2Fpdf"))])
+    return t.messages.select("id", F.concat(F.lit("SmsSid=x&From=whatsapp%3A"), F.url_encode("phone"), F.lit("&Body="), F.url_encode("body"), F.lit("&NumMedia="), count, media).alias("value"))
+
+
+@query(
+    "messages family_clients family_documents",
+    f""", forms AS (SELECT id, 'whatsapp:' || phone AS sender, body, CASE WHEN id % 9 = 4 THEN NULL WHEN id % 4 = 0 THEN id % 3 ELSE 0 END AS k FROM messages),
+sent AS (SELECT id, 0 AS n, sender, 'text' AS type, body, CASE WHEN k IS NULL THEN 'malformed form' END AS error FROM forms WHERE coalesce(k, 0) = 0 UNION ALL SELECT id, i, sender, 'document', body, NULL FROM forms, range(0, 2) r(i) WHERE i < k), {_RETRIEVAL}
+SELECT CAST(s.id AS VARCHAR) || ':' || CAST(s.n AS VARCHAR) AS id, CASE WHEN error IS NOT NULL THEN 'error' WHEN w.id IS NULL THEN 'no_client' WHEN type = 'document' THEN 'received' ELSE 'searched' END AS status, CASE WHEN error IS NOT NULL THEN 'Sorry, this WhatsApp document could not be processed.' WHEN w.id IS NULL THEN 'No access / client not found' ELSE answer END AS reply
+FROM sent s LEFT JOIN who w ON w.id = s.id AND w.n = s.n LEFT JOIN said ON said.id = s.id AND said.n = s.n""",
+)
+def form_answers(t: Tables) -> DataFrame:
+    return W.answers(W.form_messages(W.form_fields(_forms(t))), t.family_clients, t.family_documents).select("id", "status", "reply")
 
 
 @query("messages", "SELECT id, CAST(i AS INTEGER) AS n, 'document' AS type, 'twilio_whatsapp_' || CAST(i AS VARCHAR) || CASE WHEN i = 0 THEN '.jpg' ELSE '' END AS filename FROM messages, range(0, 2) r(i) WHERE i < id % 3 UNION ALL SELECT id, 0, 'text', NULL FROM messages WHERE id % 3 = 0")

@@ -64,6 +64,13 @@ VIEWS: dict[str, str] = {
  CASE event_type WHEN 'view' THEN 'please send my PAN' WHEN 'click' THEN 'need ITR for AY 2019-20' WHEN 'purchase' THEN 'bank statment and gstin' WHEN 'signup' THEN 'hello' ELSE '' END AS body FROM {events}""",
 }
 
+#: Relatives with a client's mobile: in the same firm for one in three, in the next firm for one in four; some documents are theirs.
+VIEWS["family_clients"] = f"""SELECT * FROM ({VIEWS["clients"]}) UNION ALL SELECT id + 1000000, firm_id, client_name || ' Jr', mobile, pan_number, aadhaar_number, client_type, false, is_active FROM ({VIEWS["clients"]}) WHERE id % 3 = 0
+ UNION ALL SELECT id + 2000000, CAST((firm_id + 1) % 25 AS INT), client_name || ' Sr', mobile, pan_number, aadhaar_number, client_type, false, is_active FROM ({VIEWS["clients"]}) WHERE id % 4 = 0"""
+VIEWS["family_documents"] = f"""SELECT id, CASE WHEN client_id % 4 = 0 AND id % 4 = 2 THEN CAST((firm_id + 1) % 25 AS INT) ELSE firm_id END AS firm_id,
+ CASE WHEN client_id % 4 = 0 AND id % 4 = 2 THEN client_id + 2000000 WHEN client_id % 3 = 0 AND id % 2 = 1 THEN client_id + 1000000 ELSE client_id END AS client_id,
+ filename, document_type, assessment_year, CASE WHEN id % 3 = 0 THEN 'g' || CAST(id AS STRING) END AS google_drive_file_id, uploaded_at FROM ({VIEWS["app_documents"]})"""
+
 
 def view(spark: SparkSession, sf_dir: str, which: str) -> DataFrame:
     """One derived table over the Parquet tables of a folder."""
