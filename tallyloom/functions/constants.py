@@ -35,6 +35,20 @@ OCR_SCORE_KEYWORDS = "india government income tax name father birth pan aadhaar
 SCORE = {"keyword": 8, "pan": 30, "aadhaar": 25, "gstin": 25, "year": 15, "word": 0.05, "alnum": 0.3, "pair": 2, "garbage": 20, "short": 10}
 SHORT_CIRCUIT = 70
 
+# Image pipelines from cheap to dear, and what each mode runs: scales, pipelines, page modes, and the score that ends it.
+OCR_PIPELINES = ["fastpath", "light", "standard", "adaptive", "sharpen", "heavy_denoise"]
+OCR_MODES = {
+    "dev": {"scales": [2.0], "pipelines": ["standard"], "grayscale": True, "psm": [6, 3], "stop": 80.0},
+    "balanced": {"scales": [2.0, 1.5], "pipelines": ["standard", "adaptive", "sharpen"], "grayscale": False, "psm": [6, 3, 4], "stop": 90.0},
+    "prod": {"scales": [1.5, 2.0, 2.5], "pipelines": ["standard", "adaptive", "sharpen", "light", "heavy_denoise"], "grayscale": True, "psm": [3, 4, 6, 11], "stop": 95.0},
+}
+
+# Words that make a line of another pass worth keeping.
+INFORMATIVE_WORDS = ["pan", "aadhaar", "gst", "name", "year", "itr", "date", "account", "ifsc", "tan"]
+
+# Folders of document types, the first whose words the type contains.
+FOLDER_RULES = [(["itr", "income tax", "return of income"], "ITR"), (["gst"], "GST"), (["aadhaar"], "Aadhaar"), (["bank"], "Bank Statements"), (["balance sheet"], "Balance Sheet"), (["notice"], "Notices"), (["pan"], "PAN")]
+
 # Labels that stand before a name, in order.
 NAME_LABELS = ["name", "assessee name", "applicant name", "customer name", "employee name", "account holder", "taxpayer name", "name of taxpayer", "name of assessee", "name of applicant", "proprietor name", "authorized signatory", "full name", "registered name", "partner name", "company name"]
 
@@ -121,6 +135,9 @@ NO_KEYWORDS = "No supported document keywords found"
 NO_DOCUMENT = "No document available"
 DRIVE_LINK = "https://drive.google.com/uc?export=download&id="
 
+# What a requested type may be called besides its keywords.
+MORE_TERMS = {"Aadhaar": ["aadhaar card"], "PAN": ["pan card"]}
+
 # Folder names of document types, and the limits that send a file to review.
 DRIVE_FOLDERS = {"PAN Card": "PAN Cards", "Aadhaar Card": "Aadhaar Cards", "ITR Acknowledgement": "ITR Acknowledgements", "GST Certificate": "GST Certificates", "Bank Statement": "Bank Statements", "Salary Slip": "Salary Slips", "Invoice": "Invoices", "Form 16": "Form 16", "Cheque": "Cheques", "Passbook": "Passbooks", "Balance Sheet": "Balance Sheets", "Other": "Uncategorised"}
 MIN_ROUTING_CONFIDENCE, MIN_ROUTING_OCR = 60, 20.0

@@ -251,10 +251,9 @@ def clean_name(x: Column) -> Column:
 def folder_name(document_type: Column) -> Column:
     """The folder of a document type: the first rule whose substring it contains."""
     t = F.lower(F.coalesce(document_type, F.lit("")))
-    rules = [(("itr", "income tax", "return of income"), "ITR"), (("gst",), "GST"), (("aadhaar",), "Aadhaar"), (("bank",), "Bank Statements"), (("balance sheet",), "Balance Sheet"), (("notice",), "Notices"), (("pan",), "PAN")]
     out = F.lit("Other")
-    for words, folder in reversed(rules):
-        out = F.when(contains_any(t, list(words)), folder).otherwise(out)
+    for words, folder in reversed(K.FOLDER_RULES):
+        out = F.when(contains_any(t, words), folder).otherwise(out)
     return out
 
 

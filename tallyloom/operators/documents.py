@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions import constants as K
@@ -110,9 +110,47 @@ def scheduled_passes(passes: DataFrame, threshold: float, key: str = "file") ->
     return passes.join(stop, key, "left").where("stop IS NULL OR pass_no <= stop").drop("stop")
 
 
+def pass_plan(spark: SparkSession) -> DataFrame:
+    """``mode, pass_no, scale, pipeline, psm, config, threshold``: every pass each mode may run, in order.
+
+    Scales go outermost, then the pipelines, plain grey first and the others from cheap to dear, then the
+    page modes.
+    """
+    rows = []
+    for mode, m in K.OCR_MODES.items():
+        names = ["grayscale_only"] * m["grayscale"] + [p for p in K.OCR_PIPELINES if p in m["pipelines"]]
+        every = [(s, p, psm) for s in m["scales"] for p in names for psm in m["psm"]]
+        rows += [(mode, n, s, p, psm, f"scale{s}__{p}__psm{psm}", m["stop"]) for n, (s, p, psm) in enumerate(every, 1)]
+    return spark.createDataFrame(rows, "mode string, pass_no int, scale double, pipeline string, psm int, config string, threshold double")
+
+
+def executed_passes(results: DataFrame, key: str = "file") -> DataFrame:
+    """Of the results that passes would give (``key``, mode, config, text, score) those of passes that run, with ``pass_no`` and ``short_circuit``.
+
+    A pass ends all later ones, of its scale and of others, if its text is good enough by itself (short
+    circuit) or its score reaches the mode's threshold. Passes of other modes and configurations than the
+    plan's never run. The stop is a running count within a file, so results are read once and sorted
+    once; a file has as many rows as its mode has passes at most.
+    """
+    plan = F.broadcast(pass_plan(results.sparkSession).select("mode", "config", "pass_no", "threshold"))  # a row for each pass of each mode
+    r = results.join(plan, ["mode", "config"])
+    short = F.when(F.col("score") >= K.SHORT_CIRCUIT, short_circuit(F.col("text"), F.col("score"))).otherwise(F.lit(False))
+    before = Window.partitionBy(key, "mode").orderBy("pass_no").rowsBetween(Window.unboundedPreceding, -1)
+    r = r.withColumn("short_circuit", short).withColumn("_ends", (F.col("short_circuit") | (F.col("score") >= F.col("threshold"))).cast("int"))
+    r = r.withColumn("_ended", F.coalesce(F.sum("_ends").over(before), F.lit(0)))
+    return r.where("_ended = 0").drop("_ends", "_ended", "threshold")
+
+
+def pass_summary(executed: DataFrame, key: str = "file") -> DataFrame:
+    """A row a file and mode: how many passes ran, over how many scales, whether a short circuit ended them, and the best pass (the first of equal scores)."""
+    best = F.max_by(F.struct("config", "score", "text"), F.struct("score", -F.col("pass_no")))
+    scale = F.split_part("config", F.lit("__"), F.lit(1))
+    out = executed.groupBy(key, "mode").agg(F.count("*").alias("pass_count"), F.count_distinct(scale).alias("n_scales"), F.bool_or("short_circuit").alias("short_circuit"), best.alias("b"))
+    return out.select(key, "mode", "pass_count", "n_scales", "short_circuit", "b.config", "b.score", "b.text")
+
+
 def is_informative(line: Column) -> Column:
-    words = ["pan", "aadhaar", "gst", "name", "year", "itr", "date", "account", "ifsc", "tan"]
-    return F.coalesce((line.contains(":") & (F.length(line) > 5)) | T.contains_any(line, words) | F.upper(line).rlike("[A-Z]{5}[0-9]{4}[A-Z]") | line.rlike("(?U)\\d{6,}"), F.lit(False))
+    return F.coalesce((line.contains(":") & (F.length(line) > 5)) | T.contains_any(line, K.INFORMATIVE_WORDS) | F.upper(line).rlike("[A-Z]{5}[0-9]{4}[A-Z]") | line.rlike("(?U)\\d{6,}"), F.lit(False))
 
 
 def merge_passes(passes: DataFrame, key: str = "file") -> DataFrame:
@@ -373,21 +411,28 @@ def extract_fields(docs: DataFrame, text: str = "text", score: str = "ocr_score"
     return forget(_extract(d, x, score))
 
 
+def id_fields(x: Seen, s: Column) -> dict[str, Column]:
+    """The fields that need nothing but the text and its score."""
+    return {"pan": pan_field(x, s), "aadhaar": aadhaar_field(x, s), "gstin": gstin_field(x, s), "tan": tan_field(x, s), "ifsc": ifsc_field(x, s), "year": year_field(x, s)}
+
+
+def other_fields(x: Seen, s: Column, pan: Column) -> dict[str, Column]:
+    """The further fields of struct(value, confidence); the name is looked for near the PAN."""
+    t = x.t
+    return {
+        "name": name_field(x, s, pan),
+        "invoice_number": _field((T.first_match(t, K.INVOICE_LABEL), T.field_confidence(F.lit("x"), s, label=True))),
+        "phone": phone_field(t),
+        "email": simple_field(t, K.EMAIL, 90, lower=True),
+        "itr_type": _field((itr_type(x), F.lit(85))),
+        "acknowledgement_number": simple_field(t, K.ACK_LABEL, 85),
+    }
+
+
 def _extract(docs: DataFrame, x: Seen, score: str) -> DataFrame:
-    t, s = x.t, F.col(score)
-    d = docs.withColumns({"pan": pan_field(x, s), "aadhaar": aadhaar_field(x, s), "gstin": gstin_field(x, s), "tan": tan_field(x, s), "ifsc": ifsc_field(x, s), "year": year_field(x, s)})
-    return d.withColumns(
-        {
-            "name": name_field(x, s, F.col("pan.value")),
-            "invoice_number": _field((T.first_match(t, K.INVOICE_LABEL), T.field_confidence(F.lit("x"), s, label=True))),
-            "phone": phone_field(t),
-            "email": simple_field(t, K.EMAIL, 90, lower=True),
-            "dates": dates_field(t),
-            "gst_period": gst_period_field(x),
-            "itr_type": _field((itr_type(x), F.lit(85))),
-            "acknowledgement_number": simple_field(t, K.ACK_LABEL, 85),
-        }
-    )
+    s = F.col(score)
+    d = docs.withColumns(id_fields(x, s))
+    return d.withColumns(other_fields(x, s, F.col("pan.value")) | {"dates": dates_field(x.t), "gst_period": gst_period_field(x)})
 
 
 def process(docs: DataFrame, text: str = "text", score: str = "ocr_score") -> DataFrame:

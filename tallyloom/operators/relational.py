@@ -142,8 +142,7 @@ def requested_types(body: Column) -> Column:
 
 def type_terms() -> list[tuple[str, str]]:
     """Pairs of requested type and term that a document's type may contain."""
-    more = {"Aadhaar": ["aadhaar card"], "PAN": ["pan card"]}
-    return [(t, x) for t, ks in K.MESSAGE_KEYWORDS.items() for x in [t.lower(), *ks, *more.get(t, [])]]
+    return [(t, x) for t, ks in K.MESSAGE_KEYWORDS.items() for x in [t.lower(), *ks, *K.MORE_TERMS.get(t, [])]]
 
 
 def clients_by_phone(messages: DataFrame, clients: DataFrame, blank: bool = False) -> DataFrame:

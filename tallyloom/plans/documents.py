@@ -194,6 +194,44 @@ def pass_schedule(t: Tables) -> DataFrame:
     return D.scheduled_passes(_passes(t), 8)
 
 
+_STOPS = f"({_has(_PAN, 'upper(text)')} OR ({_ITR} AND {_YEARS}) OR {_has(_GSTIN, 'upper(text)')} OR (contains(lower(text), 'aadhaar') AND {_has(_AAD4)}))"
+
+
+def _mode_sql(mode: str) -> str:
+    """The passes of a mode as SQL rows, from its lists."""
+    m = K.OCR_MODES[mode]
+    names = ["grayscale_only"] * m["grayscale"] + [p for p in K.OCR_PIPELINES if p in m["pipelines"]]
+    values = lambda v: ", ".join(f"({i}, {x!r})" for i, x in enumerate(v))
+    return f"""SELECT '{mode}' AS mode, row_number() OVER (ORDER BY a.i, b.i, c.i) AS pass_no, 'scale' || s || '__' || p || '__psm' || psm AS config, {m['stop']} AS threshold
+FROM (VALUES {values([str(s) for s in m['scales']])}) a(i, s), (VALUES {values(names)}) b(i, p), (VALUES {values([str(x) for x in m['psm']])}) c(i, psm)"""
+
+
+_SCHEDULE = f"""plan AS ({' UNION ALL '.join(map(_mode_sql, K.OCR_MODES))}),
+runs AS (SELECT o.id AS file, p.*, substr(o.text, 1, CAST(25 * p.pass_no AS BIGINT)) AS text, CAST((o.id * 31 + p.pass_no * p.pass_no * 17) % 97 AS DOUBLE) AS score FROM ocr_texts o JOIN plan p ON p.mode = CASE o.id % 4 WHEN 0 THEN 'dev' WHEN 1 THEN 'balanced' ELSE 'prod' END),
+ends AS (SELECT *, score >= 70 AND {_STOPS} AS short_circuit FROM runs),
+ran AS (SELECT * FROM ends e WHERE pass_no <= coalesce((SELECT min(pass_no) FROM ends f WHERE f.file = e.file AND (f.short_circuit OR f.score >= f.threshold)), 999))"""
+
+
+def _mode_runs(t: Tables) -> DataFrame:
+    """What each pass of a file's mode would read: more of the text the later it is, with scores of every height; and passes no mode has."""
+    plan = D.pass_plan(t.spark)
+    odd = plan.where("pass_no = 1").withColumn("config", F.lit("scale9.0__other__psm1"))
+    mode = F.when(F.col("id") % 4 == 0, "dev").when(F.col("id") % 4 == 1, "balanced").otherwise("prod")
+    runs = t.ocr_texts.select(F.col("id").alias("file"), mode.alias("mode"), "text").join(F.broadcast(plan.union(odd)), "mode")
+    score = (F.col("file") * 31 + F.col("pass_no") * F.col("pass_no") * 17) % 97
+    return runs.select("file", "mode", "config", F.substring("text", F.lit(1), F.col("pass_no") * 25).alias("text"), score.cast("double").alias("score"))
+
+
+@query("ocr_texts", f", {_SCHEDULE} SELECT file, mode, config, CAST(pass_no AS INTEGER) AS pass_no, score, short_circuit FROM ran")
+def executed_passes(t: Tables) -> DataFrame:
+    return D.executed_passes(_mode_runs(t)).select("file", "mode", "config", "pass_no", "score", "short_circuit")
+
+
+@query("ocr_texts", f", {_SCHEDULE} SELECT file, mode, count(*) AS pass_count, count(DISTINCT split_part(config, '__', 1)) AS n_scales, bool_or(short_circuit) AS short_circuit, arg_max(config, (score, -pass_no)) AS config, max(score) AS score, arg_max(text, (score, -pass_no)) AS text FROM ran GROUP BY file, mode")
+def pass_summary(t: Tables) -> DataFrame:
+    return D.pass_summary(D.executed_passes(_mode_runs(t)))
+
+
 @query(
     "ocr_texts",
     rf""", {_PASSES}, ranked AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY score DESC, pass_no) AS r FROM passes),

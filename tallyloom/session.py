@@ -67,16 +67,31 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
             spark.conf.set(_CLEAN, before)
     out = spark.read.schema(df.schema).parquet(path)
     _PATHS[out] = path
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, set()).add(path)
     return out
 
 
+#: By application, the folders that ``cut`` has written and nobody has deleted.
+_WRITTEN: dict[str, set[str]] = {}
 _PATHS: "weakref.WeakKeyDictionary[DataFrame, str]" = weakref.WeakKeyDictionary()
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+    _WRITTEN.get(spark.sparkContext.applicationId, set()).discard(path)
+
+
 def drop(*tables: DataFrame) -> None:
     """Delete tables that ``cut`` has written, once nothing needs them; others are left alone."""
     for df in tables:
         if path := _PATHS.pop(df, None):
-            jvm = df.sparkSession.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+            _delete(df.sparkSession, path)
+
+
+def release(spark: SparkSession) -> int:
+    """Delete every table that ``cut`` has written in this application; results not read or written yet are lost. Gives how many went."""
+    paths = sorted(_WRITTEN.get(spark.sparkContext.applicationId, ()))
+    for path in paths:
+        _delete(spark, path)
+    return len(paths)
