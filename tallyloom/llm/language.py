@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .textbuf import Chunk, chunks
@@ -26,8 +26,12 @@ BUCKETS = 1 << 15
 DIM = 16
 #: Training texts at most, in all and of a language, and the longest of them in bytes.
 SAMPLE_ROWS, SAMPLE_LANGUAGE, SAMPLE_BYTES = 3000, 600, 20_000
-#: Training texts of each language at least, about, if it has them: of many languages there are more than SAMPLE_ROWS in all.
+#: Training texts of each language at least, if it has them: of many languages there are more than SAMPLE_ROWS in all.
 SAMPLE_LEAST = 16
+#: Languages at most (those of most texts), and characters of training text at most: of very many texts only the beginnings are taken.
+SAMPLE_LANGUAGES, SAMPLE_CHARACTERS = 2000, 60_000_000
+#: Languages and positions that scoring sums at a time.
+SCORE_LANGUAGES, SCORE_POSITIONS = 8, 1 << 18
 #: Share of correct held-out texts that the rejection threshold may lose.
 LOSS = 0.002
 
@@ -77,9 +81,15 @@ class LanguageModel:
         for at, bucket in subwords(c):
             edge = np.searchsorted(at, c.offs)
             count += np.diff(edge)
-            for k in range(len(self.languages)):
-                s = np.concatenate([[0.0], np.cumsum(self.table[:, k][bucket], dtype=np.float64)])
-                logits[:, k] += s[edge[1:]] - s[edge[:-1]]
+            for i in range(0, len(at), SCORE_POSITIONS):
+                part = bucket[i : i + SCORE_POSITIONS]
+                mine = np.clip(edge - i, 0, len(part))
+                first, last = np.searchsorted(mine, 0, "right") - 1, np.searchsorted(mine, len(part), "left")
+                for k in range(0, len(self.languages), SCORE_LANGUAGES):
+                    rows = self.table[:, k : k + SCORE_LANGUAGES][part]
+                    s = np.zeros((len(part) + 1, rows.shape[1]))
+                    np.cumsum(rows, 0, dtype=np.float64, out=s[1:])
+                    logits[first:last, k : k + SCORE_LANGUAGES] += s[mine[first + 1 : last + 1]] - s[mine[first:last]]
         logits = (logits / np.maximum(count, 1)[:, None] + self.bias) / self.temperature
         return softmax(logits)
 
@@ -143,22 +153,32 @@ def in_fold(id_col: Column, folds: int = 3, held_out: int = 1) -> Column:
     return F.coalesce(F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % folds == held_out, F.lit(False))
 
 
-def fit_language_model(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
-    """Train on labelled documents outside the held-out fold: a sample bounded by the SAMPLE parameters, picked by a hash of the id.
+def training_sample(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """``text, lang`` of the training texts: of each language those of least hash outside the held-out fold, as many as the SAMPLE parameters say.
 
-    Every language takes part. Texts of more than SAMPLE_BYTES are taken, by their start, for languages that have no others.
+    Every language takes part, however rare or frequent: the least hashes are taken language by language,
+    after a share of each, by a 64-bit hash, has been let through that holds them (a language of no more
+    texts than are wanted goes through whole). Texts of more than SAMPLE_BYTES are taken, by their start,
+    for languages that have no others. Only of more than SAMPLE_LANGUAGES the rarest are left out.
     """
     rows = documents.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~in_fold(F.col(id_col)))
-    rows = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.pmod(F.xxhash64(F.col(id_col), F.lit(3)), F.lit(1_000_000)).alias("u"), (F.octet_length(text_col) <= SAMPLE_BYTES).alias("fits"))
-    counts = rows.groupBy("lang").agg(F.count_if("fits").alias("fit"), F.count("*").alias("n")).collect()
-    if not counts:
-        return train([], [])
-    want = min(SAMPLE_LANGUAGE, max(SAMPLE_LEAST, SAMPLE_ROWS // len(counts)))
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1_000_000, int(1_000_000 * want / (r["fit"] or r["n"])) + 1))])
-    taken = F.col("fits") | F.col("lang").isin([r["lang"] for r in counts if not r["fit"]])
-    text = F.when(F.col("fits"), F.col("text")).otherwise(F.substring("text", 1, SAMPLE_BYTES // 4))
-    most = max(SAMPLE_ROWS, 2 * SAMPLE_LEAST * len(counts))
-    picked = rows.where(taken & (F.col("u") < share[F.col("lang")])).select("u", "lang", text.alias("text")).orderBy("u", "lang", "text").limit(most).select("text", "lang").collect()
+    rows = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(id_col), F.lit(3)).alias("u"), (F.octet_length(text_col) <= SAMPLE_BYTES).alias("fits"))
+    counts = rows.groupBy("lang").agg(F.count_if("fits").alias("fit"), F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(SAMPLE_LANGUAGES).collect()
+    want = min(SAMPLE_LANGUAGE, max(SAMPLE_LEAST, SAMPLE_ROWS // max(len(counts), 1)))
+    through = want + 8 * int(want**0.5) + 30  # so many are expected: fewer than wanted come through about never
+    limits = [(r["lang"], not r["fit"], min((1 << 63) - 1, through * (1 << 64) // (r["fit"] or r["n"]) - (1 << 63))) for r in counts]
+    limit = F.broadcast(documents.sparkSession.createDataFrame(limits, "lang string, long boolean, most long"))  # SAMPLE_LANGUAGES rows at most
+    some = rows.join(limit, "lang").where((F.col("fits") | F.col("long")) & (F.col("u") <= F.col("most")))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("u", "text"))
+    longest = min(SAMPLE_BYTES, SAMPLE_CHARACTERS // (want * max(len(counts), 1)))
+    text = F.substring("text", F.lit(1), F.when(F.col("fits"), longest).otherwise(min(longest, SAMPLE_BYTES // 4)))
+    return some.withColumn("nth", nth).where(F.col("nth") <= want).select(text.alias("text"), "lang", "u")
+
+
+def fit_language_model(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
+    """Train on ``training_sample``: labelled documents outside the held-out fold, bounded by the SAMPLE parameters."""
+    picked = training_sample(documents, id_col, text_col, lang_col).collect()
+    picked.sort(key=lambda r: (r["u"], r["lang"], r["text"]))
     return train([r["text"] for r in picked], [r["lang"] for r in picked])
 
 
