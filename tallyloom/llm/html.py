@@ -68,14 +68,45 @@ _KIND_TAGS = {"nav": "nav", "header": "header", "footer": "footer", "aside": "as
 _MAIN_OF = {w.lower() for name in MAIN_WORDS for w in _NAME.findall(_CAMEL.sub(" ", name))} - {"main", "page", "text"}
 
 
-#: An open element: its tag and the words of its class, id and role.
-Element = tuple[str, tuple[str, ...]]
+class Node:
+    """An element of a page and what it adds to its ancestors, so that a path of any depth takes no more than its last element.
+
+    ``new`` are the features no ancestor has; ``own`` those of this path alone.
+    """
+
+    __slots__ = ("parent", "tag", "new", "own", "kinds", "named", "host", "leaf", "near")
+
+    def __init__(self, parent: Node | None, tag: str, words: tuple[str, ...], seen: set[str]):
+        """``seen`` holds the features of the open elements and gets the new ones."""
+        p = parent
+        self.parent, self.tag = p, tag
+        self.kinds, self.named, self.host, self.leaf, self.near = (p.kinds, p.named, p.host, p.leaf, p.near) if p else (False, False, "", "", 0)
+        self.named = self.named or not _MAIN_OF.isdisjoint(words)
+        if p is None or tag in ("html", "body"):  # which a page may leave out
+            self.new: tuple[str, ...] = ()
+        else:
+            kinds = [_KIND_OF[w] for w in words if w in _KIND_OF]
+            if tag in _KIND_TAGS:
+                kinds.append(_KIND_TAGS[tag])
+            found = ["in:" + tag, *["word:" + w for w in words], *["kind:" + k for k in kinds]]
+            self.new = tuple(f for f in dict.fromkeys(found) if f not in seen)
+            seen.update(self.new)
+            self.kinds = self.kinds or bool(kinds)
+            if tag == "article" or (tag == "main" and not self.host):
+                self.host = tag
+            if tag in BLOCK_TAGS and tag != "br":
+                self.leaf, self.near = tag, self.near + 1
+        host = self.host or ("named" if self.named else "none")
+        self.own = ("host:" + host + ("" if self.kinds else ":clean"), "leaf:" + self.leaf, "depth:" + str(min(self.near, 6)))
+
+
+ROOT = Node(None, "", (), set())
 
 
 @dataclass
 class Block:
     text: str
-    path: tuple[Element, ...]
+    path: Node
     linked: int = 0  # characters within links
 
 
@@ -93,42 +124,87 @@ def _words_of(attributes: str) -> tuple[str, ...]:
     return tuple(dict.fromkeys(out))
 
 
+#: What an element of the key ends: the open elements it ends, and those beyond which it ends none.
+_OVER = {t: (("p",), ("table", "button", "td", "th", *DROP_TAGS)) for t in ENDS_P} | {
+    t: (tuple(over), ({"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "option": ("select",)}.get(t, ("table",))) + tuple(DROP_TAGS)) for t, over in ENDS.items()
+}
+
+
+class _Open:
+    """The open elements, with the places of each tag, so that no look at them takes longer the more are open."""
+
+    def __init__(self) -> None:
+        self.nodes: list[Node] = []
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        self.scopes: list[int] = []
+        self.seen: set[str] = set()
+
+    @property
+    def top(self) -> Node:
+        return self.nodes[-1] if self.nodes else ROOT
+
+    def last(self, tags: Iterable[str]) -> int:
+        """The place of the innermost open element of any of the tags, or -1."""
+        return max((p[-1] for t in tags if (p := self.places.get(t))), default=-1)
+
+    def push(self, tag: str, words: tuple[str, ...]) -> None:
+        k = len(self.nodes)
+        self.nodes.append(Node(self.top, tag, words, self.seen))
+        self.places.setdefault(tag, []).append(k)
+        if tag in BLOCK_TAGS:
+            self.blocks.append(k)
+        if tag in SCOPES:
+            self.scopes.append(k)
+
+    def pop(self, to: int) -> None:
+        while len(self.nodes) > to:
+            n = self.nodes.pop()
+            self.places[n.tag].pop()
+            self.seen.difference_update(n.new)
+        for held in (self.blocks, self.scopes):
+            while held and held[-1] >= to:
+                held.pop()
+
+
 def parse(page: str) -> list[Block]:
-    """The leaf blocks of a page in order; character references are decoded and white space is one space."""
+    """The leaf blocks of a page in order; character references are decoded and white space is one space.
+
+    Time and memory are in proportion to the page, however many elements stay open.
+    """
     blocks: list[Block] = []
-    stack: list[Element] = []
-    text: list[str] = []
+    stack = _Open()
+    text: tuple | None = None  # pieces, the last first: (before, piece), so that what there was can be kept by a reference
     linked = 0
-    links = 0
-    path: tuple[Element, ...] | None = None
-    held: dict[int, tuple] = {}  # what there was before each open element of DROP_TAGS, by its place in the stack
+    path: Node | None = None
+    held: list[tuple] = []  # the open elements of DROP_TAGS: place in the stack, and what there was before each
 
     def flush() -> None:
-        nonlocal linked, path
-        if text:
-            raw = "".join(text)
+        nonlocal text, linked, path
+        if text is not None:
+            pieces = []
+            while text is not None:
+                text, piece = text
+                pieces.append(piece)
+            raw = "".join(reversed(pieces))
             joined = _SPACE.sub(" ", entities.unescape(raw) if "&" in raw else raw).strip()
             if joined:
-                blocks.append(Block(joined, path if path is not None else tuple(stack), min(linked, len(joined))))
-            text.clear()
+                blocks.append(Block(joined, path if path is not None else stack.top, min(linked, len(joined))))
         linked, path = 0, None
 
     def add(piece: str) -> None:
-        nonlocal linked, path
+        nonlocal text, linked, path
         if piece:
             if path is None and not piece.isspace():
-                path = tuple(stack)
-            text.append(piece)
-            if links:
+                path = stack.top
+            text = (text, piece)
+            if stack.places.get("a"):
                 linked += len(piece)
 
     def pop(to: int) -> None:
-        nonlocal links
-        for tag, _ in stack[to:]:
-            links -= tag == "a"
-        for k in [k for k in held if k >= to]:
-            del held[k]
-        del stack[to:]
+        stack.pop(to)
+        while held and held[-1][0] >= to:
+            held.pop()
 
     at = 0
     while m := _TAG.search(page, at):
@@ -136,7 +212,7 @@ def parse(page: str) -> list[Block]:
         at = m.end()
         tag = m[3]
         if tag is None:
-            if m[1] and held and any(t in ("svg", "math") for t, _ in stack):
+            if m[1] and held and stack.last(("svg", "math")) >= 0:
                 opened = page.index(">", m.start()) + 1
                 if page[opened - 2] == "/":  # closed in itself there
                     at = opened
@@ -146,52 +222,38 @@ def parse(page: str) -> list[Block]:
         if block:
             flush()
         if m[2]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    before = held.get(k)
-                    pop(k)
-                    if before is not None:
-                        n, text[:], linked, path = before
-                        del blocks[n:]
-                    break
-                if stack[k][0] in SCOPES:
-                    break
-                if block is False and tag not in DROP_TAGS and stack[k][0] in BLOCK_TAGS:
-                    break  # an inline end tag never ends a block
+            k = stack.last((tag,))
+            wall = stack.scopes[-1] if stack.scopes else -1
+            if not block and tag not in DROP_TAGS and stack.blocks:  # an inline end tag never ends a block
+                wall = max(wall, stack.blocks[-1])
+            if k >= 0 and k >= wall:
+                before = next((h for h in reversed(held) if h[0] <= k), None) if held else None
+                pop(k)
+                if before is not None and before[0] == k:
+                    _, n, text, linked, path = before
+                    del blocks[n:]
             continue
         if tag in VOID_TAGS:
             continue
-        over = {"p"} if tag in ENDS_P else ENDS.get(tag)
-        if over:
-            stop = {"ul", "ol", "menu"} if tag == "li" else {"table"} if tag in ("tr", "td", "th") else {"dl"} if tag in ("dt", "dd") else {"select"} if tag == "option" else {"table", "button", "td", "th"}
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in stop or stack[k][0] in DROP_TAGS:
-                    break
-                if stack[k][0] in over:
-                    pop(k)
-                    break
+        if over := _OVER.get(tag):
+            k = stack.last(over[0])
+            if k >= 0 and k > stack.last(over[1]):
+                pop(k)
         if not m[0].endswith("/>"):
             if tag in DROP_TAGS:
-                held[len(stack)] = (len(blocks), list(text), linked, path)
-            stack.append((tag, _words_of(m[4]) if m[4] else ()))
-            links += tag == "a"
+                held.append((len(stack.nodes), len(blocks), text, linked, path))
+            stack.push(tag, _words_of(m[4]) if m[4] else ())
     add(page[at:])
     flush()
     return blocks
 
 
-@lru_cache(maxsize=50_000)
-def path_features(path: tuple[Element, ...]) -> tuple[str, ...]:
-    """Features of a block's ancestors below html and body (which a page may leave out), each once."""
-    outer, path = path, tuple(x for x in path if x[0] not in ("html", "body"))
-    out = {"in:" + tag for tag, _ in path} | {"word:" + w for _, words in path for w in words}
-    kinds = {_KIND_TAGS[tag] for tag, _ in path if tag in _KIND_TAGS} | {_KIND_OF[w] for _, words in path for w in words if w in _KIND_OF}
-    out |= {"kind:" + k for k in kinds}
-    host = "article" if "in:article" in out else "main" if "in:main" in out else "named" if any(w in _MAIN_OF for _, words in outer for w in words) else "none"
-    out.add("host:" + host + ("" if kinds else ":clean"))
-    near = [tag for tag, _ in path if tag in BLOCK_TAGS and tag != "br"]
-    out.add("leaf:" + (near[-1] if near else ""))
-    out.add("depth:" + str(min(len(near), 6)))
+def path_features(path: Node) -> tuple[str, ...]:
+    """Features of a block's ancestors below html and body, each once."""
+    out = set(path.own)
+    while path is not None:
+        out.update(path.new)
+        path = path.parent
     return tuple(sorted(out))
 
 
@@ -222,26 +284,38 @@ class Crf:
     weights: dict[str, float] = field(default_factory=dict)
     step: np.ndarray = field(default_factory=lambda: np.zeros((2, 2)))
     start: np.ndarray = field(default_factory=lambda: np.zeros(2))
-    cache: dict = field(default_factory=dict, repr=False)
 
-    def score(self, b: Block) -> float:
-        own = self.cache.get(b.path)
-        if own is None:
-            if len(self.cache) > 50_000:
-                self.cache.clear()
-            own = self.cache[b.path] = sum(self.weights.get(f, 0.0) for f in path_features(b.path))
-        return own + sum(self.weights.get(f, 0.0) for f in text_features(b))
+    def scores(self, blocks: list[Block]) -> list[float]:
+        """What speaks for main in each block by itself; an element's share is added up once a page."""
+        get = self.weights.get
+        shared: dict[Node, float] = {ROOT: 0.0}
+        out = []
+        for b in blocks:
+            chain, node = [], b.path
+            while node not in shared:
+                chain.append(node)
+                node = node.parent
+            s = shared[node]
+            for node in reversed(chain):
+                for f in node.new:
+                    s += get(f, 0.0)
+                shared[node] = s
+            for f in b.path.own:
+                s += get(f, 0.0)
+            for f in text_features(b):
+                s += get(f, 0.0)
+            out.append(s)
+        return out
 
     def decode(self, blocks: list[Block]) -> list[int]:
         """The likeliest labels together, by Viterbi."""
         if not blocks:
             return []
         (s00, s01), (s10, s11) = self.step.tolist()
-        e = self.score(blocks[0])
+        e, *rest = self.scores(blocks)
         v0, v1 = self.start[0] - e, self.start[1] + e
         back = []
-        for b in blocks[1:]:
-            e = self.score(b)
+        for e in rest:
             a, c = v0 + s00, v1 + s10
             d, f = v0 + s01, v1 + s11
             back.append((0 if a >= c else 1, 0 if d >= f else 1))
@@ -253,9 +327,6 @@ class Crf:
             out.append(label)
         return out[::-1]
 
-    def __getstate__(self):
-        return {**self.__dict__, "cache": {}}
-
 
 def _gradient(e: np.ndarray, step: np.ndarray, start: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """What the labels y say against the chain's marginals: for each block, each pair of labels, and the first."""
