@@ -138,6 +138,10 @@ def field_confidence(value: Column, ocr_score: Column, valid: bool = True, regex
 # --- general text ------------------------------------------------------------------------------
 
 
+def beyond_ascii(x: Column) -> Column:
+    return F.coalesce(x.rlike(r"[^\x00-\x7F]"), F.lit(False))
+
+
 @pandas_udf(StringType())
 def nfkc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Unicode normal form KC, which Spark lacks."""
@@ -148,9 +152,10 @@ def nfkc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 def clean_text(x: Column, normal_form: bool = True) -> Column:
     """Normal form KC, only printable ASCII, tabs, line ends and Devanagari, single spaces, at most one empty line in a row.
 
-    Pure ASCII needs no normal form, so those rows never leave the JVM when ``normal_form`` is off.
+    Only texts beyond ASCII are sent to the normal form; with ``normal_form`` off nothing leaves the JVM
+    (``documents.clean_texts`` keeps the rows apart).
     """
-    t = nfkc(x) if normal_form else x
+    t = F.coalesce(nfkc(F.when(beyond_ascii(x), x)), x) if normal_form else x
     t = F.regexp_replace(t, r"[^\t\n\x20-\x7Eऀ-ॿ]", " ")
     t = F.regexp_replace(t, r"[ \t]+", " ")
     t = F.regexp_replace(t, r"\n{3,}", "\n\n")
@@ -351,3 +356,13 @@ def file_icon(filename: Column) -> Column:
 
 def shown_date(x: Column) -> Column:
     return F.substring(x.cast("string"), 1, 10)
+
+
+def shown_type(x: Column, missing: str = "-") -> Column:
+    """A client's type as a title: each word with a capital first, and a dash where there is none."""
+    t = F.coalesce(F.nullif(x, F.lit("")), F.lit(missing))
+    return replace_tokens(t, r"[^-\s({\[<]+", lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1_000_000))))
+
+
+def folder_title(name: Column, pan: Column) -> Column:
+    return F.concat_ws("_", name, pan)

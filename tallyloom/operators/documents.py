@@ -55,9 +55,30 @@ def seen(text: Column | Seen) -> Seen:
     return _look(t, F.lower(t), F.upper(t))
 
 
+def spread(docs: DataFrame) -> DataFrame:
+    """``docs`` over all cores, where so few bytes come in that the scan would give them to a few tasks; larger ones as they are.
+
+    Much work is done on each row here, so rows are worth moving once while they are few.
+    """
+    spark = docs.sparkSession
+    if docs.isStreaming:
+        return docs
+    cores = spark.sparkContext.defaultParallelism
+    split = int(spark.conf.get("spark.sql.files.maxPartitionBytes").rstrip("b"))
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return docs.repartition(cores) if size < cores * split else docs
+
+
+def clean_texts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` with the text cleaned (see ``functions.text.clean_text``); rows of pure ASCII never reach a Python worker."""
+    odd = T.beyond_ascii(F.col(text))
+    plain = docs.where(~odd).withColumn(text, T.clean_text(F.col(text), normal_form=False))
+    return plain.unionByName(docs.where(odd).withColumn(text, T.clean_text(F.col(text))))
+
+
 def look_once(docs: DataFrame, text: str = "text") -> tuple[DataFrame, Seen]:
     """``docs`` with helper columns (names start with ``_seen``), so that each pattern runs once a row, and what refers to them."""
-    d = docs.withColumn("_seen_t", F.coalesce(F.col(text), F.lit("")))
+    d = spread(docs).withColumn("_seen_t", F.coalesce(F.col(text), F.lit("")))
     d = d.withColumns({"_seen_low": F.lower("_seen_t"), "_seen_up": F.upper("_seen_t")})
     x = _look(*map(F.col, ("_seen_t", "_seen_low", "_seen_up")))
     d = d.withColumns({f"_seen_{k}": v for k, v in x.found.items()})

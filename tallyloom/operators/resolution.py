@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import constants as K
 from tallyloom.functions import text as T
+from tallyloom.session import cut
 
 #: Characters of a name that make a key of the substring rule.
 GRAM = 5
@@ -36,33 +37,45 @@ def match_in_firm(docs: DataFrame, clients: DataFrame) -> DataFrame:
     three = a.select("id", *found(3, F.when(~many, 0.95).when(prime, 0.92).otherwise(0.5), many & ~prime, "Aadhaar match", F.when(~many, F.col("c")).when(prime, F.col("p"))))
     taken = one.union(two).union(three)
     rest = d.where(F.coalesce(F.col("_name"), F.lit("")) != "").join(taken.select("id"), "id", "left_anti")
-    x, y = rest.select("id", "_firm", F.col("_name").alias("_own")), c.select("_firm", "client_id", "_name").where(F.coalesce(F.col("_name"), F.lit("")) != "")
+    x = cut(rest.select("id", "_firm", F.col("_name").alias("_own")), "names")  # both ways of the name rule read it several times
+    y = c.select("_firm", "client_id", "_name").where(F.coalesce(F.col("_name"), F.lit("")) != "")
     n = _either_contains(x, y).groupBy("id").agg(F.count("*").alias("n"), F.min("client_id").alias("c"))
     four = n.select("id", *found(4, F.when(F.col("n") > 1, 0.4).otherwise(0.75), F.col("n") > 1, "Name match", F.when(F.col("n") == 1, F.col("c"))))
     best = taken.union(four).groupBy("id").agg(F.min_by(F.struct("client_id", "confidence", "ambiguous", "reason"), "rule").alias("m"))
     return docs.select("id").join(best, "id", "left").select("id", "m.client_id", F.coalesce("m.confidence", F.lit(0.0)).alias("confidence"), F.coalesce("m.ambiguous", F.lit(False)).alias("ambiguous"), F.col("m.reason").alias("reason"))
 
 
-def _either_contains(x: DataFrame, y: DataFrame) -> DataFrame:
-    """Pairs of a firm (id, client_id) whose names ``_own`` and ``_name`` contain one another, by an inverted index.
+def _parts(name: Column, n: Column) -> Column:
+    """The substrings of n characters."""
+    return F.when(F.length(name) >= n, F.transform(F.sequence(F.lit(1), F.length(name) - n + 1), lambda i: F.substring(name, i, n))).otherwise(F.array().cast("array<string>"))
 
-    A name that another contains has all its substrings in it. So the shorter side posts one key, its
-    substring of ``GRAM`` characters of least hash (all of a shorter name), and the longer side all its
-    substrings of up to as many; what meets is confirmed.
-    """
 
-    def parts(name: Column, n: int) -> Column:
-        return F.when(F.length(name) >= n, F.transform(F.sequence(F.lit(1), F.length(name) - (n - 1)), lambda i: F.substring(name, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+def _contained(short: DataFrame, long: DataFrame) -> DataFrame:
+    """Pairs (``short_id``, ``long_id``) of a firm where the long side's name contains the short side's; both are (id, _firm, name).
 
-    def one(name: Column) -> Column:
-        least = F.array_min(F.transform(parts(name, GRAM), lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g"))))["g"]
-        return F.when(F.length(name) < GRAM, name).otherwise(least)
+    A name that another contains has all its substrings in it. The long side posts its substrings of
+    ``GRAM`` characters, and of the lengths under that which the firm's short names have. The short side
+    looks only under the substring that fewest of its firm's long names hold, so a syllable that most
+    names share brings no pairs, and not at all if none holds one of them. What meets is confirmed.
+    """
+    lengths = short.where(F.length("name") < GRAM).groupBy("_firm").agg(F.collect_set(F.length("name")).alias("sizes"))
+    sizes = F.concat(F.array(F.lit(GRAM)), F.coalesce("sizes", F.array().cast("array<int>")))
+    every = F.array_distinct(F.flatten(F.transform(sizes, lambda n: _parts(F.col("name"), n))))
+    posted = long.join(lengths, "_firm", "left").select(F.col("id").alias("long_id"), "_firm", F.col("name").alias("long_name"), F.explode(every).alias("_k"))
+    often = posted.groupBy("_firm", "_k").agg(F.count("*").alias("n"))
+    own = F.when(F.length("name") < GRAM, F.array("name")).otherwise(F.array_distinct(_parts(F.col("name"), F.lit(GRAM))))
+    asked = short.select(F.col("id").alias("short_id"), "_firm", F.col("name").alias("short_name"), F.size(own).alias("_all"), F.explode(own).alias("_k"))
+    rarest = asked.join(often, ["_firm", "_k"]).groupBy("short_id", "_firm", "short_name").agg(F.min_by("_k", F.struct("n", "_k")).alias("_k"), (F.count("*") == F.first("_all")).alias("_held"))
+    met = rarest.where("_held").join(posted, ["_firm", "_k"])
+    return met.where(F.col("long_name").contains(F.col("short_name"))).select("short_id", "long_id")
 
-    every = lambda name: F.array_distinct(F.flatten(F.array(*[parts(name, n) for n in range(1, GRAM + 1)])))
-    a, b = x.withColumn("_k", one(F.col("_own"))), y.withColumn("_k", F.explode(every(F.col("_name"))))
-    inside = a.join(b, ["_firm", "_k"]).where(F.col("_name").contains(F.col("_own"))).select("id", "client_id")
-    a, b = x.withColumn("_k", F.explode(every(F.col("_own")))), y.withColumn("_k", one(F.col("_name")))
-    around = a.join(b, ["_firm", "_k"]).where(F.col("_own").contains(F.col("_name"))).select("id", "client_id")
+
+def _either_contains(x: DataFrame, y: DataFrame) -> DataFrame:
+    """Pairs of a firm (id, client_id) whose names ``_own`` and ``_name`` contain one another, each once."""
+    a = x.select("id", "_firm", F.col("_own").alias("name")).where("name <> ''")
+    b = y.select(F.col("client_id").alias("id"), "_firm", F.col("_name").alias("name")).where("name <> ''")
+    inside = _contained(a, b).select(F.col("short_id").alias("id"), F.col("long_id").alias("client_id"))
+    around = _contained(b, a).select(F.col("long_id").alias("id"), F.col("short_id").alias("client_id"))
     return inside.union(around).distinct()
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from tallyloom.functions import text as T
 from tallyloom.operators import documents as D
 from tallyloom.operators import ingest as I
 from tallyloom.operators import relational as R
+from tallyloom.session import shared_dir
 from tallyloom.sources import files as S
 from tallyloom.streaming import webhooks as W
 
@@ -58,6 +61,48 @@ def best_rotation(t: Tables) -> DataFrame:
     return S.best_rotation(r).withColumn("score", F.round("score", 4))
 
 
+@query("ocr_texts", f", {_ROT}, pages AS (SELECT id % 700 AS file, id AS page, CASE WHEN id % 5 = 0 THEN text WHEN id % 5 = 1 THEN substr(text, 1, 18) WHEN id % 5 = 2 THEN ' ' END AS embedded FROM ocr_texts), turns AS (SELECT id % 700 AS file, id - (id // 700) % 2 * 700 AS page, angle, r.text, r.s FROM rot r JOIN ocr_texts o ON o.id = r.angle), best AS (SELECT * FROM turns WHERE s > 0 QUALIFY row_number() OVER (PARTITION BY file, page ORDER BY round(s, 6) DESC, angle) = 1), parts AS (SELECT p.file, p.page, CASE WHEN length(trim(embedded)) > 20 THEN embedded ELSE coalesce(b.text, '') END AS part, coalesce(length(trim(embedded)) > 20, false) AS own FROM pages p LEFT JOIN best b ON b.file = p.file AND b.page = p.page) SELECT file, regexp_replace(string_agg(part, chr(10) ORDER BY page), '^\\s+|\\s+$', '', 'g') AS text, CAST(count(*) FILTER (own) AS BIGINT) AS n_embedded FROM parts GROUP BY file")
+def legacy_texts(t: Tables) -> DataFrame:
+    """Pages with enough embedded text, too little, blank and none; every other page has two rotations and the next none."""
+    k = F.col("id") % 5
+    pages = t.ocr_texts.select((F.col("id") % 700).alias("file"), F.col("id").alias("page"), F.when(k == 0, F.col("text")).when(k == 1, F.substring("text", 1, 18)).when(k == 2, F.lit(" ")).alias("embedded"))
+    odd = F.floor(F.col("id") / 700) % 2
+    turns = t.ocr_texts.select((F.col("id") % 700).alias("file"), (F.col("id") - odd * 700).alias("page"), F.col("id").cast("int").alias("angle"), "text")
+    return S.legacy_texts(pages, turns)
+
+
+@query("ocr_texts", "SELECT id % 900 AS file, CAST(arg_max(id, (length(text), -id)) AS INTEGER) AS angle, arg_max(text, (length(text), -id)) AS text FROM ocr_texts GROUP BY 1")
+def longest_rotation(t: Tables) -> DataFrame:
+    r = t.ocr_texts.select((F.col("id") % 900).alias("file"), F.col("id").cast("int").alias("angle"), "text")
+    return S.longest_rotation(r)
+
+
+@query("", "SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS n_bytes, sha256(html) AS sha, true AS name_ok FROM pages")
+def files_read(t: Tables) -> DataFrame:
+    """Pages written as files of one line a page, read as binary files, and named for keeping."""
+    folder = f"{shared_dir(t.spark)}/files-{uuid.uuid4().hex}"
+    lines = t.base("pages").select(F.to_json(F.struct("page_id", "html")))
+    lines.write.text(folder)
+    found = S.read_files(t.spark, folder, "*.txt")
+    kept = found.withColumn("kept", S.stored_name(F.concat(F.lit("../a "), "file"), fold=False))
+    line = kept.select("kept", F.explode(F.split(F.col("content").cast("string"), "\n")).alias("line")).where("line <> ''")
+    row = line.select("kept", F.from_json("line", "page_id long, html string").alias("p"))
+    return row.select("p.page_id", F.octet_length("p.html").cast("long").alias("n_bytes"), F.sha2("p.html", 256).alias("sha"), F.col("kept").rlike(r"^[0-9a-f]{32}_a_part-[0-9A-Za-z-]+(-c000)?\.txt$").alias("name_ok"))
+
+
+@query("", r"SELECT doc_id, doc_id % 3 = 0 AS odd, trim(regexp_replace(regexp_replace(regexp_replace(CASE WHEN doc_id % 3 = 0 THEN text || ' fi 1 IV 5' ELSE text END, '[^\t\n\x20-\x7E\x{0900}-\x{097F}]', ' ', 'g'), '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(10)) AS cleaned FROM documents")
+def clean_texts(t: Tables) -> DataFrame:
+    """Texts whose rows beyond ASCII alone are sent to the normal form: ligatures, circled and Roman numbers, wide digits."""
+    d = t.base("documents").select("doc_id", (F.col("doc_id") % 3 == 0).alias("odd"), F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit(" ﬁ ① Ⅳ ５"))).otherwise(F.col("text")).alias("cleaned"))
+    return D.clean_texts(d, "cleaned")
+
+
+@query("clients ocr_texts", "SELECT id, upper(substr(client_type, 1, 1)) || substr(client_type, 2) AS title, client_name || '_' || pan_number AS folder, CASE WHEN client_type = 'huf' THEN 'Hindu-Undivided (Family) Of One' ELSE '-' END AS long_title FROM clients")
+def client_cards(t: Tables) -> DataFrame:
+    long = F.when(F.col("client_type") == "huf", "hindu-UNDIVIDED (family) of oNE").otherwise("")
+    return t.clients.select("id", T.shown_type(F.col("client_type")).alias("title"), T.folder_title(F.col("client_name"), F.col("pan_number")).alias("folder"), T.shown_type(long).alias("long_title"))
+
+
 @query("clients", "SELECT id, 'x ' || pan_number || ' y' AS joined, regexp_replace(coalesce(mobile, ''), '[^0-9]', '', 'g') AS recipient FROM clients")
 def legacy_clean(t: Tables) -> DataFrame:
     p = F.col("pan_number")
@@ -150,9 +195,7 @@ def _batch(t: Tables) -> tuple[DataFrame, DataFrame]:
     return o, known.groupBy("sha").agg(F.min_by(F.struct(*I.RESULT), "seq").alias("result"))
 
 
-@query(
-    "clients ocr_texts",
-    f""", {PROCESSED}, files AS (SELECT p.id AS seq, file, sha256(CAST(p.id % 700 AS VARCHAR) || '|' || text) AS sha, p.id % 20 = 5 AS gone, p.id % 40 = 7 AS bad, p.* FROM processed p),
+_BATCH_SQL = f""", {PROCESSED}, files AS (SELECT p.id AS seq, file, sha256(CAST(p.id % 700 AS VARCHAR) || '|' || text) AS sha, p.id % 20 = 5 AS gone, p.id % 40 = 7 AS bad, p.* FROM processed p),
 cached AS (SELECT sha, arg_min(document_confidence, seq) AS c, arg_min(ocr_score, seq) AS s FROM files WHERE seq % 9 = 0 AND NOT gone AND NOT bad GROUP BY sha),
 res AS (SELECT f.* REPLACE (coalesce(k.s, ocr_score) AS ocr_score, coalesce(k.c, document_confidence) AS document_confidence), CASE WHEN k.sha IS NOT NULL THEN 'cached' WHEN bad THEN 'error' WHEN gone THEN 'missing' ELSE 'ok' END AS status FROM files f LEFT JOIN cached k USING (sha)),
 good AS (SELECT *, md5(upper(document_type || '|' || coalesce(pan_v, '') || '|' || coalesce(replace(aad_v, ' ', ''), '') || '|' || coalesce(gstin_v, '') || '||' || coalesce(year_v, ''))) AS fp FROM res WHERE status IN ('ok', 'cached')),
@@ -162,9 +205,17 @@ reg AS (SELECT id AS client_id, pan_number AS pan, client_name FROM clients),
 routed AS (SELECT a.seq, r.client_id, CASE WHEN document_confidence < 60 THEN 'Uncategorised' ELSE {P._FOLDERS} END AS folder_name, CASE WHEN ex THEN 'exact' WHEN se THEN 'semantic' END AS dup, CASE WHEN ex THEN ef ELSE sf END AS orig, client_name,
  concat_ws('; ', CASE WHEN ocr_score < 20 THEN 'low OCR score (' || CAST(ocr_score AS VARCHAR) || ')' END, CASE WHEN document_confidence < 60 THEN 'low classification confidence (' || CAST(document_confidence AS VARCHAR) || '%)' WHEN {P._FOLDERS} = 'Uncategorised' THEN 'unrecognised document type ''' || document_type || '''' END) AS why
  FROM a LEFT JOIN b USING (seq) LEFT JOIN reg r ON r.pan = a.pan_v)
-SELECT res.seq, res.status, r.client_id, folder_name, CASE WHEN r.seq IS NULL THEN NULL WHEN dup IS NOT NULL THEN 'skip' WHEN why <> '' OR r.client_id IS NULL THEN 'review' ELSE 'upload' END AS action,
+"""
+_BATCH_SQL = _BATCH_SQL.replace("{", "{{").replace("}", "}}") + "{out}"
+
+
+@query(
+    "clients ocr_texts",
+    _BATCH_SQL.format(
+        out="""SELECT res.seq, res.status, r.client_id, folder_name, CASE WHEN r.seq IS NULL THEN NULL WHEN dup IS NOT NULL THEN 'skip' WHEN why <> '' OR r.client_id IS NULL THEN 'review' ELSE 'upload' END AS action,
 CASE WHEN r.seq IS NULL THEN NULL WHEN dup IS NOT NULL THEN 'Duplicate (' || dup || '): matches ' || orig WHEN why <> '' OR r.client_id IS NULL THEN concat_ws('; ', nullif(why, ''), CASE WHEN r.client_id IS NULL THEN 'no client match' END) ELSE 'Matched client ''' || client_name || ''' via pan' END AS action_reason
-FROM res LEFT JOIN routed r ON r.seq = res.seq""",
+FROM res LEFT JOIN routed r ON r.seq = res.seq"""
+    ),
 )
 def batch_results(t: Tables) -> DataFrame:
     files, cache = _batch(t)
@@ -173,6 +224,22 @@ def batch_results(t: Tables) -> DataFrame:
     return I.run_batch(files, cache, registry)[0].select("seq", "status", "client_id", "folder_name", "action", "action_reason")
 
 
+@query(
+    "clients ocr_texts",
+    _BATCH_SQL.format(
+        out="""SELECT file, '' AS original_filename, res.status, CAST(0 AS DOUBLE) AS elapsed_s, CASE WHEN status IN ('ok', 'cached') THEN document_type END AS document_type, CASE WHEN status IN ('ok', 'cached') THEN document_confidence END AS document_confidence, CASE WHEN status IN ('ok', 'cached') THEN ocr_score END AS ocr_score,
+CASE WHEN status IN ('ok', 'cached') THEN name_v END AS detected_name, CASE WHEN status IN ('ok', 'cached') THEN pan_v END AS pan, folder_name, r.client_id, CASE WHEN bad THEN 'cannot be read' END AS error FROM res LEFT JOIN routed r ON r.seq = res.seq"""
+    ),
+)
+def batch_projection(t: Tables) -> DataFrame:
+    """The 14 fields of a batch's results, structs shown by their parts."""
+    files, cache = _batch(t)
+    none = F.lit(None).cast("string")
+    registry = t.clients.select(F.col("id").alias("registry_idx"), F.col("id").alias("client_id"), F.col("client_name").alias("name"), F.col("pan_number").alias("pan"), none.alias("gstin"), none.alias("tan"), none.alias("aadhaar"))
+    shown = I.safe_batch_result(I.run_batch(files, cache, registry)[0])
+    return shown.select("file", "original_filename", "status", "elapsed_s", "document_type", "document_confidence", "ocr_score", F.col("detected_name.value").alias("detected_name"), F.col("important_ids.pan.value").alias("pan"), "routing.folder_name", "routing.client_id", "error")
+
+
 @query("ocr_texts", ", files AS (SELECT id AS seq, sha256(CAST(id % 700 AS VARCHAR) || '|' || text) AS sha, id % 20 = 5 AS gone, id % 40 = 7 AS bad FROM ocr_texts) SELECT sha, count(*) AS n FROM (SELECT DISTINCT sha FROM files WHERE NOT gone AND NOT bad) GROUP BY sha")
 def batch_cache(t: Tables) -> DataFrame:
     """What the cache holds after the batch: one result a hash of the files that could be read."""

@@ -180,3 +180,27 @@ def best_rotation(rotations: DataFrame, key: str = "file") -> DataFrame:
     s = rotations.withColumn("score", rotation_score(F.col("text")))
     best = s.groupBy(key).agg(F.max_by(F.struct("angle", "text", "score"), F.struct("score", -F.col("angle"))).alias("b"))
     return best.select(key, F.when(F.col("b.score") > 0, F.col("b.angle")).alias("angle"), F.when(F.col("b.score") > 0, F.col("b.text")).otherwise("").alias("text"), "b.score")
+
+
+def longest_rotation(rotations: DataFrame, key: str = "file") -> DataFrame:
+    """Of each key's rotations (angle, text) the angle with most text, the smallest of equals, and 0 where all are empty."""
+    best = F.max_by(F.struct("angle", "text"), F.struct(F.length(F.coalesce("text", F.lit(""))), -F.col("angle")))
+    b = rotations.groupBy(key).agg(best.alias("b"))
+    none = F.length(F.coalesce("b.text", F.lit(""))) == 0
+    return b.select(key, F.when(none, 0).otherwise(F.col("b.angle")).cast("int").alias("angle"), F.coalesce("b.text", F.lit("")).alias("text"))
+
+
+def legacy_texts(pages: DataFrame, rotations: DataFrame, key: str = "file") -> DataFrame:
+    """``key, text, n_embedded``: the older way to a PDF's text, from pages (key, page, embedded) and rotations (key, page, angle, text).
+
+    A page gives its embedded text if that has more than 20 characters, else the text of its best
+    rotation ('' where none scores); pages are joined by line ends and the whole is trimmed.
+    """
+    edge = lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+    enough = F.coalesce(F.length(edge(F.col("embedded"))) > 20, F.lit(False))
+    p = pages.withColumn("_own", F.when(enough, F.col("embedded")))
+    r = rotations.withColumn("_s", rotation_score(F.col("text"))).groupBy(key, "page").agg(F.max_by(F.struct("text", "_s"), F.struct("_s", -F.col("angle"))).alias("b"))
+    turned = F.when(F.col("b._s") > 0, F.col("b.text"))
+    one = p.join(r, [key, "page"], "left").select(key, "page", F.coalesce("_own", turned, F.lit("")).alias("part"), F.col("_own").isNotNull().alias("own"))
+    parts = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page", "part"))), lambda x: x["part"]), "\n")
+    return one.groupBy(key).agg(edge(parts).alias("text"), F.count_if("own").alias("n_embedded"))

@@ -39,6 +39,19 @@ def test_names_that_contain_one_another(spark):
     assert got == sorted((i, 100 + j) for i, a in enumerate(names) for j, b in enumerate(names) if a and b and (a in b or b in a))
 
 
+def test_a_syllable_that_most_names_share(spark):
+    """A firm of many names with one ending: the pairs that are looked at stay in proportion."""
+    n = 30_000
+    code = lambda i: F.substring(F.md5(i.cast("string")), 1, 8)
+    x = spark.range(n).select("id", F.lit(1).alias("_firm"), F.concat(code(F.col("id")), F.lit(" limited")).alias("_own"))
+    y = spark.range(n).select((F.col("id") + n // 2).alias("client_id"), F.lit(1).alias("_firm"), F.concat(F.lit("the "), code(F.col("id") + n // 2), F.lit(" limited company")).alias("_name"))
+    pairs = resolution._either_contains(x, y)
+    assert pairs.where("id = client_id").count() == n // 2 == pairs.count()
+    named = lambda df, key, name: df.select(F.col(key).alias("id"), "_firm", name.alias("name"))
+    met = resolution._contained(named(x, "id", F.concat("_own", F.lit("!"))), named(y, "client_id", F.col("_name")))
+    assert met.count() == 0  # a name with a substring that no other holds is not looked for
+
+
 @pytest.fixture
 def family(spark):
     clients = spark.createDataFrame(
