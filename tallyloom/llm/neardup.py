@@ -11,10 +11,11 @@
    have further members as centres, as long as that links anything.
 5. Skip round: lists whose members all meet in one component are skipped. In the others, only
    members of different components are compared by their coordinates, those of many lists in one
-   task; a list of more than ``BLOCK`` members is compared in pairs of blocks. The shingles of open
-   documents are counted first: one that no other open document has is in no intersection, so
-   documents and pairs with too many of them are done with. The pairs found, each once however many
-   lists it is in, are confirmed on full sets.
+   task; a list of more than ``BLOCK`` members is compared in pairs of blocks. The comparison runs
+   twice. First it names the documents that are near any other. Of these the shingles are counted: one
+   that no other of them has is in no intersection, so documents and pairs with too many of them are
+   done with. Then it gives the pairs left, each once however many lists it is in, and these are
+   confirmed on full sets.
 """
 
 from __future__ import annotations
@@ -267,18 +268,18 @@ def _low_bytes(sig: DataFrame, coordinates: int) -> DataFrame:
 
 
 def _in_buckets(members: DataFrame) -> DataFrame:
-    """Members of lists of a ``size`` (key, doc_id, ...), dealt to pairs of blocks x, y of about BLOCK members, and these to buckets of lists.
+    """Members of lists of a ``size`` (key, doc_id, ...; a written table), dealt to pairs of blocks x, y of about BLOCK members, and these to buckets of lists.
 
     A list of at most BLOCK members is the one pair (0, 0).
     """
+    buckets = members.count() // BUCKET_ROWS + 1
     m = members.withColumn("nb", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("blk", F.pmod(F.xxhash64("doc_id"), F.col("nb")).cast("int"))
     m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).withColumns({"x": F.least("blk", "other"), "y": F.greatest("blk", "other")})
-    buckets = members.count() // BUCKET_ROWS + 1
     return m.withColumn("bucket", F.pmod(F.xxhash64("key", "x", "y"), F.lit(buckets))).drop("nb", "blk", "other", "size")
 
 
-def _near_pairs(coordinates: int, matches: int, percent: float):
-    """Of the lists of a bucket: pairs of members of different components with at least ``matches`` equal coordinates.
+def _near(coordinates: int, matches: int, percent: float, pairs: bool):
+    """Of the lists of a bucket: pairs (src, dst) of members of different components with at least ``matches`` equal coordinates, or the members of any such pair.
 
     ``n`` is the size of a member's set and ``m`` how many of it may be in another's.
     """
@@ -290,7 +291,7 @@ def _near_pairs(coordinates: int, matches: int, percent: float):
         n, m = pdf["n"].to_numpy(), pdf["m"].to_numpy()
         first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(1)])) if len(key) else np.zeros(0, np.int64)
         size = np.diff(np.append(first, len(key)))
-        found = []
+        found, any_of = [], np.zeros(len(ids), bool)
 
         def keep(i: np.ndarray, j: np.ndarray) -> None:
             most = np.minimum(m[i], m[j])
@@ -298,7 +299,10 @@ def _near_pairs(coordinates: int, matches: int, percent: float):
             for k in range(0, len(apart), 50_000):
                 u, v = i[apart[k : k + 50_000]], j[apart[k : k + 50_000]]
                 near = (sig[u] == sig[v]).sum(1) >= matches
-                found.append(np.stack([ids[v[near]], ids[u[near]]], 1))
+                if pairs:
+                    found.append(np.stack([ids[v[near]], ids[u[near]]], 1))
+                else:
+                    any_of[u[near]] = any_of[v[near]] = True
 
         for count in np.unique(size):
             at = first[size == count]
@@ -312,8 +316,9 @@ def _near_pairs(coordinates: int, matches: int, percent: float):
                     for i in range(a, a + count - 1):
                         j = np.arange(i + 1, a + count)
                         keep(np.full(len(j), i), j)
-        pairs = np.unique(np.concatenate([np.zeros((0, 2), np.int64), *found]), axis=0)
-        return pd.DataFrame(pairs, columns=["src", "dst"])
+        if pairs:
+            return pd.DataFrame(np.unique(np.concatenate([np.zeros((0, 2), np.int64), *found]), axis=0), columns=["src", "dst"])
+        return pd.DataFrame({"doc_id": np.unique(ids[any_of])})
 
     return run
 
@@ -331,7 +336,7 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: float = 80, co
     prefix = coordinates - matches + 1
     about = cut(describe(docs, size, coordinates), "signatures")
 
-    classes = about.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("a", "b").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.min_by("sig", "doc_id").alias("sig"))
+    classes = about.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("a", "b").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.max("n_shingles").alias("size"), F.min_by("sig", "doc_id").alias("sig"))
     classes = cut(classes, "classes")
     reps = classes.select(F.col("rep").alias("doc_id"), "sig")
     sketch = rarity(reps, coordinates)
@@ -389,15 +394,21 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: float = 80, co
         labels = merged(labels, links)
         old, waiting = waiting, still_open(waiting.select("key", "doc_id"))
         drop(old)
-    sets = cut(full_sets(docs.join(waiting.select("doc_id").distinct(), "doc_id", "left_semi"), size), "sets")
+    size_of = classes.select(F.col("rep").alias("doc_id"), F.col("size").alias("n"))
+    dealt = cut(waiting.join(size_of, "doc_id").join(_low_bytes(reps, coordinates), "doc_id"), "dealt")
+    drop(waiting)
+    buckets = _in_buckets(dealt.withColumn("m", F.col("n")))
+    some = cut(buckets.groupBy("bucket").applyInPandas(_near(coordinates, matches, percent, pairs=False), "doc_id long").distinct(), "near")
+    sets = cut(full_sets(docs.join(some, "doc_id", "left_semi"), size), "sets")
     each = exploded(sets)
     elsewhere = each.groupBy("g").agg(F.count("*").alias("often")).where("often > 1").select("g")
-    bound = cut(each.join(elsewhere, "g").groupBy("doc_id", "n").agg(F.count("*").alias("m")).where(100 * F.col("m") >= percent * F.col("n")), "bounds")
-    drop(sets)
-    old, waiting = waiting, still_open(waiting.select("key", "doc_id").join(bound.select("doc_id"), "doc_id", "left_semi"))
-    near = _in_buckets(waiting.join(bound, "doc_id").join(_low_bytes(reps, coordinates), "doc_id")).groupBy("bucket").applyInPandas(_near_pairs(coordinates, matches, percent), "src long, dst long")
+    bound = cut(each.join(elsewhere, "g").groupBy("doc_id", "n").agg(F.count("*").alias("m")).where(100 * F.col("m") >= percent * F.col("n")).select("doc_id", "m"), "bounds")
+    drop(sets, some)
+    left = cut(dealt.join(bound, "doc_id"), "left")
+    drop(dealt, bound)
+    near = _in_buckets(left).groupBy("bucket").applyInPandas(_near(coordinates, matches, percent, pairs=True), "src long, dst long")
     near = cut(near.distinct(), "likely")
-    drop(old, waiting, bound)
+    drop(left)
     if near.take(1):
         labels = merged(labels, confirmed(near))
 
