@@ -124,8 +124,8 @@ def valid_year(x: Column) -> Column:
     start = F.regexp_extract(x, r"^([0-9]+)[-/]", 1).try_cast("int")
     end = F.regexp_extract(x, r"[-/]([0-9]+)$", 1)
     number = end.try_cast("int")
-    whole = F.when(F.length(end) == 4, number).otherwise(F.lit(2000) + number)
-    return F.coalesce(start.between(2000, 2035) & (whole == start + 1), F.lit(False))
+    follows = F.when(number < 100, number == (start + 1) % 100).otherwise(number == start + 1)
+    return F.coalesce(start.between(2000, 2035) & follows, F.lit(False))
 
 
 def field_confidence(value: Column, ocr_score: Column, valid: bool = True, regex: bool = True, label: bool = False, corrected: bool = False) -> Column:
