@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.session import cut
+from tallyloom.session import cut, drop
 
 #: Hex digits of the seeded order that make a range.
 RANGE_DIGITS = 3
@@ -105,7 +105,8 @@ def mix(documents: DataFrame, levels: dict[str, Column], weights: list[dict[str,
     within = placed.join(open_range, [*inner, "_range"]).withColumn("_sum", F.sum("n_tokens").over(Window.partitionBy(*inner, "_range").orderBy("_m", "_id")))
     last = within.where("_sum <= _room").groupBy(*inner, "_range").agg(F.max(F.struct("_m", "_id")).alias("_last"))
     ends = open_range.join(last, [*inner, "_range"], "left").select(*inner, F.col("_range").alias("_stop"), "_last")
-    plan = cut(plan.join(ends, inner, "left"), "cuts")
+    budgets, plan = plan, cut(plan.join(ends, inner, "left"), "cuts")
+    drop(light, budgets)
 
     m = base.where("n_tokens > 0").join(plan, inner).withColumn("_m", place)
     head = F.substring("_m", 1, RANGE_DIGITS) < F.col("_stop")
