@@ -64,7 +64,7 @@ def spread(docs: DataFrame) -> DataFrame:
     if docs.isStreaming:
         return docs
     cores = spark.sparkContext.defaultParallelism
-    split = int(spark.conf.get("spark.sql.files.maxPartitionBytes").rstrip("b"))
+    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return docs.repartition(cores) if size < cores * split else docs
 

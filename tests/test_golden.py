@@ -103,8 +103,10 @@ def test_small_inputs_are_spread_and_others_left(spark):
     few = spark.range(10).toDF("id")
     assert D.spread(few).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "1b")
     try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1b")
         assert D.spread(few) is few
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "16m")
+        assert D.spread(few) is not few
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
