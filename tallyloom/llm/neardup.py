@@ -5,10 +5,11 @@
 3. A representative is posted under its rarest ``coordinates - matches + 1`` coordinate-value
    pairs. Two signatures with ``matches`` equal coordinates share one of these pairs (prefix
    filter); the order only has to be global, so rarity may be estimated by a fixed-size sketch.
-4. Star rounds: each posting list is compared with one of its members, first the smallest id. Pairs
-   with too few equal coordinates go, the others are confirmed on their full sets, and linked ones
-   are merged. Lists of more than ``LONG`` members whose members are then not all in one component
-   have further members as centres, as long as that links anything.
+4. Star rounds: each posting list is compared with one of its members. First each document meets the
+   smallest ids of its lists, the FIRST_CENTRES that most of its lists have. Pairs with too few equal
+   coordinates go, the others are confirmed on their full sets, and linked ones are merged. Lists of
+   more than ``LONG`` members whose members are then not all in one component have further members as
+   centres, as long as that links anything.
 5. Skip round: lists whose members all meet in one component are skipped. In the others, only
    members of different components are compared by their coordinates, those of many lists in one
    task; a list of more than ``BLOCK`` members is compared in pairs of blocks. The comparison runs
@@ -26,7 +27,7 @@ from math import floor, sqrt
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.session import cut, drop
@@ -43,6 +44,10 @@ BLOCK = 1024
 LONG, CENTRES = 64, 8
 #: Rows of open lists that one task compares.
 BUCKET_ROWS = 20_000
+#: Lists' smallest members that a document is compared with at first: those of most of its lists.
+FIRST_CENTRES = 3
+#: Bits of the filter of wanted ids, as a power of two, however many they are.
+FILTER_BITS = 24
 
 _KEEP = np.uint64(52)
 _CELL = np.uint64(64 - 18)
@@ -142,18 +147,40 @@ def describe(documents: DataFrame, size: int, coordinates: int) -> DataFrame:
     return documents.mapInArrow(run, "doc_id long, n_shingles long, a long, b long, sig binary")
 
 
-def full_sets(documents: DataFrame, size: int) -> DataFrame:
-    """``doc_id, grams``: the whole shingle set as sorted 64-bit integers."""
+def id_filter(ids: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size that holds the hash of every id."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            cell = np.unique(mix(batch.column(0).to_numpy().astype(np.uint64)) >> np.uint64(64 - FILTER_BITS))
+            yield pa.RecordBatch.from_arrays([pa.array((cell >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (cell & np.uint64(63))).view(np.int64))], ["word", "bits"])
+
+    found = ids.mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    out[np.asarray(found["word"])] = np.asarray(found["bits"])
+    return out.view(np.uint64)
+
+
+def full_sets(documents: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """``doc_id, grams``: the whole shingle set of each wanted document, as sorted 64-bit integers.
+
+    Texts stay where they are read: a filter of fixed size passes over most documents that are not
+    wanted, and only sets are moved to the exact join.
+    """
+    held = documents.sparkSession.sparkContext.broadcast(id_filter(wanted))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cell = mix(batch.column(0).fill_null(0).to_numpy().astype(np.uint64)) >> np.uint64(64 - FILTER_BITS)
+            some = (held.value[cell >> np.uint64(6)] >> (cell & np.uint64(63))) & np.uint64(1) == 1
+            batch = batch.filter(pa.array(some))
             for c in chunks(batch, "text"):
                 values, counts = shingle_sets(c, size)
                 offs = np.concatenate([[0], np.cumsum(counts) * 8]).astype(np.int32)
                 grams = pa.Array.from_buffers(pa.binary(), c.n, [None, pa.py_buffer(offs), pa.py_buffer(values)])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.first, c.n), grams], ["doc_id", "grams"])
 
-    return documents.mapInArrow(run, "doc_id long, grams binary")
+    return documents.mapInArrow(run, "doc_id long, grams binary").join(wanted, "doc_id", "left_semi")
 
 
 def exploded(sets: DataFrame) -> DataFrame:
@@ -352,11 +379,11 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: float = 80, co
 
     def confirmed(likely: DataFrame) -> DataFrame:
         """The links among pairs; ``likely`` is used up."""
-        wanted = likely.select(F.col("src").alias("doc_id")).union(likely.select("dst")).distinct()
-        sets = cut(full_sets(docs.join(wanted, "doc_id", "left_semi"), size), "sets")
+        wanted = cut(likely.select(F.col("src").alias("doc_id")).union(likely.select("dst")).distinct(), "wanted")
+        sets = cut(full_sets(docs, wanted, size), "sets")
         pairs = likely.join(side("src", "ga", sets, "grams"), "src").join(side("dst", "gb", sets, "grams"), "dst")
         out = cut(_confirm(pairs, percent), "confirmed")
-        drop(likely, sets)
+        drop(likely, sets, wanted)
         return out
 
     def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -374,7 +401,9 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: float = 80, co
         drop(named)
         return out
 
-    first = confirmed(alike(members.where("src <> dst").select("src", "dst").distinct()))
+    often = members.where("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
+    nth = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("n"), "dst"))  # a document is in few lists
+    first = confirmed(alike(often.withColumn("nth", nth).where(F.col("nth") <= FIRST_CENTRES).select("src", "dst")))
     labels = connected_components(first)
     drop(first)
     waiting = still_open(members.select("key", F.col("src").alias("doc_id")))
@@ -399,7 +428,7 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: float = 80, co
     drop(waiting)
     buckets = _in_buckets(dealt.withColumn("m", F.col("n")))
     some = cut(buckets.groupBy("bucket").applyInPandas(_near(coordinates, matches, percent, pairs=False), "doc_id long").distinct(), "near")
-    sets = cut(full_sets(docs.join(some, "doc_id", "left_semi"), size), "sets")
+    sets = cut(full_sets(docs, some, size), "sets")
     each = exploded(sets)
     elsewhere = each.groupBy("g").agg(F.count("*").alias("often")).where("often > 1").select("g")
     bound = cut(each.join(elsewhere, "g").groupBy("doc_id", "n").agg(F.count("*").alias("m")).where(100 * F.col("m") >= percent * F.col("n")).select("doc_id", "m"), "bounds")
