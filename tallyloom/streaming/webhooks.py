@@ -28,18 +28,23 @@ NOT_PROCESSED = "Sorry, this WhatsApp document could not be processed."
 SUPPORTED_MEDIA = {"application/pdf": ".pdf", "image/jpeg": ".jpg", "image/png": ".png"}
 
 
-def payload_stream(spark: SparkSession, folder: str, files_per_batch: int = 100) -> DataFrame:
-    """Payloads that arrive as files in a folder, one in each, as a stream of ``id`` (a hash of all that was sent), ``value``, ``arrived``."""
-    files = spark.readStream.format("text").option("wholetext", True).option("maxFilesPerTrigger", files_per_batch).load(folder)
-    return files.select(F.sha2("value", 256).alias("id"), "value", F.col("_metadata.file_modification_time").alias("arrived"))
+def payload_stream(spark: SparkSession, folder: str, files_per_batch: int = 100, max_age: str = "7d") -> DataFrame:
+    """Payloads that arrive as files in a folder, one in each, as a stream of ``id`` (a hash of all that was sent) and ``value``.
+
+    A file is passed over only if it is older than the newest by more than ``max_age``: so long the
+    source remembers names.
+    """
+    files = spark.readStream.format("text").option("wholetext", True).option("maxFilesPerTrigger", files_per_batch).option("maxFileAge", max_age).load(folder)
+    return files.select(F.sha2("value", 256).alias("id"), "value")
 
 
 def first_deliveries(payloads: DataFrame, within: str = "1 hour") -> DataFrame:
     """Each payload of a stream once: what is delivered again ``within`` that time is left out, in later triggers and after a restart too.
 
-    The state holds the ids that are younger than the watermark and no others.
+    The time is that of the trigger, so no payload is ever too late, however old its file is. The state
+    holds the ids that are younger than the watermark and no others.
     """
-    return payloads.withWatermark("arrived", within).dropDuplicatesWithinWatermark(["id"])
+    return payloads.withColumn("arrived", F.current_timestamp()).withWatermark("arrived", within).dropDuplicatesWithinWatermark(["id"])
 
 
 def payload_messages(payloads: DataFrame, key: str = "id") -> DataFrame:

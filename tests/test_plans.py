@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -115,7 +116,12 @@ def test_stream_of_payloads(spark, family, tmp_path):
     # the same payloads are delivered again, in files of their own, after a restart: nothing is answered twice
     for k, p in enumerate(texts[:2]):
         (tmp_path / "in" / f"again{k}.json").write_text(p)
-    assert named(deliver(spark, tmp_path / "in", tmp_path, family)) == want
+    late = json.dumps({"entry": [{"changes": [{"value": {"messages": [say("5", type="text", text={"body": "late"})]}}]}]})
+    (tmp_path / "in" / "late.json").write_text(late)
+    ago = os.stat(tmp_path / "in" / "0.json").st_mtime - 3 * 24 * 3600
+    os.utime(tmp_path / "in" / "late.json", (ago, ago))  # a file of days ago is answered too
+    key[hashlib.sha256(late.encode()).hexdigest()] = 9
+    assert named(deliver(spark, tmp_path / "in", tmp_path, family)) == [*want, ("9:0", "no_client")]
 
 
 def test_stream_of_forms(spark, family, tmp_path):
