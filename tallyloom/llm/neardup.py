@@ -387,9 +387,15 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: float = 80, co
         return out
 
     def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
-        """Labels after more links; both are used up."""
-        out = connected_components(links.union(labels.select(F.col("node").alias("src"), F.col("component").alias("dst"))))
-        drop(links, labels)
+        """Labels after more links; both are used up. Only the components that links touch are joined, as nodes of their own."""
+        names = labels.select(F.col("node").alias("_n"), F.col("component").alias("_l"))
+        end = lambda df, c: df.join(names, F.col(c) == F.col("_n"), "left").withColumn(c, F.coalesce("_l", c)).drop("_n", "_l")
+        new = connected_components(end(end(links.select("src", "dst"), "src"), "dst"))
+        moved = new.select(F.col("node").alias("_n"), F.col("component").alias("_l"))
+        kept = labels.join(moved, F.col("component") == F.col("_n"), "left").select("node", F.coalesce("_l", "component").alias("component"))
+        fresh = new.join(labels.select("node"), "node", "left_anti")
+        out = cut(kept.union(fresh), "labels")
+        drop(links, labels, new)
         return out
 
     def still_open(posted: DataFrame) -> DataFrame:
