@@ -8,7 +8,8 @@ suffix of the corpus would move many times the corpus. So windows are first told
    a run of windows with one anchor; members of equal content around it collapse to the first, and
    the others repeat as a whole. Equal content is told by hashes and then verified: the members' bytes
    meet and are compared. (Anchors are hashed to buckets; a document batch sends an anchor and
-   content once, and one of very many contents only as a marker.)
+   content once, and one of very many contents only as a marker. What a task has sent twice it does
+   not send again, so a passage that very many documents share sends a bucket two entries a task.)
 2. Windows of anchors with very many contents ("hot") are told apart by hashes of the whole window.
 3. The bytes of what is left meet in buckets, where a mergesort orders the suffixes. Two suffixes are
    compared by a binary search for their common extension over prefix hashes. Neighbours whose
@@ -40,6 +41,10 @@ BUCKET_BYTES = 4 << 20
 BATCH_BYTES, HOT_HERE, HOT = 2 << 20, 8, 32
 #: Bytes of a long document worked on at once.
 LONG_BYTES = 4 << 20
+#: Bytes of text that one task stands for: several buckets, met one after the other.
+TASK_BYTES = 64 << 20
+#: Keys, and members with their bytes, that a task remembers; those beyond are sent once a batch.
+SIGHTS, KEPT = 1 << 19, 1 << 15
 
 # kinds: all windows repeat; to sort with its anchor; hot, or a window to sort by itself; said to be equal by its hashes
 DUP, CAND, WINDOW, CHECK = 1, 2, 3, 4
@@ -166,10 +171,75 @@ def _ranks(ids: np.ndarray) -> np.ndarray:
     return out
 
 
+class _Sights:
+    """What a task has sent already: the keys (a, b), the first place in corpus order of each, and how often (up to twice).
+
+    Only the first ``SIGHTS`` keys are remembered; a key of many documents is met early. One that is
+    not remembered is sent each time, so what is found does not depend on it.
+    """
+
+    def __init__(self) -> None:
+        self.seen = np.zeros(0, [("a", "<u8"), ("b", "<u8"), ("doc_id", "<i8"), ("h", "<i8"), ("at", "<u4"), ("n", "u1")])
+
+    def meet(self, a: np.ndarray, b: np.ndarray, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of distinct keys: which were sent for two places, one of them earlier, and which for this same place (of a repeated row).
+
+        What comes before all that was sent is not among them: the first of equals must reach its bucket.
+        """
+        if not len(self.seen):
+            known = np.zeros(len(a), bool)
+            late, same = known, known.copy()
+        else:
+            i = np.minimum(np.searchsorted(self.seen["a"], a), len(self.seen) - 1)
+            had = self.seen[i]
+            known = (had["a"] == a) & (had["b"] == b)
+            same, before = np.ones(len(a), bool), np.zeros(len(a), bool)
+            for k, here in (("doc_id", ids[:, 0]), ("h", ids[:, 1]), ("at", at)):
+                before |= same & (here < had[k])
+                same &= here == had[k]
+            same &= known
+            late = known & ~same & ~before & (had["n"] > 1)
+            self.seen["n"][i[known & ~same]] = 2
+            new = known & before
+            self.seen["doc_id"][i[new]], self.seen["h"][i[new]], self.seen["at"][i[new]] = ids[new, 0], ids[new, 1], at[new]
+        fresh = np.flatnonzero(~known)[: max(0, SIGHTS - len(self.seen))]
+        if len(fresh):
+            more = np.zeros(len(fresh), self.seen.dtype)
+            more["a"], more["b"], more["doc_id"], more["h"], more["at"], more["n"] = a[fresh], b[fresh], ids[fresh, 0], ids[fresh, 1], at[fresh], 1
+            both = np.concatenate([self.seen, more])
+            self.seen = both[np.argsort(both["a"], kind="stable")]
+        return late, same
+
+
+class _Kept:
+    """Members whose bytes a task has sent: of each key the first in corpus order, at most ``KEPT`` keys (others are sent each time)."""
+
+    def __init__(self) -> None:
+        self.members: dict[tuple, tuple] = {}
+
+    def meet(self, c: Chunk, e: np.ndarray, at: np.ndarray, ids: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Which members are to be sent, and which hold the bytes of an earlier one that was sent; a repeated row's are neither."""
+        send, later = np.ones(len(e), bool), np.zeros(len(e), bool)
+        content = e["content"].tolist() if "content" in e.dtype.names else [0] * len(e)
+        places = zip(e["anchor"].tolist(), content, e["lo"].tolist(), e["hi"].tolist(), ids[e["doc"]].tolist(), e["at"].tolist(), at.tolist(), strict=True)
+        for i, (anchor, what, lo, hi, (doc_id, h), place, x) in enumerate(places):
+            key, here = (anchor, what, lo, hi), (doc_id, h, place)
+            had = self.members.get(key)
+            if had is None and len(self.members) >= KEPT:
+                continue
+            text = c.data[x - lo : x - hi + width].tobytes()
+            if had is not None and had[1] == text and had[0] <= here:
+                send[i], later[i] = False, had[0] < here
+            elif had is None or had[1] == text:
+                self.members[key] = (here, text)
+        return send, later
+
+
 def _sketch(width: int, gram: int, buckets: int):
     """Step 1 over documents: entries to the anchors' buckets, and marks of what is known already."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met, met_hot = _Sights(), _Sights()
         for batch in batches:
             keys = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()], 1)
             for whole in chunks(batch, "text", BATCH_BYTES):
@@ -198,10 +268,18 @@ def _sketch(width: int, gram: int, buckets: int):
                     equal = _equal_members(c.data, e, c.offs[e["doc"]] + e["at"] - base, rows, lead_at[rows], width)
                     apart = np.concatenate([rows[~equal], lead_at[rows[~equal]]])  # a collision of hashes: all ways to meet others stay open
                     direct = np.flatnonzero(hot & lead)
-                    kind = np.repeat([DUP, WINDOW, CAND, WINDOW], [int(equal.sum()), len(direct), len(apart), len(apart)])
-                    rows = np.concatenate([rows[equal], direct, apart, apart])
+                    send = lead & (~hot | ((new & 1) > 0))
+                    first = np.flatnonzero(send & ~hot)
+                    late, again = met.meet(e["content"][first], e["anchor"][first], ids[e["doc"][first]], e["at"][first])
+                    send[first[late | again]] = False
+                    late = first[late]  # two members of this content meet in the bucket; this one meets them when their bytes do
+                    first = np.flatnonzero(send & hot)
+                    known, again = met_hot.meet(e["anchor"][first], np.zeros(len(first), np.uint64), ids[e["doc"][first]], e["at"][first])
+                    send[first[known | again]] = False  # the bucket knows the anchor as hot; its windows are marked here
+                    kind = np.repeat([DUP, WINDOW, CAND, WINDOW, CHECK], [int(equal.sum()), len(direct), len(apart), len(apart), len(late)])
+                    rows = np.concatenate([rows[equal], direct, apart, apart, late])
                     _tell(out, e["doc"][rows].astype(np.int64), _marks(e["at"][rows], e["lo"][rows], e["hi"][rows], kind), ids, buckets)
-                    _send(out, e[lead & (~hot | ((new & 1) > 0))], ids, "anchor", buckets)
+                    _send(out, e[send], ids, "anchor", buckets)
                     yield _rows(out, _MOVED)
 
     return run
@@ -298,9 +376,10 @@ def _marked_chunks(batch: pa.RecordBatch) -> Iterator[tuple[Chunk, np.ndarray, l
 
 
 def _hash_windows(width: int, buckets: int):
-    """Step 2 over documents with hot marks: the windows' hashes, each once a batch."""
+    """Step 2 over documents with hot marks: the windows' hashes, each once a batch and twice a task."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met = _Sights()
         for batch in batches:
             for c, ids, marks in _marked_chunks(batch):
                 doc, at = [], []
@@ -322,6 +401,10 @@ def _hash_windows(width: int, buckets: int):
                 again = np.zeros(len(e), bool)
                 again[:-1] |= ~lead[1:]
                 again |= ~lead
+                first = np.flatnonzero(lead)
+                late, same = met.meet(e["anchor"][first], np.zeros(len(first), np.uint64), ids[e["doc"][first]], e["at"][first])
+                again[first[late]] = True
+                lead[first[late | same]] = False
                 out = {k: [] for k in _MOVED}
                 rows = np.flatnonzero(again)
                 zero = np.zeros(len(rows), np.uint8)
@@ -391,9 +474,10 @@ def _compared(data: np.ndarray, e: np.ndarray, at: np.ndarray, rank: np.ndarray,
 
 
 def _claims(width: int, gram: int, buckets: int):
-    """Step 1 over documents with members said to be equal: their bytes, once a batch where they are equal there."""
+    """Step 1 over documents with members said to be equal: their bytes, once where they are equal in a batch or to what the task has kept."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = _Kept()
         for batch in batches:
             for c, ids, marks in _marked_chunks(batch):
                 doc = np.repeat(np.arange(c.n), [len(m) for m in marks])
@@ -406,10 +490,13 @@ def _claims(width: int, gram: int, buckets: int):
                 e["anchor"], e["content"] = mix(ph.of(at, at + gram)), content_hash(ph, at, at - m["lo"], at - m["hi"], width)
                 e["doc"], e["at"], e["lo"], e["hi"] = doc, m["at"], m["lo"], m["hi"]
                 rows, _, _ = _compared(c.data, e, at, _ranks(ids)[doc], width)
-                out = {k: [] for k in _MOVED}
-                _tell(out, doc[rows], _marks(e["at"][rows], e["lo"][rows], e["hi"][rows], DUP), ids, buckets)
                 send = np.ones(len(e), bool)
                 send[rows] = False
+                rest = np.flatnonzero(send)
+                send[rest], later = kept.meet(c, e[rest], at[rest], ids, width)
+                rows = np.concatenate([rows, rest[later]])
+                out = {k: [] for k in _MOVED}
+                _tell(out, doc[rows], _marks(e["at"][rows], e["lo"][rows], e["hi"][rows], DUP), ids, buckets)
                 _ship(out, c, e[send], at[send], ids, width, buckets)
                 yield _rows(out, _MOVED)
 
@@ -442,6 +529,7 @@ def _bring_bytes(width: int, gram: int, buckets: int):
     """Step 3 over documents: the bytes around each member still to be told apart."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = _Kept()
         for batch in batches:
             for c, ids, marks in _marked_chunks(batch):
                 doc = np.concatenate([np.full(len(m), i) for i, m in enumerate(marks)])
@@ -464,13 +552,14 @@ def _bring_bytes(width: int, gram: int, buckets: int):
                 lead_at = np.maximum.accumulate(np.where((new & 1) > 0, np.arange(len(e)), 0))
                 rows = np.flatnonzero(lone & ((rank != rank[lead_at]) | (e["at"] != e["at"][lead_at])))
                 out = {k: [] for k in _MOVED}
-                if len(rows):
-                    equal = _equal_bytes(c.data, at[rows], at[lead_at[rows]], width)
-                    rows = rows[equal]
-                    zero = np.zeros(len(rows), np.uint8)
-                    _tell(out, e["doc"][rows].astype(np.int64), _marks(e["at"][rows], zero, zero, DUP), ids, buckets)
+                rows = rows[_equal_bytes(c.data, at[rows], at[lead_at[rows]], width)]
                 send = np.ones(len(e), bool)
                 send[rows] = False
+                rest = np.flatnonzero(send & lone)  # also those that the task has sent from a batch before
+                send[rest], later = kept.meet(c, e[rest], at[rest], ids, width)
+                rows = np.concatenate([rows, rest[later]])
+                zero = np.zeros(len(rows), np.uint8)
+                _tell(out, e["doc"][rows].astype(np.int64), _marks(e["at"][rows], zero, zero, DUP), ids, buckets)
                 _ship(out, c, e[send], at[send], ids, width, buckets)
                 yield _rows(out, _MOVED)
 
@@ -642,9 +731,10 @@ def remove_repeats(documents: DataFrame, width: int = WIDTH, gram: int = GRAM, i
     docs = documents.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
     size = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = int(size // BUCKET_BYTES) + 1  # by the input alone
-    bucketed = lambda df: df.repartition(buckets, "bucket").groupBy("bucket")
+    tasks = max(int(size // TASK_BYTES) + 1, min(buckets, int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    bucketed = lambda df: df.repartition(tasks, "bucket").groupBy("bucket")
 
-    dealt = docs.repartition(max(buckets, int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "doc_id", "h")
+    dealt = docs.repartition(tasks, "doc_id", "h")
     marked = lambda info, how: dealt.join(info.groupBy("doc_id", "h").agg(F.collect_list("blob").alias("blobs")), ["doc_id", "h"], how).select("doc_id", "h", "text", "blobs")
     only = lambda info, *kinds: info.mapInArrow(_only(kinds), _INFO_SQL)
 

@@ -105,3 +105,67 @@ def test_suffix_sort():
             assert shared[j] == next((k for k in range(100) if a[k] != b[k]), 100)
         else:
             assert shared[j] == 0
+
+
+def of_many_batches():
+    """A passage in hundreds of documents, in two contexts or in one of each's own; some rows come twice."""
+    rng = random.Random(11)
+    some = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage, frame = some(320), [some(90), some(90)]
+    rows = [(d, frame[d % 2] + passage + frame[d % 2] if d % 3 else some(90) + passage + some(90)) for d in range(150)]
+    return rows + [rows[0], rows[0], rows[0], rows[7]]
+
+
+@pytest.mark.parametrize("parts", [1, 4])
+def test_what_a_task_has_sent_already(spark, monkeypatch, parts):
+    """Every document is a batch: what was sent before is told apart without being sent."""
+    monkeypatch.setattr(substrings, "BATCH_BYTES", 300)
+    rows = of_many_batches()
+    random.Random(parts).shuffle(rows)
+    assert digest(remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts))) == brute(sorted(set(rows)))
+
+
+def test_hot_anchor_sends_a_bounded_number_of_entries(monkeypatch):
+    """2,000 batches of one task that share a passage send it twice, and its bytes once."""
+    import pyarrow as pa
+
+    rng = random.Random(2)
+    some = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = some(400)
+    ids = np.arange(2000)
+    texts = [some(50) + passage + some(50) for _ in ids]
+    batches = [pa.record_batch({"doc_id": pa.array([i]), "h": pa.array([i]), "text": pa.array([t])}) for i, t in zip(ids, texts, strict=True)]
+
+    def entries(out, dtype, skip=0):
+        found = {}
+        for b in out:
+            for docs, blob in zip(b["docs"].to_pylist(), b["blob"].to_pylist(), strict=True):
+                if docs is not None:
+                    e = np.frombuffer(blob, dtype, int.from_bytes(blob[:8], "little") if skip else -1, skip)
+                    for a, what in zip(e["anchor"].tolist(), e["content"].tolist(), strict=True):
+                        found[a, what] = found.get((a, what), 0) + 1
+        return found
+
+    sent = entries(substrings._sketch(100, 32, 4)(batches), substrings._ENTRY)
+    assert max(sent.values()) == 2
+    doc, m, lo, hi, *_ = substrings.find_anchors(substrings.Chunk(0, np.frombuffer(texts[0].encode(), np.uint8), np.array([0, 500])), 100, 32)
+    inside = (lo >= 60) & (hi + 100 <= 440)
+    assert inside.any()
+
+    def marks(text):
+        _, m, lo, hi, *_ = substrings.find_anchors(substrings.Chunk(0, np.frombuffer(text.encode(), np.uint8), np.array([0, 500])), 100, 32)
+        keep = (lo >= 60) & (hi + 100 <= 440)
+        return substrings._marks(m[keep], (m - lo)[keep], (m - hi)[keep], substrings.CHECK).tobytes()
+
+    claimed = [b.append_column("blobs", pa.array([[marks(t)]], pa.list_(pa.binary()))) for b, t in zip(batches, texts, strict=True)]
+    assert set(entries(substrings._claims(100, 32, 4)(claimed), substrings._CLAIM, 8).values()) == {1}
+    random.Random(3).shuffle(claimed)  # out of corpus order, those that come before all that were sent are sent too
+    assert max(entries(substrings._claims(100, 32, 4)(claimed), substrings._CLAIM, 8).values()) < 30
+
+
+def test_members_beyond_the_memory_of_a_task(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "BATCH_BYTES", 300)
+    monkeypatch.setattr(substrings._Kept, "meet", lambda self, c, e, at, ids, width: (np.ones(len(e), bool), np.zeros(len(e), bool)))
+    monkeypatch.setattr(substrings._Sights, "meet", lambda self, a, b, ids, at: (np.zeros(len(a), bool), np.zeros(len(a), bool)))
+    rows = of_many_batches()[:60]
+    assert digest(remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))) == brute(rows)
