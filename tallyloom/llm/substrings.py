@@ -122,26 +122,35 @@ def _runs(values: np.ndarray) -> list[tuple[int, int]]:
 def _send(out: dict[str, list], entries: np.ndarray, ids: np.ndarray, key: str, buckets: int) -> None:
     """Add the entries to ``out``, a row for each bucket, with the keys of the documents they name."""
     to = (entries[key] % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(to, kind="stable")
+    order = np.lexsort((entries["doc"], to))
     entries, to = entries[order], to[order]
-    for a, b in _runs(to):
-        part = entries[a:b].copy()
-        docs, part["doc"] = np.unique(part["doc"], return_inverse=True)
-        for k, v in (("bucket", int(to[a])), ("doc_id", 0), ("h", 0), ("docs", ids[docs].tobytes()), ("blob", part.tobytes())):
-            out[k].append(v)
+    doc, runs = entries["doc"].copy(), _runs(to)
+    new = np.ones(len(doc), bool)
+    new[1:] = (to[1:] != to[:-1]) | (doc[1:] != doc[:-1])
+    nth = np.append(np.cumsum(new) - 1, new.sum())  # the documents of all rows, one row's after another's
+    named, size = ids[doc[new]].tobytes(), entries.itemsize
+    first = np.array([a for a, _ in runs], np.int64)
+    entries["doc"] = nth[:-1] - np.repeat(nth[first], [b - a for a, b in runs])
+    whole = entries.tobytes()
+    out["bucket"] += to[first].tolist()
+    out["doc_id"] += [0] * len(runs)
+    out["h"] += [0] * len(runs)
+    out["docs"] += [named[16 * nth[a] : 16 * nth[b]] for a, b in runs]
+    out["blob"] += [whole[size * a : size * b] for a, b in runs]
 
 
 def _tell(out: dict[str, list], doc: np.ndarray, marks: np.ndarray, ids: np.ndarray, buckets: int | None = None) -> None:
     """Add marks to ``out``, a row for each document."""
     order = np.argsort(doc, kind="stable")
-    doc, marks = doc[order], marks[order]
-    for a, b in _runs(doc):
-        key = ids[doc[a]]
-        row = {"doc_id": int(key[0]), "h": int(key[1]), "blob": marks[a:b].tobytes()}
-        if buckets is not None:
-            row |= {"bucket": int((int(key[1]) ^ int(key[0])) % buckets), "docs": None}
-        for k, v in row.items():
-            out[k].append(v)
+    doc, whole, size = doc[order], marks[order].tobytes(), marks.itemsize
+    runs = _runs(doc)
+    keys = ids[doc[[a for a, _ in runs]]].tolist() if runs else []
+    out["doc_id"] += [k for k, _ in keys]
+    out["h"] += [h for _, h in keys]
+    out["blob"] += [whole[size * a : size * b] for a, b in runs]
+    if buckets is not None:
+        out["bucket"] += [(h ^ k) % buckets for k, h in keys]
+        out["docs"] += [None] * len(runs)
 
 
 def _marks(at: np.ndarray, lo: np.ndarray, hi: np.ndarray, kind) -> np.ndarray:
@@ -346,17 +355,32 @@ def _equal_members(data: np.ndarray, e: np.ndarray, at: np.ndarray, x: np.ndarra
 _HASHED = np.dtype([("anchor", "<u8"), ("doc", "<u4"), ("at", "<u4")])
 
 
-def _read_marks(blobs) -> np.ndarray:
-    parts = [np.frombuffer(b.as_buffer(), _MARK) for b in blobs]
-    if not parts:
-        return np.zeros(0, _MARK)
-    m = np.concatenate(parts)
+def _flat(blobs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The marks of all blobs in one array, and where each blob's begin and end."""
+    if not len(blobs):
+        return np.zeros(0, _MARK), np.zeros(1, np.int64)
+    blobs = blobs.cast(pa.large_binary())
+    offs = np.frombuffer(blobs.buffers()[1], np.int64, len(blobs) + 1, 8 * blobs.offset)  # a slice may hold the whole array's data
+    data = np.frombuffer(blobs.buffers()[2] or b"", np.uint8)[offs[0] : offs[-1]]
+    return data.view(_MARK), (offs - offs[0]) // _MARK.itemsize
+
+
+def _read_marks(blobs: pa.ListArray) -> list[np.ndarray]:
+    """The marks of each list of blobs, each once, in order; a null list has none."""
+    size = blobs.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    m, ends = _flat(blobs.flatten())
+    stop = ends[np.cumsum(size)]
+    owner = np.repeat(np.arange(len(blobs)), np.diff(stop, prepend=0))
     key = m["at"].astype(np.uint64)
     for field in ("lo", "hi", "kind"):
         key = key << np.uint64(8) | m[field]
-    key = np.unique(key)
+    order = np.lexsort((key, owner))
+    key, owner = key[order], owner[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])
+    key, owner = key[new], owner[new]
     low = lambda k: (key >> np.uint64(k)) & np.uint64(255)
-    return _marks(key >> np.uint64(24), low(16), low(8), low(0))
+    return np.split(_marks(key >> np.uint64(24), low(16), low(8), low(0)), np.searchsorted(owner, np.arange(1, len(blobs))))[: len(blobs)]
 
 
 def _spread(marks: np.ndarray) -> np.ndarray:
@@ -371,8 +395,7 @@ def _marked_chunks(batch: pa.RecordBatch) -> Iterator[tuple[Chunk, np.ndarray, l
     """Chunks of a batch (doc_id, h, text, blobs), the documents' keys and marks."""
     keys = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()], 1)
     for c in chunks(batch, "text", BATCH_BYTES):
-        blobs = batch.column(3).slice(c.first, c.n)
-        yield c, keys[c.first : c.first + c.n], [_read_marks(x.values) if x.is_valid else np.zeros(0, _MARK) for x in blobs]
+        yield c, keys[c.first : c.first + c.n], _read_marks(batch.column(3).slice(c.first, c.n))
 
 
 def _hash_windows(width: int, buckets: int):
@@ -732,6 +755,7 @@ def remove_repeats(documents: DataFrame, width: int = WIDTH, gram: int = GRAM, i
     size = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = int(size // BUCKET_BYTES) + 1  # by the input alone
     tasks = max(int(size // TASK_BYTES) + 1, min(buckets, int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    wide = buckets // 2 + 1  # windows come without their bytes; fewer buckets tell a document in fewer rows
     bucketed = lambda df: df.repartition(tasks, "bucket").groupBy("bucket")
 
     dealt = docs.repartition(tasks, "doc_id", "h")
@@ -743,7 +767,7 @@ def remove_repeats(documents: DataFrame, width: int = WIDTH, gram: int = GRAM, i
     verified = bucketed(marked(only(said, CHECK), "inner").mapInArrow(_claims(width, gram, buckets), _MOVED_SQL)).applyInPandas(_verify(width), _INFO_SQL)
     verified = cut(verified, "verified")
     found = said.union(verified)
-    hashed = bucketed(marked(only(found, WINDOW), "inner").mapInArrow(_hash_windows(width, buckets), _MOVED_SQL)).applyInPandas(_meet_windows, _INFO_SQL)
+    hashed = bucketed(marked(only(found, WINDOW), "inner").mapInArrow(_hash_windows(width, wide), _MOVED_SQL)).applyInPandas(_meet_windows, _INFO_SQL)
     hashed = cut(hashed, "windows")
     todo = only(found, CAND).union(hashed)
     sorted_ = bucketed(marked(todo, "inner").mapInArrow(_bring_bytes(width, gram, buckets), _MOVED_SQL)).applyInPandas(_sort_bucket(width), _INFO_SQL)
@@ -759,14 +783,13 @@ def _only(kinds: tuple[int, ...]):
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep, blobs = [], []
-            for i, b in enumerate(batch.column(2)):
-                m = np.frombuffer(b.as_buffer(), _MARK)
-                m = m[np.isin(m["kind"], kinds)]
-                if len(m):
-                    keep.append(i)
-                    blobs.append(m.tobytes())
-            at = pa.array(keep, pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(blobs, pa.binary())], ["doc_id", "h", "blob"])
+            marks, ends = _flat(batch.column(2))
+            keep = np.isin(marks["kind"], kinds)
+            so_far = np.concatenate([[0], np.cumsum(keep)])[ends]
+            rows = np.flatnonzero(np.diff(so_far))
+            offs = np.append(0, so_far[1:][rows]).astype(np.int32) * _MARK.itemsize
+            blobs = pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offs), pa.py_buffer(marks[keep].tobytes())])
+            at = pa.array(rows, pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), blobs], ["doc_id", "h", "blob"])
 
     return run

@@ -169,3 +169,31 @@ def test_members_beyond_the_memory_of_a_task(spark, monkeypatch):
     monkeypatch.setattr(substrings._Sights, "meet", lambda self, a, b, ids, at: (np.zeros(len(a), bool), np.zeros(len(a), bool)))
     rows = of_many_batches()[:60]
     assert digest(remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))) == brute(rows)
+
+
+def test_small_rows_of_marks_cost_no_call_each():
+    """Marks come as one small row a document and bucket; to filter and to read them takes no Python step a row."""
+    import time
+
+    import pyarrow as pa
+
+    from tallyloom.llm import substrings as S
+
+    n = 200_000
+    rng = np.random.default_rng(3)
+    marks = S._marks(rng.integers(0, 50, 2 * n), np.full(2 * n, 9), np.full(2 * n, 2), rng.integers(1, 5, 2 * n))
+    blobs = pa.array([marks[2 * i : 2 * i + 2].tobytes() for i in range(n)], pa.binary())
+    ids = pa.array(np.arange(n))
+    batch = pa.RecordBatch.from_arrays([ids, ids, blobs], ["doc_id", "h", "blob"])
+    began = time.process_time()
+    found = list(S._only((S.DUP, S.CHECK))([batch.slice(0, n // 2), batch.slice(n // 2), batch.slice(0, 0)]))
+    lists = pa.ListArray.from_arrays(pa.array([0, *range(4, n + 1, 4)], pa.int32()), blobs)
+    read = S._read_marks(lists.slice(1))
+    assert time.process_time() - began < 2
+    keep = np.isin(marks["kind"], (S.DUP, S.CHECK)).reshape(-1, 2)
+    assert np.concatenate([b.column(0).to_numpy() for b in found]).tolist() == np.flatnonzero(keep.any(1)).tolist()
+    assert b"".join(x.as_py() for b in found for x in b.column(2)) == marks[keep.ravel()].tobytes()
+    for i in range(0, len(read), 997):
+        assert [tuple(x) for x in read[i].tolist()] == sorted({tuple(x) for x in marks[8 * (i + 1) : 8 * (i + 2)].tolist()})
+    empty = S._read_marks(pa.array([None, [], [marks[:1].tobytes()]], pa.list_(pa.binary())))
+    assert [len(x) for x in empty] == [0, 0, 1] and not len(S._read_marks(pa.array([], pa.list_(pa.binary()))))
