@@ -15,8 +15,8 @@
    task; a list of more than ``BLOCK`` members is compared in pairs of blocks. The comparison runs
    twice. First it names the documents that are near any other. Of these the shingles are counted: one
    that no other of them has is in no intersection, so documents and pairs with too many of them are
-   done with. Then it gives the pairs left, each once however many lists it is in, and these are
-   confirmed on full sets.
+   done with. Then it gives the pairs left, each once however many lists it is in, but those whose
+   bitmaps show too many shingles that only one of them has; the rest are confirmed on full sets.
 """
 
 from __future__ import annotations
@@ -49,6 +49,9 @@ FIRST_CENTRES = 3
 #: Bits of the filter of wanted ids, as a power of two, however many they are.
 FILTER_BITS = 24
 
+#: 64-bit words of a set's bitmap.
+WORDS = 32
+
 _KEEP = np.uint64(52)
 _CELL = np.uint64(64 - 18)
 
@@ -197,6 +200,23 @@ def exploded(sets: DataFrame) -> DataFrame:
     return sets.select("doc_id", "grams").mapInArrow(run, "doc_id long, n long, g long")
 
 
+def bitmaps(sets: DataFrame) -> DataFrame:
+    """``doc_id, bits``: ``WORDS`` words in which each shingle of a set sets one bit.
+
+    A bit that only one of two sets has stands for a shingle that the other lacks, so no pair is lost by them.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = np.zeros((batch.num_rows, WORDS), np.uint64)
+            for k, x in enumerate(batch.column(1)):
+                g = np.frombuffer(x.as_buffer(), np.uint64)
+                np.bitwise_or.at(bits[k], (g % np.uint64(WORDS)).astype(np.int64), np.uint64(1) << ((g >> np.uint64(16)) & np.uint64(63)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), _binary(bits)], ["doc_id", "bits"])
+
+    return sets.select("doc_id", "grams").mapInArrow(run, "doc_id long, bits binary")
+
+
 def _pair_keys(sig: np.ndarray) -> np.ndarray:
     """A 64-bit key for each coordinate-value pair."""
     with np.errstate(over="ignore"):
@@ -308,7 +328,7 @@ def _in_buckets(members: DataFrame) -> DataFrame:
 def _near(coordinates: int, matches: int, percent: float, pairs: bool):
     """Of the lists of a bucket: pairs (src, dst) of members of different components with at least ``matches`` equal coordinates, or the members of any such pair.
 
-    ``n`` is the size of a member's set and ``m`` how many of it may be in another's.
+    ``n`` is the size of a member's set and ``m`` how many of it may be in another's. Pairs are also held against their bitmaps.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -316,6 +336,7 @@ def _near(coordinates: int, matches: int, percent: float, pairs: bool):
         sig = np.frombuffer(b"".join(pdf["low"]), np.uint8).reshape(-1, coordinates)
         key, ids, label = pdf[["key", "x", "y"]].to_numpy(), pdf["doc_id"].to_numpy(), pdf["label"].to_numpy()
         n, m = pdf["n"].to_numpy(), pdf["m"].to_numpy()
+        bits = np.frombuffer(b"".join(pdf["bits"]), np.uint64).reshape(-1, WORDS) if pairs else None
         first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(1)])) if len(key) else np.zeros(0, np.int64)
         size = np.diff(np.append(first, len(key)))
         found, any_of = [], np.zeros(len(ids), bool)
@@ -327,6 +348,10 @@ def _near(coordinates: int, matches: int, percent: float, pairs: bool):
                 u, v = i[apart[k : k + 50_000]], j[apart[k : k + 50_000]]
                 near = (sig[u] == sig[v]).sum(1) >= matches
                 if pairs:
+                    u, v = u[near], v[near]
+                    own = lambda x, y: np.bitwise_count(bits[x] & ~bits[y]).sum(1, dtype=np.int64)
+                    most = np.minimum(n[u] - own(u, v), n[v] - own(v, u))
+                    near = 100 * most >= percent * (n[u] + n[v] - most)
                     found.append(np.stack([ids[v[near]], ids[u[near]]], 1))
                 else:
                     any_of[u[near]] = any_of[v[near]] = True
@@ -438,8 +463,8 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: float = 80, co
     each = exploded(sets)
     elsewhere = each.groupBy("g").agg(F.count("*").alias("often")).where("often > 1").select("g")
     bound = cut(each.join(elsewhere, "g").groupBy("doc_id", "n").agg(F.count("*").alias("m")).where(100 * F.col("m") >= percent * F.col("n")).select("doc_id", "m"), "bounds")
+    left = cut(dealt.join(bound.join(bitmaps(sets), "doc_id"), "doc_id"), "left")
     drop(sets, some)
-    left = cut(dealt.join(bound, "doc_id"), "left")
     drop(dealt, bound)
     near = _in_buckets(left).groupBy("bucket").applyInPandas(_near(coordinates, matches, percent, pairs=True), "src long, dst long")
     near = cut(near.distinct(), "likely")

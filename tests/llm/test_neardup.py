@@ -104,3 +104,25 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 50), (50, 100), (7, 7), (60, 61), (61, 50), (None, 3)]
     out = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
     assert out == {**{i: 1 for i in range(1, 41)}, 50: 50, 100: 50, 60: 50, 61: 50}
+
+
+def test_pairs_that_are_apart_are_not_joined(spark, monkeypatch):
+    """A large group of texts that are 69 percent alike: few of its pairs come to the join with full sets, no link is lost."""
+    rng = random.Random(11)
+    base = ["w%d" % i for i in range(100)]
+    rows = []
+    for d in range(240):
+        words = list(base)
+        for i in rng.sample(range(100), 3 if d % 8 else 1):
+            words[i] = "x%d" % rng.randrange(10**6)
+        rows.append((d, " ".join(words)))
+    joined, confirm = [], neardup._confirm
+
+    def counted(pairs, percent):
+        joined.append(pairs.count())
+        return confirm(pairs, percent)
+
+    monkeypatch.setattr(neardup, "_confirm", counted)
+    out = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size=3, percent=85).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out} == brute(rows, 3, 85)
+    assert joined[-1] < 100
