@@ -141,3 +141,13 @@ def test_sketch_of_repeated_shingles(spark):
     df = spark.createDataFrame([([hashes[0]] * 40 + hashes[1:],), (hashes,)], "h array<long>").select(sketch(F.col("h")).alias("s"))
     one, other = [r["s"] for r in df.collect()]
     assert one == other and len(one) == 3
+
+
+def test_template_pairs_make_few_rows(spark, monkeypatch):
+    """Unlike lines of one template are told apart where they meet: few pairs come to be written, and few tables."""
+    monkeypatch.setattr(L, "LONG", 16)
+    rows, tables, write = templates(3, 14, n=600), [], L.cut
+    monkeypatch.setattr(L, "cut", lambda df, name: tables.append((name, out := write(df, name), out.count())) or out)
+    assert set(found_in(spark, rows)) <= set(brute(rows))
+    assert sum(n for name, _, n in tables if name == "pairs") < 4 * len(rows)
+    assert sum(name == "pairs" for name, _, _ in tables) <= 3
