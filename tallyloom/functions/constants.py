@@ -109,6 +109,8 @@ EMAIL = r"\b([a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,})\b"
 DATE_NUMERIC = r"\b(\d{1,2}[\/\-\.]\d{1,2}[\/\-\.]\d{4})\b"
 DATE_MONTH = r"(?i)\b(\d{1,2}[\s\-]+(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)\w*[\s\-]+\d{4})\b"
 ITR_TYPE = r"(?i)\b(ITR[\s\-]?[0-9A-Z]{1,2})\b"
+# An ITR form: a word that merely begins with these letters is none.
+ITR_FORM = r"(?i)\b(ITR(?![A-Z]{2}\b)[\s\-]?[0-9A-Z]{1,2})\b"
 ACK_LABEL = r"(?i)(?:acknowledgement\s*(?:no\.?|number)?)[\s:—\-]*(\d{12,15})"
 MONTH = r"(?:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|jun(?:e)?|jul(?:y)?|aug(?:ust)?|sep(?:t|tember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)"
 GST_PERIOD = rf"(?i)(?:tax\s*period|return\s*period|period|month)\s*[:\-]?\s*({MONTH}\s+20\d{{2}}|\d{{1,2}}[\-/]20\d{{2}})"

@@ -423,7 +423,10 @@ def gst_period_field(text: Column | Seen) -> Column:
 
 
 def itr_type(text: Column | Seen) -> Column:
-    return F.replace(F.replace(F.upper(seen(text).found["itr"]), F.lit(" "), F.lit("-")), F.lit("--"), F.lit("-"))
+    """The first ITR form, written with a dash; what ``found`` calls itr may also be a word that begins with these letters."""
+    x = seen(text)
+    form = F.when(x.has("itr"), T.first_match(x.t, K.ITR_FORM))
+    return F.replace(F.replace(F.upper(form), F.lit(" "), F.lit("-")), F.lit("--"), F.lit("-"))
 
 
 def extract_fields(docs: DataFrame, text: str = "text", score: str = "ocr_score") -> DataFrame:
