@@ -92,6 +92,8 @@ AADHAAR_WORDS = ["aadhaar", "uidai", "enrolment", "your aadhaar"]
 NOT_AADHAAR = r"(?i)\b(?:acknowledgement|ack\.?\s*no|ack\s*number|e-?filing|efiling|transaction|txn|invoice\s*(?:no|number|#)|receipt\s*(?:no|number)|account\s*(?:no|number)|reference\s*(?:no|number|id)|challan\s*(?:no|number)|serial\s*(?:no|number)|folio)\b"
 GSTIN = r"\b([0-9]{2}[A-Z]{5}[0-9]{4}[A-Z][0-9A-Z]Z[0-9A-Z])\b"
 GSTIN_LABEL = r"(?i)(?:gstin|gst\s*(?:no|number|in))[\s:—\-]+([0-9A-Z\s]{13,15})"
+# A PAN or a GSTIN as read, lower-cased: its letters are no words.
+ID_TOKEN = r"\b(?:[0-9oilsbgzt]{2})?[a-z]{5}[0-9oilsbgzt]{4}[a-z](?:[0-9a-z]{3})?\b"
 TAN = r"\b([A-Z]{4}[0-9]{5}[A-Z])\b"
 TAN_LABEL = r"(?i)(?:tan|tax\s*deduction\s*account)[\s:—\-]+([A-Z0-9]{10})"
 IFSC = r"\b([A-Z]{4}0[A-Z0-9]{6})\b"

@@ -417,7 +417,7 @@ def dates_field(t: Column) -> Column:
 
 def gst_period_field(text: Column | Seen) -> Column:
     x = seen(text)
-    t, gst = x.t, x.any(["gst", "gstin", "gstr", "goods and services"])
+    t, gst = x.t, T.about_gst(x.low)
     month, filed = _only(T.first_match(t, K.GST_PERIOD), gst), _only(T.first_match(t, K.GST_FILED), gst)
     return F.struct(month.alias("month"), filed.alias("filing_date"), F.when(month.isNotNull() | filed.isNotNull(), 85).otherwise(0).cast("int").alias("confidence"))
 

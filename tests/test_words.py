@@ -20,3 +20,11 @@ def test_a_word_is_no_itr_form(spark, text, form):
     S.register(spark)
     told = spark.createDataFrame([(text,)], "text string")
     assert spark.sql("SELECT f.itr_type FROM {told} t, LATERAL document_fields(t.text, 50.0) f", told=told).first()[0] == form
+
+
+@pytest.mark.parametrize(
+    ("text", "confidence"),
+    [("PAN: GSTPA1234G\nFiling Date 22-01-2020", 0), ("22GSTPA1234G1Z5 Filing Date 22-01-2020", 0), ("GST of GSTPA1234G\nFiling Date 22-01-2020", 85), ("GSTIN22ABCDE1234F1Z5 Tax Period: March 2024", 85), ("goods and services, period 03/2024", 85)],
+)
+def test_letters_of_an_identifier_do_not_speak_of_gst(spark, text, confidence):
+    assert one(spark, text, D.gst_period_field)["confidence"] == confidence
