@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.functions import sql as S
+from tallyloom.functions import text as T
 from tallyloom.operators import documents as D
 
 
@@ -28,3 +29,11 @@ def test_a_word_is_no_itr_form(spark, text, form):
 )
 def test_letters_of_an_identifier_do_not_speak_of_gst(spark, text, confidence):
     assert one(spark, text, D.gst_period_field)["confidence"] == confidence
+
+
+@pytest.mark.parametrize(
+    ("text", "fixed"),
+    [("Acknowledgement No. 888888881069508 of GSTPA1234G", None), ("no 22GSTPAB7B2G1Z5", None), ("GSTIN 22GSTPAB7B2G1Z5", "GSTIN 22GSTPA8782G1Z5"), ("goods and services 22ABCDEI234F1Z5", "goods and services 22ABCDE1234F1Z5")],
+)
+def test_only_texts_about_gst_have_their_gstins_corrected(spark, text, fixed):
+    assert one(spark, text, T.fix_gstin) == (fixed or text)
