@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import constants as K
 from tallyloom.functions import text as T
+from tallyloom.session import cut
+
+from .documents import spread
 
 # --- search ------------------------------------------------------------------------------------
 
@@ -148,65 +151,96 @@ def type_terms() -> list[tuple[str, str]]:
 def clients_by_phone(messages: DataFrame, clients: DataFrame, blank: bool = False) -> DataFrame:
     """Messages with the active clients whose mobile ends with the phone's last ten digits.
 
-    A mobile is keyed by each of its suffixes of up to ten characters, so that a phone of any length
-    meets its clients by an equi-join; each phone is looked up once, however many messages it sends.
-    A phone without digits names nobody. (As an empty suffix it would be every client's; ``blank``
-    asks for that, at the cost of a row for each such message and client.)
+    A mobile is keyed by its suffixes of the lengths that phones have (ten characters at most), so that a
+    phone of any length meets its clients by an equi-join; each phone is looked up once, however many
+    messages it sends. A phone without digits names nobody. (As an empty suffix it would be every
+    client's; ``blank`` asks for that, at the cost of a row for each such message and client.)
     """
     m = messages.withColumn("_p", T.normalize_phone(F.col("phone")))
     c = clients.where("is_active AND mobile IS NOT NULL").select(F.col("id").alias("client_id"), "firm_id", "client_name", F.replace(F.col("mobile"), F.lit(" "), F.lit("")).alias("_m"))
-    keyed = c.withColumn("_p", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.length("_m"), F.lit(10))), lambda n: F.right(F.col("_m"), n)))).where(F.length("_m") > 0)
     phones = m.select("_p").where("_p <> ''").distinct()
+    lengths = phones.select(F.length("_p").alias("_n")).distinct()  # ten at most
+    keyed = c.where(F.length("_m") > 0).withColumn("_n", F.explode(F.sequence(F.lit(1), F.least(F.length("_m"), F.lit(10)))))
+    keyed = keyed.join(F.broadcast(lengths), "_n").withColumn("_p", F.right(F.col("_m"), F.col("_n"))).drop("_n")
     found = m.join(phones.join(keyed, "_p").drop("_m"), "_p")
     if blank:
         found = found.unionByName(m.where("_p = ''").crossJoin(c.drop("_m")))
     return found.drop("_p")
 
 
-def retrieval(messages: DataFrame, clients: DataFrame, documents: DataFrame) -> DataFrame:
+def _requests(messages: DataFrame, keep: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Messages with the key ``_request`` of what they ask, and each request once: number, firm, types and year, and the key ``_caller`` of the first two."""
+    messages = spread(messages)
+    m = messages if "firm_id" in messages.columns else messages.withColumn("firm_id", F.lit(None).cast("int"))
+    m = m.select("id", "phone", "body", *keep, F.col("firm_id").alias("_asked"), T.normalize_phone(F.col("phone")).alias("_p"), requested_types(F.col("body")).alias("types"), T.normalize_year(F.col("body")).alias("year"))
+    caller = F.concat_ws("|", "_p", F.coalesce(F.col("_asked").cast("string"), F.lit("")))
+    request = F.concat_ws("|", caller, F.array_join("types", ","), F.coalesce("year", F.lit("")))
+    m = m.withColumn("_request", F.when(F.col("_p") == "", F.concat(F.lit("#"), F.col("id").cast("string"))).otherwise(request))
+    wanted = m.where("_p <> ''").groupBy("_request").agg(*[F.first(c).alias(c) for c in ("_p", "_asked", "types", "year")])
+    return m, cut(wanted.withColumn("_caller", caller), "requests")
+
+
+def _callers_clients(wanted: DataFrame, clients: DataFrame) -> DataFrame:
+    """The clients of each caller: ``id`` (the caller's key), client_id, client_name, firm_id."""
+    callers = wanted.select(F.col("_caller").alias("id"), F.col("_p").alias("phone"), "_asked").distinct()
+    return clients_by_phone(callers, clients).where("_asked IS NULL OR firm_id = _asked")
+
+
+def _matches(wanted: DataFrame, family: DataFrame, documents: DataFrame, file: Column) -> DataFrame:
+    """Pairs of ``_request`` and ``file``: documents of the caller's clients (_caller, client_id, firm_id), in the client's firm, of a type asked for and of the year."""
+    asked = family.join(wanted.select("_request", "_caller", F.when(F.array_contains("types", "ITR"), F.col("year")).alias("year"), F.explode("types").alias("type")), "_caller")
+    low = F.lower("document_type")
+    kinds = F.array_distinct(F.filter(F.array(*[F.when(low.contains(term), kind) for kind, term in type_terms()]), lambda k: k.isNotNull()))
+    theirs = documents.join(family.select("client_id"), "client_id", "left_semi")
+    d = theirs.select("client_id", "firm_id", "assessment_year", file.alias("file"), F.explode(kinds).alias("type"))
+    hit = asked.join(d, ["client_id", "firm_id", "type"]).where(F.col("year").isNull() | (T.normalize_year(F.col("assessment_year")) == F.col("year")))
+    return hit.select("_request", "file")
+
+
+def retrieval(messages: DataFrame, clients: DataFrame, documents: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """For each message (id, phone, body, and firm_id or not) what its sender is shown.
 
-    ``id, client_id, client_name, firm_id, types, year, files, error, reply, action``: the sender's first
-    client is the one of smallest id (within ``firm_id`` where the messages have one that is not null);
-    the documents are those of every client of its firm with the number, of the types asked for, newest
-    first (equal times by falling id). Where ITR is asked with a year, documents of all types must be of
-    it. ``error`` is why nothing was looked for or left: no client, no type in the message, or none of the
-    year. ``reply`` and the audit row's ``action`` follow; without client there is no action.
+    ``id, client_id, client_name, firm_id, types, year, files, error, reply, action``, and the messages'
+    columns in ``keep``: the sender's first client is the one of smallest id (within ``firm_id`` where the
+    messages have one that is not null); the documents are those of every client of its firm with the
+    number, of the types asked for, newest first (equal times by falling id). Where ITR is asked with a
+    year, documents of all types must be of it. ``error`` is why nothing was looked for or left: no
+    client, no type in the message, or none of the year. ``reply`` and the audit row's ``action`` follow;
+    without client there is no action.
+
+    What is shown depends on the number, the firm, the types and the year alone. Each such request is
+    answered once, however many messages make it, and messages meet only the answers.
     """
-    firms = ["firm_id"] if "firm_id" in messages.columns else []
-    m = messages.select("id", "phone", "body", *[F.col(c).alias("_asked") for c in firms])
-    found = clients_by_phone(m.drop("body"), clients)
-    if firms:
-        found = found.where("_asked IS NULL OR firm_id = _asked")
+    keep = keep or []
+    m, wanted = _requests(messages, keep)
+    found = _callers_clients(wanted, clients)
     who = found.groupBy("id").agg(F.min_by(F.struct("client_id", "client_name", "firm_id"), "client_id").alias("c"))
-    family = found.join(who, "id").where("firm_id = c.firm_id").select("id", "client_id", "firm_id").distinct()
-    types, year = requested_types(F.col("body")), T.normalize_year(F.col("body"))
-    wanted = m.select("id", "phone", "body", types.alias("types"), year.alias("year"))
-    asked = family.join(wanted.select("id", F.when(F.array_contains("types", "ITR"), F.col("year")).alias("year"), F.explode("types").alias("type")), "id")
-    low = F.lower("document_type")
-    kinds = F.array_distinct(F.filter(F.array(*[F.when(low.contains(term), kind) for kind, term in type_terms()]), lambda k: k.isNotNull()))
+    family = cut(found.join(who, "id").where("firm_id = c.firm_id").select(F.col("id").alias("_caller"), "client_id", "firm_id", "c").distinct(), "family")
     link = F.when(F.coalesce(F.col("google_drive_file_id"), F.lit("")) != "", F.concat(F.lit(K.DRIVE_LINK), F.col("google_drive_file_id"))) if "google_drive_file_id" in documents.columns else F.lit(None).cast("string")
     file = F.struct((-F.unix_micros(F.col("uploaded_at").cast("timestamp"))).alias("_at"), (-F.col("id")).alias("_id"), F.col("id").alias("document_id"), "filename", "document_type", link.alias("url"))
-    d = documents.select("client_id", "firm_id", "assessment_year", file.alias("file"), F.explode(kinds).alias("type"))
-    hit = asked.join(d, ["client_id", "firm_id", "type"]).where(F.col("year").isNull() | (T.normalize_year(F.col("assessment_year")) == F.col("year")))
-    files = hit.groupBy("id").agg(F.sort_array(F.collect_set("file")).alias("files"))
-    j = wanted.join(who, "id", "left").join(files, "id", "left")
-    shown = F.transform(F.coalesce("files", F.array().cast(files.schema["files"].dataType)), lambda f: f.dropFields("_at", "_id"))
-    j = j.select("id", "phone", "body", "types", "year", F.col("c.client_id").alias("client_id"), F.col("c.client_name").alias("client_name"), F.col("c.firm_id").alias("firm_id"), shown.alias("files"))
+    files = _matches(wanted, family.drop("c"), documents, file).groupBy("_request").agg(F.sort_array(F.collect_set("file")).alias("files"))
+    none = F.array().cast(f"array<struct<document_id:{documents.schema['id'].dataType.simpleString()},filename:string,document_type:string,url:string>>")
+    a = wanted.join(family.select("_caller", "c").distinct(), "_caller").join(files, "_request", "left")
+    a = a.select("_request", "types", "year", "c", F.coalesce(F.transform("files", lambda f: f.dropFields("_at", "_id")), none).alias("files"))
     empty = F.size("files") == 0
     of_year = F.array_contains("types", "ITR") & F.col("year").isNotNull()
-    error = F.when(F.col("client_id").isNull(), K.NO_CLIENT).when(F.size("types") == 0, K.NO_KEYWORDS).when(empty & of_year, missing_reply(F.col("types"), F.col("year")))
-    j = j.withColumn("error", error)
+    error = F.when(F.size("types") == 0, K.NO_KEYWORDS).when(empty & of_year, missing_reply(F.col("types"), F.col("year")))
+    a = a.withColumn("error", error)
     reply = F.when(F.col("error").isNotNull(), F.col("error")).when(empty, missing_reply(F.col("types"), F.lit(None).cast("string"))).otherwise(document_reply(F.col("files")))
     result = F.when(F.col("error").isNotNull(), F.col("error")).when(empty, K.NO_DOCUMENT).otherwise(F.concat(F.size("files").cast("string"), F.lit(" document(s) found")))
-    label = F.coalesce(F.nullif("client_name", F.lit("")), T.normalize_phone(F.col("phone")))
-    action = F.when(F.col("client_id").isNotNull(), audit_action(label, F.col("body"), result))
-    return j.select("id", "client_id", "client_name", "firm_id", "types", "year", "files", "error", reply.alias("reply"), action.alias("action"))
+    a = a.select("_request", "c.*", "files", "error", reply.alias("reply"), result.alias("_result"))
+    j = m.join(a, "_request", "left")
+    action = F.when(F.col("client_id").isNotNull(), audit_action(F.coalesce(F.nullif("client_name", F.lit("")), F.col("_p")), F.col("body"), F.col("_result")))
+    unknown = F.when(F.col("client_id").isNull(), K.NO_CLIENT)
+    return j.select("id", "client_id", "client_name", "firm_id", "types", "year", F.coalesce("files", none).alias("files"), F.coalesce(unknown, "error").alias("error"), F.coalesce(unknown, "reply").alias("reply"), action.alias("action"), *keep)
 
 
 def retrieve(messages: DataFrame, clients: DataFrame, documents: DataFrame) -> DataFrame:
-    """The pairs of ``retrieval`` alone: message_id, document_id."""
-    return retrieval(messages, clients, documents).select(F.col("id").alias("message_id"), F.explode("files.document_id").alias("document_id"))
+    """Pairs (message_id, document_id): the documents asked for, of every client with the sender's number in any firm, each in its own."""
+    m, wanted = _requests(messages, [])
+    family = cut(_callers_clients(wanted, clients).select(F.col("id").alias("_caller"), "client_id", "firm_id").distinct(), "family")
+    files = _matches(wanted, family, documents, F.col("id")).groupBy("_request").agg(F.collect_set("file").alias("files"))
+    return m.select("id", "_request").join(files, "_request").select(F.col("id").alias("message_id"), F.explode("files").alias("document_id"))
 
 
 def audit_action(client: Column, request: Column, result: Column) -> Column:

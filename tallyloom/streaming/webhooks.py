@@ -115,21 +115,25 @@ def answers(messages: DataFrame, clients: DataFrame, documents: DataFrame) -> Da
     be fetched and ingested (status received), without one it is missing_media_id; other types are
     unsupported; a sender without client gets no_client; what was malformed gets error.
     """
-    m = messages.withColumn("key", F.concat_ws(":", F.col("id").cast("string"), F.col("n").cast("string"))).drop("id").withColumnRenamed("key", "id")
-    asked = m.where("error IS NULL").select("id", F.col("sender").alias("phone"), F.when(F.col("type") == "text", F.col("body")).alias("body"))
-    found = R.retrieval(asked, clients, documents).select("id", "client_id", F.size("files").alias("n_documents"), F.col("reply").alias("text"), "action")
+    whole = F.col("error").isNull()
+    m = messages.select(
+        F.concat_ws(":", F.col("id").cast("string"), F.col("n").cast("string")).alias("id"), "n", "sender", "type", F.col("error").alias("_error"),
+        F.when(whole, F.col("sender")).alias("phone"), F.when(whole & (F.col("type") == "text"), F.col("body")).alias("body"),
+        F.col("media.id").isNotNull().alias("_media"), F.when(~whole, F.col("raw")).alias("raw"),
+    )
+    found = R.retrieval(m, clients, documents, keep=["n", "sender", "type", "_error", "_media", "raw"])
     fetch = F.coalesce(F.col("type").isin("document", "image"), F.lit(False))
     known = F.col("client_id").isNotNull()
     status = (
-        F.when(F.col("error").isNotNull(), "error")
+        F.when(F.col("_error").isNotNull(), "error")
         .when(~fetch & F.coalesce(F.col("type") != "text", F.lit(True)), "unsupported")
-        .when(fetch & F.col("media.id").isNull(), "missing_media_id")
+        .when(fetch & ~F.col("_media"), "missing_media_id")
         .when(~known, "no_client").when(fetch, "received").otherwise("searched")
     )
-    j = m.join(found, "id", "left").withColumn("status", status)
+    j = found.withColumn("status", status)
     searched = F.col("status") == "searched"
-    reply = F.when(F.col("status") == "no_client", NO_CLIENT).when(F.col("status") == "missing_media_id", NO_MEDIA_ID).when((F.col("status") == "error") & F.col("sender").isNotNull(), NOT_PROCESSED).when(searched, F.col("text"))
-    return j.select("id", "n", "sender", "status", F.when(F.col("status").isin("searched", "received"), F.col("client_id")).alias("client_id"), F.when(searched, F.col("n_documents")).otherwise(0).alias("n_documents"), reply.alias("reply"), F.when(searched, F.col("action")).alias("action"), "error", F.when(F.col("error").isNotNull(), F.col("raw")).alias("raw"))
+    reply = F.when(F.col("status") == "no_client", NO_CLIENT).when(F.col("status") == "missing_media_id", NO_MEDIA_ID).when((F.col("status") == "error") & F.col("sender").isNotNull(), NOT_PROCESSED).when(searched, F.col("reply"))
+    return j.select("id", "n", "sender", "status", F.when(F.col("status").isin("searched", "received"), F.col("client_id")).alias("client_id"), F.when(searched, F.size("files")).otherwise(0).alias("n_documents"), reply.alias("reply"), F.when(searched, F.col("action")).alias("action"), F.col("_error").alias("error"), "raw")
 
 
 def answer_stream(payloads: DataFrame, clients: Callable[[], DataFrame], documents: Callable[[], DataFrame], out: str, checkpoint: str, forms: bool = False, within: str = "1 hour"):

@@ -66,6 +66,18 @@ def family(spark):
     return clients, documents
 
 
+def test_a_request_of_many_messages_is_answered_once(spark, family):
+    messages = spark.range(500).select("id", F.lit("+91 98765-00001").alias("phone"), F.when(F.col("id") % 2 == 0, "my pan").otherwise("PAN please").alias("body"))
+    assert R._requests(messages, [])[1].count() == 1
+    got = R.retrieval(messages, *family).select("id", F.col("files.document_id").alias("d")).collect()
+    assert len(got) == 500 and all(r["d"] == [9, 7] for r in got)
+
+
+def test_pairs_are_of_all_firms(spark, family):
+    messages = spark.createDataFrame([(0, "98765 00001", "my pan"), (1, "", "my pan"), (2, "98765 00001", "hello")], "id long, phone string, body string")
+    assert sorted(tuple(r) for r in R.retrieve(messages, *family).collect()) == [(0, 7), (0, 9), (0, 10)]
+
+
 def test_retrieval_of_a_family(spark, family):
     asks = ["my pan", "hello", "gst for 2019-20", "itr 2018-19", "itr and pan 19-20", ""]
     messages = spark.createDataFrame([(i, "+91 98765-00001", b) for i, b in enumerate(asks)] + [(90, "5", "pan"), (91, None, "pan")], "id long, phone string, body string")
