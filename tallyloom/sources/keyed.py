@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.session import cut, drop
+from tallyloom.session import cleaning, cut, drop
 
 PART = "_part"
 
@@ -78,4 +78,5 @@ class KeyedTable:
 
     def _write(self, rows: DataFrame, mode: str) -> None:
         dealt = rows.withColumn(PART, self.part_of()).hint("rebalance", PART)
-        dealt.write.mode("overwrite").option("partitionOverwriteMode", mode).partitionBy(PART).parquet(self.path)
+        with cleaning(self.spark):
+            dealt.write.mode("overwrite").option("partitionOverwriteMode", mode).partitionBy(PART).parquet(self.path)

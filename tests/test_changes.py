@@ -158,6 +158,16 @@ def test_search_reads_candidates_only(spark, tmp_path):
     assert len(scans) >= 2 and all(re.search(r"PartitionFilters: \[[^\]]*_part", x) for x in scans)
 
 
+def test_the_index_keeps_a_row_a_document(spark, tmp_path):
+    d = spark.range(60).select("id", F.lit(1).alias("firm_id"), F.lit(None).cast("long").alias("client_id"), F.concat(F.lit("f"), "id").alias("filename"), F.lit("T").alias("document_type"))
+    c = spark.createDataFrame([], "id long, client_name string, pan_number string")
+    t = d.where("id % 2 = 0").select("id", F.repeat(F.sha2(F.col("id").cast("string"), 256), 2).alias("text"))
+    signs = SearchIndex(spark, str(tmp_path / "i"), 4).build(d, c, t).signs.rows()
+    assert signs.count() == 60 and signs.where("text IS NOT NULL").count() == 30 and signs.agg(F.max(F.size("text"))).first()[0] <= 4
+    term = t.where("id = 6").first()["text"][20:30]
+    assert [r["id"] for r in SearchIndex(spark, str(tmp_path / "i"), 4).candidates(1, term).collect()] == [6]
+
+
 def test_the_cache_is_not_exchanged(spark, tmp_path):
     results = spark.range(2000).select(F.sha2(F.col("id").cast("string"), 256).alias("sha"), F.col("id").alias("result"))
     cache = ResultCache(spark, f"cache_{time.time_ns()}", str(tmp_path / "c"), 8).create(results)
